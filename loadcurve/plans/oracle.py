@@ -135,3 +135,75 @@ SESSION_DOUBLES = ["DurationHrs", "cumEnergy_Wh", "peakPower_W", "true_peakPower
                    "Overstay_h", "Overstay_total_h"]
 
 BASE = [SESSIONS_RAW, SESSIONS]
+
+
+# ---- step 2-4 building blocks -------------------------------------------------------
+
+TODAY_SLOTS = f"""
+today_rows AS (
+  SELECT * EXCLUDE (slot), {slot_ts('slot')} AS Time, true_peakPower_W AS Power_W FROM (
+    SELECT *, unnest(generate_series({LO}, {HI})) AS slot FROM today_clean WHERE {LO} <= {HI})
+  WHERE slot <= {END_IDX} AND {slot_ts('slot')} >= {TODAY}
+)"""
+
+TODAY_BASE = [SESSIONS_RAW, TODAY_SESSIONS, TODAY_SLOTS]
+
+PART_OF_DAY = """CASE WHEN hour(connectTime) BETWEEN 6 AND 10 THEN 'Morning! 🐦'
+            WHEN hour(connectTime) BETWEEN 11 AND 16 THEN 'Afternoon! ☀️'
+            WHEN hour(connectTime) BETWEEN 17 AND 22 THEN 'Evening! 🌙'
+            ELSE 'Really late at night! 🦉' END"""
+
+
+def pct_change(a: str, b: str) -> str:
+    return (f"CASE WHEN coalesce({a}, 0) = 0 AND coalesce({b}, 0) = 0 THEN 0.0 "
+            f"WHEN coalesce({b}, 0) = 0 THEN 100.0 ELSE ({a} - {b}) * 100.0 / {b} END")
+
+
+def direction(c: str) -> str:
+    return f"CASE WHEN {c} > 0 THEN 'up' WHEN {c} < 0 THEN 'down' ELSE 'same' END"
+
+
+CHARGERS = f"""
+cx AS (
+  SELECT *, (epoch_us({AS_OF}) - epoch_us(lastUpdate)) <= 960000000 AS fresh,
+         finishChargeTime >= {TODAY} AS today
+  FROM sessions WHERE siteId = 25 AND stationId IS NOT NULL
+),
+cur AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT stationId AS sid, true_peakPower_W AS currentChargingRate, choice, vehicle_model,
+           sch_centsPerHr, reg_centsPerHr,
+           row_number() OVER (PARTITION BY stationId ORDER BY lastUpdate DESC, dcosId) AS rn
+    FROM cx WHERE fresh) WHERE rn = 1
+),
+cagg AS (
+  SELECT stationId, coalesce(sum(cumEnergy_Wh), 0) AS cumEnergy_Wh,
+         coalesce(sum(CASE WHEN today THEN cumEnergy_Wh END), 0) AS todayEnergy_Wh,
+         coalesce(sum(CASE WHEN today THEN DurationHrs END), 0) AS today_h
+  FROM cx GROUP BY stationId
+),
+chargers AS (
+  SELECT a.stationId, CAST(CASE WHEN c.sid IS NULL THEN 0 ELSE 1 END AS INTEGER) AS inUse,
+         c.currentChargingRate, c.choice, c.vehicle_model, c.sch_centsPerHr, c.reg_centsPerHr,
+         a.cumEnergy_Wh, a.todayEnergy_Wh,
+         a.todayEnergy_Wh / (6600.0 * 24) AS currPowerUtilRate, a.today_h / 24 AS currOccupUtilRate,
+         CASE WHEN c.sid IS NULL THEN 'IDLE' ELSE 'IN USE' END AS state
+  FROM cagg a LEFT JOIN cur c ON c.sid = a.stationId
+)"""
+
+DAILY_SERIES = """
+daily_series AS (
+  SELECT sp.d AS time, coalesce(o.v, 0) AS v
+  FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-08-01', INTERVAL 1 DAY)) AS d) sp
+  LEFT JOIN (SELECT o_orderdate AS od, sum(o_totalprice) AS v FROM orders
+             WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate <= TIMESTAMP '2001-08-01'
+             GROUP BY 1) o ON o.od = sp.d
+)"""
+
+HOURLY_SERIES = """
+hourly_series AS (
+  SELECT sp.h AS time, CAST(datediff('hour', TIMESTAMP '2024-01-01', sp.h) AS BIGINT) AS i, coalesce(e.v, 0) AS v
+  FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31 23:00:00', INTERVAL 1 HOUR)) AS h) sp
+  LEFT JOIN (SELECT date_trunc('hour', ts) AS h, sum(value) AS v FROM events
+             WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01' GROUP BY 1) e ON e.h = sp.h
+)"""

@@ -80,3 +80,248 @@ def q_demand_daily(spark, sf_dir):
                                       + " SELECT * FROM demand_monthly", O.DEMAND_DOUBLES))
 def q_demand_monthly(spark, sf_dir):
     return rounded(R.rollup(R.demand_5min(sessions(spark, sf_dir), AS_OF), "month"))
+
+
+# ---- step 2: ranges ----------------------------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from loadcurve.operators import analytics as A  # noqa: E402
+from loadcurve.operators import explore as X  # noqa: E402
+from loadcurve.operators import kpi as K  # noqa: E402
+from loadcurve.operators import status as ST  # noqa: E402
+from loadcurve.operators import today as TD  # noqa: E402
+from loadcurve.sources import fixtures as FX  # noqa: E402
+
+_HOURLY = O.with_ctes(*O.BASE, O.DEMAND_5MIN, O.DEMAND_HOURLY)
+_DAILY = O.with_ctes(*O.BASE, O.DEMAND_5MIN, O.DEMAND_DAILY)
+
+
+def _d5(spark, sf_dir):
+    return R.demand_5min(sessions(spark, sf_dir), AS_OF)
+
+
+@register("series_range", O.rounded(_HOURLY + """
+  SELECT time, energy_demand_kWh, day FROM demand_hourly
+  WHERE time >= TIMESTAMP '2024-01-10' AND time <= TIMESTAMP '2024-01-20'""", ["energy_demand_kWh"]))
+def q_series_range(spark, sf_dir):
+    hourly = R.rollup(_d5(spark, sf_dir), "hour")
+    return rounded(X.series_range(hourly, "demand_hourly", "energy_demand_kWh", "2024-01-10", "2024-01-20"))
+
+
+@register("series_relative_range", O.rounded(_DAILY + """
+  SELECT time, peak_power_kW, day FROM demand_daily
+  WHERE time >= TIMESTAMP '2024-01-23' AND time <= TIMESTAMP '2024-01-31'""", ["peak_power_kW"]))
+def q_series_relative_range(spark, sf_dir):
+    daily = R.rollup(_d5(spark, sf_dir), "day")
+    return rounded(X.series_relative_range(daily, "demand_daily", "peak_power_kW", "last_days", AS_OF, 7))
+
+
+@register("series_year_to_date", O.rounded(O.with_ctes(O.DAILY_SERIES) + """
+  SELECT time, v FROM daily_series
+  WHERE time >= TIMESTAMP '2001-01-01' AND time <= TIMESTAMP '2001-07-16'""", ["v"]))
+def q_series_year_to_date(spark, sf_dir):
+    start, end = X.relative_range("year", FX.DAILY_AS_OF)
+    return rounded(X.between_dates(FX.daily_series(spark, sf_dir), "time", start, end))
+
+
+# ---- step 3: chargers and today ---------------------------------------------------------
+
+_CHARGER_DOUBLES = ["currentChargingRate", "cumEnergy_Wh", "todayEnergy_Wh", "currPowerUtilRate",
+                    "currOccupUtilRate"]
+
+
+@register("charger_status", O.rounded(O.with_ctes(*O.BASE, O.CHARGERS) + " SELECT * FROM chargers",
+                                      _CHARGER_DOUBLES))
+def q_charger_status(spark, sf_dir):
+    return rounded(ST.charger_status(sessions(spark, sf_dir), AS_OF))
+
+
+@register("charger_utilization", O.rounded(O.with_ctes(*O.BASE, O.CHARGERS) + """
+  SELECT stationId, cumEnergy_Wh / 1000 AS cumEnergy_kWh, todayEnergy_Wh / 1000 AS todayEnergy_kWh,
+         currPowerUtilRate * 100 AS power_util_pct, currOccupUtilRate * 100 AS occupancy_util_pct
+  FROM chargers""", ["cumEnergy_kWh", "todayEnergy_kWh", "power_util_pct", "occupancy_util_pct"]))
+def q_charger_utilization(spark, sf_dir):
+    return rounded(ST.charger_utilization(ST.charger_status(sessions(spark, sf_dir), AS_OF)))
+
+
+@register("todays_sessions", O.rounded(O.with_ctes(*O.TODAY_BASE) + " SELECT * FROM today_rows",
+                                       O.SESSION_DOUBLES + ["Power_W"]))
+def q_todays_sessions(spark, sf_dir):
+    return rounded(TD.todays_sessions(raw(spark, sf_dir), AS_OF))
+
+
+@register("todays_sessions_power", O.rounded(O.with_ctes(*O.TODAY_BASE) + """,
+  ranked AS (SELECT dcosId, row_number() OVER (ORDER BY connectTime, dcosId) AS user_no
+             FROM (SELECT dcosId, min(connectTime) AS connectTime FROM today_rows GROUP BY dcosId))
+  SELECT dcosId, Time, Power_W / 1000 AS Power_kW, vehicle_model, choice, userId, user_no,
+         'User #' || CAST(user_no AS VARCHAR) AS label
+  FROM today_rows JOIN ranked USING (dcosId)""", ["Power_kW"]))
+def q_todays_sessions_power(spark, sf_dir):
+    return rounded(TD.todays_sessions_power(TD.todays_sessions(raw(spark, sf_dir), AS_OF)))
+
+
+@register("nested_series", O.rounded(O.with_ctes(*O.TODAY_BASE) + " SELECT dcosId, Time, Power_W FROM today_rows",
+                                     ["Power_W"]))
+def q_nested_series(spark, sf_dir):
+    return rounded(TD.explode_nested(TD.nested_series(raw(spark, sf_dir), AS_OF), AS_OF))
+
+
+@register("energy_by_session_today", O.rounded(O.with_ctes(*O.TODAY_BASE) + """,
+  ps AS (SELECT dcosId, max(cumEnergy_Wh) AS e, max(vehicle_model) AS vm FROM today_rows GROUP BY dcosId),
+  bm AS (SELECT vm AS vehicle_model, coalesce(sum(e), 0) / 1000 AS energy_kWh, count(*) AS sessions
+         FROM ps GROUP BY vm)
+  SELECT *, energy_kWh / nullif(sum(energy_kWh) OVER (), 0) AS share FROM bm""", ["energy_kWh", "share"]))
+def q_energy_by_session_today(spark, sf_dir):
+    return rounded(TD.energy_by_session_today(TD.todays_sessions(raw(spark, sf_dir), AS_OF)))
+
+
+# ---- step 4: analytics and cards ----------------------------------------------------------
+
+@register("cumulative_energy", O.rounded(O.with_ctes(*O.BASE) + """
+  SELECT dcosId, finishChargeTime,
+         CASE WHEN cumEnergy_Wh IS NOT NULL THEN
+           sum(coalesce(cumEnergy_Wh, 0)) OVER (ORDER BY finishChargeTime, dcosId ROWS UNBOUNDED PRECEDING) / 1000
+         END AS cum_energy_kWh
+  FROM sessions""", ["cum_energy_kWh"]))
+def q_cumulative_energy(spark, sf_dir):
+    return rounded(A.cumulative_energy(sessions(spark, sf_dir)))
+
+
+@register("cumulative_users", O.with_ctes(*O.BASE) + """,
+  r AS (SELECT dcosId, startChargeTime, userId FROM sessions WHERE userId IS NOT NULL),
+  f AS (SELECT userId, min(startChargeTime) AS fs FROM r GROUP BY userId)
+  SELECT r.dcosId, r.startChargeTime, r.userId, count(*) AS cumulative_users
+  FROM r JOIN f ON f.fs < r.startChargeTime OR (f.fs = r.startChargeTime AND f.userId <= r.userId)
+  GROUP BY r.dcosId, r.startChargeTime, r.userId""")
+def q_cumulative_users(spark, sf_dir):
+    return A.cumulative_users(sessions(spark, sf_dir))
+
+
+@register("top_vehicle_models", O.rounded(O.with_ctes(*O.BASE) + """
+  SELECT vehicle_model, coalesce(sum(cumEnergy_Wh), 0) AS cumEnergy_Wh,
+         round_even(coalesce(sum(cumEnergy_Wh), 0) / 1000, 1) AS cumEnergy_kWh
+  FROM sessions WHERE vehicle_model IS NOT NULL GROUP BY vehicle_model
+  ORDER BY cumEnergy_Wh DESC, vehicle_model LIMIT 20""", ["cumEnergy_Wh", "cumEnergy_kWh"]))
+def q_top_vehicle_models(spark, sf_dir):
+    return rounded(A.top_vehicle_models(sessions(spark, sf_dir), 20))
+
+
+@register("choice_by_price", O.with_ctes(*O.BASE) + """
+  SELECT sch_centsPerHr, reg_centsPerHr, choice, count(*) AS counts FROM sessions
+  WHERE sch_centsPerHr IS NOT NULL AND reg_centsPerHr IS NOT NULL AND choice IS NOT NULL
+  GROUP BY ALL""")
+def q_choice_by_price(spark, sf_dir):
+    return A.choice_by_price(sessions(spark, sf_dir))
+
+
+@register("user_profile", O.rounded(O.with_ctes(*O.BASE) + f""",
+  b AS (SELECT *, {O.PART_OF_DAY} AS part FROM sessions WHERE userId IS NOT NULL),
+  pc AS (SELECT userId, part, row_number() OVER (PARTITION BY userId ORDER BY count(*) DESC, part) AS rn
+         FROM b GROUP BY userId, part),
+  cc AS (SELECT userId, choice, count(*) AS n,
+                row_number() OVER (PARTITION BY userId ORDER BY count(*) DESC, choice) AS rn
+         FROM b WHERE choice IS NOT NULL GROUP BY userId, choice),
+  m AS (SELECT userId, count(*) AS num_sessions, round_even(avg(DurationHrs), 2) AS average_duration,
+               coalesce(sum(cumEnergy_Wh), 0) / 1000 AS total_nrg_consumed FROM b GROUP BY userId)
+  SELECT m.userId, m.num_sessions, m.average_duration, pc.part AS freq_connect_time, m.total_nrg_consumed,
+         cc.choice AS pref_charging_choice, coalesce(cc.n, 0) / m.num_sessions AS pref_charging_choice_percent
+  FROM m JOIN pc ON pc.userId = m.userId AND pc.rn = 1
+  LEFT JOIN cc ON cc.userId = m.userId AND cc.rn = 1""",
+    ["average_duration", "total_nrg_consumed", "pref_charging_choice_percent"]))
+def q_user_profile(spark, sf_dir):
+    return rounded(A.user_profile(C.session_subset(sessions(spark, sf_dir))))
+
+
+def _hist_sql(source: str, group_expr: str, group_name: str, q: str, bins: int = 10) -> str:
+    return f""",
+  t AS (SELECT {group_expr} AS {group_name}, {q} AS x FROM {source} WHERE {q} IS NOT NULL),
+  s AS (SELECT {group_name}, min(x) AS lo, max(x) AS hi, count(*) AS n FROM t GROUP BY {group_name}),
+  b AS (SELECT t.{group_name}, CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * {bins}), {bins - 1})
+                                 ELSE 0 END AS INTEGER) AS bin, lo, hi, n
+        FROM t JOIN s ON s.{group_name} = t.{group_name})
+  SELECT {group_name}, bin, lo + bin * ((hi - lo) / {bins}) AS bin_lo,
+         CASE WHEN bin = {bins - 1} THEN hi ELSE lo + (bin + 1) * ((hi - lo) / {bins}) END AS bin_hi,
+         count(*) AS count, count(*) * 100.0 / n AS percent
+  FROM b GROUP BY {group_name}, bin, lo, hi, n"""
+
+
+@register("histogram_by_weekday", O.rounded(_DAILY + _hist_sql("demand_daily", "day", "day", "energy_demand_kWh"),
+                                            ["bin_lo", "bin_hi", "percent"]))
+def q_histogram_by_weekday(spark, sf_dir):
+    return rounded(A.histogram_by_weekday(R.rollup(_d5(spark, sf_dir), "day"), "energy_demand_kWh"))
+
+
+@register("histogram_by_hour", O.rounded(_HOURLY + _hist_sql("demand_hourly", "CAST(hour(time) AS INTEGER)",
+                                                             "hour", "avg_power_demand_kW"),
+                                         ["bin_lo", "bin_hi", "percent"]))
+def q_histogram_by_hour(spark, sf_dir):
+    return rounded(A.histogram_by_hour(R.rollup(_d5(spark, sf_dir), "hour"), "avg_power_demand_kW"))
+
+
+@register("yesterday_overlay", O.rounded(O.with_ctes(*O.BASE, O.DEMAND_5MIN) + f""",
+  y AS (SELECT time + INTERVAL 1 DAY AS time, avg_power_demand_kW AS yv, CAST(NULL AS DOUBLE) AS tv
+        FROM demand_5min WHERE time >= {O.YESTERDAY} AND time <= {O.TODAY}),
+  t AS (SELECT time, CAST(NULL AS DOUBLE) AS yv, avg_power_demand_kW AS tv
+        FROM demand_5min WHERE time >= {O.TODAY} AND time <= {O.TODAY} + INTERVAL 1 DAY)
+  SELECT time, max(yv) AS yesterday_avg_power_demand_kW, max(tv) AS today_avg_power_demand_kW
+  FROM (SELECT * FROM y UNION ALL SELECT * FROM t) GROUP BY time""",
+    ["yesterday_avg_power_demand_kW", "today_avg_power_demand_kW"]))
+def q_yesterday_overlay(spark, sf_dir):
+    return rounded(A.yesterday_overlay(_d5(spark, sf_dir), AS_OF))
+
+
+@register("kpi_today", O.rounded(O.with_ctes(*O.BASE, O.TODAY_SESSIONS, O.TODAY_SLOTS, O.DEMAND_5MIN, O.DEMAND_DAILY)
+                                 + f""",
+  k AS (SELECT
+    (SELECT coalesce(sum(e), 0) / 1000 FROM (SELECT dcosId, max(cumEnergy_Wh) AS e FROM today_rows GROUP BY dcosId))
+      AS kwh_today,
+    (SELECT count(DISTINCT dcosId) FROM today_rows) AS sessions_today,
+    (SELECT count(DISTINCT userId) FROM today_rows) AS users_today,
+    (SELECT coalesce(max(energy_demand_kWh), 0) FROM demand_daily WHERE time = {O.YESTERDAY}) AS kwh_yesterday,
+    (SELECT count(DISTINCT userId) FROM sessions WHERE date_trunc('day', connectTime) = {O.YESTERDAY})
+      AS users_yesterday)
+  SELECT *, {O.pct_change('kwh_today', 'kwh_yesterday')} AS kwh_change_pct,
+         {O.direction(O.pct_change('kwh_today', 'kwh_yesterday'))} AS kwh_direction,
+         sessions_today - users_yesterday AS users_change,
+         {O.direction('sessions_today - users_yesterday')} AS users_direction
+  FROM k""", ["kwh_today", "kwh_yesterday", "kwh_change_pct"]))
+def q_kpi_today(spark, sf_dir):
+    r = raw(spark, sf_dir)
+    return rounded(K.kpi_today(r, C.clean_sessions(r), AS_OF))
+
+
+@register("kpi_month_peak", O.rounded(O.with_ctes(O.DAILY_SERIES) + f""",
+  m AS (SELECT CAST(last_day(time) AS TIMESTAMP) AS time, max(v) AS peak_power_kW FROM daily_series GROUP BY 1),
+  l AS (SELECT *, lag(peak_power_kW) OVER (ORDER BY time) AS previous_peak_power_kW FROM m
+        QUALIFY row_number() OVER (ORDER BY time DESC) = 1)
+  SELECT time, peak_power_kW, previous_peak_power_kW,
+         {O.pct_change('peak_power_kW', 'previous_peak_power_kW')} AS change_pct,
+         {O.direction(O.pct_change('peak_power_kW', 'previous_peak_power_kW'))} AS direction
+  FROM l""", ["peak_power_kW", "previous_peak_power_kW", "change_pct"]))
+def q_kpi_month_peak(spark, sf_dir):
+    from loadcurve.functions.timecols import month_end
+    monthly = (FX.daily_series(spark, sf_dir).groupBy(month_end("time").alias("time"))
+               .agg(F.max("v").alias("peak_power_kW")))
+    return rounded(K.kpi_month_peak(monthly, "peak_power_kW"))
+
+
+_WEEKS = (AS_OF - K.SERVICE_START).days // 7
+
+
+@register("kpi_cumulative", O.rounded(O.with_ctes(*O.BASE) + f"""
+  SELECT count(*) AS cum_sessions,
+         count(*) FILTER (WHERE choice = 'REGULAR') AS regular_sessions,
+         count(*) FILTER (WHERE choice = 'SCHEDULED') AS scheduled_sessions,
+         (count(*) FILTER (WHERE choice = 'REGULAR')) / nullif(count(*), 0) AS regular_share,
+         (count(*) FILTER (WHERE choice = 'SCHEDULED')) / nullif(count(*), 0) AS scheduled_share,
+         coalesce(sum(cumEnergy_Wh), 0) / 1000 AS cum_kwh,
+         coalesce(sum(cumEnergy_Wh), 0) / 1000 / 10649.0 AS home_years,
+         coalesce(sum(cumEnergy_Wh), 0) / 290.0 AS emiles,
+         coalesce(sum(cumEnergy_Wh), 0) / 290.0 / 5810.0 AS round_trips,
+         CAST({_WEEKS} AS BIGINT) AS weeks,
+         count(*) / {float(_WEEKS)} AS sessions_per_week
+  FROM sessions""", ["regular_share", "scheduled_share", "cum_kwh", "home_years", "emiles", "round_trips",
+                     "sessions_per_week"]))
+def q_kpi_cumulative(spark, sf_dir):
+    return rounded(K.kpi_cumulative(C.session_subset(sessions(spark, sf_dir)), AS_OF))

@@ -325,3 +325,66 @@ _WEEKS = (AS_OF - K.SERVICE_START).days // 7
                      "sessions_per_week"]))
 def q_kpi_cumulative(spark, sf_dir):
     return rounded(K.kpi_cumulative(C.session_subset(sessions(spark, sf_dir)), AS_OF))
+
+
+# ---- step 5: grid requests ---------------------------------------------------------------
+
+from loadcurve.operators import grid as G  # noqa: E402
+
+_GRID_BASE = (O.with_ctes(*O.BASE) + ", g AS (SELECT * EXCLUDE (userId, finishChargeTime, true_peakPower_W, "
+              "Overstay_s, Overstay_h, Overstay_total_h) FROM sessions)")
+_GRID_DOUBLES = ["DurationHrs", "cumEnergy_Wh", "peakPower_W"]
+
+GRID_REQUESTS = {
+    "grid_compare": {"filterModel": {
+        "cumEnergy_Wh": {"filterType": "number", "type": "greaterThanOrEqual", "filter": "20000"},
+        "stationId": {"filterType": "number", "type": "notEqual", "filter": 3},
+        "sch_centsPerHr": {"filterType": "number", "type": "lessThan", "filter": 130}}},
+    "grid_text": {"filterModel": {
+        "vehicle_model": {"filterType": "text", "type": "contains", "filter": "model_1[0-4]"},
+        "Duration": {"filterType": "text", "type": "startsWith", "filter": "0 days 01"},
+        "choice": {"filterType": "text", "type": "notEndsWith", "filter": "LED"}}},
+    "grid_range": {"filterModel": {
+        "DurationHrs": {"filterType": "number", "type": "inRange", "filter": 0.5, "filterTo": 1.5},
+        "connectTime": {"filterType": "date", "type": "inRange", "dateFrom": "2024-01-10 00:00:00",
+                        "dateTo": "2024-01-20 00:00:00"}}},
+    "grid_blank": {"filterModel": {
+        "vehicle_model": {"filterType": "text", "type": "blank"},
+        "Deadline": {"filterType": "date", "type": "notBlank"}}},
+    "grid_and_or": {"filterModel": {
+        "cumEnergy_Wh": {"filterType": "number", "operator": "OR",
+                         "condition1": {"filterType": "number", "type": "lessThan", "filter": 5000},
+                         "condition2": {"filterType": "number", "type": "lessThan", "filter": 8000}},
+        "stationId": {"filterType": "number", "operator": "AND",
+                      "condition1": {"filterType": "number", "type": "greaterThan", "filter": 2},
+                      "condition2": {"filterType": "number", "type": "lessThanOrEqual", "filter": 6}}}},
+    "grid_page": {"filterModel": {"vehicle_model": {"filterType": "text", "type": "notBlank"}},
+                  "sortModel": [{"colId": "stationId", "sort": "asc"}, {"colId": "cumEnergy_Wh", "sort": "desc"}],
+                  "startRow": 100, "endRow": 200},
+}
+
+_GRID_SQL = {
+    "grid_compare": "cumEnergy_Wh >= 20000 AND (stationId <> 3 OR stationId IS NULL) AND sch_centsPerHr < 130",
+    "grid_text": ("regexp_matches(vehicle_model, 'model_1[0-4]') AND starts_with(Duration, '0 days 01') "
+                  "AND (NOT ends_with(choice, 'LED') OR choice IS NULL)"),
+    "grid_range": ("DurationHrs BETWEEN 0.5 AND 1.5 AND connectTime BETWEEN TIMESTAMP '2024-01-10 00:00:00' "
+                   "AND TIMESTAMP '2024-01-20 00:00:00'"),
+    "grid_blank": "vehicle_model IS NULL AND Deadline IS NOT NULL",
+    "grid_and_or": "(cumEnergy_Wh < 5000 OR cumEnergy_Wh < 8000) AND (stationId > 2 AND stationId <= 6)",
+}
+
+
+def _grid_query(name):
+    def run(spark, sf_dir):
+        return rounded(G.grid_query(G.grid_table(sessions(spark, sf_dir)), GRID_REQUESTS[name]).rows)
+    run.__name__ = f"q_{name}"
+    return run
+
+
+for _name, _where in _GRID_SQL.items():
+    register(_name, O.rounded(_GRID_BASE + f" SELECT * FROM g WHERE {_where}", _GRID_DOUBLES))(_grid_query(_name))
+
+register("grid_page", O.rounded(_GRID_BASE + """
+  SELECT * FROM g WHERE vehicle_model IS NOT NULL
+  ORDER BY stationId ASC NULLS LAST, cumEnergy_Wh DESC NULLS LAST, connectTime DESC NULLS LAST, dcosId DESC NULLS LAST
+  LIMIT 100 OFFSET 100""", _GRID_DOUBLES))(_grid_query("grid_page"))

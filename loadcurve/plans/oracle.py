@@ -207,3 +207,50 @@ hourly_series AS (
   LEFT JOIN (SELECT date_trunc('hour', ts) AS h, sum(value) AS v FROM events
              WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01' GROUP BY 1) e ON e.h = sp.h
 )"""
+
+
+# ---- step 6: lags, kNN, forecast tables ------------------------------------------------
+
+def lag_cols(depth: int, src: str = "v", order: str = "time") -> str:
+    return ", ".join(f"lag({src}, {24 * k}) OVER (ORDER BY {order}) AS lag{k}" for k in range(1, depth + 1))
+
+
+def lags_not_null(depth: int, prefix: str = "") -> str:
+    return " AND ".join(f"{prefix}lag{k} IS NOT NULL" for k in range(1, depth + 1))
+
+
+def dist(depth: int) -> str:
+    return " + ".join(f"(q.lag{k} - t.lag{k}) * (q.lag{k} - t.lag{k})" for k in range(1, depth + 1))
+
+
+def split_case(n: str = "n", rn: str = "rn") -> str:
+    tv = f"({n} - ceil({n} * 0.2))"
+    return (f"CASE WHEN {rn} > {tv} THEN 'test' WHEN {rn} > {tv} - ceil({tv} * 0.2) THEN 'validation' "
+            f"ELSE 'train' END")
+
+
+RUNS = """
+e_run AS (
+  SELECT time, v AS avg_power_demand_kW_predictions,
+         CASE WHEN CAST(floor(v) AS BIGINT) % 5 = 0 THEN NULL ELSE v / 12 END AS energy_demand_kWh_predictions,
+         v * 1.5 AS peak_power_kW_predictions
+  FROM hourly_series
+),
+n_run AS (
+  SELECT time + INTERVAL 360 HOUR AS time,
+         CASE WHEN CAST(floor(v) AS BIGINT) % 7 = 0 THEN NULL ELSE v * 1.1 END AS avg_power_demand_kW_predictions,
+         v * 1.1 / 12 AS energy_demand_kWh_predictions,
+         CASE WHEN v = 0 THEN NULL ELSE v * 1.6 END AS peak_power_kW_predictions
+  FROM hourly_series
+),
+upserted AS (
+  SELECT sp.time,
+         coalesce(n.avg_power_demand_kW_predictions, e.avg_power_demand_kW_predictions) AS avg_power_demand_kW_predictions,
+         coalesce(n.energy_demand_kWh_predictions, e.energy_demand_kWh_predictions) AS energy_demand_kWh_predictions,
+         coalesce(n.peak_power_kW_predictions, e.peak_power_kW_predictions) AS peak_power_kW_predictions
+  FROM (SELECT unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS time
+        FROM (SELECT min(time) AS lo, max(time) AS hi FROM (SELECT time FROM e_run UNION ALL SELECT time FROM n_run))) sp
+  LEFT JOIN e_run e ON e.time = sp.time LEFT JOIN n_run n ON n.time = sp.time
+)"""
+
+PRED_COLS = ["avg_power_demand_kW_predictions", "energy_demand_kWh_predictions", "peak_power_kW_predictions"]

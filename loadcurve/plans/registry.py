@@ -388,3 +388,117 @@ register("grid_page", O.rounded(_GRID_BASE + """
   SELECT * FROM g WHERE vehicle_model IS NOT NULL
   ORDER BY stationId ASC NULLS LAST, cumEnergy_Wh DESC NULLS LAST, connectTime DESC NULLS LAST, dcosId DESC NULLS LAST
   LIMIT 100 OFFSET 100""", _GRID_DOUBLES))(_grid_query("grid_page"))
+
+
+# ---- step 6: lags, splits, kNN, forecast tables -----------------------------------------
+
+from loadcurve.operators import features as FE  # noqa: E402
+from loadcurve.operators import forecasts as FC  # noqa: E402
+from loadcurve.operators import knn as KN  # noqa: E402
+
+LAG_DEPTH = 7
+KNN_DEPTH, KNN_K = 6, 11                  # a forecast with fixed parameters
+GRID_DEPTHS, GRID_KS = list(range(3, 8)), list(range(5, 13))
+_HS = O.with_ctes(O.HOURLY_SERIES)
+_LAGS7 = [f"lag{k}" for k in range(1, LAG_DEPTH + 1)]
+
+
+@register("lag_features", O.rounded(_HS + f"""
+  SELECT * FROM (SELECT *, {O.lag_cols(LAG_DEPTH)} FROM hourly_series) WHERE {O.lags_not_null(LAG_DEPTH)}""",
+    ["v"] + _LAGS7))
+def q_lag_features(spark, sf_dir):
+    return rounded(FE.lag_features(FX.hourly_series(spark, sf_dir), LAG_DEPTH))
+
+
+@register("chrono_split", _HS + f""",
+  f AS (SELECT * FROM (SELECT *, {O.lag_cols(LAG_DEPTH)} FROM hourly_series) WHERE {O.lags_not_null(LAG_DEPTH)}),
+  s AS (SELECT time, row_number() OVER (ORDER BY time) AS rn, count(*) OVER () AS n FROM f)
+  SELECT time, {O.split_case()} AS split FROM s""")
+def q_chrono_split(spark, sf_dir):
+    return FE.chrono_split(FE.lag_features(FX.hourly_series(spark, sf_dir), LAG_DEPTH)).select("time", "split")
+
+
+@register("knn_forecast", O.rounded(_HS + f""",
+  ext AS (SELECT time, v, false AS fut FROM hourly_series
+          UNION ALL SELECT (SELECT max(time) FROM hourly_series) + to_hours(k), 0.0, true FROM range(1, 25) r(k)),
+  f AS (SELECT *, {O.lag_cols(KNN_DEPTH)} FROM ext),
+  q AS (SELECT * FROM f WHERE fut AND {O.lags_not_null(KNN_DEPTH)}),
+  t AS (SELECT * FROM f WHERE NOT fut AND v IS NOT NULL AND {O.lags_not_null(KNN_DEPTH)}),
+  p AS (SELECT q.time AS q_time, t.time AS t_time, t.v AS t_y, {O.dist(KNN_DEPTH)} AS d FROM q, t),
+  r AS (SELECT *, row_number() OVER (PARTITION BY q_time ORDER BY d, t_time) AS rk FROM p)
+  SELECT q_time AS time, avg(t_y) AS v_predictions FROM r WHERE rk <= {KNN_K} GROUP BY q_time""",
+    ["v_predictions"]))
+def q_knn_forecast(spark, sf_dir):
+    return rounded(KN.knn_forecast(FX.hourly_series(spark, sf_dir).select("time", "v"), KNN_DEPTH, KNN_K))
+
+
+_GRID_MAX = max(GRID_DEPTHS)
+_SCORES_SQL = _HS + f""",
+  f AS (SELECT * FROM (SELECT *, {O.lag_cols(_GRID_MAX)} FROM hourly_series) WHERE {O.lags_not_null(_GRID_MAX)}),
+  s AS (SELECT *, row_number() OVER (ORDER BY time) AS rn, count(*) OVER () AS n FROM f),
+  sp AS (SELECT *, {O.split_case()} AS split FROM s),
+  q AS (SELECT * FROM sp WHERE split = 'validation'),
+  t AS (SELECT * FROM sp WHERE split = 'train'),
+  pd AS ({" UNION ALL ".join(
+      f"SELECT q.time AS q_time, q.v AS q_y, t.time AS t_time, t.v AS t_y, {d} AS depth, {O.dist(d)} AS d FROM q, t"
+      for d in GRID_DEPTHS)}),
+  r AS (SELECT *, row_number() OVER (PARTITION BY q_time, depth ORDER BY d, t_time) AS k FROM pd),
+  r2 AS (SELECT *, avg(t_y) OVER (PARTITION BY q_time, depth ORDER BY d, t_time ROWS UNBOUNDED PRECEDING) AS pred
+         FROM r WHERE k <= {max(GRID_KS)}),
+  scores AS (SELECT depth, CAST(k AS INTEGER) AS k, avg((pred - q_y) * (pred - q_y)) AS mse
+             FROM r2 WHERE k >= {min(GRID_KS)} GROUP BY depth, k)"""
+
+
+@register("knn_grid_scores", O.rounded(_SCORES_SQL + " SELECT * FROM scores", ["mse"]))
+def q_knn_grid_scores(spark, sf_dir):
+    return rounded(KN.knn_grid_scores(FX.hourly_series(spark, sf_dir).select("time", "v"), GRID_DEPTHS, GRID_KS))
+
+
+@register("knn_grid_search", O.rounded(_SCORES_SQL + """
+  SELECT CAST(depth AS INTEGER) AS best_depth, CAST(k AS INTEGER) AS best_n_neighbors, mse
+  FROM scores ORDER BY mse, k, depth LIMIT 1""", ["mse"]))
+def q_knn_grid_search(spark, sf_dir):
+    return rounded(KN.knn_grid_search(FX.hourly_series(spark, sf_dir).select("time", "v"), GRID_DEPTHS, GRID_KS))
+
+
+def _runs(spark, sf_dir):
+    hs = FX.hourly_series(spark, sf_dir)
+    v = F.col("v")
+    existing = hs.select(
+        "time", v.alias("avg_power_demand_kW_predictions"),
+        F.when(F.floor(v) % 5 == 0, F.lit(None).cast("double")).otherwise(v / 12).alias("energy_demand_kWh_predictions"),
+        (v * 1.5).alias("peak_power_kW_predictions"))
+    new = hs.select(
+        F.timestamp_add("HOUR", F.lit(360), F.col("time")).alias("time"),
+        F.when(F.floor(v) % 7 == 0, F.lit(None).cast("double")).otherwise(v * 1.1).alias("avg_power_demand_kW_predictions"),
+        (v * 1.1 / 12).alias("energy_demand_kWh_predictions"),
+        F.when(v == 0, F.lit(None).cast("double")).otherwise(v * 1.6).alias("peak_power_kW_predictions"))
+    return existing, new
+
+
+@register("forecast_upsert", O.rounded(O.with_ctes(O.HOURLY_SERIES, O.RUNS) + " SELECT * FROM upserted",
+                                       O.PRED_COLS))
+def q_forecast_upsert(spark, sf_dir):
+    existing, new = _runs(spark, sf_dir)
+    return rounded(FC.upsert_forecasts(existing, new, "hour"))
+
+
+@register("forecast_postprocess", O.rounded(O.with_ctes(O.HOURLY_SERIES, O.RUNS) + " SELECT time, " + ", ".join(
+    f"CASE WHEN hour(time) <= 5 THEN 0.0 ELSE greatest(0.0, coalesce({c}, 0.0)) END AS {c}" for c in O.PRED_COLS)
+    + " FROM upserted", O.PRED_COLS))
+def q_forecast_postprocess(spark, sf_dir):
+    existing, new = _runs(spark, sf_dir)
+    return rounded(FC.clamp_hourly(FC.upsert_forecasts(existing, new, "hour")))
+
+
+@register("actual_vs_forecast", O.rounded(O.with_ctes(O.HOURLY_SERIES, O.RUNS) + """
+  SELECT coalesce(a.time, f.time) AS time, a.v AS actual, f.avg_power_demand_kW_predictions AS predicted,
+         f.avg_power_demand_kW_predictions - a.v AS error
+  FROM (SELECT time, v FROM hourly_series WHERE time >= TIMESTAMP '2024-01-10') a
+  FULL OUTER JOIN (SELECT * FROM upserted WHERE time >= TIMESTAMP '2024-01-10') f ON f.time = a.time""",
+    ["actual", "predicted", "error"]))
+def q_actual_vs_forecast(spark, sf_dir):
+    existing, new = _runs(spark, sf_dir)
+    fc = FC.upsert_forecasts(existing, new, "hour")
+    actual = FX.hourly_series(spark, sf_dir).select("time", F.col("v").alias("avg_power_demand_kW"))
+    return rounded(FC.actual_vs_forecast(actual, fc, "avg_power_demand_kW", "2024-01-10"))

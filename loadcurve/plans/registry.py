@@ -502,3 +502,42 @@ def q_actual_vs_forecast(spark, sf_dir):
     fc = FC.upsert_forecasts(existing, new, "hour")
     actual = FX.hourly_series(spark, sf_dir).select("time", F.col("v").alias("avg_power_demand_kW"))
     return rounded(FC.actual_vs_forecast(actual, fc, "avg_power_demand_kW", "2024-01-10"))
+
+
+# ---- step 7: seasonal daily model ------------------------------------------------------------
+
+from loadcurve.operators import seasonal as SE  # noqa: E402
+
+DAILY_END = "TIMESTAMP '2001-08-01'"
+
+
+def _daily_forecast_sql(out_col: str, where: str = "") -> str:
+    return "WITH RECURSIVE " + O.DAILY_SERIES.strip() + f""",
+  w AS (SELECT time, v, v - lag(v, 7) OVER (ORDER BY time) AS w FROM daily_series),
+  x AS (SELECT time, v, w, lag(w, 1) OVER (ORDER BY time) AS w1 FROM w),
+  c AS (SELECT regr_slope(w, w1) AS b, regr_intercept(w, w1) AS a FROM x WHERE w IS NOT NULL AND w1 IS NOT NULL),
+  r(h, wh) AS (
+    SELECT 1, c.a + c.b * (SELECT w FROM x WHERE time = {DAILY_END}) FROM c
+    UNION ALL SELECT r.h + 1, c.a + c.b * r.wh FROM r, c WHERE r.h < 7)
+  SELECT * FROM (
+    SELECT {DAILY_END} + to_days(r.h) AS time, ds.v + r.wh AS {out_col}
+    FROM r JOIN daily_series ds ON ds.time = {DAILY_END} + to_days(r.h - 7)) q {where}"""
+
+
+@register("daily_forecast", O.rounded(_daily_forecast_sql("v_predictions"), ["v_predictions"], 1))
+def q_daily_forecast(spark, sf_dir):
+    return rounded(SE.seasonal_forecast(FX.daily_series(spark, sf_dir), p=1, P=0), 1)
+
+
+@register("daily_order_search")
+def q_daily_order_search(spark, sf_dir):
+    return rounded(SE.seasonal_order_search(FX.daily_series(spark, sf_dir), max_p=2, max_P=2), 4)
+
+
+@register("peak_forecast_today", O.rounded(
+    _daily_forecast_sql("peak_power_kW_predictions", "WHERE time = TIMESTAMP '2001-08-02'"),
+    ["peak_power_kW_predictions"], 1))
+def q_peak_forecast_today(spark, sf_dir):
+    series = FX.daily_series(spark, sf_dir).withColumnRenamed("v", "peak_power_kW")
+    fc = SE.seasonal_forecast(series, p=1, P=0, value_col="peak_power_kW")
+    return rounded(FC.peak_forecast_today(fc, "2001-08-02 12:00:00"), 1)

@@ -85,6 +85,7 @@ def q_demand_monthly(spark, sf_dir):
 # ---- step 2: ranges ----------------------------------------------------------------------
 
 from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
 
 from loadcurve.operators import analytics as A  # noqa: E402
 from loadcurve.operators import explore as X  # noqa: E402
@@ -541,3 +542,41 @@ def q_peak_forecast_today(spark, sf_dir):
     series = FX.daily_series(spark, sf_dir).withColumnRenamed("v", "peak_power_kW")
     fc = SE.seasonal_forecast(series, p=1, P=0, value_col="peak_power_kW")
     return rounded(FC.peak_forecast_today(fc, "2001-08-02 12:00:00"), 1)
+
+
+# ---- step 8: tables, CSV, flattening ----------------------------------------------------------
+
+from loadcurve.session import scratch_path  # noqa: E402
+from loadcurve.sources import tables as TB  # noqa: E402
+
+
+@register("table_roundtrip", O.rounded(O.with_ctes(*O.BASE) + " SELECT * FROM sessions", O.SESSION_DOUBLES))
+def q_table_roundtrip(spark, sf_dir):
+    root = scratch_path(spark, "tables")
+    s = sessions(spark, sf_dir)
+    TB.write_table(s.withColumn("day", F.to_date("connectTime")), "sessions", root, partition_by=["day"])
+    TB.write_table(C.session_subset(s), "sessions_subset", root)
+    assert TB.table_exists(spark, "sessions", root) and not TB.table_exists(spark, "nothing_here", root)
+    full, _subset = TB.read_tables(spark, ["sessions", "sessions_subset"], root)
+    return rounded(full.drop("day").select(*s.columns))
+
+
+_SUBSET_SCHEMA = T.StructType([
+    T.StructField("connectTime", T.TimestampNTZType()), T.StructField("userId", T.StringType()),
+    T.StructField("cumEnergy_Wh", T.DoubleType()), T.StructField("DurationHrs", T.DoubleType()),
+    T.StructField("choice", T.StringType())])
+
+
+@register("csv_roundtrip", O.rounded(
+    O.with_ctes(*O.BASE) + " SELECT connectTime, userId, cumEnergy_Wh, DurationHrs, choice FROM sessions",
+    ["cumEnergy_Wh", "DurationHrs"]))
+def q_csv_roundtrip(spark, sf_dir):
+    path = TB.write_csv(C.session_subset(sessions(spark, sf_dir)), scratch_path(spark, "csv"))
+    return rounded(TB.read_csv(spark, path, _SUBSET_SCHEMA))
+
+
+@register("flatten_records", """
+  SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS "props.k" FROM events""")
+def q_flatten_records(spark, sf_dir):
+    ev = FX.table(spark, sf_dir, "events").select("event_id", "props")
+    return TB.flatten(TB.parse_json(ev, "props", "k int"))

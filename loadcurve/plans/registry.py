@@ -580,3 +580,58 @@ def q_csv_roundtrip(spark, sf_dir):
 def q_flatten_records(spark, sf_dir):
     ev = FX.table(spark, sf_dir, "events").select("event_id", "props")
     return TB.flatten(TB.parse_json(ev, "props", "k int"))
+
+
+# ---- step 9: streaming ----------------------------------------------------------------------
+
+from loadcurve.streaming import charger_state as SCS  # noqa: E402
+from loadcurve.streaming import demand as SD  # noqa: E402
+from loadcurve.streaming import upsert as SU  # noqa: E402
+from loadcurve.streaming.sources import file_stream  # noqa: E402
+
+_EVENTS_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
+
+
+@register("stream_demand_5min", O.rounded(O.with_ctes(*O.BASE) + f""",
+  slots AS (
+    SELECT slot, w FROM (
+      SELECT unnest(generate_series({O.LO}, {O.HI})) AS slot, true_peakPower_W AS w
+      FROM sessions WHERE {O.LO} <= {O.HI})
+    WHERE slot <= {O.END_IDX}),
+  agg AS (SELECT {O.slot_ts('slot')} AS time, sum(w) AS power_W FROM slots GROUP BY slot)
+  SELECT * FROM agg
+  WHERE time + INTERVAL 5 MINUTE <= (SELECT max(time) FROM agg) - INTERVAL 16 MINUTE""", ["power_W"]))
+def q_stream_demand_5min(spark, sf_dir):
+    return rounded(SD.stream_demand_5min(spark, f"{sf_dir}/events.parquet", AS_OF, _EVENTS_SCHEMA))
+
+
+def _stage_reports(spark, sf_dir) -> str:
+    """Two reports of every session: a partial one (half way), then the final one."""
+    stage = scratch_path(spark, "session-reports")
+    r = raw(spark, sf_dir)
+    half = F.timestamp_add("SECOND", F.floor(F.timestamp_diff("SECOND", F.col("startChargeTime"),
+                                                              F.col("lastUpdate")) / 2).cast("long"),
+                           F.col("startChargeTime"))
+    r.withColumn("lastUpdate", half).coalesce(2).write.mode("append").parquet(stage)
+    r.coalesce(2).write.mode("append").parquet(stage)
+    return stage
+
+
+@register("stream_session_upsert", O.rounded(O.with_ctes(O.SESSIONS_RAW) + " SELECT * FROM sessions_raw",
+                                             ["DurationHrs", "cumEnergy_Wh", "peakPower_W"]))
+def q_stream_session_upsert(spark, sf_dir):
+    from loadcurve.schemas import SESSIONS_RAW
+    stage = _stage_reports(spark, sf_dir)
+    target = SU.run_upsert_stream(spark, file_stream(spark, stage, SESSIONS_RAW, max_files_per_trigger=1))
+    return rounded(spark.read.parquet(target).drop("day").select(*SESSIONS_RAW.fieldNames()))
+
+
+@register("stream_charger_state")
+def q_stream_charger_state(spark, sf_dir):
+    ev = file_stream(spark, f"{sf_dir}/events.parquet", _EVENTS_SCHEMA)
+    cleaned = C.clean_sessions(FX.sessions_from_events(ev, AS_OF))
+    out = SCS.run_charger_state(spark, cleaned)
+    return rounded(SCS.current_state(spark.read.parquet(out)))

@@ -3,12 +3,12 @@
 Plan (per key set ``by``):
 
 1. sessions -> slots (``explode``), slots after ``floor5(as_of)`` cut;
-2. a spine from each key's first slot to ``floor5(as_of)`` -- its lower bound
-   comes from the *sessions* (min rounded start), so the slot frame is read
-   only once;
-3. ``spine (0 W) UNION ALL slots`` then one ``groupBy(by, slot).sum``: a
-   single shuffle, with map-side partial sums, and no join.  A hot key only
-   ships one partial row per slot and map task.
+2. ``groupBy(by, slot).sum`` with map-side partial sums: a hot key only ships
+   one partial row per slot and map task;
+3. gaps: ``lead(slot)`` over each key's *aggregated* slots, and every slot
+   expands to itself plus the empty slots before the next one (the last one
+   up to ``floor5(as_of)``) -- no spine join, and the session table is
+   scanned once.
 
 Roll-ups read the 5-minute table: mean power, summed energy, max peak, and
 the first row's day / month name (A2-A4).  Months are labelled by their last
@@ -17,13 +17,13 @@ day at midnight, like ``resample("M")``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadcurve.functions.timecols import (
     as_ntz, day_start, hour_start, month_end, month_name, slot_index, slot_time, weekday_name,
 )
-from loadcurve.operators.timegrid import expand_slots, index_spine, slot_bounds
+from loadcurve.operators.timegrid import expand_slots
 
 STEP = 300
 
@@ -41,17 +41,19 @@ def demand_watts(sessions: DataFrame, as_of, by=(), closed: str = "both",
     """A1 + C3: summed power per slot, gap-free from the first slot to ``as_of``."""
     by = list(by)
     end_idx = slot_index(as_ntz(as_of), STEP, "floor")
-    lo, hi = slot_bounds("startChargeTime", "finishChargeTime", STEP, closed)
     slots = (expand_slots(sessions, "startChargeTime", "finishChargeTime",
                           by + [F.col(power_col).alias("w")], STEP, closed, time_col=None)
              .filter(F.col("slot") <= end_idx))
-    bounds = (sessions.filter(lo <= hi)
-              .groupBy(*by).agg(F.min(lo).alias("_lo"))
-              .withColumn("_hi", end_idx))
-    spine = index_spine(bounds, "_lo", "_hi", by).withColumn("w", F.lit(0.0))
-    return (spine.unionByName(slots)
-            .groupBy(*by, "slot").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"))
-            .select(*by, slot_time(F.col("slot"), STEP).alias("time"), "w"))
+    sums = slots.groupBy(*by, "slot").agg(F.sum("w").alias("w"))
+    # gaps: each present slot fills up to the next present one (the last one up to
+    # as_of); the window runs over aggregated slots of one key, a series bounded by
+    # its time span, never over raw rows
+    nxt = F.coalesce(F.lead("slot").over(Window.partitionBy(*by).orderBy("slot")), end_idx + 1)
+    filled = (sums.withColumn("_next", nxt)
+                  .select(*by, "slot", "w", F.explode(F.sequence(F.col("slot"), F.col("_next") - 1)).alias("_s")))
+    return filled.select(
+        *by, slot_time(F.col("_s"), STEP).alias("time"),
+        F.when(F.col("_s") == F.col("slot"), F.coalesce(F.col("w"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("w"))
 
 
 def demand_features(watts: DataFrame, by=()) -> DataFrame:
@@ -80,9 +82,10 @@ def rollup(d5: DataFrame, grain: str, by=()) -> DataFrame:
               .agg(F.avg("avg_power_demand_kW").alias("avg_power_demand_kW"),
                    F.sum("energy_demand_kWh").alias("energy_demand_kWh"),
                    F.max("peak_power_kW").alias("peak_power_kW"),
-                   F.min_by("day", "time").alias("day"),
-                   F.min_by("month", "time").alias("month"))
-              .withColumnRenamed("bucket", "time"))
+                   F.min("time").alias("_first"))
+              # names of the bucket's first row (fixed-width buffer: stays a hash aggregate)
+              .select(*by, F.col("bucket").alias("time"), "avg_power_demand_kW", "energy_demand_kWh",
+                      "peak_power_kW", weekday_name("_first").alias("day"), month_name("_first").alias("month")))
 
 
 def demand_tables(sessions: DataFrame, as_of, by=(), closed: str = "both") -> dict[str, DataFrame]:

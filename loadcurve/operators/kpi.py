@@ -94,3 +94,30 @@ def kpi_cumulative(subset: DataFrame, as_of) -> DataFrame:
         (F.col("_wh") / WH_PER_MILE / MILES_PER_ROUND_TRIP).alias("round_trips"),
         F.lit(weeks).cast("long").alias("weeks"),
         F.try_divide(n.cast("double"), F.lit(float(weeks))).alias("sessions_per_week"))
+
+
+def card_text(cum: DataFrame, as_of) -> DataFrame:
+    """display text of the cumulative cards (numbers stay raw in :func:`kpi_cumulative`).
+
+    Values are rounded half-to-even first, then printed, so the text never
+    depends on a formatter's own tie rule.
+    """
+    d = as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(str(as_of))
+
+    def num(c, digits):
+        return F.format_number(F.bround(F.col(c), digits), digits)
+
+    def pct(c):
+        return F.format_string("%.1f%%", F.bround(F.col(c) * 100, 1))
+
+    return cum.select(
+        F.concat(num("cum_kwh", 1), F.lit(" kWh")).alias("cum_kwh_text"),
+        F.format_number(F.col("cum_sessions"), 0).alias("cum_sessions_text"),
+        pct("regular_share").alias("regular_pct_text"),
+        pct("scheduled_share").alias("scheduled_pct_text"),
+        F.concat(num("emiles", 0), F.lit(" Mi")).alias("emiles_text"),
+        F.format_string("%.1f", F.bround(F.col("home_years"), 1)).alias("home_years_text"),
+        F.format_string("%.1f", F.bround(F.col("round_trips"), 1)).alias("round_trips_text"),
+        F.format_string("%.1f", F.bround(F.col("sessions_per_week"), 1)).alias("sessions_per_week_text"),
+        F.date_format(F.lit(d.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"),
+                      "EEEE, MMMM dd, yyyy").alias("date_title"))

@@ -15,6 +15,7 @@ from loadcurve.operators import clean as C
 from loadcurve.operators import rollup as R
 from loadcurve.plans import oracle as O
 from loadcurve.plans.common import raw, rounded, sessions
+from loadcurve.session import ensure_defaults
 from loadcurve.sources.fixtures import AS_OF
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +24,12 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_defaults(spark)          # UTC wall clock, checkpoint folder
+            return fn(spark, sf_dir)
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -635,3 +641,51 @@ def q_stream_charger_state(spark, sf_dir):
     cleaned = C.clean_sessions(FX.sessions_from_events(ev, AS_OF))
     out = SCS.run_charger_state(spark, cleaned)
     return rounded(SCS.current_state(spark.read.parquet(out)))
+
+
+# ---- coverage additions: card text (F25), forecast scores (M9), parameter table (S6, M4) --------
+
+@register("kpi_card_text", O.with_ctes(*O.BASE) + f""",
+  k AS (SELECT count(*) AS n,
+               count(*) FILTER (WHERE choice = 'REGULAR') / nullif(count(*), 0) AS reg,
+               count(*) FILTER (WHERE choice = 'SCHEDULED') / nullif(count(*), 0) AS sch,
+               coalesce(sum(cumEnergy_Wh), 0) AS wh FROM sessions)
+  SELECT format('{{:,.1f}}', round_even(wh / 1000, 1)) || ' kWh' AS cum_kwh_text,
+         format('{{:,}}', n) AS cum_sessions_text,
+         printf('%.1f%%', round_even(reg * 100, 1)) AS regular_pct_text,
+         printf('%.1f%%', round_even(sch * 100, 1)) AS scheduled_pct_text,
+         format('{{:,.0f}}', round_even(wh / 290.0, 0)) || ' Mi' AS emiles_text,
+         printf('%.1f', round_even(wh / 1000 / 10649.0, 1)) AS home_years_text,
+         printf('%.1f', round_even(wh / 290.0 / 5810.0, 1)) AS round_trips_text,
+         printf('%.1f', round_even(n / {float(_WEEKS)}, 1)) AS sessions_per_week_text,
+         strftime({O.AS_OF}, '%A, %B %d, %Y') AS date_title
+  FROM k""")
+def q_kpi_card_text(spark, sf_dir):
+    return K.card_text(K.kpi_cumulative(C.session_subset(sessions(spark, sf_dir)), AS_OF), AS_OF)
+
+
+@register("forecast_scores", O.rounded(O.with_ctes(O.HOURLY_SERIES, O.RUNS) + """
+  SELECT count(*) AS n, sqrt(avg((f.avg_power_demand_kW_predictions - a.v) * (f.avg_power_demand_kW_predictions - a.v)))
+           AS rmse,
+         avg(abs(f.avg_power_demand_kW_predictions - a.v)) AS mae
+  FROM hourly_series a JOIN upserted f ON f.time = a.time
+  WHERE a.time >= TIMESTAMP '2024-01-10' AND f.avg_power_demand_kW_predictions IS NOT NULL""", ["rmse", "mae"]))
+def q_forecast_scores(spark, sf_dir):
+    existing, new = _runs(spark, sf_dir)
+    fc = FC.upsert_forecasts(existing, new, "hour")
+    actual = FX.hourly_series(spark, sf_dir).select("time", F.col("v").alias("avg_power_demand_kW"))
+    return rounded(FC.forecast_scores(FC.actual_vs_forecast(actual, fc, "avg_power_demand_kW", "2024-01-10")))
+
+
+@register("knn_params", _SCORES_SQL + """,
+  best AS (SELECT CAST(depth AS INTEGER) AS best_depth, CAST(k AS INTEGER) AS best_n_neighbors
+           FROM scores ORDER BY mse, k, depth LIMIT 1)
+  SELECT 'knn' AS model, 'hourly' AS series, q.quantity, best_depth, best_n_neighbors
+  FROM best, (VALUES ('energy_demand_kWh'), ('avg_power_demand_kW')) q(quantity)""")
+def q_knn_params(spark, sf_dir):
+    best = KN.knn_grid_search(FX.hourly_series(spark, sf_dir).select("time", "v"), GRID_DEPTHS, GRID_KS)
+    params = KN.params_table(best, "knn", "hourly", "energy_demand_kWh",
+                             same_as={"avg_power_demand_kW": "energy_demand_kWh"})
+    root = scratch_path(spark, "params")
+    TB.save_params(params, root)
+    return TB.load_params(spark, root, "knn", "hourly")

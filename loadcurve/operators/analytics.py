@@ -73,20 +73,20 @@ def user_profile(subset: DataFrame) -> DataFrame:
     """
     base = (subset.filter(F.col("userId").isNotNull())
             .withColumn("_part", part_of_day(F.hour("connectTime"))))
+    # mode() keeps a value -> count map per user (partial-aggregated; no sort)
     main = base.groupBy("userId").agg(
         F.count("*").alias("num_sessions"),
         F.bround(F.avg("DurationHrs"), 2).alias("average_duration"),
         F.mode("_part", True).alias("freq_connect_time"),
-        (F.coalesce(F.sum("cumEnergy_Wh"), F.lit(0.0)) / 1000).alias("total_nrg_consumed"))
+        (F.coalesce(F.sum("cumEnergy_Wh"), F.lit(0.0)) / 1000).alias("total_nrg_consumed"),
+        F.mode("choice", True).alias("pref_charging_choice"))
     per_choice = (base.filter(F.col("choice").isNotNull())
-                  .groupBy("userId", "choice").agg(F.count("*").alias("_n")))
-    pref = per_choice.groupBy("userId").agg(
-        F.min_by("choice", F.struct(-F.col("_n"), F.col("choice"))).alias("pref_charging_choice"),
-        F.max("_n").alias("_pref_n"))
-    return (main.join(pref, "userId", "left")
+                  .groupBy("userId", F.col("choice").alias("pref_charging_choice")).agg(F.count("*").alias("_n")))
+    return (main.join(per_choice, ["userId", "pref_charging_choice"], "left")
                 .withColumn("pref_charging_choice_percent",
-                            F.coalesce(F.col("_pref_n"), F.lit(0)) / F.col("num_sessions"))
-                .drop("_pref_n"))
+                            F.coalesce(F.col("_n"), F.lit(0)) / F.col("num_sessions"))
+                .select("userId", "num_sessions", "average_duration", "freq_connect_time", "total_nrg_consumed",
+                        "pref_charging_choice", "pref_charging_choice_percent"))
 
 
 def histogram(table: DataFrame, quantity: str, group_col: F.Column, group_name: str,

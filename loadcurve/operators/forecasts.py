@@ -17,6 +17,7 @@ from loadcurve.operators.timegrid import regular_spine
 from loadcurve.schemas import FORECAST
 
 _STEP = {"hour": 3600, "day": 86400}
+_EPOCH = __import__("datetime").datetime(1970, 1, 1)
 
 
 def empty_forecasts(spark: SparkSession) -> DataFrame:
@@ -37,8 +38,10 @@ def upsert_forecasts(existing: DataFrame, new: DataFrame, freq: str = "hour", by
     bounds = runs.groupBy(*by).agg(F.min("time").alias("_lo"), F.max("time").alias("_hi"))
     spine = regular_spine(bounds, "_lo", "_hi", step, by).select(
         *by, "time", *[F.lit(None).cast("double").alias(c) for c in cols], F.lit(-1).alias("_run"))
-    # order inside a bucket: run, then time (the later row of a run wins, like .last())
-    order = lambda c: F.when(F.col(c).isNotNull(), F.struct("_run", F.col("_t")))
+    # order inside a bucket: run, then time (the later row of a run wins, like .last()),
+    # packed in one long so the aggregation keeps fixed-width buffers (hash aggregate)
+    rank = F.col("_run").cast("long") * F.lit(10 ** 12) + F.timestamp_diff("SECOND", F.lit(_EPOCH), F.col("_t"))
+    order = lambda c: F.when(F.col(c).isNotNull(), rank)
     allrows = runs.withColumn("_t", F.col("time")).unionByName(spine.withColumn("_t", F.col("time")))
     return allrows.groupBy(*by, "time").agg(*[F.max_by(c, order(c)).alias(c) for c in cols])
 

@@ -1,61 +1,99 @@
 """k-nearest-neighbour load forecast and its parameter search.
 
-Exact brute-force kNN as a Spark join: query rows x training rows of the same
-series (equi-join on the series keys), squared Euclidean distance over the
-lag columns, ``row_number() <= k`` per query (planned as a
-``WindowGroupLimit``), uniform mean of the k targets.  Distance ties go to
-the earlier training time, so results are deterministic.
-
-The parameter search is **one** query for the whole grid: for each pair the
-distance at every depth is a prefix sum of the per-lag squared differences,
-so one pair row fans out to one row per depth; the running mean over the
-rank gives the prediction for every k at once.  Lowest mean squared error
-wins; ties go to the lower k, then the lower depth.
+Exact brute-force kNN, distributed as *local top-k + global merge*: the
+training rows of each series are hashed into ``blocks``; the (few) query
+rows of the series are replicated to every block; ``cogroup`` +
+``applyInPandas`` hands one (series, block) to a task, which computes the
+squared Euclidean distances with numpy and keeps only its k nearest
+candidates per query.  No row per (query, training) pair is ever produced,
+and no task holds more than one block of a series.  Spark then merges the
+candidates: ``row_number() <= k`` per query (a ``WindowGroupLimit``) ordered
+by (distance, training time) -- ties go to the earlier training row, so the
+result is deterministic -- and the uniform mean of the k targets.
+
+The parameter search is **one** job for the whole grid: distances at every
+depth are prefix sums over the lag columns, each task keeps the top
+``max(k)`` per (query, depth), and a running mean over the merged rank gives
+the prediction for every k at once.  Lowest mean squared error wins; ties go
+to the lower k, then the lower depth.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadcurve.operators.features import chrono_split, future_rows, lag_features, lag_names
 
-
-def _prefix_distances(depths: list[int]) -> Column:
-    """Array of squared distances at each depth in ``depths`` (ascending)."""
-    out, acc = [], None
-    for j in range(1, max(depths) + 1):
-        d = F.col(f"q_lag{j}") - F.col(f"t_lag{j}")
-        acc = d * d if acc is None else acc + d * d
-        if j in depths:
-            out.append(acc)
-    return F.array(*out)
-
-
-def _pairs(queries: DataFrame, train: DataFrame, by, depth: int, value_col: str) -> DataFrame:
-    q = queries.select(*by, F.col("time").alias("q_time"), F.col(value_col).alias("q_y"),
-                       *[F.col(n).alias("q_" + n) for n in lag_names(depth)])
-    t = train.select(*by, F.col("time").alias("t_time"), F.col(value_col).alias("t_y"),
-                     *[F.col(n).alias("t_" + n) for n in lag_names(depth)])
-    if by:
-        # many series: AQE sees the real sizes, broadcasts a small query side at run
-        # time and splits a heavy series' training partition (skew join)
-        return q.join(t, list(by))
-    # one series: its query side is bounded by the series' own span (24 rows for a
-    # forecast, one validation fold for the search) -> broadcast it, so the pairs are
-    # produced where the training rows already are, in every task
-    return F.broadcast(q.withColumn("_s", F.lit(0))).join(t.withColumn("_s", F.lit(0)), "_s").drop("_s")
+DEFAULT_BLOCKS = 8
+QUERY_CHUNK = 256
+
+
+def _candidates(queries: DataFrame, train: DataFrame, by, depths: list[int], kmax: int,
+                value_col: str, blocks: int) -> DataFrame:
+    """Per (series, query, depth): each block's ``kmax`` nearest training rows."""
+    by, depths = list(by), sorted(depths)
+    lags = lag_names(max(depths))
+    # both sides get their own column names: with one shared lineage, Catalyst
+    # would otherwise prune the second side's columns out of the cogroup
+    t = (train.select(*by, F.col("time").alias("t_time"), F.col(value_col).alias("t_y"),
+                      *[F.col(n).alias("t_" + n) for n in lags])
+              .withColumn("_b", F.pmod(F.xxhash64("t_time"), F.lit(blocks)).cast("int")))
+    q = (queries.select(*[F.col(c).alias("q__" + c) for c in by], F.col("time").alias("q_time"),
+                        F.col(value_col).alias("q_y"), *[F.col(n).alias("q_" + n) for n in lags])
+                .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    key_fields = [queries.schema[c] for c in by]
+    schema = T.StructType([*key_fields,
+                           T.StructField("q_time", T.TimestampNTZType()), T.StructField("q_y", T.DoubleType()),
+                           T.StructField("depth", T.IntegerType()), T.StructField("t_time", T.TimestampNTZType()),
+                           T.StructField("t_y", T.DoubleType()), T.StructField("d", T.DoubleType())])
+    cols = schema.fieldNames()
+    depth_idx = np.array(depths) - 1
+
+    def local_topk(tdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
+        if tdf.empty or qdf.empty:
+            return pd.DataFrame({c: [] for c in cols})
+        tdf = tdf.sort_values("t_time", kind="stable")
+        xt = tdf[["t_" + n for n in lags]].to_numpy(float)
+        yt, tt = tdf["t_y"].to_numpy(float), tdf["t_time"].to_numpy()
+        keys = [tdf[c].iloc[0] for c in by]
+        k = min(kmax, len(tdf))
+        out = []
+        for lo in range(0, len(qdf), QUERY_CHUNK):
+            qc = qdf.iloc[lo:lo + QUERY_CHUNK]
+            xq = qc[["q_" + n for n in lags]].to_numpy(float)
+            diff = xq[:, None, :] - xt[None, :, :]
+            dist = np.cumsum(diff * diff, axis=2)[:, :, depth_idx]          # (q, t, depths)
+            for di, depth in enumerate(depths):
+                dd = dist[:, :, di]
+                order = np.argsort(dd, axis=1, kind="stable")[:, :k]         # ties: earlier time
+                qi = np.repeat(np.arange(len(qc)), k)
+                ti = order.reshape(-1)
+                out.append(pd.DataFrame({
+                    "q_time": qc["q_time"].to_numpy()[qi], "q_y": qc["q_y"].to_numpy(float)[qi],
+                    "depth": np.int32(depth), "t_time": tt[ti], "t_y": yt[ti],
+                    "d": dd[qi, ti]}))
+        res = pd.concat(out, ignore_index=True)
+        for c, v in zip(by, keys):
+            res[c] = v
+        return res[cols]
+
+    return (t.groupBy(*by, "_b").cogroup(q.groupBy(*["q__" + c for c in by], "_qb"))
+             .applyInPandas(local_topk, schema))
 
 
 def knn_predict(queries: DataFrame, train: DataFrame, depth: int, k: int, value_col: str = "v",
-                by=()) -> DataFrame:
+                by=(), blocks: int = DEFAULT_BLOCKS) -> DataFrame:
     """Mean target of the k nearest training rows for every query row."""
     by = list(by)
-    pairs = _pairs(queries, train, by, depth, value_col).withColumn("_d", _prefix_distances([depth])[0])
-    w = Window.partitionBy(*by, "q_time").orderBy("_d", "t_time")
-    near = pairs.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
-    return near.groupBy(*by, "q_time").agg(F.avg("t_y").alias(value_col + "_predictions")) \
-               .withColumnRenamed("q_time", "time")
+    cand = _candidates(queries, train, by, [depth], k, value_col, blocks)
+    w = Window.partitionBy(*by, "q_time").orderBy("d", "t_time")
+    near = cand.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
+    return (near.groupBy(*by, "q_time").agg(F.avg("t_y").alias(value_col + "_predictions"))
+                .withColumnRenamed("q_time", "time"))
 
 
 def knn_forecast(series: DataFrame, depth: int, k: int, value_col: str = "v", by=(),
@@ -76,7 +114,8 @@ def knn_forecast(series: DataFrame, depth: int, k: int, value_col: str = "v", by
 
 
 def knn_grid_scores(series: DataFrame, depths: list[int], ks: list[int], value_col: str = "v",
-                    by=(), test_size: float = 0.2, validation_size: float = 0.2) -> DataFrame:
+                    by=(), test_size: float = 0.2, validation_size: float = 0.2,
+                    blocks: int = DEFAULT_BLOCKS) -> DataFrame:
     """Validation MSE of every (depth, k) pair, per series, in one job."""
     by = list(by)
     depths, kmin, kmax = sorted(depths), min(ks), max(ks)
@@ -84,17 +123,10 @@ def knn_grid_scores(series: DataFrame, depths: list[int], ks: list[int], value_c
     split = chrono_split(feats, by, "time", test_size, validation_size)
     queries = split.filter(F.col("split") == "validation")
     train = split.filter(F.col("split") == "train")
-    pairs = _pairs(queries, train, by, max(depths), value_col)
-    per_depth = pairs.select(
-        *by, "q_time", "q_y", "t_time", "t_y",
-        F.posexplode(_prefix_distances(depths)).alias("_di", "_d"))
-    per_depth = per_depth.withColumn("depth", F.element_at(F.array(*[F.lit(d) for d in depths]),
-                                                            F.col("_di") + 1))
-    w = Window.partitionBy(*by, "q_time", "depth").orderBy("_d", "t_time")
-    ranked = per_depth.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= kmax)
-    wk = w.rowsBetween(Window.unboundedPreceding, 0)
-    preds = (ranked.withColumn("_pred", F.avg("t_y").over(wk))
-                   .filter(F.col("k") >= kmin)
+    cand = _candidates(queries, train, by, depths, kmax, value_col, blocks)
+    w = Window.partitionBy(*by, "q_time", "depth").orderBy("d", "t_time")
+    ranked = cand.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= kmax)
+    preds = (ranked.withColumn("_pred", F.avg("t_y").over(w.rowsBetween(Window.unboundedPreceding, 0)))
                    .filter(F.col("k").isin(*ks)))
     return (preds.groupBy(*by, "depth", "k")
                  .agg(F.avg((F.col("_pred") - F.col("q_y")) * (F.col("_pred") - F.col("q_y"))).alias("mse"))
@@ -105,10 +137,10 @@ def knn_grid_search(series: DataFrame, depths: list[int], ks: list[int], value_c
                     by=()) -> DataFrame:
     """M3: best (depth, k) per series."""
     scores = knn_grid_scores(series, depths, ks, value_col, by)
-    best = scores.groupBy(*by).agg(
-        F.min_by(F.struct("depth", "k", "mse"), F.struct("mse", "k", "depth")).alias("b"))
-    return best.select(*by, F.col("b.depth").cast("int").alias("best_depth"),
-                       F.col("b.k").cast("int").alias("best_n_neighbors"), F.col("b.mse").alias("mse"))
+    w = Window.partitionBy(*by).orderBy("mse", "k", "depth")     # depths x ks rows per series
+    best = scores.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1)
+    return best.select(*by, F.col("depth").cast("int").alias("best_depth"),
+                       F.col("k").cast("int").alias("best_n_neighbors"), "mse")
 
 
 def params_table(best: DataFrame, model: str, series_name: str, quantity: str,

@@ -66,10 +66,10 @@ def kpi_today(raw: DataFrame, sessions: DataFrame, as_of) -> DataFrame:
 def kpi_month_peak(monthly: DataFrame, quantity: str = "peak_power_kW", by=()) -> DataFrame:
     """Last period's value, the one before, and the change in percent."""
     w = Window.partitionBy(*by).orderBy("time")   # months per series: a short list
-    withprev = monthly.withColumn("_prev", F.lag(quantity).over(w))
-    last = withprev.groupBy(*by).agg(F.max_by(F.struct("time", quantity, "_prev"), "time").alias("r"))
-    return (last.select(*by, F.col("r.time").alias("time"), F.col(f"r.{quantity}").alias(quantity),
-                        F.col("r._prev").alias("previous_" + quantity))
+    last = (monthly.withColumn("_prev", F.lag(quantity).over(w))
+                   .withColumn("_rk", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("time").desc())))
+                   .filter(F.col("_rk") == 1))
+    return (last.select(*by, "time", quantity, F.col("_prev").alias("previous_" + quantity))
                 .withColumn("change_pct", pct_change(quantity, "previous_" + quantity))
                 .withColumn("direction", change_direction("change_pct")))
 

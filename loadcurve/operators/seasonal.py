@@ -87,12 +87,6 @@ def _forecast(hist: np.ndarray, beta: np.ndarray, lags: list[int], horizon: int,
     return np.array(v[len(hist):])
 
 
-def _series_history(series: DataFrame, need: int, value_col: str, by) -> DataFrame:
-    tail = tail_rows(series.select(*by, "time", value_col), need, by)
-    return tail.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct("time", F.col(value_col).alias("v")))).alias("hist"))
-
-
 def _key(by):
     return list(by) if by else ["_series"]
 
@@ -103,31 +97,41 @@ def _with_key(df: DataFrame, by) -> DataFrame:
 
 def seasonal_forecast(series: DataFrame, p: int = 1, P: int = 0, value_col: str = "v", by=(),
                       horizon: int = 7, period: int = PERIOD) -> DataFrame:
-    """M5: ``horizon`` days ahead per series with a fixed order (p, P)."""
+    """M5: ``horizon`` days ahead per series with a fixed order (p, P).
+
+    The per-series statistics (one row) and the series' last days (a
+    ``WindowGroupLimit``-bounded tail) meet in a ``cogroup`` -- a grouping,
+    not a join -- and one small Python function solves and recurses.
+    """
     key = _key(by)
     s = _with_key(series, by)
     lags = regressor_lags(p, P, period)
     stats = normal_equations(design(s, lags, value_col, key, period), lags, key)
-    hist = _series_history(s, max(lags) + period + horizon, value_col, key)
-    per = stats.join(hist, key)
-    out_schema = T.StructType([*[per.schema[c] for c in key],
+    need = max(lags) + period + horizon
+    # own column names on the second side (shared lineage would be pruned away)
+    hist = tail_rows(s.select(*key, "time", value_col), need, key).select(
+        *[F.col(c).alias("h__" + c) for c in key], F.col("time").alias("h_time"), F.col(value_col).alias("h_v"))
+    out_schema = T.StructType([*[stats.schema[c] for c in key],
                                T.StructField("time", T.TimestampNTZType()),
                                T.StructField(value_col + "_predictions", T.DoubleType())])
+    cols = out_schema.fieldNames()
     idx = list(range(len(lags) + 1))
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for _, row in pdf.iterrows():
-                beta, _ = _fit(row, idx)
-                h = [r["v"] for r in row["hist"]]
-                last = row["hist"][-1]["time"]
-                pred = _forecast(np.array(h, dtype=float), beta, lags, horizon, period)
-                for step, val in enumerate(pred, start=1):
-                    rows.append([*(row[c] for c in key), pd.Timestamp(last) + pd.Timedelta(days=step), val])
-            yield pd.DataFrame(rows, columns=out_schema.fieldNames())
-
-    out = per.mapInPandas(run, out_schema)
+    def run(st: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        if st.empty or h.empty:
+            return pd.DataFrame({c: [] for c in cols})
+        row = st.iloc[0]
+        beta, _ = _fit(row, idx)
+        h = h.sort_values("h_time")
+        pred = _forecast(h["h_v"].to_numpy(float), beta, lags, horizon, period)
+        last = pd.Timestamp(h["h_time"].iloc[-1])
+        out = pd.DataFrame({"time": [last + pd.Timedelta(days=i) for i in range(1, horizon + 1)],
+                            value_col + "_predictions": pred})
+        for c in key:
+            out[c] = row[c]
+        return out[cols]
+
+    out = stats.groupBy(*key).cogroup(hist.groupBy(*["h__" + c for c in key])).applyInPandas(run, out_schema)
     return out if by else out.drop("_series")
 
 

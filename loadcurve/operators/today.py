@@ -55,9 +55,8 @@ def todays_sessions_power(today: DataFrame) -> DataFrame:
 
 def energy_by_session_today(today: DataFrame) -> DataFrame:
     """First values per session, then energy per vehicle model and its share."""
-    per_session = today.groupBy("dcosId").agg(
-        F.max("cumEnergy_Wh").alias("cumEnergy_Wh"),      # session-level values: one per session
-        F.max("vehicle_model").alias("vehicle_model"))
+    # session-level values, one per session: a distinct (hash aggregate), no string buffer
+    per_session = today.select("dcosId", "cumEnergy_Wh", "vehicle_model").distinct()
     by_model = per_session.groupBy("vehicle_model").agg(
         (F.coalesce(F.sum("cumEnergy_Wh"), F.lit(0.0)) / 1000).alias("energy_kWh"),
         F.count("*").alias("sessions"))

@@ -97,7 +97,7 @@ def knn_predict(queries: DataFrame, train: DataFrame, depth: int, k: int, value_
 
 
 def knn_forecast(series: DataFrame, depth: int, k: int, value_col: str = "v", by=(),
-                 horizon: int = 24) -> DataFrame:
+                 horizon: int = 24, blocks: int = DEFAULT_BLOCKS) -> DataFrame:
     """M2: forecast the ``horizon`` hours after each series' end.
 
     Future rows (value 0) are appended, lags are built over the extended
@@ -110,7 +110,7 @@ def knn_forecast(series: DataFrame, depth: int, k: int, value_col: str = "v", by
     feats = lag_features(ext, depth, value_col, by, drop="features")
     queries = feats.filter(F.col("_future"))
     train = feats.filter(~F.col("_future") & F.col(value_col).isNotNull())
-    return knn_predict(queries, train, depth, k, value_col, by)
+    return knn_predict(queries, train, depth, k, value_col, by, blocks)
 
 
 def knn_grid_scores(series: DataFrame, depths: list[int], ks: list[int], value_col: str = "v",

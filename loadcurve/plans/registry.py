@@ -689,3 +689,46 @@ def q_knn_params(spark, sf_dir):
     root = scratch_path(spark, "params")
     TB.save_params(params, root)
     return TB.load_params(spark, root, "knn", "hourly")
+
+
+# ---- keyed forms (many series in one job) -------------------------------------------------------
+
+@register("demand_hourly_by_station", O.rounded(O.with_ctes(*O.BASE) + f""",
+  kslots AS (SELECT stationId, slot, w FROM (
+               SELECT stationId, unnest(generate_series({O.LO}, {O.HI})) AS slot, true_peakPower_W AS w
+               FROM sessions WHERE {O.LO} <= {O.HI}) WHERE slot <= {O.END_IDX}),
+  ksums AS (SELECT stationId, slot, sum(w) AS w FROM kslots GROUP BY stationId, slot),
+  kspine AS (SELECT stationId, unnest(generate_series(lo, {O.END_IDX})) AS slot
+             FROM (SELECT stationId, min(slot) AS lo FROM ksums GROUP BY stationId)),
+  k5 AS (SELECT sp.stationId, {O.slot_ts('sp.slot')} AS time, coalesce(s.w, 0) AS w
+         FROM kspine sp LEFT JOIN ksums s ON s.stationId = sp.stationId AND s.slot = sp.slot)
+  SELECT stationId, date_trunc('hour', time) AS time, avg(w / 1000) AS avg_power_demand_kW,
+         sum((w / 1000) / 12) AS energy_demand_kWh, max(w / 1000) AS peak_power_kW,
+         dayname(min(time)) AS day, monthname(min(time)) AS month
+  FROM k5 GROUP BY stationId, date_trunc('hour', time)""", O.DEMAND_DOUBLES))
+def q_demand_hourly_by_station(spark, sf_dir):
+    by = ["stationId"]
+    return rounded(R.rollup(R.demand_5min(sessions(spark, sf_dir), AS_OF, by), "hour", by))
+
+
+@register("charger_status_all_sites", O.rounded(O.with_ctes(*O.BASE) + f""",
+  cx AS (SELECT *, (epoch_us({O.AS_OF}) - epoch_us(lastUpdate)) <= 960000000 AS fresh,
+                finishChargeTime >= {O.TODAY} AS today
+         FROM sessions WHERE stationId IS NOT NULL),
+  cur AS (SELECT * EXCLUDE (rn) FROM (
+            SELECT siteId AS site, stationId AS sid, true_peakPower_W AS currentChargingRate, choice, vehicle_model,
+                   sch_centsPerHr, reg_centsPerHr,
+                   row_number() OVER (PARTITION BY siteId, stationId ORDER BY lastUpdate DESC, dcosId) AS rn
+            FROM cx WHERE fresh) WHERE rn = 1),
+  cagg AS (SELECT siteId, stationId, max(CASE WHEN fresh THEN 1 ELSE 0 END) AS in_use,
+                  coalesce(sum(cumEnergy_Wh), 0) AS cumEnergy_Wh,
+                  coalesce(sum(CASE WHEN today THEN cumEnergy_Wh END), 0) AS todayEnergy_Wh,
+                  coalesce(sum(CASE WHEN today THEN DurationHrs END), 0) AS today_h
+           FROM cx GROUP BY siteId, stationId)
+  SELECT a.siteId, a.stationId, CAST(a.in_use AS INTEGER) AS inUse, c.currentChargingRate, c.choice,
+         c.vehicle_model, c.sch_centsPerHr, c.reg_centsPerHr, a.cumEnergy_Wh, a.todayEnergy_Wh,
+         a.todayEnergy_Wh / (6600.0 * 24) AS currPowerUtilRate, a.today_h / 24 AS currOccupUtilRate,
+         CASE WHEN a.in_use = 1 THEN 'IN USE' ELSE 'IDLE' END AS state
+  FROM cagg a LEFT JOIN cur c ON c.site = a.siteId AND c.sid = a.stationId""", _CHARGER_DOUBLES))
+def q_charger_status_all_sites(spark, sf_dir):
+    return rounded(ST.charger_status(sessions(spark, sf_dir), AS_OF, site=None, by=["siteId"]))

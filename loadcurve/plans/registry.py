@@ -607,11 +607,26 @@ _EVENTS_SCHEMA = T.StructType([
       SELECT unnest(generate_series({O.LO}, {O.HI})) AS slot, true_peakPower_W AS w
       FROM sessions WHERE {O.LO} <= {O.HI})
     WHERE slot <= {O.END_IDX}),
-  agg AS (SELECT {O.slot_ts('slot')} AS time, sum(w) AS power_W FROM slots GROUP BY slot)
+  agg AS (SELECT {O.slot_ts('slot')} AS time, sum(w) AS power_W, sum(w) / 12000.0 AS energy_kWh
+          FROM slots GROUP BY slot)
   SELECT * FROM agg
-  WHERE time + INTERVAL 5 MINUTE <= (SELECT max(time) FROM agg) - INTERVAL 16 MINUTE""", ["power_W"]))
+  WHERE time + INTERVAL 5 MINUTE <= (SELECT max(time) FROM agg) - INTERVAL 16 MINUTE""", ["power_W", "energy_kWh"]))
 def q_stream_demand_5min(spark, sf_dir):
-    return rounded(SD.stream_demand_5min(spark, f"{sf_dir}/events.parquet", AS_OF, _EVENTS_SCHEMA))
+    return rounded(SD.stream_demand(spark, f"{sf_dir}/events.parquet", AS_OF, _EVENTS_SCHEMA))
+
+
+@register("stream_demand_hourly", O.rounded(O.with_ctes(*O.BASE) + f""",
+  slots AS (
+    SELECT slot, w FROM (
+      SELECT unnest(generate_series({O.LO}, {O.HI})) AS slot, true_peakPower_W AS w
+      FROM sessions WHERE {O.LO} <= {O.HI})
+    WHERE slot <= {O.END_IDX}),
+  agg AS (SELECT date_trunc('hour', {O.slot_ts('slot')}) AS time, sum(w) AS power_W, sum(w) / 12000.0 AS energy_kWh
+          FROM slots GROUP BY 1),
+  mx AS (SELECT max({O.slot_ts('slot')}) AS m FROM slots)
+  SELECT agg.* FROM agg, mx WHERE time + INTERVAL 1 HOUR <= m - INTERVAL 16 MINUTE""", ["power_W", "energy_kWh"]))
+def q_stream_demand_hourly(spark, sf_dir):
+    return rounded(SD.stream_demand(spark, f"{sf_dir}/events.parquet", AS_OF, _EVENTS_SCHEMA, size="1 hour"))
 
 
 def _stage_reports(spark, sf_dir) -> str:

@@ -33,20 +33,22 @@ def slot_stream(sessions_raw_stream: DataFrame, as_of=None) -> DataFrame:
     return slots.select(F.col("time").cast("timestamp").alias("ts"), "power_W")
 
 
-def windowed_demand(slots: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+def windowed_demand(slots: DataFrame, watermark: str = WATERMARK, size: str = "5 minutes") -> DataFrame:
+    """Summed power per window; ``energy_kWh`` counts each 5-minute slot as 1/12 hour."""
     return (slots.withWatermark("ts", watermark)
-                 .groupBy(F.window("ts", "5 minutes"))
+                 .groupBy(F.window("ts", size))
                  .agg(F.sum("power_W").alias("power_W"))
-                 .select(F.col("window.start").cast("timestamp_ntz").alias("time"), "power_W"))
+                 .select(F.col("window.start").cast("timestamp_ntz").alias("time"), "power_W",
+                         (F.col("power_W") / 12000.0).alias("energy_kWh")))
 
 
 def run_demand_stream(spark: SparkSession, sessions_raw_stream: DataFrame, as_of=None,
                       out_path: str | None = None, checkpoint: str | None = None,
-                      watermark: str = WATERMARK) -> str:
+                      watermark: str = WATERMARK, size: str = "5 minutes") -> str:
     """Run to the end of the available input (``availableNow``); returns the output folder."""
     out_path = out_path or scratch_path(spark, "stream-demand-out")
     checkpoint = checkpoint or scratch_path(spark, "stream-demand-ckpt")
-    q = (windowed_demand(slot_stream(sessions_raw_stream, as_of), watermark)
+    q = (windowed_demand(slot_stream(sessions_raw_stream, as_of), watermark, size)
          .writeStream.outputMode("append").format("parquet")
          .option("path", out_path).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -54,8 +56,8 @@ def run_demand_stream(spark: SparkSession, sessions_raw_stream: DataFrame, as_of
     return out_path
 
 
-def stream_demand_5min(spark: SparkSession, events_path: str, as_of, schema) -> DataFrame:
+def stream_demand(spark: SparkSession, events_path: str, as_of, schema, size: str = "5 minutes") -> DataFrame:
     from loadcurve.sources.fixtures import sessions_from_events
     ev = file_stream(spark, events_path, schema)
-    out = run_demand_stream(spark, sessions_from_events(ev, as_of), as_of)
+    out = run_demand_stream(spark, sessions_from_events(ev, as_of), as_of, size=size)
     return spark.read.parquet(out)

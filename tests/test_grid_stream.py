@@ -78,3 +78,23 @@ def test_stream_drops_late_windows(spark):
     got = {r.time: r.power_W for r in spark.read.parquet(out).collect()}
     assert got[t0] == 1.0 and got[t0 + dt.timedelta(hours=1)] == 2.0
     assert t0 + dt.timedelta(minutes=5) not in got
+
+
+def test_charger_state_stream_newest_report_and_idle_timeout(spark):
+    from loadcurve.session import scratch_path
+    from loadcurve.streaming import charger_state as SCS
+    src = tempfile.mkdtemp(prefix="lc-state-src-")
+    t0 = dt.datetime(2024, 1, 1, 12, 0)
+    schema = "stationId long, dcosId long, lastUpdate timestamp_ntz, true_peakPower_W double"
+    spark.createDataFrame([(1, 10, t0, 1000.0), (1, 11, t0 + dt.timedelta(minutes=5), 2000.0),
+                           (2, 20, t0, 3000.0)], schema).write.parquet(os.path.join(src, "a"))
+    spark.createDataFrame([(2, 21, t0 + dt.timedelta(hours=2), 4000.0)], schema).write.parquet(os.path.join(src, "b"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*"))
+    out = SCS.run_charger_state(spark, stream, scratch_path(spark, "state-out"), scratch_path(spark, "state-ck"))
+    changes = spark.read.parquet(out)
+    cur = {r.stationId: (r.dcosId, r.state) for r in SCS.current_state(changes).collect()}
+    # station 1: newest report (11) went idle once the watermark passed its time + 16 minutes
+    assert cur[1] == (11, "IDLE")
+    # station 2: the newest report (21) is still in use at the end of the input
+    assert cur[2] == (21, "IN USE")
+    assert changes.filter((F.col("stationId") == 1) & (F.col("state") == "IN USE")).count() >= 1

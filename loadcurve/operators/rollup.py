@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loadcurve.functions.timecols import (
     as_ntz, day_start, hour_start, month_end, month_name, slot_index, slot_time, weekday_name,
 )
-from loadcurve.operators.timegrid import expand_slots
+from loadcurve.operators.timegrid import expand_slots, slot_bounds
 
 STEP = 300
 
@@ -37,23 +37,46 @@ def slot_power(sessions: DataFrame, by=(), power_col: str = "true_peakPower_W",
 
 
 def demand_watts(sessions: DataFrame, as_of, by=(), closed: str = "both",
-                 power_col: str = "true_peakPower_W") -> DataFrame:
-    """A1 + C3: summed power per slot, gap-free from the first slot to ``as_of``."""
+                 power_col: str = "true_peakPower_W", method: str = "delta") -> DataFrame:
+    """A1 + C3: summed power per slot, gap-free from the first slot to ``as_of``.
+
+    ``method="delta"`` (default): two change rows per session (+power at its
+    first slot, -power after its last), summed per (key, slot), then a running
+    sum per key over the *aggregated* change points -- the shuffle carries two
+    rows per session instead of one per slot.  Exact for whole-watt powers
+    (cleaning rounds session power to 0 digits), so it equals ``"explode"``,
+    which spreads every session over its slots first.
+    """
     by = list(by)
     end_idx = slot_index(as_ntz(as_of), STEP, "floor")
-    slots = (expand_slots(sessions, "startChargeTime", "finishChargeTime",
-                          by + [F.col(power_col).alias("w")], STEP, closed, time_col=None)
-             .filter(F.col("slot") <= end_idx))
-    sums = slots.groupBy(*by, "slot").agg(F.sum("w").alias("w"))
-    # gaps: each present slot fills up to the next present one (the last one up to
-    # as_of); the window runs over aggregated slots of one key, a series bounded by
-    # its time span, never over raw rows
-    nxt = F.coalesce(F.lead("slot").over(Window.partitionBy(*by).orderBy("slot")), end_idx + 1)
-    filled = (sums.withColumn("_next", nxt)
-                  .select(*by, "slot", "w", F.explode(F.sequence(F.col("slot"), F.col("_next") - 1)).alias("_s")))
-    return filled.select(
-        *by, slot_time(F.col("_s"), STEP).alias("time"),
-        F.when(F.col("_s") == F.col("slot"), F.coalesce(F.col("w"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("w"))
+    lo, hi = slot_bounds("startChargeTime", "finishChargeTime", STEP, closed)
+    wk = Window.partitionBy(*by).orderBy("slot")
+    if method == "delta":
+        w = F.coalesce(F.col(power_col).cast("double"), F.lit(0.0))
+        ends = sessions.filter(lo <= hi).select(*by, lo.alias("_lo"), hi.alias("_hi"), w.alias("_w"))
+        deltas = (ends.select(*by, F.explode(F.array(
+                      F.struct(F.col("_lo").alias("slot"), F.col("_w").alias("d")),
+                      F.struct((F.col("_hi") + 1).alias("slot"), (-F.col("_w")).alias("d")))).alias("_e"))
+                  .select(*by, "_e.slot", "_e.d")
+                  .filter(F.col("slot") <= end_idx))
+        points = (deltas.groupBy(*by, "slot").agg(F.sum("d").alias("d"))
+                  .withColumn("w", F.sum("d").over(wk.rowsBetween(Window.unboundedPreceding, 0))))
+        level = F.col("w")
+    elif method == "explode":
+        slots = (expand_slots(sessions, "startChargeTime", "finishChargeTime",
+                              by + [F.col(power_col).alias("w")], STEP, closed, time_col=None)
+                 .filter(F.col("slot") <= end_idx))
+        points = slots.groupBy(*by, "slot").agg(F.sum("w").alias("w"))
+        level = None
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    # gaps: each point fills up to the next one (the last one up to as_of); the window
+    # runs over one key's aggregated points, a series bounded by its time span
+    filled = (points.withColumn("_next", F.coalesce(F.lead("slot").over(wk), end_idx + 1))
+              .select(*by, "slot", "w", F.explode(F.sequence(F.col("slot"), F.col("_next") - 1)).alias("_s")))
+    if level is None:   # explode: only the point's own slot has power, the gap is 0
+        level = F.when(F.col("_s") == F.col("slot"), F.coalesce(F.col("w"), F.lit(0.0))).otherwise(F.lit(0.0))
+    return filled.select(*by, slot_time(F.col("_s"), STEP).alias("time"), level.alias("w"))
 
 
 def demand_features(watts: DataFrame, by=()) -> DataFrame:
@@ -68,8 +91,8 @@ def demand_features(watts: DataFrame, by=()) -> DataFrame:
         month_name("time").alias("month"))
 
 
-def demand_5min(sessions: DataFrame, as_of, by=(), closed: str = "both") -> DataFrame:
-    return demand_features(demand_watts(sessions, as_of, by, closed), by)
+def demand_5min(sessions: DataFrame, as_of, by=(), closed: str = "both", method: str = "delta") -> DataFrame:
+    return demand_features(demand_watts(sessions, as_of, by, closed, method=method), by)
 
 
 _GRAIN_KEY = {"hour": hour_start, "day": day_start, "month": month_end}

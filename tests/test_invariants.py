@@ -78,3 +78,11 @@ def test_user_profile_shares(spark, sess):
     up = A.user_profile(session_subset(sess)).collect()
     assert sum(r.num_sessions for r in up) == sess.filter(F.col("userId").isNotNull()).count()
     assert all(0 < r.pref_charging_choice_percent <= 1 for r in up)
+
+
+@pytest.mark.parametrize("by", [[], ["stationId"]])
+@pytest.mark.parametrize("closed", ["both", "left"])
+def test_delta_load_curve_equals_exploded(spark, sess, by, closed):
+    a = {tuple(r): None for r in R.demand_watts(sess, AS_OF, by, closed, method="delta").collect()}
+    b = {tuple(r): None for r in R.demand_watts(sess, AS_OF, by, closed, method="explode").collect()}
+    assert a.keys() == b.keys()

@@ -31,10 +31,15 @@ def lag_features(series: DataFrame, depth: int, value_col: str = "v", by=(), per
     return out.dropna(subset=subset)
 
 
+def lag_columns(df: DataFrame) -> DataFrame:
+    """P25: the lag columns, selected by name pattern."""
+    return df.select(df.colRegex("`lag[0-9]+`"))
+
+
 def subset_lags(df: DataFrame, num_lags: int, keep=()) -> DataFrame:
-    """The first ``num_lags`` lag columns (P25: selected by name pattern)."""
-    lags = [c for c in df.columns if c.startswith("lag") and c[3:].isdigit() and int(c[3:]) <= num_lags]
-    return df.select(*keep, *sorted(lags, key=lambda c: int(c[3:])))
+    """The first ``num_lags`` lag columns."""
+    lags = sorted(lag_columns(df).columns, key=lambda c: int(c[3:]))
+    return df.select(*keep, *[c for c in lags if int(c[3:]) <= num_lags])
 
 
 def chrono_split(df: DataFrame, by=(), time_col: str = "time", test_size: float = 0.2,

@@ -29,7 +29,7 @@ def _slots_between(lo, hi, a, b):
     return F.greatest(F.least(hi, b) - F.greatest(lo, a) + 1, F.lit(0))
 
 
-def kpi_today(raw: DataFrame, sessions: DataFrame, as_of) -> DataFrame:
+def kpi_today(raw: DataFrame, sessions: DataFrame, as_of, approx_users: bool = False) -> DataFrame:
     """C11: today's kWh, sessions and users, against yesterday.
 
     A session counts today when it has a 5-minute slot between midnight and
@@ -51,12 +51,14 @@ def kpi_today(raw: DataFrame, sessions: DataFrame, as_of) -> DataFrame:
          * _slots_between(lo, hi, y_idx, m_idx - 1) / 12000.0).alias("y_e"),
         F.when(day_start(F.col("connectTime")) == yest_day, F.col("userId")).alias("y_user"))
     facts = today.unionByName(past, allowMissingColumns=True)
+    # exact distinct counts by default; the HyperLogLog form avoids the distinct shuffle
+    distinct = (lambda c: F.approx_count_distinct(c)) if approx_users else (lambda c: F.countDistinct(c))
     out = facts.agg(
         (F.coalesce(F.sum("t_e"), F.lit(0.0)) / 1000).alias("kwh_today"),
         F.count("t_id").alias("sessions_today"),
-        F.countDistinct("t_user").alias("users_today"),
+        distinct("t_user").alias("users_today"),
         F.coalesce(F.sum("y_e"), F.lit(0.0)).alias("kwh_yesterday"),
-        F.countDistinct("y_user").alias("users_yesterday"))
+        distinct("y_user").alias("users_yesterday"))
     return (out.withColumn("kwh_change_pct", pct_change("kwh_today", "kwh_yesterday"))
                .withColumn("kwh_direction", change_direction("kwh_change_pct"))
                .withColumn("users_change", F.col("sessions_today") - F.col("users_yesterday"))

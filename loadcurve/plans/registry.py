@@ -417,6 +417,13 @@ def q_lag_features(spark, sf_dir):
     return rounded(FE.lag_features(FX.hourly_series(spark, sf_dir), LAG_DEPTH))
 
 
+@register("lag_subset", O.rounded(_HS + f"""
+  SELECT time, lag1, lag2, lag3 FROM (SELECT *, {O.lag_cols(LAG_DEPTH)} FROM hourly_series)
+  WHERE {O.lags_not_null(LAG_DEPTH)}""", ["lag1", "lag2", "lag3"]))
+def q_lag_subset(spark, sf_dir):
+    return rounded(FE.subset_lags(FE.lag_features(FX.hourly_series(spark, sf_dir), LAG_DEPTH), 3, keep=["time"]))
+
+
 @register("chrono_split", _HS + f""",
   f AS (SELECT * FROM (SELECT *, {O.lag_cols(LAG_DEPTH)} FROM hourly_series) WHERE {O.lags_not_null(LAG_DEPTH)}),
   s AS (SELECT time, row_number() OVER (ORDER BY time) AS rn, count(*) OVER () AS n FROM f)

@@ -42,12 +42,17 @@ def read_tables(spark: SparkSession, names: list[str], root: str) -> list[DataFr
     return [read_table(spark, n, root) for n in names]
 
 
-def table_exists(spark: SparkSession, name: str, root: str) -> bool:
-    """Does a named table exist (any Hadoop file system)?"""
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Does a path exist (any Hadoop file system: local, HDFS, object stores)?"""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(table_path(root, name))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(path))
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))
+
+
+def table_exists(spark: SparkSession, name: str, root: str) -> bool:
+    """Does a named table exist?"""
+    return path_exists(spark, table_path(root, name))
 
 
 def scan_sessions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

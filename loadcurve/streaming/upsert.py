@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadcurve.session import scratch_path
+from loadcurve.sources.tables import path_exists
 
 KEY = "dcosId"
 VERSION = ("lastUpdate", "dcosId")
@@ -27,14 +28,11 @@ def latest_reports(df: DataFrame) -> DataFrame:
 
 def merge_batch(spark: SparkSession, batch: DataFrame, target: str, day_col: str = "connectTime") -> None:
     latest = latest_reports(batch).withColumn("day", F.to_date(day_col))
-    try:
-        current = spark.read.parquet(target)
+    if path_exists(spark, target):
         touched = latest.select("day").distinct()
-        old = current.join(touched, "day", "left_semi")
+        old = spark.read.parquet(target).join(touched, "day", "left_semi")   # touched days only
         merged = latest_reports(old.unionByName(latest).drop("day")).withColumn("day", F.to_date(day_col))
-    except Exception as e:  # noqa: BLE001 - first batch: no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
+    else:                                                                    # first batch
         merged = latest
     merged = merged.checkpoint(eager=True)
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

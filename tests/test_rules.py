@@ -106,3 +106,35 @@ def test_pct_change(spark, after, before, want):
     from loadcurve.functions.scalars import pct_change
     df = spark.createDataFrame([(after, before)], "a double, b double")
     assert df.select(pct_change("a", "b").alias("c")).first().c == want
+
+
+def test_month_end_labels_and_leap_day(spark):
+    feb28 = dt.datetime(2024, 2, 28, 23, 0)
+    rows = [session(1, feb28, feb28 + dt.timedelta(hours=2), energy=6600.0, hours=2.0)]
+    s = C.clean_sessions(frame(spark, rows))
+    as_of = dt.datetime(2024, 3, 1, 0, 30)
+    monthly = {r.time: r for r in R.rollup(R.demand_5min(s, as_of), "month").collect()}
+    assert set(monthly) == {dt.datetime(2024, 2, 29), dt.datetime(2024, 3, 31)}
+    assert monthly[dt.datetime(2024, 2, 29)].day == "Wednesday"     # first row: Feb 28 23:00
+    assert monthly[dt.datetime(2024, 3, 31)].month == "March"
+    daily = {r.time for r in R.rollup(R.demand_5min(s, as_of), "day").collect()}
+    assert daily == {dt.datetime(2024, 2, 28), dt.datetime(2024, 2, 29), dt.datetime(2024, 3, 1)}
+
+
+def test_empty_inputs(spark):
+    from loadcurve.operators import analytics as A
+    from loadcurve.operators import forecasts as FC
+    from loadcurve.operators import kpi as K
+    from loadcurve.operators import status as ST
+    from loadcurve.operators import today as TD
+    empty = frame(spark, [])
+    s = C.clean_sessions(empty)
+    as_of = T0 + dt.timedelta(hours=1)
+    assert R.demand_5min(s, as_of).count() == 0
+    assert ST.charger_status(s, as_of).count() == 0
+    assert TD.todays_sessions(empty, as_of).count() == 0
+    assert A.cumulative_energy(s).count() == 0
+    k = K.kpi_today(empty, s, as_of).first()
+    assert (k.kwh_today, k.sessions_today, k.kwh_yesterday, k.users_yesterday) == (0.0, 0, 0.0, 0)
+    none = FC.empty_forecasts(spark)
+    assert FC.upsert_forecasts(none, none).count() == 0

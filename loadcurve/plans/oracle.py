@@ -39,7 +39,7 @@ sessions_raw AS (
          CAST(100 + 10 * (event_id % 5) AS BIGINT) AS sch_centsPerHr,
          CAST(150 + 10 * (event_id % 7) AS BIGINT) AS reg_centsPerHr,
          'u' || CAST(user_id AS VARCHAR) || '@example.org' AS user_email,
-         event_id AS slrpPaymentId
+         event_id AS paymentId
   FROM events WHERE ts <= {AS_OF}
 )"""
 
@@ -47,7 +47,7 @@ sessions_raw AS (
 def _cleaned(name: str, source: str, day_filter: str, extra_where: str = "") -> str:
     return f"""
 {name} AS (
-  SELECT * EXCLUDE (user_email, slrpPaymentId, _ov),
+  SELECT * EXCLUDE (user_email, paymentId, _ov),
          lastUpdate AS finishChargeTime,
          round_even(cumEnergy_Wh / nullif(DurationHrs, 0), 0) AS true_peakPower_W,
          CAST(_ov // 1000000 AS BIGINT) AS Overstay_s,

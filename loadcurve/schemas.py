@@ -20,10 +20,10 @@ SESSIONS_RAW = T.StructType([
     T.StructField("sch_centsPerHr", T.LongType()),
     T.StructField("reg_centsPerHr", T.LongType()),
     T.StructField("user_email", T.StringType()),
-    T.StructField("slrpPaymentId", T.LongType()),
+    T.StructField("paymentId", T.LongType()),
 ])
 
-PERSONAL_COLUMNS = ("user_email", "slrpPaymentId")
+PERSONAL_COLUMNS = ("user_email", "paymentId")
 
 QUANTITIES = ("avg_power_demand_kW", "energy_demand_kWh", "peak_power_kW")
 

@@ -64,7 +64,7 @@ def sessions_from_events(events: DataFrame, as_of=AS_OF) -> DataFrame:
                 (100 + 10 * (e % 5)).cast("long").alias("sch_centsPerHr"),
                 (150 + 10 * (e % 7)).cast("long").alias("reg_centsPerHr"),
                 F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.org")).alias("user_email"),
-                e.alias("slrpPaymentId"),
+                e.alias("paymentId"),
             ))
 
 

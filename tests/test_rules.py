@@ -30,7 +30,7 @@ def test_null_energy_survives_zero_filter_and_zeros_drop(spark):
             session(4, T0, T0 + dt.timedelta(hours=1))]
     out = C.clean_sessions(frame(spark, rows))
     assert sorted(r.dcosId for r in out.collect()) == [1, 4]
-    assert "user_email" not in out.columns and "slrpPaymentId" not in out.columns
+    assert "user_email" not in out.columns and "paymentId" not in out.columns
 
 
 def test_zero_hours_gives_null_power_and_adds_nothing(spark):

@@ -47,7 +47,10 @@ def charger_status(sessions: DataFrame, as_of, site: int | None = DEFAULT_SITE,
     w = Window.partitionBy(*by, "stationId").orderBy(F.col("lastUpdate").desc(), F.col("dcosId"))
     latest = (x.filter(fresh).withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1)
                .select(*by, "stationId", F.col("true_peakPower_W").alias("currentChargingRate"), "choice",
-                       "vehicle_model", "sch_centsPerHr", "reg_centsPerHr"))
+                       "vehicle_model",
+                       # prices of the current session; null when idle, so doubles (as after a left merge)
+                       F.col("sch_centsPerHr").cast("double").alias("sch_centsPerHr"),
+                       F.col("reg_centsPerHr").cast("double").alias("reg_centsPerHr")))
     return sums.join(latest, [*by, "stationId"], "left").select(
         *by, "stationId", "inUse", "currentChargingRate", "choice", "vehicle_model", "sch_centsPerHr",
         "reg_centsPerHr", "cumEnergy_Wh", "todayEnergy_Wh",

@@ -172,7 +172,7 @@ cx AS (
 cur AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT stationId AS sid, true_peakPower_W AS currentChargingRate, choice, vehicle_model,
-           sch_centsPerHr, reg_centsPerHr,
+           CAST(sch_centsPerHr AS DOUBLE) AS sch_centsPerHr, CAST(reg_centsPerHr AS DOUBLE) AS reg_centsPerHr,
            row_number() OVER (PARTITION BY stationId ORDER BY lastUpdate DESC, dcosId) AS rn
     FROM cx WHERE fresh) WHERE rn = 1
 ),

@@ -135,7 +135,7 @@ def q_series_year_to_date(spark, sf_dir):
 # ---- step 3: chargers and today ---------------------------------------------------------
 
 _CHARGER_DOUBLES = ["currentChargingRate", "cumEnergy_Wh", "todayEnergy_Wh", "currPowerUtilRate",
-                    "currOccupUtilRate"]
+                    "currOccupUtilRate", "sch_centsPerHr", "reg_centsPerHr"]
 
 
 @register("charger_status", O.rounded(O.with_ctes(*O.BASE, O.CHARGERS) + " SELECT * FROM chargers",
@@ -739,7 +739,7 @@ def q_demand_hourly_by_station(spark, sf_dir):
          FROM sessions WHERE stationId IS NOT NULL),
   cur AS (SELECT * EXCLUDE (rn) FROM (
             SELECT siteId AS site, stationId AS sid, true_peakPower_W AS currentChargingRate, choice, vehicle_model,
-                   sch_centsPerHr, reg_centsPerHr,
+                   CAST(sch_centsPerHr AS DOUBLE) AS sch_centsPerHr, CAST(reg_centsPerHr AS DOUBLE) AS reg_centsPerHr,
                    row_number() OVER (PARTITION BY siteId, stationId ORDER BY lastUpdate DESC, dcosId) AS rn
             FROM cx WHERE fresh) WHERE rn = 1),
   cagg AS (SELECT siteId, stationId, max(CASE WHEN fresh THEN 1 ELSE 0 END) AS in_use,

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadcurve.functions.scalars import part_of_day
@@ -68,25 +68,38 @@ def choice_by_price(sessions: DataFrame) -> DataFrame:
 def user_profile(subset: DataFrame) -> DataFrame:
     """Per user: sessions, mean hours, usual part of day, kWh, preferred choice and share.
 
-    Ties of both modes go to the smallest value (the reference's ``mode()``
-    rule; its ``value_counts`` tie order is not reproducible).
+    One scan: a single ``GROUPING SETS`` aggregation -- (user), (user, part of
+    day), (user, choice) -- partial-aggregated map-side, so a heavy user costs
+    a few partial rows per task.  The winners are then picked by windows over
+    that small result (a few rows per user), with no join and no string
+    aggregation buffer.  Ties of both modes go to the smallest value (the
+    reference's ``mode()`` rule; its ``value_counts`` tie order is not
+    reproducible).
     """
     base = (subset.filter(F.col("userId").isNotNull())
             .withColumn("_part", part_of_day(F.hour("connectTime"))))
-    # mode() keeps a value -> count map per user (partial-aggregated; no sort)
-    main = base.groupBy("userId").agg(
-        F.count("*").alias("num_sessions"),
-        F.bround(F.avg("DurationHrs"), 2).alias("average_duration"),
-        F.mode("_part", True).alias("freq_connect_time"),
-        (F.coalesce(F.sum("cumEnergy_Wh"), F.lit(0.0)) / 1000).alias("total_nrg_consumed"),
-        F.mode("choice", True).alias("pref_charging_choice"))
-    per_choice = (base.filter(F.col("choice").isNotNull())
-                  .groupBy("userId", F.col("choice").alias("pref_charging_choice")).agg(F.count("*").alias("_n")))
-    return (main.join(per_choice, ["userId", "pref_charging_choice"], "left")
-                .withColumn("pref_charging_choice_percent",
-                            F.coalesce(F.col("_n"), F.lit(0)) / F.col("num_sessions"))
-                .select("userId", "num_sessions", "average_duration", "freq_connect_time", "total_nrg_consumed",
-                        "pref_charging_choice", "pref_charging_choice_percent"))
+    g = (base.groupingSets([["userId"], ["userId", "_part"], ["userId", "choice"]], "userId", "_part", "choice")
+             .agg(F.count("*").alias("_n"), F.avg("DurationHrs").alias("_h"),
+                  F.sum("cumEnergy_Wh").alias("_wh"), F.grouping_id().alias("_gid")))
+    # grouping_id bits: _part = 2, choice = 1 (set bit = rolled up)
+    is_user, is_part, is_choice = F.col("_gid") == 3, F.col("_gid") == 1, F.col("_gid") == 2
+    label = F.when(is_part, F.col("_part")).when(is_choice, F.col("choice"))
+    per_user = Window.partitionBy("userId")
+    ranked = (g.filter(is_user | is_part | (is_choice & F.col("choice").isNotNull()))
+               .withColumn("_label", label)
+               .withColumn("_rk", F.row_number().over(
+                   Window.partitionBy("userId", "_gid").orderBy(F.col("_n").desc(), F.col("_label"))))
+               .withColumn("_best_part", F.max(F.when(is_part & (F.col("_rk") == 1), F.col("_label"))).over(per_user))
+               .withColumn("_best_choice", F.max(F.when(is_choice & (F.col("_rk") == 1), F.col("_label"))).over(per_user))
+               .withColumn("_best_n", F.max(F.when(is_choice & (F.col("_rk") == 1), F.col("_n"))).over(per_user)))
+    return ranked.filter(is_user).select(
+        "userId",
+        F.col("_n").alias("num_sessions"),
+        F.bround(F.col("_h"), 2).alias("average_duration"),
+        F.col("_best_part").alias("freq_connect_time"),
+        (F.coalesce(F.col("_wh"), F.lit(0.0)) / 1000).alias("total_nrg_consumed"),
+        F.col("_best_choice").alias("pref_charging_choice"),
+        (F.coalesce(F.col("_best_n"), F.lit(0)) / F.col("_n")).alias("pref_charging_choice_percent"))
 
 
 def histogram(table: DataFrame, quantity: str, group_col: F.Column, group_name: str,

@@ -30,6 +30,30 @@ SESSION_DEFAULTS = {
 }
 
 
+# Starting points for a large cluster (tens of TB): many initial shuffle partitions
+# that AQE coalesces to ~256 MB each, 512 MB scan splits, skew splitting on.
+CLUSTER_SETTINGS = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+}
+
+
+def apply_cluster_settings(spark: SparkSession, overrides: dict | None = None) -> SparkSession:
+    """Set the cluster starting points that the session does not set already."""
+    for k, v in {**CLUSTER_SETTINGS, **(overrides or {})}.items():
+        if overrides and k in overrides:
+            spark.conf.set(k, v)
+        elif spark.conf.get(k, None) in (None, ""):
+            spark.conf.set(k, v)
+    return ensure_defaults(spark)
+
+
 def build_session(master: str = "local[8]", app: str = "loadcurve",
                   shuffle_partitions: int = 8, extra: dict | None = None) -> SparkSession:
     """Session for tests and the benchmark (local mode, no UI)."""

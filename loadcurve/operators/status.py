@@ -23,9 +23,13 @@ RATED_POWER_W = 6600.0
 
 
 def in_use_flag(as_of, fresh_minutes: float = FRESH_MINUTES):
-    """Age of ``lastUpdate`` at ``as_of`` within the pad (no lower bound, as the reference)."""
-    age_us = F.timestamp_diff("MICROSECOND", F.col("lastUpdate"), as_ntz(as_of))
-    return age_us <= F.lit(int(fresh_minutes * 60 * 1_000_000))
+    """Age of ``lastUpdate`` at ``as_of`` within the pad (no upper bound on the time, as the reference).
+
+    Written as ``lastUpdate >= <literal>`` so that on a stored session table the
+    filter reaches the parquet scan and skips old row groups.
+    """
+    bound = F.timestamp_add("MICROSECOND", F.lit(-int(fresh_minutes * 60 * 1_000_000)), as_ntz(as_of))
+    return F.col("lastUpdate") >= bound
 
 
 def charger_status(sessions: DataFrame, as_of, site: int | None = DEFAULT_SITE,

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from loadcurve.operators.features import chrono_split, future_rows, lag_features, lag_names
 
 DEFAULT_BLOCKS = 8
-QUERY_CHUNK = 256
+CHUNK_BYTES = 64 * 1024 * 1024     # memory of one (queries x block rows x lags) distance array
 
 
 def _candidates(queries: DataFrame, train: DataFrame, by, depths: list[int], kmax: int,
@@ -61,9 +61,10 @@ def _candidates(queries: DataFrame, train: DataFrame, by, depths: list[int], kma
         yt, tt = tdf["t_y"].to_numpy(float), tdf["t_time"].to_numpy()
         keys = [tdf[c].iloc[0] for c in by]
         k = min(kmax, len(tdf))
+        chunk = max(1, CHUNK_BYTES // (8 * len(tdf) * len(lags)))   # bounded memory per step
         out = []
-        for lo in range(0, len(qdf), QUERY_CHUNK):
-            qc = qdf.iloc[lo:lo + QUERY_CHUNK]
+        for lo in range(0, len(qdf), chunk):
+            qc = qdf.iloc[lo:lo + chunk]
             xq = qc[["q_" + n for n in lags]].to_numpy(float)
             diff = xq[:, None, :] - xt[None, :, :]
             dist = np.cumsum(diff * diff, axis=2)[:, :, depth_idx]          # (q, t, depths)

@@ -1,7 +1,8 @@
 """k-nearest-neighbour load forecast and its parameter search.
 
 Exact brute-force kNN, distributed as *local top-k + global merge*: the
-training rows of each series are hashed into ``blocks``; the (few) query
+training rows of each series are hashed into blocks (about
+``rows_per_block`` rows each, so long series get more tasks); the (few) query
 rows of the series are replicated to every block; ``cogroup`` +
 ``applyInPandas`` hands one (series, block) to a task, which computes the
 squared Euclidean distances with numpy and keeps only its k nearest
@@ -28,23 +29,35 @@ from pyspark.sql import types as T
 
 from loadcurve.operators.features import chrono_split, future_rows, lag_features, lag_names
 
-DEFAULT_BLOCKS = 8
+ROWS_PER_BLOCK = 2048             # training rows per task (blocks per series follow its length)
 CHUNK_BYTES = 64 * 1024 * 1024     # memory of one (queries x block rows x lags) distance array
 
 
 def _candidates(queries: DataFrame, train: DataFrame, by, depths: list[int], kmax: int,
-                value_col: str, blocks: int) -> DataFrame:
+                value_col: str, rows_per_block: int) -> DataFrame:
     """Per (series, query, depth): each block's ``kmax`` nearest training rows."""
     by, depths = list(by), sorted(depths)
     lags = lag_names(max(depths))
     # both sides get their own column names: with one shared lineage, Catalyst
     # would otherwise prune the second side's columns out of the cogroup
-    t = (train.select(*by, F.col("time").alias("t_time"), F.col(value_col).alias("t_y"),
-                      *[F.col(n).alias("t_" + n) for n in lags])
-              .withColumn("_b", F.pmod(F.xxhash64("t_time"), F.lit(blocks)).cast("int")))
-    q = (queries.select(*[F.col(c).alias("q__" + c) for c in by], F.col("time").alias("q_time"),
-                        F.col(value_col).alias("q_y"), *[F.col(n).alias("q_" + n) for n in lags])
-                .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    t = train.select(*by, F.col("time").alias("t_time"), F.col(value_col).alias("t_y"),
+                     *[F.col(n).alias("t_" + n) for n in lags])
+    q = queries.select(*[F.col(c).alias("q__" + c) for c in by], F.col("time").alias("q_time"),
+                       F.col(value_col).alias("q_y"), *[F.col(n).alias("q_" + n) for n in lags])
+    # blocks per series follow its training length: one small aggregate, joined on the
+    # series keys, or a scalar subquery when there is a single series
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(rows_per_block))).cast("int")
+    if by:
+        sizes = train.groupBy(*by).agg(n_blocks.alias("_nblocks"))
+        t = t.join(sizes, by)
+        q = q.join(sizes.select(*[F.col(c).alias("q__" + c) for c in by], "_nblocks"), ["q__" + c for c in by])
+        tb, qb = F.col("_nblocks"), F.col("_nblocks")
+    else:
+        tb = qb = train.agg(n_blocks.alias("_nblocks")).scalar()
+    t = t.withColumn("_b", F.pmod(F.xxhash64("t_time"), tb).cast("int"))
+    q = q.withColumn("_qb", F.explode(F.sequence(F.lit(0), qb - 1)))
+    t = t.drop("_nblocks") if by else t
+    q = q.drop("_nblocks") if by else q
     key_fields = [queries.schema[c] for c in by]
     schema = T.StructType([*key_fields,
                            T.StructField("q_time", T.TimestampNTZType()), T.StructField("q_y", T.DoubleType()),
@@ -87,10 +100,10 @@ def _candidates(queries: DataFrame, train: DataFrame, by, depths: list[int], kma
 
 
 def knn_predict(queries: DataFrame, train: DataFrame, depth: int, k: int, value_col: str = "v",
-                by=(), blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+                by=(), rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Mean target of the k nearest training rows for every query row."""
     by = list(by)
-    cand = _candidates(queries, train, by, [depth], k, value_col, blocks)
+    cand = _candidates(queries, train, by, [depth], k, value_col, rows_per_block)
     w = Window.partitionBy(*by, "q_time").orderBy("d", "t_time")
     near = cand.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
     return (near.groupBy(*by, "q_time").agg(F.avg("t_y").alias(value_col + "_predictions"))
@@ -98,7 +111,7 @@ def knn_predict(queries: DataFrame, train: DataFrame, depth: int, k: int, value_
 
 
 def knn_forecast(series: DataFrame, depth: int, k: int, value_col: str = "v", by=(),
-                 horizon: int = 24, blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+                 horizon: int = 24, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """M2: forecast the ``horizon`` hours after each series' end.
 
     Future rows (value 0) are appended, lags are built over the extended
@@ -111,12 +124,12 @@ def knn_forecast(series: DataFrame, depth: int, k: int, value_col: str = "v", by
     feats = lag_features(ext, depth, value_col, by, drop="features")
     queries = feats.filter(F.col("_future"))
     train = feats.filter(~F.col("_future") & F.col(value_col).isNotNull())
-    return knn_predict(queries, train, depth, k, value_col, by, blocks)
+    return knn_predict(queries, train, depth, k, value_col, by, rows_per_block)
 
 
 def knn_grid_scores(series: DataFrame, depths: list[int], ks: list[int], value_col: str = "v",
                     by=(), test_size: float = 0.2, validation_size: float = 0.2,
-                    blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+                    rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Validation MSE of every (depth, k) pair, per series, in one job."""
     by = list(by)
     depths, kmin, kmax = sorted(depths), min(ks), max(ks)
@@ -124,7 +137,7 @@ def knn_grid_scores(series: DataFrame, depths: list[int], ks: list[int], value_c
     split = chrono_split(feats, by, "time", test_size, validation_size)
     queries = split.filter(F.col("split") == "validation")
     train = split.filter(F.col("split") == "train")
-    cand = _candidates(queries, train, by, depths, kmax, value_col, blocks)
+    cand = _candidates(queries, train, by, depths, kmax, value_col, rows_per_block)
     w = Window.partitionBy(*by, "q_time", "depth").orderBy("d", "t_time")
     ranked = cand.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= kmax)
     preds = (ranked.withColumn("_pred", F.avg("t_y").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -135,9 +148,9 @@ def knn_grid_scores(series: DataFrame, depths: list[int], ks: list[int], value_c
 
 
 def knn_grid_search(series: DataFrame, depths: list[int], ks: list[int], value_col: str = "v",
-                    by=()) -> DataFrame:
+                    by=(), rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """M3: best (depth, k) per series."""
-    scores = knn_grid_scores(series, depths, ks, value_col, by)
+    scores = knn_grid_scores(series, depths, ks, value_col, by, rows_per_block=rows_per_block)
     w = Window.partitionBy(*by).orderBy("mse", "k", "depth")     # depths x ks rows per series
     best = scores.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1)
     return best.select(*by, F.col("depth").cast("int").alias("best_depth"),

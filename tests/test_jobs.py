@@ -61,11 +61,15 @@ def test_keyed_grid_search_equals_single_series(spark, two_series):
         assert keyed[sid] == (r.best_depth, r.best_n_neighbors)
 
 
-@pytest.mark.parametrize("blocks", [1, 3, 13])
-def test_blocks_do_not_change_the_answer(spark, two_series, blocks):
-    one = two_series.filter(F.col("sid") == "a").drop("sid")
-    a = sorted((r.time, r.v_predictions) for r in KN.knn_forecast(one, 3, 5).collect())
-    b = sorted((r.time, r.v_predictions) for r in KN.knn_forecast(one, 3, 5, blocks=blocks).collect())
+@pytest.mark.parametrize("rows_per_block", [37, 200, 100000])
+@pytest.mark.parametrize("keyed", [False, True])
+def test_blocks_do_not_change_the_answer(spark, two_series, rows_per_block, keyed):
+    one = two_series.filter(F.col("sid") == "a")
+    one = one if keyed else one.drop("sid")
+    by = ["sid"] if keyed else []
+    a = sorted((r.time, r.v_predictions) for r in KN.knn_forecast(one, 3, 5, by=by).collect())
+    b = sorted((r.time, r.v_predictions) for r in
+               KN.knn_forecast(one, 3, 5, by=by, rows_per_block=rows_per_block).collect())
     assert [t for t, _ in a] == [t for t, _ in b]
     assert np.allclose([v for _, v in a], [v for _, v in b], rtol=1e-12)
 

@@ -138,3 +138,24 @@ def test_empty_inputs(spark):
     assert (k.kwh_today, k.sessions_today, k.kwh_yesterday, k.users_yesterday) == (0.0, 0, 0.0, 0)
     none = FC.empty_forecasts(spark)
     assert FC.upsert_forecasts(none, none).count() == 0
+
+
+@pytest.mark.parametrize("kind,want", [
+    ("last_days", (dt.datetime(2024, 1, 23), dt.datetime(2024, 1, 31))),
+    ("month", (dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31))),
+    ("year", (dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31))),
+    ("all", (None, None)),
+])
+def test_relative_ranges(kind, want):
+    from loadcurve.operators.explore import relative_range
+    assert relative_range(kind, dt.datetime(2024, 1, 30, 12), 7) == want
+
+
+def test_end_bound_is_midnight_unless_inclusive(spark):
+    from loadcurve.operators.explore import between_dates
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 10, 0, 0),), (dt.datetime(2024, 1, 10, 13, 0),),
+                                (dt.datetime(2024, 1, 11, 0, 0),)], "time timestamp_ntz")
+    assert between_dates(df, "time", "2024-01-10", "2024-01-10").count() == 1
+    assert between_dates(df, "time", "2024-01-10", "2024-01-10", end_inclusive_day=True).count() == 2
+    assert between_dates(df, "time", None, None).count() == 3
+    assert between_dates(df, "time", "01/11/2024", None).count() == 1

@@ -7,7 +7,6 @@ partial-aggregated ``groupBy``s.
 
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

@@ -9,6 +9,8 @@ buckets between the first and the last one appear even when no run has them
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from loadcurve.operators.timegrid import regular_spine
 from loadcurve.schemas import FORECAST
 
 _STEP = {"hour": 3600, "day": 86400}
-_EPOCH = __import__("datetime").datetime(1970, 1, 1)
+_EPOCH = dt.datetime(1970, 1, 1)
 
 
 def empty_forecasts(spark: SparkSession) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadcurve.functions.timecols import as_ntz, day_start, floor_time, slot_index, slot_time
+from loadcurve.functions.timecols import as_ntz, day_start, floor_time, slot_time
 from loadcurve.operators.clean import clean_todays_sessions
 from loadcurve.operators.ordered import global_row_number
 from loadcurve.operators.timegrid import expand_slots, slot_bounds

@@ -10,13 +10,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loadcurve.operators import analytics as A
 from loadcurve.operators import clean as C
+from loadcurve.operators import explore as X
+from loadcurve.operators import features as FE
+from loadcurve.operators import forecasts as FC
+from loadcurve.operators import grid as G
+from loadcurve.operators import knn as KN
+from loadcurve.operators import kpi as K
 from loadcurve.operators import rollup as R
+from loadcurve.operators import seasonal as SE
+from loadcurve.operators import status as ST
+from loadcurve.operators import today as TD
 from loadcurve.plans import oracle as O
 from loadcurve.plans.common import raw, rounded, sessions
-from loadcurve.session import ensure_defaults
+from loadcurve.session import ensure_defaults, scratch_path
+from loadcurve.sources import fixtures as FX
+from loadcurve.sources import tables as TB
 from loadcurve.sources.fixtures import AS_OF
+from loadcurve.streaming import charger_state as SCS
+from loadcurve.streaming import demand as SD
+from loadcurve.streaming import upsert as SU
+from loadcurve.streaming.sources import file_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -90,15 +108,6 @@ def q_demand_monthly(spark, sf_dir):
 
 # ---- step 2: ranges ----------------------------------------------------------------------
 
-from pyspark.sql import functions as F  # noqa: E402
-from pyspark.sql import types as T  # noqa: E402
-
-from loadcurve.operators import analytics as A  # noqa: E402
-from loadcurve.operators import explore as X  # noqa: E402
-from loadcurve.operators import kpi as K  # noqa: E402
-from loadcurve.operators import status as ST  # noqa: E402
-from loadcurve.operators import today as TD  # noqa: E402
-from loadcurve.sources import fixtures as FX  # noqa: E402
 
 _HOURLY = O.with_ctes(*O.BASE, O.DEMAND_5MIN, O.DEMAND_HOURLY)
 _DAILY = O.with_ctes(*O.BASE, O.DEMAND_5MIN, O.DEMAND_DAILY)
@@ -336,7 +345,6 @@ def q_kpi_cumulative(spark, sf_dir):
 
 # ---- step 5: grid requests ---------------------------------------------------------------
 
-from loadcurve.operators import grid as G  # noqa: E402
 
 _GRID_BASE = (O.with_ctes(*O.BASE) + ", g AS (SELECT * EXCLUDE (userId, finishChargeTime, true_peakPower_W, "
               "Overstay_s, Overstay_h, Overstay_total_h) FROM sessions)")
@@ -399,9 +407,6 @@ register("grid_page", O.rounded(_GRID_BASE + """
 
 # ---- step 6: lags, splits, kNN, forecast tables -----------------------------------------
 
-from loadcurve.operators import features as FE  # noqa: E402
-from loadcurve.operators import forecasts as FC  # noqa: E402
-from loadcurve.operators import knn as KN  # noqa: E402
 
 LAG_DEPTH = 7
 KNN_DEPTH, KNN_K = 6, 11                  # a forecast with fixed parameters
@@ -520,7 +525,6 @@ def q_actual_vs_forecast(spark, sf_dir):
 
 # ---- step 7: seasonal daily model ------------------------------------------------------------
 
-from loadcurve.operators import seasonal as SE  # noqa: E402
 
 DAILY_END = "TIMESTAMP '2001-08-01'"
 
@@ -559,9 +563,6 @@ def q_peak_forecast_today(spark, sf_dir):
 
 # ---- step 8: tables, CSV, flattening ----------------------------------------------------------
 
-from loadcurve.session import scratch_path  # noqa: E402
-from loadcurve.sources import tables as TB  # noqa: E402
-
 
 @register("table_roundtrip", O.rounded(O.with_ctes(*O.BASE) + " SELECT * FROM sessions", O.SESSION_DOUBLES))
 def q_table_roundtrip(spark, sf_dir):
@@ -597,10 +598,6 @@ def q_flatten_records(spark, sf_dir):
 
 # ---- step 9: streaming ----------------------------------------------------------------------
 
-from loadcurve.streaming import charger_state as SCS  # noqa: E402
-from loadcurve.streaming import demand as SD  # noqa: E402
-from loadcurve.streaming import upsert as SU  # noqa: E402
-from loadcurve.streaming.sources import file_stream  # noqa: E402
 
 _EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),

@@ -17,14 +17,22 @@ from loadcurve.operators.explore import between_dates
 from loadcurve.operators.ordered import global_running_sum
 
 
-def cumulative_energy(sessions: DataFrame, start=None, end=None) -> DataFrame:
+def cumulative_energy(sessions: DataFrame, start=None, end=None, grain: str | None = None) -> DataFrame:
     """Running kWh by finish time; the date filter comes first.
 
     A session without energy keeps a null at its own row (pandas ``cumsum``)
-    and adds nothing to the total.
+    and adds nothing to the total.  ``grain="day"`` gives one row per day
+    instead: daily sums (partial-aggregated), then the running sum over days.
     """
     s = between_dates(sessions.select("dcosId", "finishChargeTime", "cumEnergy_Wh"),
                       "finishChargeTime", start, end)
+    if grain == "day":
+        daily = s.groupBy(day_start("finishChargeTime").alias("day")).agg(
+            F.coalesce(F.sum("cumEnergy_Wh"), F.lit(0.0)).alias("_wh"))
+        run = global_running_sum(daily, [F.col("day")], F.col("_wh"), "_run")
+        return run.select("day", (F.col("_run") / 1000).alias("cum_energy_kWh"))
+    if grain is not None:
+        raise ValueError(f"unknown grain {grain!r}")
     run = global_running_sum(s, [F.col("finishChargeTime"), F.col("dcosId")],
                              F.coalesce(F.col("cumEnergy_Wh"), F.lit(0.0)), "_run")
     return run.select("dcosId", "finishChargeTime",

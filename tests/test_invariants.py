@@ -86,3 +86,10 @@ def test_delta_load_curve_equals_exploded(spark, sess, by, closed):
     a = {tuple(r): None for r in R.demand_watts(sess, AS_OF, by, closed, method="delta").collect()}
     b = {tuple(r): None for r in R.demand_watts(sess, AS_OF, by, closed, method="explode").collect()}
     assert a.keys() == b.keys()
+
+
+def test_cumulative_energy_by_day_ends_where_rows_end(spark, sess):
+    rows = A.cumulative_energy(sess).agg(F.max("cum_energy_kWh")).first()[0]
+    days = A.cumulative_energy(sess, grain="day").orderBy("day").collect()
+    assert abs(days[-1].cum_energy_kWh - rows) < 1e-6
+    assert all(a.cum_energy_kWh <= b.cum_energy_kWh for a, b in zip(days, days[1:]))

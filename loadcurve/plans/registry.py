@@ -204,6 +204,14 @@ def q_cumulative_energy(spark, sf_dir):
     return rounded(A.cumulative_energy(sessions(spark, sf_dir)))
 
 
+@register("cumulative_energy_daily", O.rounded(O.with_ctes(*O.BASE) + """
+  SELECT day, sum(wh) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) / 1000 AS cum_energy_kWh
+  FROM (SELECT date_trunc('day', finishChargeTime) AS day, coalesce(sum(cumEnergy_Wh), 0) AS wh
+        FROM sessions GROUP BY 1)""", ["cum_energy_kWh"]))
+def q_cumulative_energy_daily(spark, sf_dir):
+    return rounded(A.cumulative_energy(sessions(spark, sf_dir), grain="day"))
+
+
 @register("cumulative_users", O.with_ctes(*O.BASE) + """,
   r AS (SELECT dcosId, startChargeTime, userId FROM sessions WHERE userId IS NOT NULL),
   f AS (SELECT userId, min(startChargeTime) AS fs FROM r GROUP BY userId)

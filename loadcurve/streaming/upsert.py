@@ -10,20 +10,21 @@ they were read from.  A replayed batch gives the same table (idempotent).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loadcurve.session import scratch_path
 from loadcurve.sources.tables import path_exists
 
 KEY = "dcosId"
-VERSION = ("lastUpdate", "dcosId")
 
 
 def latest_reports(df: DataFrame) -> DataFrame:
-    cols = [c for c in df.columns]
-    best = df.groupBy(KEY).agg(F.max_by(F.struct(*cols), F.struct(*[F.col(c) for c in VERSION])).alias("r"))
-    return best.select("r.*")
+    """Newest report per session: ``row_number() == 1`` (a ``WindowGroupLimit``, so
+    each task keeps one row per session before the shuffle); equal report times
+    are ordered by a hash of the whole row, so replays pick the same row."""
+    w = Window.partitionBy(KEY).orderBy(F.col("lastUpdate").desc(), F.xxhash64(*df.columns))
+    return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).drop("_rk")
 
 
 def merge_batch(spark: SparkSession, batch: DataFrame, target: str, day_col: str = "connectTime") -> None:

@@ -10,7 +10,7 @@ state of a station is its latest change.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -75,5 +75,6 @@ def run_charger_state(spark: SparkSession, sessions_stream: DataFrame, out_path:
 
 def current_state(changes: DataFrame) -> DataFrame:
     """Latest change per station (IDLE wins over IN USE at the same report)."""
-    order = F.struct(F.col("lastUpdate"), (F.col("state") == "IDLE").cast("int"))
-    return changes.groupBy("stationId").agg(F.max_by(F.struct(*OUT.fieldNames()), order).alias("r")).select("r.*")
+    w = Window.partitionBy("stationId").orderBy(F.col("lastUpdate").desc(),
+                                                (F.col("state") == "IDLE").cast("int").desc())
+    return changes.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).drop("_rk")

@@ -662,12 +662,21 @@ def q_stream_session_upsert(spark, sf_dir):
     return rounded(spark.read.parquet(target).drop("day").select(*SESSIONS_RAW.fieldNames()))
 
 
-@register("stream_charger_state")
+@register("stream_charger_state", O.rounded(O.with_ctes(*O.BASE) + """,
+  l AS (SELECT stationId, dcosId, lastUpdate, true_peakPower_W AS currentChargingRate,
+               row_number() OVER (PARTITION BY stationId ORDER BY lastUpdate DESC, dcosId) AS rn
+        FROM sessions WHERE stationId IS NOT NULL),
+  m AS (SELECT max(lastUpdate) AS mx FROM sessions)
+  SELECT stationId, dcosId, lastUpdate, currentChargingRate,
+         CASE WHEN lastUpdate + INTERVAL 32 MINUTE < mx THEN 'IDLE' ELSE 'IN USE' END AS state
+  FROM l, m WHERE rn = 1""", ["currentChargingRate"]))
 def q_stream_charger_state(spark, sf_dir):
     ev = file_stream(spark, f"{sf_dir}/events.parquet", _EVENTS_SCHEMA)
     cleaned = C.clean_sessions(FX.sessions_from_events(ev, AS_OF))
     out = SCS.run_charger_state(spark, cleaned)
-    return rounded(SCS.current_state(spark.read.parquet(out)))
+    # one batch, then the watermark (max report - 16 min) times out stations idle for 16 min
+    state = SCS.current_state(spark.read.parquet(out))
+    return rounded(state.withColumn("lastUpdate", F.col("lastUpdate").cast("timestamp_ntz")))
 
 
 # ---- coverage additions: card text (F25), forecast scores (M9), parameter table (S6, M4) --------

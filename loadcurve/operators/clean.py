@@ -33,17 +33,20 @@ def _day_count(rule: str):
     raise ValueError(f"unknown day rule {rule!r}")
 
 
-def clean_sessions(raw: DataFrame, max_hours: float = 24.0, max_days: int = 2,
-                   day_rule: str = "regex") -> DataFrame:
-    """Raw sessions -> ``sessions`` (the reference's ``raw_data``)."""
+def keep_condition(max_hours: float = 24.0, max_days: int = 2, day_rule: str = "regex"):
+    """The rows a cleaning path keeps, as one boolean Column over raw columns."""
+    return (_not_zero("peakPower_W") & _not_zero("cumEnergy_Wh")
+            & (F.col("DurationHrs").cast("double") <= F.lit(float(max_hours)))
+            & (_day_count(day_rule) <= F.lit(max_days)))
+
+
+def with_helpers(raw: DataFrame) -> DataFrame:
+    """Casts and helper columns of a cleaned session (no row is removed here)."""
     df = raw.drop(*[c for c in PERSONAL_COLUMNS if c in raw.columns])
-    df = (df.withColumn("cumEnergy_Wh", F.col("cumEnergy_Wh").cast("double"))
-            .withColumn("peakPower_W", F.col("peakPower_W").cast("double"))
-            .filter(_not_zero("peakPower_W") & _not_zero("cumEnergy_Wh"))
-            .filter(F.col("DurationHrs").cast("double") <= F.lit(float(max_hours)))
-            .filter(_day_count(day_rule) <= F.lit(max_days)))
     overstay_us = F.greatest(F.timestamp_diff("MICROSECOND", F.col("Deadline"), F.col("lastUpdate")), F.lit(0))
-    return (df.withColumn("finishChargeTime", F.col("lastUpdate"))
+    return (df.withColumn("cumEnergy_Wh", F.col("cumEnergy_Wh").cast("double"))
+              .withColumn("peakPower_W", F.col("peakPower_W").cast("double"))
+              .withColumn("finishChargeTime", F.col("lastUpdate"))
               .withColumn("true_peakPower_W",
                           F.bround(F.try_divide(F.col("cumEnergy_Wh"), F.col("DurationHrs").cast("double")), 0))
               .withColumn("Overstay_s", F.floor(overstay_us / 1_000_000).cast("long"))
@@ -51,10 +54,20 @@ def clean_sessions(raw: DataFrame, max_hours: float = 24.0, max_days: int = 2,
               .withColumn("Overstay_total_h", overstay_us / 3.6e9))
 
 
+def clean_sessions(raw: DataFrame, max_hours: float = 24.0, max_days: int = 2,
+                   day_rule: str = "regex") -> DataFrame:
+    """Raw sessions -> ``sessions`` (the reference's ``raw_data``)."""
+    return with_helpers(raw.filter(keep_condition(max_hours, max_days, day_rule)))
+
+
+def today_condition(as_of, max_hours: float = 24.0, max_days: int = 1):
+    """The "today" path: first-character day rule, finished since midnight of ``as_of``."""
+    return (keep_condition(max_hours, max_days, "first_char")
+            & (F.col("lastUpdate") >= day_start(as_ntz(as_of))))
+
+
 def clean_todays_sessions(raw: DataFrame, as_of, max_hours: float = 24.0, max_days: int = 1) -> DataFrame:
-    """The "today" cleaning path: first-character day rule, finished since midnight."""
-    df = clean_sessions(raw, max_hours=max_hours, max_days=max_days, day_rule="first_char")
-    return df.filter(F.col("finishChargeTime") >= day_start(as_ntz(as_of)))
+    return with_helpers(raw.filter(today_condition(as_of, max_hours, max_days)))
 
 
 def session_subset(sessions: DataFrame, columns=None) -> DataFrame:

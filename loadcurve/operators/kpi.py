@@ -1,8 +1,7 @@
 """Key-figure cards.
 
-Each card is **one** aggregation: the pieces that the reference reads from
-different tables are projected into a single ``UNION ALL`` frame and summed
-together, so there is neither a join nor a driver round trip.
+Each card is **one** aggregation -- conditional aggregates over one scan --
+so there is neither a join nor a driver round trip.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loadcurve.functions.scalars import change_direction, pct_change
 from loadcurve.functions.timecols import as_ntz, day_start, floor_time, slot_index
-from loadcurve.operators.clean import clean_todays_sessions
+from loadcurve.operators.clean import keep_condition, today_condition, with_helpers
 from loadcurve.operators.timegrid import slot_bounds
 
 # Fixed values of the reference's equivalence cards.
@@ -29,36 +28,38 @@ def _slots_between(lo, hi, a, b):
     return F.greatest(F.least(hi, b) - F.greatest(lo, a) + 1, F.lit(0))
 
 
-def kpi_today(raw: DataFrame, sessions: DataFrame, as_of, approx_users: bool = False) -> DataFrame:
+def kpi_today(raw: DataFrame, as_of, approx_users: bool = False) -> DataFrame:
     """C11: today's kWh, sessions and users, against yesterday.
 
-    A session counts today when it has a 5-minute slot between midnight and
-    ``floor5(as_of)`` (exactly the rows of ``todays_sessions``).  Yesterday's
-    kWh equals the daily demand of that day: power x slots on that day / 12.
+    One scan of the raw sessions: the "today" cleaning path and the full one
+    are two flags over the same rows, and every figure is a conditional
+    aggregate.  A session counts today when it has a 5-minute slot between
+    midnight and ``floor5(as_of)`` (exactly the rows of ``todays_sessions``).
+    Yesterday's kWh equals the daily demand of that day: power x slots on that
+    day / 12.
     """
     now = as_ntz(as_of)
     m_idx = slot_index(day_start(now), 300, "floor")
     n_idx = slot_index(floor_time(now, 300), 300, "floor")
     y_idx = m_idx - 288
     lo, hi = slot_bounds("startChargeTime", "finishChargeTime")
-    today = (clean_todays_sessions(raw, as_of)
-             .filter(_slots_between(lo, hi, m_idx, n_idx) > 0)
-             .select(F.col("dcosId").alias("t_id"), F.col("cumEnergy_Wh").alias("t_e"),
-                     F.col("userId").alias("t_user")))
+    rows = with_helpers(raw.withColumn("_today", today_condition(as_of))
+                           .withColumn("_full", keep_condition())
+                           .filter(F.col("_today") | F.col("_full")))
+    today = F.col("_today") & (_slots_between(lo, hi, m_idx, n_idx) > 0)
+    full = F.col("_full")
     yest_day = F.timestamp_add("DAY", F.lit(-1), day_start(now))
-    past = sessions.select(
-        (F.coalesce(F.col("true_peakPower_W"), F.lit(0.0))
-         * _slots_between(lo, hi, y_idx, m_idx - 1) / 12000.0).alias("y_e"),
-        F.when(day_start(F.col("connectTime")) == yest_day, F.col("userId")).alias("y_user"))
-    facts = today.unionByName(past, allowMissingColumns=True)
+    y_energy = (F.coalesce(F.col("true_peakPower_W"), F.lit(0.0))
+                * _slots_between(lo, hi, y_idx, m_idx - 1) / 12000.0)
     # exact distinct counts by default; the HyperLogLog form avoids the distinct shuffle
     distinct = (lambda c: F.approx_count_distinct(c)) if approx_users else (lambda c: F.countDistinct(c))
-    out = facts.agg(
-        (F.coalesce(F.sum("t_e"), F.lit(0.0)) / 1000).alias("kwh_today"),
-        F.count("t_id").alias("sessions_today"),
-        distinct("t_user").alias("users_today"),
-        F.coalesce(F.sum("y_e"), F.lit(0.0)).alias("kwh_yesterday"),
-        distinct("y_user").alias("users_yesterday"))
+    out = rows.agg(
+        (F.coalesce(F.sum(F.when(today, F.col("cumEnergy_Wh"))), F.lit(0.0)) / 1000).alias("kwh_today"),
+        F.count(F.when(today, F.col("dcosId"))).alias("sessions_today"),
+        distinct(F.when(today, F.col("userId"))).alias("users_today"),
+        F.coalesce(F.sum(F.when(full, y_energy)), F.lit(0.0)).alias("kwh_yesterday"),
+        distinct(F.when(full & (day_start(F.col("connectTime")) == yest_day), F.col("userId")))
+         .alias("users_yesterday"))
     return (out.withColumn("kwh_change_pct", pct_change("kwh_today", "kwh_yesterday"))
                .withColumn("kwh_direction", change_direction("kwh_change_pct"))
                .withColumn("users_change", F.col("sessions_today") - F.col("users_yesterday"))

@@ -311,8 +311,7 @@ def q_yesterday_overlay(spark, sf_dir):
          {O.direction('sessions_today - users_yesterday')} AS users_direction
   FROM k""", ["kwh_today", "kwh_yesterday", "kwh_change_pct"]))
 def q_kpi_today(spark, sf_dir):
-    r = raw(spark, sf_dir)
-    return rounded(K.kpi_today(r, C.clean_sessions(r), AS_OF))
+    return rounded(K.kpi_today(raw(spark, sf_dir), AS_OF))
 
 
 @register("kpi_month_peak", O.rounded(O.with_ctes(O.DAILY_SERIES) + f""",

@@ -50,7 +50,7 @@ def test_empty_day_gives_zero_cards(spark):
     r = raw(spark, SF_SMALL)
     s = sessions(spark, SF_SMALL)
     later = dt.datetime(2030, 1, 1, 12)
-    k = K.kpi_today(r, s, later).first()
+    k = K.kpi_today(r, later).first()
     assert (k.kwh_today, k.sessions_today, k.kwh_change_pct, k.users_change) == (0.0, 0, 0.0, 0)
     ch = ST.charger_status(s, later).collect()
     assert ch and all(c.inUse == 0 and c.todayEnergy_Wh == 0.0 for c in ch)

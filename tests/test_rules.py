@@ -134,7 +134,7 @@ def test_empty_inputs(spark):
     assert ST.charger_status(s, as_of).count() == 0
     assert TD.todays_sessions(empty, as_of).count() == 0
     assert A.cumulative_energy(s).count() == 0
-    k = K.kpi_today(empty, s, as_of).first()
+    k = K.kpi_today(empty, as_of).first()
     assert (k.kwh_today, k.sessions_today, k.kwh_yesterday, k.users_yesterday) == (0.0, 0, 0.0, 0)
     none = FC.empty_forecasts(spark)
     assert FC.upsert_forecasts(none, none).count() == 0

@@ -110,22 +110,23 @@ def user_profile(subset: DataFrame) -> DataFrame:
 
 
 def histogram(table: DataFrame, quantity: str, group_col: F.Column, group_name: str,
-              bins: int = 10) -> DataFrame:
+                bins: int = 10) -> DataFrame:
     """Percent histogram of ``quantity`` per group, ``bins`` equal-width bins.
 
-    Bin edges come from each group's min / max (``groupBy`` first); the
-    maximum falls into the last bin.
+    Bin edges come from each group's min / max (window stats per group, one
+    pass over the table); the maximum falls into the last bin.  A group holds
+    one series' rows for one weekday / hour, so it is bounded by a time span.
     """
-    t = table.select(group_col.alias(group_name), F.col(quantity).alias("_x")).filter(F.col("_x").isNotNull())
-    stats = t.groupBy(group_name).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
-                                      F.count("*").alias("_n"))
+    g = Window.partitionBy(group_name)
+    t = (table.select(group_col.alias(group_name), F.col(quantity).alias("_x"))
+              .filter(F.col("_x").isNotNull())
+              .withColumn("_lo", F.min("_x").over(g)).withColumn("_hi", F.max("_x").over(g))
+              .withColumn("_n", F.count(F.lit(1)).over(g)))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") > F.col("_lo"),
                F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins),
                        F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    binned = (t.join(F.broadcast(stats), group_name)
-               .groupBy(group_name, b.alias("bin"), "_lo", "_hi", "_n")
-               .agg(F.count("*").alias("count")))
+    binned = t.groupBy(group_name, b.alias("bin"), "_lo", "_hi", "_n").agg(F.count("*").alias("count"))
     return binned.select(
         group_name, "bin",
         (F.col("_lo") + F.col("bin") * width).alias("bin_lo"),
@@ -147,15 +148,20 @@ def yesterday_overlay(d5: DataFrame, as_of, quantity: str = "avg_power_demand_kW
     """yesterday's curve moved forward a day, beside today's.
 
     Yesterday runs from its midnight to today's midnight, both included (the
-    reference's bounds).  One union + ``groupBy(time)`` instead of a join.
+    reference's bounds).  One pass: each 5-minute row in [yesterday, tomorrow]
+    becomes a "yesterday" point one day later and / or a "today" point, then
+    one ``groupBy(time)`` -- no join, no second read of the table.
     """
     today0 = day_start(as_ntz(as_of))
     yest0 = F.timestamp_add("DAY", F.lit(-1), today0)
     tomorrow0 = F.timestamp_add("DAY", F.lit(1), today0)
-    y = (d5.filter((F.col("time") >= yest0) & (F.col("time") <= today0))
-           .select(*by, F.timestamp_add("DAY", F.lit(1), F.col("time")).alias("time"),
-                   F.col(quantity).alias("_y"), F.lit(None).cast("double").alias("_t")))
-    t = (d5.filter((F.col("time") >= today0) & (F.col("time") <= tomorrow0))
-           .select(*by, "time", F.lit(None).cast("double").alias("_y"), F.col(quantity).alias("_t")))
-    return (y.unionByName(t).groupBy(*by, "time")
-             .agg(F.max("_y").alias("yesterday_" + quantity), F.max("_t").alias("today_" + quantity)))
+    t, v = F.col("time"), F.col(quantity)
+    none = F.lit(None).cast("double")
+    points = F.array_compact(F.array(
+        F.when(t <= today0, F.struct(F.timestamp_add("DAY", F.lit(1), t).alias("t"), v.alias("y"), none.alias("x"))),
+        F.when(t >= today0, F.struct(t.alias("t"), none.alias("y"), v.alias("x")))))
+    rows = (d5.filter((t >= yest0) & (t <= tomorrow0))
+              .select(*by, F.explode(points).alias("_p"))
+              .select(*by, F.col("_p.t").alias("time"), F.col("_p.y").alias("_y"), F.col("_p.x").alias("_t")))
+    return rows.groupBy(*by, "time").agg(F.max("_y").alias("yesterday_" + quantity),
+                                         F.max("_t").alias("today_" + quantity))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from loadcurve.functions.timecols import as_ntz, day_start, floor_time
 from loadcurve.operators.timegrid import regular_spine
 from loadcurve.schemas import FORECAST
+from loadcurve.session import materialize
 
 _STEP = {"hour": 3600, "day": 86400}
 _EPOCH = dt.datetime(1970, 1, 1)
@@ -34,9 +35,11 @@ def prediction_columns(df: DataFrame) -> list[str]:
 def upsert_forecasts(existing: DataFrame, new: DataFrame, freq: str = "hour", by=()) -> DataFrame:
     step = _STEP[freq]
     cols = prediction_columns(new)
-    runs = (existing.select(*by, "time", *cols).withColumn("_run", F.lit(0))
-            .unionByName(new.select(*by, "time", *cols).withColumn("_run", F.lit(1)))
-            .withColumn("time", floor_time("time", step)))
+    runs = materialize(   # forecast runs are small and read twice (bounds, values)
+        existing.select(*by, "time", *cols).withColumn("_run", F.lit(0))
+        .unionByName(new.select(*by, "time", *cols).withColumn("_run", F.lit(1)))
+        .withColumn("_t", F.col("time"))
+        .withColumn("time", floor_time("time", step)))
     bounds = runs.groupBy(*by).agg(F.min("time").alias("_lo"), F.max("time").alias("_hi"))
     spine = regular_spine(bounds, "_lo", "_hi", step, by).select(
         *by, "time", *[F.lit(None).cast("double").alias(c) for c in cols], F.lit(-1).alias("_run"))
@@ -44,7 +47,7 @@ def upsert_forecasts(existing: DataFrame, new: DataFrame, freq: str = "hour", by
     # packed in one long so the aggregation keeps fixed-width buffers (hash aggregate)
     rank = F.col("_run").cast("long") * F.lit(10 ** 12) + F.timestamp_diff("SECOND", F.lit(_EPOCH), F.col("_t"))
     order = lambda c: F.when(F.col(c).isNotNull(), rank)
-    allrows = runs.withColumn("_t", F.col("time")).unionByName(spine.withColumn("_t", F.col("time")))
+    allrows = runs.unionByName(spine.withColumn("_t", F.col("time")))
     return allrows.groupBy(*by, "time").agg(*[F.max_by(c, order(c)).alias(c) for c in cols])
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadcurve.operators.features import chrono_split, future_rows, lag_features, lag_names
+from loadcurve.session import materialize
 
 ROWS_PER_BLOCK = 2048             # training rows per task (blocks per series follow its length)
 CHUNK_BYTES = 64 * 1024 * 1024     # memory of one (queries x block rows x lags) distance array
@@ -119,7 +120,8 @@ def knn_forecast(series: DataFrame, depth: int, k: int, value_col: str = "v", by
     complete lags are the training set.
     """
     by = list(by)
-    ext = (series.select(*by, "time", value_col).withColumn("_future", F.lit(False))
+    series = materialize(series.select(*by, "time", value_col))   # read by several branches
+    ext = (series.withColumn("_future", F.lit(False))
            .unionByName(future_rows(series, horizon, 1, value_col, by).withColumn("_future", F.lit(True))))
     feats = lag_features(ext, depth, value_col, by, drop="features")
     queries = feats.filter(F.col("_future"))
@@ -133,7 +135,8 @@ def knn_grid_scores(series: DataFrame, depths: list[int], ks: list[int], value_c
     """Validation MSE of every (depth, k) pair, per series, in one job."""
     by = list(by)
     depths, kmin, kmax = sorted(depths), min(ks), max(ks)
-    feats = lag_features(series.select(*by, "time", value_col), max(depths), value_col, by, drop="all")
+    series = materialize(series.select(*by, "time", value_col))   # read by several branches
+    feats = lag_features(series, max(depths), value_col, by, drop="all")
     split = chrono_split(feats, by, "time", test_size, validation_size)
     queries = split.filter(F.col("split") == "validation")
     train = split.filter(F.col("split") == "train")

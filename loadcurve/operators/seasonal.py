@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadcurve.operators.features import tail_rows
+from loadcurve.session import materialize
 
 PERIOD = 7
 
@@ -104,7 +105,7 @@ def seasonal_forecast(series: DataFrame, p: int = 1, P: int = 0, value_col: str
     not a join -- and one small Python function solves and recurses.
     """
     key = _key(by)
-    s = _with_key(series, by)
+    s = materialize(_with_key(series, by).select(*key, "time", value_col))   # read by two branches
     lags = regressor_lags(p, P, period)
     stats = normal_equations(design(s, lags, value_col, key, period), lags, key)
     need = max(lags) + period + horizon

@@ -94,6 +94,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def materialize(df):
+    """Cut the lineage of a small intermediate that several branches read.
+
+    A reliable ``checkpoint()`` in the shared folder: the upstream plan (say, a
+    scan of the raw sessions feeding an hourly series) runs once instead of once
+    per branch, and a lost executor re-reads the copy.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder (one per call)."""
     return os.path.join(checkpoint_dir(spark), "loadcurve", f"{name}-{uuid.uuid4().hex[:12]}")

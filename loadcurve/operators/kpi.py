@@ -43,12 +43,18 @@ def kpi_today(raw: DataFrame, as_of, approx_users: bool = False) -> DataFrame:
     n_idx = slot_index(floor_time(now, 300), 300, "floor")
     y_idx = m_idx - 288
     lo, hi = slot_bounds("startChargeTime", "finishChargeTime")
-    rows = with_helpers(raw.withColumn("_today", today_condition(as_of))
+    yest_day = F.timestamp_add("DAY", F.lit(-1), day_start(now))
+    # every contributing row has a slot since yesterday (so lastUpdate >= yesterday minus
+    # half a slot) or connected yesterday: an exact, pushable bound -- a stored table is
+    # read for about two days, not for its whole history
+    recent = ((F.col("lastUpdate") >= F.timestamp_add("MINUTE", F.lit(-5), yest_day))
+              | ((F.col("connectTime") >= yest_day) & (F.col("connectTime") < day_start(now))))
+    rows = with_helpers(raw.filter(recent)
+                           .withColumn("_today", today_condition(as_of))
                            .withColumn("_full", keep_condition())
                            .filter(F.col("_today") | F.col("_full")))
     today = F.col("_today") & (_slots_between(lo, hi, m_idx, n_idx) > 0)
     full = F.col("_full")
-    yest_day = F.timestamp_add("DAY", F.lit(-1), day_start(now))
     y_energy = (F.coalesce(F.col("true_peakPower_W"), F.lit(0.0))
                 * _slots_between(lo, hi, y_idx, m_idx - 1) / 12000.0)
     # exact distinct counts by default; the HyperLogLog form avoids the distinct shuffle

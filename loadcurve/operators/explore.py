@@ -33,13 +33,23 @@ def _to_dt(x) -> dt.datetime:
 
 
 def between_dates(df: DataFrame, col: str = "time", start=None, end=None,
-                  end_inclusive_day: bool = False) -> DataFrame:
+                  end_inclusive_day: bool = False, month_partition: str = "ym") -> DataFrame:
+    """Rows with ``col`` in the bounds; on a table partitioned by month (column
+    ``month_partition``, 'YYYY-MM', as ``jobs.refresh`` writes it) the same bounds
+    are added on the partition column, so whole months are pruned at planning."""
     c = F.col(col)
+    part = month_partition if month_partition in df.columns else None
     if start is not None:
-        df = df.filter(c >= as_ntz(_to_dt(start)))
+        s = _to_dt(start)
+        df = df.filter(c >= as_ntz(s))
+        if part:
+            df = df.filter(F.col(part) >= F.lit(s.strftime("%Y-%m")))
     if end is not None:
         e = _to_dt(end)
         df = df.filter(c < as_ntz(e + dt.timedelta(days=1)) if end_inclusive_day else c <= as_ntz(e))
+        if part:
+            last = e + dt.timedelta(days=1) if end_inclusive_day else e
+            df = df.filter(F.col(part) <= F.lit(last.strftime("%Y-%m")))
     return df
 
 
@@ -47,7 +57,9 @@ def series_range(table: DataFrame, granularity: str, quantity: str, start=None,
                  by=()) -> DataFrame:
     """One quantity and its label column of a demand table, within a date range."""
     label = LABEL_COLUMN[granularity]
-    return between_dates(table.select(*by, "time", quantity, label), "time", start, end)
+    keep = ["ym"] if "ym" in table.columns else []
+    out = between_dates(table.select(*by, "time", quantity, label, *keep), "time", start, end)
+    return out.drop(*keep)
 
 
 def relative_range(kind: str, as_of, n_days: int = 7) -> tuple[dt.datetime | None, dt.datetime | None]:

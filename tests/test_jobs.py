@@ -81,3 +81,20 @@ def test_keyed_seasonal_equals_single_series(spark):
     for sid in (1, 2):
         for r in SE.seasonal_forecast(two.filter(F.col("sid") == sid).drop("sid"), 1, 1).collect():
             assert np.isclose(keyed[(sid, r.time)], r.v_predictions, rtol=1e-9)
+
+
+def test_range_read_prunes_month_partitions(spark):
+    from loadcurve.operators import explore as X
+    from loadcurve.operators import rollup as R
+    from loadcurve.plans.common import sessions
+    root = scratch_path(spark, "prune")
+    d5 = R.demand_5min(sessions(spark, SF_SMALL), FX.AS_OF).withColumn("ym", F.date_format("time", "yyyy-MM"))
+    TB.write_table(d5, "demand_5min", root, partition_by=["ym"])
+    table = TB.read_table(spark, "demand_5min", root)
+    q = X.series_range(table, "demand_5min", "energy_demand_kWh", "2024-01-10", "2024-01-12")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ym" in plan and "2024-01" in plan
+    assert q.columns == ["time", "energy_demand_kWh", "day"]
+    assert q.count() == 2 * 288 + 1
+    empty = X.series_range(table, "demand_5min", "energy_demand_kWh", "2024-03-01", None)
+    assert empty.count() == 0

@@ -45,12 +45,14 @@ CLUSTER_SETTINGS = {
 
 
 def apply_cluster_settings(spark: SparkSession, overrides: dict | None = None) -> SparkSession:
-    """Set the cluster starting points that the session does not set already."""
-    for k, v in {**CLUSTER_SETTINGS, **(overrides or {})}.items():
-        if overrides and k in overrides:
-            spark.conf.set(k, v)
-        elif spark.conf.get(k, None) in (None, ""):
+    """Set the cluster starting points that the session does not set explicitly."""
+    explicit = spark.conf.getAll
+    explicit = explicit() if callable(explicit) else explicit
+    for k, v in CLUSTER_SETTINGS.items():
+        if k not in explicit:
             spark.conf.set(k, v)
+    for k, v in (overrides or {}).items():
+        spark.conf.set(k, v)
     return ensure_defaults(spark)
 
 

@@ -48,3 +48,19 @@ def test_tables_and_params(spark):
     got = TB.load_params(spark, root, "knn", "hourly").collect()
     assert [(r.best_depth, r.best_n_neighbors) for r in got] == [(3, 5)]
     assert TB.load_params(spark, root, "other").count() == 0
+
+
+def test_cluster_settings_fill_only_unset_keys(spark):
+    from loadcurve.session import apply_cluster_settings
+    before = spark.conf.get("spark.sql.shuffle.partitions")          # set by the test session
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        apply_cluster_settings(spark)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "256m"
+        assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+        for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.autoBroadcastJoinThreshold",
+                  "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"):
+            spark.conf.unset(k)

@@ -606,6 +606,8 @@ def q_flatten_records(spark, sf_dir):
 # ---- step 9: streaming ----------------------------------------------------------------------
 
 
+STATE_PARTITIONS = 8          # state-store partitions of the registered streams (test-sized input)
+
 _EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
     T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
@@ -623,7 +625,8 @@ _EVENTS_SCHEMA = T.StructType([
   SELECT * FROM agg
   WHERE time + INTERVAL 5 MINUTE <= (SELECT max(time) FROM agg) - INTERVAL 16 MINUTE""", ["power_W", "energy_kWh"]))
 def q_stream_demand_5min(spark, sf_dir):
-    return rounded(SD.stream_demand(spark, f"{sf_dir}/events.parquet", AS_OF, _EVENTS_SCHEMA))
+    return rounded(SD.stream_demand(spark, f"{sf_dir}/events.parquet", AS_OF, _EVENTS_SCHEMA,
+                                    state_partitions=STATE_PARTITIONS))
 
 
 @register("stream_demand_hourly", O.rounded(O.with_ctes(*O.BASE) + f""",
@@ -637,7 +640,8 @@ def q_stream_demand_5min(spark, sf_dir):
   mx AS (SELECT max({O.slot_ts('slot')}) AS m FROM slots)
   SELECT agg.* FROM agg, mx WHERE time + INTERVAL 1 HOUR <= m - INTERVAL 16 MINUTE""", ["power_W", "energy_kWh"]))
 def q_stream_demand_hourly(spark, sf_dir):
-    return rounded(SD.stream_demand(spark, f"{sf_dir}/events.parquet", AS_OF, _EVENTS_SCHEMA, size="1 hour"))
+    return rounded(SD.stream_demand(spark, f"{sf_dir}/events.parquet", AS_OF, _EVENTS_SCHEMA, size="1 hour",
+                                    state_partitions=STATE_PARTITIONS))
 
 
 def _stage_reports(spark, sf_dir) -> str:
@@ -672,7 +676,7 @@ def q_stream_session_upsert(spark, sf_dir):
 def q_stream_charger_state(spark, sf_dir):
     ev = file_stream(spark, f"{sf_dir}/events.parquet", _EVENTS_SCHEMA)
     cleaned = C.clean_sessions(FX.sessions_from_events(ev, AS_OF))
-    out = SCS.run_charger_state(spark, cleaned)
+    out = SCS.run_charger_state(spark, cleaned, state_partitions=STATE_PARTITIONS)
     # one batch, then the watermark (max report - 16 min) times out stations idle for 16 min
     state = SCS.current_state(spark.read.parquet(out))
     return rounded(state.withColumn("lastUpdate", F.col("lastUpdate").cast("timestamp_ntz")))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from loadcurve.session import scratch_path
+from loadcurve.streaming.sources import start_with_state_partitions
 
 FRESH_MS = 16 * 60 * 1000
 
@@ -63,12 +64,13 @@ def charger_state_stream(sessions_stream: DataFrame) -> DataFrame:
 
 
 def run_charger_state(spark: SparkSession, sessions_stream: DataFrame, out_path: str | None = None,
-                      checkpoint: str | None = None) -> str:
+                      checkpoint: str | None = None, state_partitions: int | None = None) -> str:
     out_path = out_path or scratch_path(spark, "charger-state-out")
     checkpoint = checkpoint or scratch_path(spark, "charger-state-ckpt")
-    q = (charger_state_stream(sessions_stream).writeStream.outputMode("append").format("parquet")
-         .option("path", out_path).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    writer = (charger_state_stream(sessions_stream).writeStream.outputMode("append").format("parquet")
+              .option("path", out_path).option("checkpointLocation", checkpoint)
+              .trigger(availableNow=True))
+    q = start_with_state_partitions(spark, writer, state_partitions)
     q.awaitTermination()
     return out_path
 

@@ -18,7 +18,7 @@ from loadcurve.functions.timecols import as_ntz, slot_index
 from loadcurve.operators.clean import clean_sessions
 from loadcurve.operators.timegrid import expand_slots
 from loadcurve.session import scratch_path
-from loadcurve.streaming.sources import file_stream
+from loadcurve.streaming.sources import file_stream, start_with_state_partitions
 
 WATERMARK = "16 minutes"
 
@@ -44,20 +44,24 @@ def windowed_demand(slots: DataFrame, watermark: str = WATERMARK, size: str = "5
 
 def run_demand_stream(spark: SparkSession, sessions_raw_stream: DataFrame, as_of=None,
                       out_path: str | None = None, checkpoint: str | None = None,
-                      watermark: str = WATERMARK, size: str = "5 minutes") -> str:
+                      watermark: str = WATERMARK, size: str = "5 minutes",
+                      state_partitions: int | None = None) -> str:
     """Run to the end of the available input (``availableNow``); returns the output folder."""
     out_path = out_path or scratch_path(spark, "stream-demand-out")
     checkpoint = checkpoint or scratch_path(spark, "stream-demand-ckpt")
-    q = (windowed_demand(slot_stream(sessions_raw_stream, as_of), watermark, size)
-         .writeStream.outputMode("append").format("parquet")
-         .option("path", out_path).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    writer = (windowed_demand(slot_stream(sessions_raw_stream, as_of), watermark, size)
+              .writeStream.outputMode("append").format("parquet")
+              .option("path", out_path).option("checkpointLocation", checkpoint)
+              .trigger(availableNow=True))
+    q = start_with_state_partitions(spark, writer, state_partitions)
     q.awaitTermination()
     return out_path
 
 
-def stream_demand(spark: SparkSession, events_path: str, as_of, schema, size: str = "5 minutes") -> DataFrame:
+def stream_demand(spark: SparkSession, events_path: str, as_of, schema, size: str = "5 minutes",
+                  state_partitions: int | None = None) -> DataFrame:
     from loadcurve.sources.fixtures import sessions_from_events
     ev = file_stream(spark, events_path, schema)
-    out = run_demand_stream(spark, sessions_from_events(ev, as_of), as_of, size=size)
+    out = run_demand_stream(spark, sessions_from_events(ev, as_of), as_of, size=size,
+                            state_partitions=state_partitions)
     return spark.read.parquet(out)

@@ -18,3 +18,22 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files_
         base, name = os.path.split(path)
         return r.option("basePath", base).load(os.path.join(base, name[:-1] + f"[{name[-1]}]"))
     return r.load(path)
+
+
+def start_with_state_partitions(spark: SparkSession, writer, state_partitions: int | None):
+    """Start a streaming query whose state store gets ``state_partitions`` partitions.
+
+    The number of state partitions is fixed when a query first starts (it comes
+    from ``spark.sql.shuffle.partitions`` and is kept in the checkpoint); the
+    query takes a copy of the session settings at ``start()``, so the setting is
+    changed only around that call.
+    """
+    if not state_partitions:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    prev = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, prev)

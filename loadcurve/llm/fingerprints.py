@@ -116,15 +116,28 @@ def _jaccard(left, right, r, ngram):
 def _in_order(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, tail, key, text): ranges of ascending ids, each with its successor's first row as a tail.
 
-    Range bounds are ids that occur (quantiles), one per bucket; they are the
-    only thing that passes the driver.
+    Range bounds are the smallest ids of quantile ranges, one per bucket; they
+    are the only thing that passes the driver.
     """
     low = -(1 << 63)
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("key"),
                        F.col("text").cast("string").alias("text"))
     at = base.agg(F.min("key"), F.percentile_approx("key", [k / buckets for k in range(1, buckets)] or [0.5],
                                                     max(10_000, 20 * buckets))).first()
-    bounds = np.array(sorted({at[0], *(at[1] or [])} - {None}), dtype=np.int64)
+    cuts = np.array(sorted({at[0], *(at[1] or [])} - {None}), dtype=np.int64)
+
+    def least(batches):
+        for batch in batches:
+            key = np.asarray(batch.column(0))
+            own = np.searchsorted(cuts, key, side="right") - 1
+            order = np.lexsort((key, own))
+            first = np.flatnonzero(np.r_[True, np.diff(own[order]) > 0]) if len(key) else []
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[order][first], pa.int32()), pa.array(key[order][first])], ["range", "key"])
+
+    # quantiles go through doubles; the ids that really come first are looked up
+    firsts = base.select("key").mapInArrow(least, "range int, key long").groupBy("range").agg(F.min("key").alias("key"))
+    bounds = np.array(sorted(r["key"] for r in firsts.collect()), dtype=np.int64)
     wrap = len(bounds)
 
     def deal(batches):
@@ -157,8 +170,8 @@ def edited_fingerprints(docs: DataFrame, buckets: int | None = None, ngram: int
     def walk(batches):
         held = None
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i, j in tg.row_slices(tg.text_buffer(batch.column(3))[1], 1 << 22):
+                part = batch.slice(i, j - i)
                 if held is not None:
                     part = pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
                 yield from _edit(part, ngram)

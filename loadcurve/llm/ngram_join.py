@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -362,3 +362,21 @@ def jaccard_components(docs: DataFrame, ngram: int = 3, num: int = 90, den: int
     grown = heads.join(comps, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     alone = F.when(F.col("doc_id").isNotNull(), F.least("doc_id", F.coalesce("component_id", "doc_id")))
     return sets.join(grown, "set_id", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
+
+
+def first_of_id(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each repeated id (the first by text); rows without an id all stay.
+
+    Ids that occur once are not shuffled with their texts: only rows of
+    repeated ids are.
+    """
+    repeated = materialize(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+                           .filter("n > 1").select(F.col("doc_id").alias("__id__")))
+    if not repeated.head(1):
+        return docs
+    on = F.col("doc_id") == F.col("__id__")
+    rest = docs.join(repeated, on, "left_anti")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    by = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *others)
+    first = docs.join(repeated, on, "left_semi").withColumn("__n__", F.row_number().over(by)).filter("__n__ = 1")
+    return rest.unionByName(first.drop("__n__"))

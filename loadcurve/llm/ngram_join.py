@@ -15,7 +15,8 @@ exact for any texts:
 3. In each tile every member is checked against the tile's smallest id
    (as many pairs as members), and links give components.  Only tiles
    that still hold more than one component are gone through pair by pair, in
-   blocks, between members of different components.
+   blocks, between members of different components; tiles of many such members
+   are first cut anew by other cuts of the hash space.
 4. Each check counts the bits of hashed bitmap signatures first: every bit that
    one side alone has stands for a shingle that the other lacks, which bounds
    the overlap from above.  What passes is intersected as sorted arrays.
@@ -35,6 +36,8 @@ from .components import connected_components
 _U = np.uint64
 _WORDS = 16           # 64-bit words of a bitmap signature
 BLOCK_MEMBERS = 2048  # members of a tile that one task compares with as many others
+LEVELS = 4            # times that a tile of more members is cut anew before it is gone through in blocks
+BROADCAST_IDS = 1_000_000
 
 
 def _bands(num: int, den: int, most: int = 1 << 40):
@@ -70,6 +73,22 @@ def _blocks(batch, ngram, text="text"):
         yield i, j, Sets(data, offsets[i: j + 1], ngram)
 
 
+def _sets(docs: DataFrame, ngram: int, bits: bool) -> DataFrame:
+    names = ["doc_id", "n_shingles", "set_id"] + ["bits"] * bits
+
+    def sets(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            for i, j, s in _blocks(batch, ngram):
+                made = [ids.slice(i, j - i), pa.array(s.sizes), pa.array(s.ids)]
+                if bits:
+                    made.append(pa.array([_bitmap(s.row(r)).tobytes() for r in range(j - i)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(made, names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(
+        sets, "doc_id long, n_shingles long, set_id long" + ", bits binary" * bits)
+
+
 def shingle_sets(docs: DataFrame, ngram: int = 3) -> DataFrame:
     """(doc_id, n_shingles, set_id) of every row; equal sets have equal set ids.
 
@@ -77,24 +96,27 @@ def shingle_sets(docs: DataFrame, ngram: int = 3) -> DataFrame:
     fewer words than ``ngram`` has its sequence as its one shingle; null, empty
     and blank texts have size 0 and a set id that links with nothing.
     """
-    def sets(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            for i, j, s in _blocks(batch, ngram):
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(s.sizes), pa.array(s.ids)], ["doc_id", "n_shingles", "set_id"])
+    return _sets(docs, ngram, False)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(
-        sets, "doc_id long, n_shingles long, set_id long")
 
+def _band_tags(s: Sets, rows: np.ndarray, num, den, lows):
+    """Each row with the band of its size and, where a partner can be in it, with the band below."""
+    band = np.searchsorted(lows, s.sizes[rows], side="right") - 1
+    lower = (band > 0) & (s.sizes[rows] * num <= (lows[band] - 1) * den)
+    return np.concatenate([rows, rows[lower]]), np.concatenate([band, band[lower] - 1])
 
-def _tile_keys(s: Sets, rows: np.ndarray, tags: np.ndarray, lows, n_parts):
-    """(row, key) of the tiles of ``rows`` under their band tags."""
+
+def _tile_keys(s: Sets, rows: np.ndarray, tags: np.ndarray, n_parts, level: int = 0):
+    """(row, key) of the tiles of ``rows`` under their band tags; each level cuts the hash space anew."""
     m = n_parts[tags]
     sizes = s.sizes[rows]
     at = np.repeat(s.offsets[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
     x = s.values[at]
     owner = np.repeat(np.arange(len(rows)), sizes)
+    if level:
+        x = tg.mix(x + _U(level * 0xD6E8FEB86659FD93 % (1 << 64)))
+        order = np.lexsort((x, owner))
+        x = x[order]
     part = ((x >> _U(32)) * m[owner].astype(_U)) >> _U(32)
     slot = (np.cumsum(m) - m)[owner] + part.astype(np.int64)
     new = np.empty(len(x), bool)
@@ -133,10 +155,7 @@ def _packed_tiles(docs: DataFrame, ngram, num, den, buckets) -> DataFrame:
                 rows = rows[s.sizes[rows] > 0]
                 if not len(rows):
                     continue
-                band = np.searchsorted(lows, s.sizes[rows], side="right") - 1
-                lower = (band > 0) & (s.sizes[rows] * num <= (lows[band] - 1) * den)
-                row, key = _tile_keys(s, np.concatenate([rows, rows[lower]]),
-                                      np.concatenate([band, band[lower] - 1]), lows, n_parts)
+                row, key = _tile_keys(s, *_band_tags(s, rows, num, den, lows), n_parts)
                 bucket = ((key >> _U(32)) * _U(buckets)) >> _U(32)
                 order = np.lexsort((row, bucket))
                 row, key, bucket = row[order], key[order], bucket[order].astype(np.int64)
@@ -259,6 +278,22 @@ def _hub_pairs(tiles: DataFrame, num, den) -> DataFrame:
             .select("a", F.col("m.ids").alias("b")).distinct())
 
 
+def _bounded(pairs: DataFrame, sets: DataFrame, num, den) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave room for a link."""
+    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"),
+                                 F.col("bits").alias(f"bits_{c}"))
+
+    def bound(batches):
+        for batch in batches:
+            na, nb = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+            bits = [np.frombuffer(b"".join(batch.column(k).to_pylist()), _U).reshape(-1, _WORDS) for k in (4, 5)]
+            keep = pa.array(_may_link(bits[0], na, bits[1], nb, num, den))
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["a", "b"])
+
+    rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "bits_a", "bits_b")
+    return rows.mapInArrow(bound, "a long, b long").distinct()
+
+
 def _mixed(tiles: DataFrame, comps: DataFrame) -> DataFrame:
     """(tile, id, size, comp) of the members of tiles with more than one component."""
     members = tiles.select("tile", F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select(
@@ -270,17 +305,36 @@ def _mixed(tiles: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(mixed, "tile")
 
 
-def _cross_pairs(mixed: DataFrame, texts: DataFrame, ngram, num, den) -> DataFrame:
-    """Pairs of different components in one tile that sizes and bitmaps leave open."""
-    def sign(batches):
+def _refined(mixed: DataFrame, base: DataFrame, ngram, num, den, level: int) -> DataFrame:
+    """Tiles of too many members cut again: a linked pair also agrees in a part of another cut of the hash space.
+
+    Members that only share a common passage rarely meet again, so the pairs to
+    go through fall with each level while none that links is lost.
+    """
+    lows, n_parts = _bands(num, den)
+    hot, rest = mixed.filter(F.col("g") > BLOCK_MEMBERS), mixed.filter(F.col("g") <= BLOCK_MEMBERS)
+
+    def keys(batches):
         for batch in batches:
+            ids = batch.column(0)
             for i, j, s in _blocks(batch, ngram):
+                rows = np.flatnonzero(s.sizes > 0)
+                row, key = _tile_keys(s, *_band_tags(s, rows, num, den, lows), n_parts, level)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i),
-                     pa.array([_bitmap(s.row(r)).tobytes() for r in range(j - i)], pa.binary())], ["id", "bits"])
+                    [ids.slice(i, j - i).take(pa.array(row)), pa.array(key.view(np.int64))], ["id", "key"])
+
+    ids = hot.select(F.col("id").alias("doc_id")).distinct()
+    again = base.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(keys, "id long, key long")
+    parts = hot.drop("g").join(again, "id").withColumn("tile", F.xxhash64("tile", "key")).select(
+        "tile", "id", "size", "comp").distinct()
+    counts = parts.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("g"))
+    return materialize(rest.unionByName(
+        parts.join(counts.filter("x <> y").select("tile", "g"), "tile").select(*rest.columns)))
 
-    bits = texts.join(mixed.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(
-        "doc_id", "text").mapInArrow(sign, "id long, bits binary")
+
+def _cross_pairs(mixed: DataFrame, sets: DataFrame, num, den) -> DataFrame:
+    """Pairs of different components in one tile that sizes and bitmaps leave open."""
+    bits = sets.select(F.col("doc_id").alias("id"), "bits")
     n = F.ceil(F.col("g") / BLOCK_MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("id"), n).cast("int")
     dealt = (mixed.join(bits, "id").withColumn("blocks", n).withColumn("own", own)
@@ -325,26 +379,39 @@ def _compare(held, key, num, den):
 
 
 def similar_links(docs: DataFrame, ngram: int = 3, num: int = 90, den: int = 100,
-                  broadcast_ids: int = 1_000_000) -> DataFrame:
+                  broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(a, b): verified links that connect every component, between smallest ids of equal texts.
 
     Not every linked pair is listed: pairs already joined through others are
-    not looked at again.  Rows without an id or words take no part.  Texts that
-    stand in some tile are written once to the shared folder; their ids are
-    broadcast only if there are at most ``broadcast_ids`` of them.
+    not looked at again.  Rows without an id or words take no part.  Texts of
+    pairs that the bitmaps leave open are written once to the shared folder;
+    their ids are broadcast only if there are at most ``broadcast_ids`` of them.
     """
+    return _links(docs, materialize(_sets(docs, ngram, True)), ngram, num, den, broadcast_ids)
+
+
+def _links(docs, sets, ngram, num, den, broadcast_ids):
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
                        ).filter("doc_id is not null and text is not null")
+    sets = sets.filter("doc_id is not null and n_shingles > 0")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def verified(pairs):
+        pairs = materialize(pairs)
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        few = ids.count() <= broadcast_ids
+        texts = materialize(base.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
+        return materialize(_verified(pairs, texts, ngram, num, den))
+
     tiles = materialize(_tiles(_packed_tiles(base, ngram, num, den, buckets), buckets))
-    ids = materialize(tiles.select(F.explode("ids").alias("doc_id")).distinct())
-    few = ids.count() <= broadcast_ids
-    texts = materialize(base.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
-    links = materialize(_verified(_hub_pairs(tiles, num, den), texts, ngram, num, den))
+    links = verified(_bounded(_hub_pairs(tiles, num, den), sets, num, den))
     mixed = materialize(_mixed(tiles, connected_components(links)))
-    more = _verified(_cross_pairs(mixed, texts, ngram, num, den), texts, ngram, num, den)
-    return materialize(links.unionByName(more))
+    for level in range(1, LEVELS + 1):
+        if not mixed.filter(F.col("g") > BLOCK_MEMBERS).head(1):
+            break
+        mixed = _refined(mixed, base, ngram, num, den, level)
+    return links.unionByName(verified(_cross_pairs(mixed, sets, num, den)))
 
 
 def jaccard_components(docs: DataFrame, ngram: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -355,8 +422,9 @@ def jaccard_components(docs: DataFrame, ngram: int = 3, num: int = 90, den: int
     alone; rows that repeat an id with other texts are joined through that id.
     Extra columns are not looked at.  An empty table gives no rows.
     """
-    comps = connected_components(similar_links(docs, ngram, num, den))
-    sets = materialize(shingle_sets(docs, ngram))
+    sets = materialize(_sets(docs, ngram, True))
+    comps = connected_components(_links(docs, sets, ngram, num, den, BROADCAST_IDS))
+    sets = sets.drop("bits")
     # equal texts: the smallest id of each set stands for it
     heads = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"))
     grown = heads.join(comps, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))

@@ -34,7 +34,6 @@ from . import textgrams as tg
 from .components import connected_components
 
 _U = np.uint64
-_WORDS = 16           # 64-bit words of a bitmap signature
 BLOCK_MEMBERS = 2048  # members of a tile that one task compares with as many others
 LEVELS = 4            # times that a tile of more members is cut anew before it is gone through in blocks
 BROADCAST_IDS = 1_000_000
@@ -222,11 +221,18 @@ def _members(key, sets, ids, sizes):
 
 
 def _bitmap(values: np.ndarray) -> np.ndarray:
-    bits = np.zeros(_WORDS * 64, bool)
-    bits[(values & _U(_WORDS * 64 - 1)).astype(np.int64)] = True
+    """A signature of at least four bits a shingle; the lengths are powers of two."""
+    length = max(512, 1 << (4 * len(values) - 1).bit_length()) if len(values) else 512
+    bits = np.zeros(length, bool)
+    bits[(values & _U(length - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(_U)
 
 
+def _folded(bits: np.ndarray, length: int) -> np.ndarray:
+    """The signature that a set would have at a shorter length."""
+    return np.bitwise_or.reduce(bits.reshape(-1, length), axis=0)
+
+
 def _may_link(bits, size, others, sizes, num, den):
     """Whether the bit counts leave room for a link between one set and others."""
     alone = np.bitwise_count(bits & ~others).sum(axis=-1, dtype=np.int64)
@@ -242,7 +248,7 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, ngram, num, den) -> DataFrame:
-    """The pairs (a, b) that link, by bitmap bound and then exact intersection of whole sets."""
+    """The pairs (a, b) that link, by exact intersection of the sorted whole sets."""
     rows = (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
             .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
             .select("a", "b", "ta", "tb"))
@@ -259,11 +265,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, ngram, num, den) -> DataFrame:
                     text = left[0][left[1][r]: left[1][r + 1]]
                     if last is None or last[0] != a[r] or last[1] != len(text):
                         own = Sets(text, np.array([0, len(text)], np.int64), ngram).row(0)
-                        last = (a[r], len(text), own, _bitmap(own))
+                        last = (a[r], len(text), own)
                     own, other = last[2], s.row(r - i)
-                    if _may_link(last[3], len(own), _bitmap(other), len(other), num, den):
-                        both = _overlap(own, other)
-                        keep[r] = den * both >= num * (len(own) + len(other) - both) and both > 0
+                    both = _overlap(own, other)
+                    keep[r] = den * both >= num * (len(own) + len(other) - both) and both > 0
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
     return rows.mapInArrow(check, "a long, b long").distinct()
@@ -286,8 +291,12 @@ def _bounded(pairs: DataFrame, sets: DataFrame, num, den) -> DataFrame:
     def bound(batches):
         for batch in batches:
             na, nb = np.asarray(batch.column(2)), np.asarray(batch.column(3))
-            bits = [np.frombuffer(b"".join(batch.column(k).to_pylist()), _U).reshape(-1, _WORDS) for k in (4, 5)]
-            keep = pa.array(_may_link(bits[0], na, bits[1], nb, num, den))
+            keep = np.zeros(len(na), bool)
+            for r, both in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                x, y = (np.frombuffer(b, _U) for b in both)
+                n = min(len(x), len(y))
+                keep[r] = _may_link(_folded(x, n), na[r], _folded(y, n), nb[r], num, den)
+            keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["a", "b"])
 
     rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "bits_a", "bits_b")
@@ -366,7 +375,9 @@ def _cross_pairs(mixed: DataFrame, sets: DataFrame, num, den) -> DataFrame:
 def _compare(held, key, num, den):
     table = pa.Table.from_batches(held)
     own, ids, sizes, comp = (np.asarray(table.column(c)) for c in ("own", "id", "size", "comp"))
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), _U).reshape(-1, _WORDS)
+    bits = [np.frombuffer(b, _U) for b in table.column("bits").to_pylist()]
+    length = min(map(len, bits))
+    bits = np.stack([_folded(b, length) for b in bits])
     x, y = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
     for i in x:
         z = y[(comp[y] != comp[i]) & (ids[y] > ids[i] if key[1] == key[2] else True)

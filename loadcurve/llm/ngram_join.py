@@ -398,10 +398,11 @@ def similar_links(docs: DataFrame, ngram: int = 3, num: int = 90, den: int = 100
     pairs that the bitmaps leave open are written once to the shared folder;
     their ids are broadcast only if there are at most ``broadcast_ids`` of them.
     """
-    return _links(docs, materialize(_sets(docs, ngram, True)), ngram, num, den, broadcast_ids)
+    return _links(docs, materialize(_sets(docs, ngram, True)), ngram, num, den, broadcast_ids)[0]
 
 
 def _links(docs, sets, ngram, num, den, broadcast_ids):
+    """The links, and the components that they make."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
                        ).filter("doc_id is not null and text is not null")
@@ -410,6 +411,8 @@ def _links(docs, sets, ngram, num, den, broadcast_ids):
 
     def verified(pairs):
         pairs = materialize(pairs)
+        if not pairs.head(1):
+            return pairs
         ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         few = ids.count() <= broadcast_ids
         texts = materialize(base.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
@@ -417,12 +420,19 @@ def _links(docs, sets, ngram, num, den, broadcast_ids):
 
     tiles = materialize(_tiles(_packed_tiles(base, ngram, num, den, buckets), buckets))
     links = verified(_bounded(_hub_pairs(tiles, num, den), sets, num, den))
-    mixed = materialize(_mixed(tiles, connected_components(links)))
+    comps = connected_components(links)
+    mixed = materialize(_mixed(tiles, comps))
+    if not mixed.head(1):
+        return links, comps
     for level in range(1, LEVELS + 1):
         if not mixed.filter(F.col("g") > BLOCK_MEMBERS).head(1):
             break
         mixed = _refined(mixed, base, ngram, num, den, level)
-    return links.unionByName(verified(_cross_pairs(mixed, sets, num, den)))
+    more = verified(_cross_pairs(mixed, sets, num, den))
+    if more.head(1):
+        links = links.unionByName(more)
+        comps = connected_components(links)
+    return links, comps
 
 
 def jaccard_components(docs: DataFrame, ngram: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -434,7 +444,7 @@ def jaccard_components(docs: DataFrame, ngram: int = 3, num: int = 90, den: int
     Extra columns are not looked at.  An empty table gives no rows.
     """
     sets = materialize(_sets(docs, ngram, True))
-    comps = connected_components(_links(docs, sets, ngram, num, den, BROADCAST_IDS))
+    _, comps = _links(docs, sets, ngram, num, den, BROADCAST_IDS)
     sets = sets.drop("bits")
     # equal texts: the smallest id of each set stands for it
     heads = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"))

@@ -35,6 +35,8 @@ from .components import connected_components
 
 _U = np.uint64
 BLOCK_MEMBERS = 2048  # members of a tile that one task compares with as many others
+SMALL_TILE = 64       # members of a tile up to which its pairs are looked at together with other tiles
+HELD_ROWS = 20_000    # members that a task holds to look at them together
 LEVELS = 4            # times that a tile of more members is cut anew before it is gone through in blocks
 BROADCAST_IDS = 1_000_000
 
@@ -353,40 +355,71 @@ def _cross_pairs(mixed: DataFrame, sets: DataFrame, num, den) -> DataFrame:
     dealt = dealt.repartition("tile", "p", "q").sortWithinPartitions("tile", "p", "q")
 
     def compare(batches):
-        held, key = [], None
+        held = []
         for batch in batches:
-            t, p, q = (np.asarray(batch.column(c)) for c in range(3))
-            change = np.flatnonzero((t[1:] != t[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
-            for a, b in zip(np.r_[0, change], np.r_[change, len(t)], strict=True):
-                if a == b:
-                    continue
-                now = (t[a], p[a], q[a])
-                if held and now != key:
-                    yield from _compare(held, key, num, den)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                key = now
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= HELD_ROWS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                t, p, q = (np.asarray(table.column(c)) for c in range(3))
+                last = (t == t[-1]) & (p == p[-1]) & (q == q[-1])
+                whole = int(np.argmax(last))  # the last group may go on in the next batch
+                yield from _compare(table.slice(0, whole), num, den)
+                held = table.slice(whole).combine_chunks().to_batches()
         if held:
-            yield from _compare(held, key, num, den)
+            yield from _compare(pa.Table.from_batches(held).combine_chunks(), num, den)
 
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _compare(held, key, num, den):
-    table = pa.Table.from_batches(held)
-    own, ids, sizes, comp = (np.asarray(table.column(c)) for c in ("own", "id", "size", "comp"))
+def _compare(table: pa.Table, num, den):
+    """Open pairs of whole groups: small ones all at once, others member by member."""
+    if not table.num_rows:
+        return
+    t, p, q, own, ids, sizes, comp = (np.asarray(table.column(c)) for c in range(7))
+    first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+    n = np.diff(np.r_[first, len(t)])
     bits = [np.frombuffer(b, _U) for b in table.column("bits").to_pylist()]
-    length = min(map(len, bits))
-    bits = np.stack([_folded(b, length) for b in bits])
-    x, y = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
-    for i in x:
-        z = y[(comp[y] != comp[i]) & (ids[y] > ids[i] if key[1] == key[2] else True)
-              & (np.minimum(sizes[y], sizes[i]) * den >= np.maximum(sizes[y], sizes[i]) * num)]
-        if len(z):
-            z = z[_may_link(bits[i], sizes[i], bits[z], sizes[z], num, den)]
-        if len(z):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(ids[i], ids[z])), pa.array(np.maximum(ids[i], ids[z]))], ["a", "b"])
+    fits = lambda i, j: ((comp[i] != comp[j]) & (ids[i] != ids[j])
+                         & (np.minimum(sizes[i], sizes[j]) * den >= np.maximum(sizes[i], sizes[j]) * num))
+    small = (n <= SMALL_TILE) & (p[first] == q[first])
+    rows = np.flatnonzero(np.repeat(small, n))
+    after = (np.repeat(first + n, n) - np.arange(len(t)) - 1)[rows]
+    i = np.repeat(rows, after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+    keep = fits(i, j)
+    nodes, at = np.unique(ids, return_inverse=True)
+    pair = np.minimum(at[i], at[j])[keep] * len(nodes) + np.maximum(at[i], at[j])[keep]
+    _, once = np.unique(pair, return_index=True)  # many tiles hold the same pair
+    yield from _open_pairs(i[keep][once], j[keep][once], ids, sizes, bits, num, den)
+    for a, b in zip(first[~small], (first + n)[~small], strict=True):
+        length = min(len(bits[r]) for r in range(a, b))
+        marks = np.stack([_folded(bits[r], length) for r in range(a, b)])
+        x, y = a + np.flatnonzero(own[a:b] == p[a]), a + np.flatnonzero(own[a:b] == q[a])
+        for i in x:
+            z = y[fits(i, y)]
+            z = z[z > i] if p[a] == q[a] else z
+            z = z[_may_link(marks[i - a], sizes[i], marks[z - a], sizes[z], num, den)] if len(z) else z
+            if len(z):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(ids[i], ids[z])), pa.array(np.maximum(ids[i], ids[z]))], ["a", "b"])
+
+
+def _open_pairs(i, j, ids, sizes, bits, num, den, most: int = 1 << 21):
+    """The pairs of rows (i, j) that their bitmaps leave open, as ids, compared at the shorter length."""
+    if not len(i):
+        return
+    length = np.array([min(len(bits[x]), len(bits[y])) for x, y in zip(i, j, strict=True)])
+    for n in np.unique(length):
+        x, y = i[length == n], j[length == n]
+        for k in range(0, len(x), max(1, most // int(n))):
+            a, b = x[k: k + max(1, most // int(n))], y[k: k + max(1, most // int(n))]
+            used, at = np.unique(np.r_[a, b], return_inverse=True)
+            marks = np.stack([_folded(bits[r], n) for r in used])
+            ok = _may_link(marks[at[: len(a)]], sizes[a], marks[at[len(a):]], sizes[b], num, den)
+            if ok.any():
+                ends = ids[a[ok]], ids[b[ok]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], ["a", "b"])
 
 
 def similar_links(docs: DataFrame, ngram: int = 3, num: int = 90, den: int = 100,

@@ -113,15 +113,14 @@ def histogram(table: DataFrame, quantity: str, group_col: F.Column, group_name:
                 bins: int = 10) -> DataFrame:
     """Percent histogram of ``quantity`` per group, ``bins`` equal-width bins.
 
-    Bin edges come from each group's min / max (window stats per group, one
-    pass over the table); the maximum falls into the last bin.  A group holds
-    one series' rows for one weekday / hour, so it is bounded by a time span.
+    Bin edges come from each group's min / max: grouped figures, one row per
+    group, joined back, so no group's rows meet in one task.  The maximum falls
+    into the last bin.
     """
-    g = Window.partitionBy(group_name)
-    t = (table.select(group_col.alias(group_name), F.col(quantity).alias("_x"))
-              .filter(F.col("_x").isNotNull())
-              .withColumn("_lo", F.min("_x").over(g)).withColumn("_hi", F.max("_x").over(g))
-              .withColumn("_n", F.count(F.lit(1)).over(g)))
+    t = table.select(group_col.alias(group_name), F.col(quantity).alias("_x")).filter(F.col("_x").isNotNull())
+    stats = t.groupBy(group_name).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
+                                      F.count(F.lit(1)).alias("_n"))
+    t = t.join(stats, group_name)
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") > F.col("_lo"),
                F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins),

@@ -28,6 +28,13 @@ def _slots_between(lo, hi, a, b):
     return F.greatest(F.least(hi, b) - F.greatest(lo, a) + 1, F.lit(0))
 
 
+def newest_reports(raw: DataFrame) -> DataFrame:
+    """One row per session: of several reports the newest (then the larger energy); null ids all stay."""
+    w = Window.partitionBy("dcosId").orderBy(F.col("lastUpdate").desc(), F.col("cumEnergy_Wh").desc())
+    return (raw.withColumn("_rk", F.row_number().over(w))
+            .filter((F.col("_rk") == 1) | F.col("dcosId").isNull()).drop("_rk"))
+
+
 def kpi_today(raw: DataFrame, as_of, approx_users: bool = False) -> DataFrame:
     """C11: today's kWh, sessions and users, against yesterday.
 
@@ -49,7 +56,7 @@ def kpi_today(raw: DataFrame, as_of, approx_users: bool = False) -> DataFrame:
     # read for about two days, not for its whole history
     recent = ((F.col("lastUpdate") >= F.timestamp_add("MINUTE", F.lit(-5), yest_day))
               | ((F.col("connectTime") >= yest_day) & (F.col("connectTime") < day_start(now))))
-    rows = with_helpers(raw.filter(recent)
+    rows = with_helpers(newest_reports(raw.filter(recent))
                            .withColumn("_today", today_condition(as_of))
                            .withColumn("_full", keep_condition())
                            .filter(F.col("_today") | F.col("_full")))

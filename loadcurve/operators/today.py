@@ -54,9 +54,13 @@ def todays_sessions_power(today: DataFrame) -> DataFrame:
 
 
 def energy_by_session_today(today: DataFrame) -> DataFrame:
-    """First values per session, then energy per vehicle model and its share."""
-    # session-level values, one per session: a distinct (hash aggregate), no string buffer
-    per_session = today.select("dcosId", "cumEnergy_Wh", "vehicle_model").distinct()
+    """One row per session, then energy per vehicle model and its share.
+
+    Of a session that was reported more than once the newest report counts
+    (then the larger energy, then the later model name).
+    """
+    newest = today.groupBy("dcosId").agg(F.max(F.struct("finishChargeTime", "cumEnergy_Wh", "vehicle_model")).alias("r"))
+    per_session = newest.select("dcosId", "r.cumEnergy_Wh", "r.vehicle_model")
     by_model = per_session.groupBy("vehicle_model").agg(
         (F.coalesce(F.sum("cumEnergy_Wh"), F.lit(0.0)) / 1000).alias("energy_kWh"),
         F.count("*").alias("sessions"))

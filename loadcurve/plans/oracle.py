@@ -40,7 +40,7 @@ sessions_raw AS (
          CAST(150 + 10 * (event_id % 7) AS BIGINT) AS reg_centsPerHr,
          'u' || CAST(user_id AS VARCHAR) || '@example.org' AS user_email,
          event_id AS paymentId
-  FROM events WHERE ts <= {AS_OF}
+  FROM events
 )"""
 
 
@@ -194,18 +194,16 @@ chargers AS (
 DAILY_SERIES = """
 daily_series AS (
   SELECT sp.d AS time, coalesce(o.v, 0) AS v
-  FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-08-01', INTERVAL 1 DAY)) AS d) sp
-  LEFT JOIN (SELECT o_orderdate AS od, sum(o_totalprice) AS v FROM orders
-             WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate <= TIMESTAMP '2001-08-01'
-             GROUP BY 1) o ON o.od = sp.d
+  FROM (SELECT unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS d FROM orders) sp
+  LEFT JOIN (SELECT o_orderdate AS od, sum(o_totalprice) AS v FROM orders GROUP BY 1) o ON o.od = sp.d
 )"""
 
 HOURLY_SERIES = """
 hourly_series AS (
-  SELECT sp.h AS time, CAST(datediff('hour', TIMESTAMP '2024-01-01', sp.h) AS BIGINT) AS i, coalesce(e.v, 0) AS v
-  FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31 23:00:00', INTERVAL 1 HOUR)) AS h) sp
-  LEFT JOIN (SELECT date_trunc('hour', ts) AS h, sum(value) AS v FROM events
-             WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01' GROUP BY 1) e ON e.h = sp.h
+  SELECT sp.h AS time, CAST(datediff('hour', (SELECT min(ts) FROM events), sp.h) AS BIGINT) AS i, coalesce(e.v, 0) AS v
+  FROM (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS h
+        FROM events) sp
+  LEFT JOIN (SELECT date_trunc('hour', ts) AS h, sum(value) AS v FROM events GROUP BY 1) e ON e.h = sp.h
 )"""
 
 

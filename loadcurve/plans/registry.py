@@ -533,7 +533,7 @@ def q_actual_vs_forecast(spark, sf_dir):
 # ---- step 7: seasonal daily model ------------------------------------------------------------
 
 
-DAILY_END = "TIMESTAMP '2001-08-01'"
+DAILY_END = "(SELECT max(time) FROM daily_series)"
 
 
 def _daily_forecast_sql(out_col: str, where: str = "") -> str:
@@ -651,8 +651,8 @@ def _stage_reports(spark, sf_dir) -> str:
     half = F.timestamp_add("SECOND", F.floor(F.timestamp_diff("SECOND", F.col("startChargeTime"),
                                                               F.col("lastUpdate")) / 2).cast("long"),
                            F.col("startChargeTime"))
-    r.withColumn("lastUpdate", half).coalesce(2).write.mode("append").parquet(stage)
-    r.coalesce(2).write.mode("append").parquet(stage)
+    r.withColumn("lastUpdate", half).write.mode("append").parquet(stage)
+    r.write.mode("append").parquet(stage)
     return stage
 
 
@@ -671,13 +671,13 @@ def q_stream_session_upsert(spark, sf_dir):
         FROM sessions WHERE stationId IS NOT NULL),
   m AS (SELECT max(lastUpdate) AS mx FROM sessions)
   SELECT stationId, dcosId, lastUpdate, currentChargingRate,
-         CASE WHEN lastUpdate + INTERVAL 32 MINUTE < mx THEN 'IDLE' ELSE 'IN USE' END AS state
+         CASE WHEN lastUpdate + INTERVAL 16 MINUTE < mx THEN 'IDLE' ELSE 'IN USE' END AS state
   FROM l, m WHERE rn = 1""", ["currentChargingRate"]))
 def q_stream_charger_state(spark, sf_dir):
     ev = file_stream(spark, f"{sf_dir}/events.parquet", _EVENTS_SCHEMA)
-    cleaned = C.clean_sessions(FX.sessions_from_events(ev, AS_OF))
+    cleaned = C.clean_sessions(FX.sessions_from_events(ev))
     out = SCS.run_charger_state(spark, cleaned, state_partitions=STATE_PARTITIONS)
-    # one batch, then the watermark (max report - 16 min) times out stations idle for 16 min
+    # the watermark (newest report - 16 min) passes the last report of a station that is idle
     state = SCS.current_state(spark.read.parquet(out))
     return rounded(state.withColumn("lastUpdate", F.col("lastUpdate").cast("timestamp_ntz")))
 

@@ -13,15 +13,11 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcurve.functions.timecols import as_ntz, floor_time, hour_start
+from loadcurve.functions.timecols import floor_time, hour_start
 from loadcurve.operators.timegrid import regular_spine
 
 AS_OF = dt.datetime(2024, 1, 30, 12, 0, 0)
 DAILY_AS_OF = dt.datetime(2001, 7, 15, 12, 0, 0)
-HOURLY_START = dt.datetime(2024, 1, 1)
-HOURLY_END = dt.datetime(2024, 2, 1)          # exclusive: 720 hours of January
-DAILY_START = dt.datetime(1995, 1, 1)
-DAILY_END = dt.datetime(2001, 8, 1)           # inclusive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +32,12 @@ def _dhms(secs) -> F.Column:
         F.floor(F.pmod(secs, 3600) / 60).cast("int"), F.pmod(secs, 60).cast("int"))
 
 
-def sessions_from_events(events: DataFrame, as_of=AS_OF) -> DataFrame:
+def sessions_from_events(events: DataFrame) -> DataFrame:
+    """Every event as a session; what is later than a moment is cut by the operators, not here."""
     e = F.col("event_id")
     start = floor_time("ts", 1)
     secs = F.floor(F.col("value") * 180).cast("long")
     return (events
-            .filter(F.col("ts") <= as_ntz(as_of))
             .select(
                 e.alias("dcosId"),
                 F.col("user_id").cast("string").alias("userId"),
@@ -68,35 +64,25 @@ def sessions_from_events(events: DataFrame, as_of=AS_OF) -> DataFrame:
             ))
 
 
-def sessions_raw(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
-    return sessions_from_events(table(spark, sf_dir, "events"), as_of)
+def sessions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions_from_events(table(spark, sf_dir, "events"))
 
 
 def hourly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``sum(value)`` per hour of January 2024, empty hours 0: (time, i, v)."""
-    ev = (table(spark, sf_dir, "events")
-          .filter((F.col("ts") >= as_ntz(HOURLY_START)) & (F.col("ts") < as_ntz(HOURLY_END)))
-          .select(hour_start("ts").alias("time"), "value"))
-    spine = regular_spine(
-        spark.range(1).select(as_ntz(HOURLY_START).alias("lo"),
-                              F.timestamp_add("HOUR", F.lit(-1), as_ntz(HOURLY_END)).alias("hi")),
-        "lo", "hi", step_seconds=3600)
-    sums = (spine.select("time", F.lit(0.0).alias("value"))
-            .unionByName(ev)
-            .groupBy("time").agg(F.sum("value").alias("v")))
-    return sums.select(
-        "time",
-        (F.timestamp_diff("HOUR", as_ntz(HOURLY_START), F.col("time"))).cast("long").alias("i"),
-        "v")
+    """``sum(value)`` per hour from the first event's to the last one's, empty hours 0: (time, i, v)."""
+    ev = table(spark, sf_dir, "events").filter("ts is not null").select(hour_start("ts").alias("time"), "value")
+    bounds = ev.agg(F.min("time").alias("lo"), F.max("time").alias("hi"))
+    spine = regular_spine(bounds, "lo", "hi", step_seconds=3600, by=["lo"])
+    sums = (spine.select("time", "lo", F.lit(0.0).alias("value"))
+            .unionByName(ev, allowMissingColumns=True)
+            .groupBy("time").agg(F.sum("value").alias("v"), F.max("lo").alias("lo")))
+    return sums.select("time", F.timestamp_diff("HOUR", F.col("lo"), F.col("time")).cast("long").alias("i"), "v")
 
 
 def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``sum(o_totalprice)`` per order day, missing days filled with 0: (time, v)."""
-    o = (table(spark, sf_dir, "orders")
-         .filter((F.col("o_orderdate") >= as_ntz(DAILY_START)) & (F.col("o_orderdate") <= as_ntz(DAILY_END)))
-         .select(floor_time("o_orderdate", 86400).alias("time"), F.col("o_totalprice").alias("value")))
-    spine = regular_spine(
-        spark.range(1).select(as_ntz(DAILY_START).alias("lo"), as_ntz(DAILY_END).alias("hi")),
-        "lo", "hi", step_seconds=86400)
+    """``sum(o_totalprice)`` per day from the first order's to the last one's, empty days 0: (time, v)."""
+    o = table(spark, sf_dir, "orders").filter("o_orderdate is not null").select(
+        floor_time("o_orderdate", 86400).alias("time"), F.col("o_totalprice").alias("value"))
+    spine = regular_spine(o.agg(F.min("time").alias("lo"), F.max("time").alias("hi")), "lo", "hi", step_seconds=86400)
     return (spine.select("time", F.lit(0.0).alias("value")).unionByName(o)
             .groupBy("time").agg(F.sum("value").alias("v")))

@@ -1,9 +1,10 @@
 """Live charger state with ``applyInPandasWithState``.
 
 State per station: its newest report (lastUpdate, dcosId, rate, choice).  A
-newer report replaces it and emits ``IN USE``; an event-time timeout at
-``lastUpdate + 16 minutes`` (watermark on the report time) emits ``IDLE`` and
-drops the state.  Output rows are state changes (append), so the current
+newer report replaces it and emits ``IN USE``.  The watermark lags the newest
+report by 16 minutes, so a station whose last report it passes is more than 16
+minutes old: the event-time timeout at that report emits ``IDLE`` and drops the
+state.  A late report that the watermark has already passed is ``IDLE`` at once.  Output rows are state changes (append), so the current
 state of a station is its latest change.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from loadcurve.session import scratch_path
 from loadcurve.streaming.sources import start_with_state_partitions
 
-FRESH_MS = 16 * 60 * 1000
+FRESH = "16 minutes"
 
 OUT = T.StructType([
     T.StructField("stationId", T.LongType()), T.StructField("dcosId", T.LongType()),
@@ -49,16 +50,21 @@ def _step(key, pdfs, state):
             best = cand
     if best is None:
         return
-    state.update(best)
-    state.setTimeoutTimestamp(best[0] + FRESH_MS)
-    yield pd.DataFrame([[station, best[1], pd.Timestamp(best[0], unit="ms"), best[2], "IN USE"]],
+    watermark = state.getCurrentWatermarkMs()
+    stale = best[0] < watermark
+    if not stale:
+        state.update(best)
+        state.setTimeoutTimestamp(max(best[0], watermark + 1))
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame([[station, best[1], pd.Timestamp(best[0], unit="ms"), best[2], "IDLE" if stale else "IN USE"]],
                        columns=OUT.fieldNames())
 
 
 def charger_state_stream(sessions_stream: DataFrame) -> DataFrame:
     s = (sessions_stream.select("stationId", "dcosId", F.col("lastUpdate").cast("timestamp").alias("lastUpdate"),
                                 "true_peakPower_W")
-         .withWatermark("lastUpdate", "16 minutes"))
+         .withWatermark("lastUpdate", FRESH))
     return s.groupBy("stationId").applyInPandasWithState(
         _step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 

@@ -62,6 +62,6 @@ def stream_demand(spark: SparkSession, events_path: str, as_of, schema, size: st
                   state_partitions: int | None = None) -> DataFrame:
     from loadcurve.sources.fixtures import sessions_from_events
     ev = file_stream(spark, events_path, schema)
-    out = run_demand_stream(spark, sessions_from_events(ev, as_of), as_of, size=size,
+    out = run_demand_stream(spark, sessions_from_events(ev), as_of, size=size,
                             state_partitions=state_partitions)
     return spark.read.parquet(out)

@@ -79,7 +79,8 @@ def mix(docs: DataFrame, entropy_share: float = 0.95, repeats: float = 4.0, budg
     Ordering by ``mix_position`` (0 to 1) interleaves the sources.  A null
     source counts as one named by the empty text; documents without tokens come
     with their block; null ids are dealt like any id, and rows with the same id
-    go together.  Only token totals by source and block are gathered; their
+    go together; a document longer than what is left of its source's budget is
+    not taken.  Only token totals by source and block are gathered; their
     table is broadcast if it is of at most ``most_sources`` sources' totals, and
     the weights of at most that many sources are computed in the driver.
     Older columns with the names of the results give way.

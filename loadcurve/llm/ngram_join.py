@@ -223,8 +223,12 @@ def _members(key, sets, ids, sizes):
 
 
 def _bitmap(values: np.ndarray) -> np.ndarray:
-    """A signature of at least four bits a shingle; the lengths are powers of two."""
-    length = max(512, 1 << (4 * len(values) - 1).bit_length()) if len(values) else 512
+    """A signature of at least one bit a shingle; the lengths are powers of two.
+
+    Sets that share a passage only differ in most shingles, which shows at that
+    length too, while a signature weighs an eighth of a byte to a quarter a shingle.
+    """
+    length = max(512, 1 << (len(values) - 1).bit_length()) if len(values) else 512
     bits = np.zeros(length, bool)
     bits[(values & _U(length - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(_U)

@@ -37,6 +37,8 @@ _U = np.uint64
 BLOCK_MEMBERS = 2048  # members of a tile that one task compares with as many others
 SMALL_TILE = 64       # members of a tile up to which its pairs are looked at together with other tiles
 HELD_ROWS = 20_000    # members that a task holds to look at them together
+HELD_BYTES = 32 << 20  # and their weight at most
+TILE_BITS = 16_384    # longest signature that travels with a member of a tile
 LEVELS = 4            # times that a tile of more members is cut anew before it is gone through in blocks
 BROADCAST_IDS = 1_000_000
 
@@ -347,9 +349,25 @@ def _refined(mixed: DataFrame, base: DataFrame, ngram, num, den, level: int) ->
         parts.join(counts.filter("x <> y").select("tile", "g"), "tile").select(*rest.columns)))
 
 
+def _short_bits(sets: DataFrame) -> DataFrame:
+    """(id, bits): signatures folded to ``TILE_BITS`` at most."""
+    def fold(batches):
+        for batch in batches:
+            short = [_folded(x, TILE_BITS // 64).tobytes() if len(x) * 64 > TILE_BITS else x.tobytes()
+                     for x in (np.frombuffer(b, _U) for b in batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], ["id", "bits"])
+
+    return sets.select("doc_id", "bits").mapInArrow(fold, "id long, bits binary")
+
+
 def _cross_pairs(mixed: DataFrame, sets: DataFrame, num, den) -> DataFrame:
-    """Pairs of different components in one tile that sizes and bitmaps leave open."""
-    bits = sets.select(F.col("doc_id").alias("id"), "bits")
+    """Pairs of different components in one tile that sizes and bitmaps leave open.
+
+    A long text lies in thousands of tiles, so its signature travels folded to
+    ``TILE_BITS``; the few pairs that this leaves open meet their whole
+    signatures once each, in ``_bounded``.
+    """
+    bits = _short_bits(sets)
     n = F.ceil(F.col("g") / BLOCK_MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("id"), n).cast("int")
     dealt = (mixed.join(bits, "id").withColumn("blocks", n).withColumn("own", own)
@@ -362,13 +380,13 @@ def _cross_pairs(mixed: DataFrame, sets: DataFrame, num, den) -> DataFrame:
         held = []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) >= HELD_ROWS:
+            if sum(b.num_rows for b in held) >= HELD_ROWS or sum(b.nbytes for b in held) >= HELD_BYTES:
                 table = pa.Table.from_batches(held).combine_chunks()
                 t, p, q = (np.asarray(table.column(c)) for c in range(3))
                 last = (t == t[-1]) & (p == p[-1]) & (q == q[-1])
                 whole = int(np.argmax(last))  # the last group may go on in the next batch
                 yield from _compare(table.slice(0, whole), num, den)
-                held = table.slice(whole).combine_chunks().to_batches()
+                held = table.take(pa.array(np.arange(whole, len(t)))).to_batches()  # lets the rest go
         if held:
             yield from _compare(pa.Table.from_batches(held).combine_chunks(), num, den)
 
@@ -465,7 +483,7 @@ def _links(docs, sets, ngram, num, den, broadcast_ids):
         if not mixed.filter(F.col("g") > BLOCK_MEMBERS).head(1):
             break
         mixed = _refined(mixed, base, ngram, num, den, level)
-    more = verified(_cross_pairs(mixed, sets, num, den))
+    more = verified(_bounded(_cross_pairs(mixed, sets, num, den), sets, num, den))
     if more.head(1):
         links = links.unionByName(more)
         comps = connected_components(links)

@@ -13,6 +13,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loadcurve.functions.timecols import as_ntz, day_start, floor_time
 from loadcurve.operators.timegrid import regular_spine
@@ -23,9 +24,9 @@ _STEP = {"hour": 3600, "day": 86400}
 _EPOCH = dt.datetime(1970, 1, 1)
 
 
-def empty_forecasts(spark: SparkSession) -> DataFrame:
-    """The empty forecast table with its fixed columns."""
-    return spark.createDataFrame([], FORECAST)
+def empty_forecasts(spark: SparkSession, keys=()) -> DataFrame:
+    """The empty forecast table with its fixed columns, after the fields of the series keys."""
+    return spark.createDataFrame([], StructType([*keys, *FORECAST.fields]))
 
 
 def prediction_columns(df: DataFrame) -> list[str]:

@@ -112,7 +112,7 @@ def knn_predict(queries: DataFrame, train: DataFrame, depth: int, k: int, value_
 
 
 def knn_forecast(series: DataFrame, depth: int, k: int, value_col: str = "v", by=(),
-                 horizon: int = 24, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+                 horizon: int = 24, rows_per_block: int = ROWS_PER_BLOCK, period: int = 24) -> DataFrame:
     """M2: forecast the ``horizon`` hours after each series' end.
 
     Future rows (value 0) are appended, lags are built over the extended
@@ -123,7 +123,7 @@ def knn_forecast(series: DataFrame, depth: int, k: int, value_col: str = "v", by
     series = materialize(series.select(*by, "time", value_col))   # read by several branches
     ext = (series.withColumn("_future", F.lit(False))
            .unionByName(future_rows(series, horizon, 1, value_col, by).withColumn("_future", F.lit(True))))
-    feats = lag_features(ext, depth, value_col, by, drop="features")
+    feats = lag_features(ext, depth, value_col, by, period, drop="features")
     queries = feats.filter(F.col("_future"))
     train = feats.filter(~F.col("_future") & F.col(value_col).isNotNull())
     return knn_predict(queries, train, depth, k, value_col, by, rows_per_block)
@@ -131,12 +131,12 @@ def knn_forecast(series: DataFrame, depth: int, k: int, value_col: str = "v", by
 
 def knn_grid_scores(series: DataFrame, depths: list[int], ks: list[int], value_col: str = "v",
                     by=(), test_size: float = 0.2, validation_size: float = 0.2,
-                    rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Validation MSE of every (depth, k) pair, per series, in one job."""
+                    rows_per_block: int = ROWS_PER_BLOCK, period: int = 24) -> DataFrame:
+    """Validation MSE of every (depth, k) pair, per series, in one job; lags are ``period`` rows apart."""
     by = list(by)
     depths, kmin, kmax = sorted(depths), min(ks), max(ks)
     series = materialize(series.select(*by, "time", value_col))   # read by several branches
-    feats = lag_features(series, max(depths), value_col, by, drop="all")
+    feats = lag_features(series, max(depths), value_col, by, period, drop="all")
     split = chrono_split(feats, by, "time", test_size, validation_size)
     queries = split.filter(F.col("split") == "validation")
     train = split.filter(F.col("split") == "train")
@@ -151,9 +151,9 @@ def knn_grid_scores(series: DataFrame, depths: list[int], ks: list[int], value_c
 
 
 def knn_grid_search(series: DataFrame, depths: list[int], ks: list[int], value_col: str = "v",
-                    by=(), rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+                    by=(), rows_per_block: int = ROWS_PER_BLOCK, period: int = 24) -> DataFrame:
     """M3: best (depth, k) per series."""
-    scores = knn_grid_scores(series, depths, ks, value_col, by, rows_per_block=rows_per_block)
+    scores = knn_grid_scores(series, depths, ks, value_col, by, rows_per_block=rows_per_block, period=period)
     w = Window.partitionBy(*by).orderBy("mse", "k", "depth")     # depths x ks rows per series
     best = scores.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1)
     return best.select(*by, F.col("depth").cast("int").alias("best_depth"),

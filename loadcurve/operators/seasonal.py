@@ -6,9 +6,9 @@ fitted by ordinary least squares.  The moving-average terms and the
 likelihood solver of the reference's libraries are not reproduced, so its
 digits are not matched; the order search compares AIC on a common sample.
 
-Plan: the normal equations ``X'X``, ``X'y`` (plus ``y'y`` and n) of the
-largest candidate come from **one** ``groupBy(series).agg`` of sums of
-products -- partial-aggregated, whatever the series length.  Every candidate
+Plan: the centred normal equations (means, co-moments and n) of the largest
+candidate come from **one** ``groupBy(series).agg`` of covariances --
+partial-aggregated, whatever the series length.  Every candidate
 is a sub-matrix of them.  Python only solves the tiny systems and runs the
 7-step recursion, once per series (``mapInPandas`` over one row per series).
 """
@@ -42,34 +42,33 @@ def design(series: DataFrame, lags: list[int], value_col: str = "v", by=(), peri
 
 
 def normal_equations(des: DataFrame, lags: list[int], by=()) -> DataFrame:
-    """One aggregation: n, sums of x_i, x_i*x_j, x_i*y, y, y*y (intercept = x0 = 1)."""
-    xs = [F.lit(1.0)] + [F.col(f"x{L}") for L in lags]
-    aggs = [F.count("*").alias("n")]
-    k = len(xs)
-    for i in range(k):
-        for j in range(i, k):
-            aggs.append(F.sum(xs[i] * xs[j]).alias(f"xx_{i}_{j}"))
-        aggs.append(F.sum(xs[i] * F.col("y")).alias(f"xy_{i}"))
-    aggs.append(F.sum(F.col("y") * F.col("y")).alias("yy"))
-    return des.groupBy(*by).agg(*aggs)
-
+    """One aggregation: n, means, and sums of products about the means (``xx_i_j``, ``xy_i``, ``yy``).
 
-def _system(row, idx: list[int]):
-    """X'X and X'y restricted to the regressor positions ``idx`` (0 = intercept)."""
-    xtx = np.empty((len(idx), len(idx)))
-    for a, i in enumerate(idx):
-        for b, j in enumerate(idx):
-            lo, hi = min(i, j), max(i, j)
-            xtx[a, b] = row[f"xx_{lo}_{hi}"]
-    xty = np.array([row[f"xy_{i}"] for i in idx])
-    return xtx, xty
+    ``covar_pop`` keeps its running sums about the running means, so large
+    levels cancel nothing; the intercept is recovered from the means.
+    """
+    n, y = F.count("*"), F.col("y")
+    xs = [F.col(f"x{L}") for L in lags]
+    aggs = [n.alias("n"), F.avg(y).alias("m_y"), (F.var_pop(y) * n).alias("yy")]
+    for i, x in enumerate(xs, start=1):
+        aggs += [F.avg(x).alias(f"m_{i}"), (F.covar_pop(x, y) * n).alias(f"xy_{i}")]
+        aggs += [(F.covar_pop(x, xs[j - 1]) * n).alias(f"xx_{i}_{j}") for j in range(i, len(xs) + 1)]
+    return des.groupBy(*by).agg(*aggs)
 
 
 def _fit(row, idx):
-    xtx, xty = _system(row, idx)
-    beta = np.linalg.lstsq(xtx, xty, rcond=None)[0]
-    rss = float(row["yy"] - 2 * beta @ xty + beta @ xtx @ beta)
-    return beta, max(rss, 0.0)
+    """(intercept and slopes, rss) of the regressors at the positions ``idx`` (0 = intercept, always in)."""
+    own = [i for i in idx if i]
+    if not own:
+        return np.array([row["m_y"]]), max(float(row["yy"]), 0.0)
+    xtx = np.array([[row[f"xx_{min(i, j)}_{max(i, j)}"] for j in own] for i in own], dtype=float)
+    xty = np.array([row[f"xy_{i}"] for i in own], dtype=float)
+    scale = np.sqrt(np.diag(xtx))
+    scale[scale == 0] = 1.0
+    slopes = np.linalg.lstsq(xtx / np.outer(scale, scale), xty / scale, rcond=None)[0] / scale
+    intercept = row["m_y"] - sum(row[f"m_{i}"] * b for i, b in zip(own, slopes, strict=True))
+    rss = float(row["yy"] - 2 * slopes @ xty + slopes @ xtx @ slopes)
+    return np.r_[intercept, slopes], max(rss, 0.0)
 
 
 def _aic(n: int, rss: float, n_params: int) -> float:

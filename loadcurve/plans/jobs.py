@@ -24,6 +24,7 @@ from loadcurve.operators import seasonal as SE
 from loadcurve.operators import status as ST
 from loadcurve.operators import today as TD
 from loadcurve.schemas import QUANTITIES
+from loadcurve.session import materialize
 from loadcurve.sources import tables as TB
 
 # Fixed values of the reference's parameter search (hourly kNN).
@@ -68,7 +69,7 @@ def update_params(spark: SparkSession, root: str, depths=None, ks=None, by=()) -
     hourly = TB.read_table(spark, "demand_hourly", root)
     long = melt(hourly, by, ("energy_demand_kWh", "peak_power_kW"))
     best = KN.knn_grid_search(long, depths or KNN_DEPTHS, ks or KNN_KS, "v", [*by, "quantity"])
-    params = (best.select(F.lit("knn").alias("model"), F.lit("hourly").alias("series"), "quantity",
+    params = (best.select(F.lit("knn").alias("model"), F.lit("hourly").alias("series"), *by, "quantity",
                           "best_depth", "best_n_neighbors"))
     params = params.unionByName(params.filter(F.col("quantity") == "energy_demand_kWh")
                                 .withColumn("quantity", F.lit("avg_power_demand_kW")))
@@ -76,25 +77,28 @@ def update_params(spark: SparkSession, root: str, depths=None, ks=None, by=()) -
     return TB.load_params(spark, root, "knn", "hourly")
 
 
-def forecast_hourly(spark: SparkSession, root: str, depth: int, k: int) -> DataFrame:
-    """Hourly kNN forecast of every quantity, merged into the stored forecasts and clamped."""
+def _merged(spark: SparkSession, root: str, name: str, new: DataFrame, freq: str, by) -> DataFrame:
+    """The stored forecasts (none yet: the empty table) with a new run merged in, per series."""
+    existing = (TB.read_table(spark, name, root) if TB.table_exists(spark, name, root)
+                else FC.empty_forecasts(spark, [new.schema[c] for c in by]))
+    return FC.upsert_forecasts(existing, new, freq, by)
+
+
+def forecast_hourly(spark: SparkSession, root: str, depth: int, k: int, by=()) -> DataFrame:
+    """Hourly kNN forecast of every quantity and series, merged into the stored forecasts and clamped."""
     hourly = TB.read_table(spark, "demand_hourly", root)
-    preds = KN.knn_forecast(melt(hourly), depth, k, "v", ["quantity"])
-    new = unmelt(preds)
-    existing = (TB.read_table(spark, "hourly_forecasts", root) if TB.table_exists(spark, "hourly_forecasts", root)
-                else FC.empty_forecasts(spark))
-    merged = FC.clamp_hourly(FC.upsert_forecasts(existing, new, "hour")).checkpoint(eager=True)
+    preds = KN.knn_forecast(melt(hourly, by), depth, k, "v", [*by, "quantity"])
+    new = unmelt(preds, by)
+    merged = materialize(FC.clamp_hourly(_merged(spark, root, "hourly_forecasts", new, "hour", by)))
     TB.write_table(merged, "hourly_forecasts", root)
     return TB.read_table(spark, "hourly_forecasts", root)
 
 
-def forecast_daily(spark: SparkSession, root: str, p: int = 1, P: int = 1) -> DataFrame:
-    """Daily seasonal forecast (7 days) of every quantity, merged into the stored forecasts."""
+def forecast_daily(spark: SparkSession, root: str, p: int = 1, P: int = 1, by=()) -> DataFrame:
+    """Daily seasonal forecast (7 days) of every quantity and series, merged into the stored forecasts."""
     daily = TB.read_table(spark, "demand_daily", root)
-    preds = SE.seasonal_forecast(melt(daily), p, P, "v", ["quantity"])
-    new = unmelt(preds)
-    existing = (TB.read_table(spark, "daily_forecasts", root) if TB.table_exists(spark, "daily_forecasts", root)
-                else FC.empty_forecasts(spark))
-    merged = FC.upsert_forecasts(existing, new, "day").checkpoint(eager=True)
+    preds = SE.seasonal_forecast(melt(daily, by), p, P, "v", [*by, "quantity"])
+    new = unmelt(preds, by)
+    merged = materialize(_merged(spark, root, "daily_forecasts", new, "day", by))
     TB.write_table(merged, "daily_forecasts", root)
     return TB.read_table(spark, "daily_forecasts", root)

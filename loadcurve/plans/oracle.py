@@ -209,8 +209,8 @@ hourly_series AS (
 
 # ---- step 6: lags, kNN, forecast tables ------------------------------------------------
 
-def lag_cols(depth: int, src: str = "v", order: str = "time") -> str:
-    return ", ".join(f"lag({src}, {24 * k}) OVER (ORDER BY {order}) AS lag{k}" for k in range(1, depth + 1))
+def lag_cols(depth: int, src: str = "v", order: str = "time", period: int = 24) -> str:
+    return ", ".join(f"lag({src}, {period * k}) OVER (ORDER BY {order}) AS lag{k}" for k in range(1, depth + 1))
 
 
 def lags_not_null(depth: int, prefix: str = "") -> str:

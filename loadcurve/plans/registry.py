@@ -27,6 +27,7 @@ from loadcurve.operators import status as ST
 from loadcurve.operators import today as TD
 from loadcurve.plans import oracle as O
 from loadcurve.plans.common import raw, rounded, sessions
+from loadcurve.plans.jobs import KNN_DEPTHS, KNN_KS
 from loadcurve.session import ensure_defaults, scratch_path
 from loadcurve.sources import fixtures as FX
 from loadcurve.sources import tables as TB
@@ -417,7 +418,8 @@ register("grid_page", O.rounded(_GRID_BASE + """
 
 LAG_DEPTH = 7
 KNN_DEPTH, KNN_K = 6, 11                  # a forecast with fixed parameters
-GRID_DEPTHS, GRID_KS = list(range(3, 8)), list(range(5, 13))
+# the reference's whole grid, 21 x 16 pairs; with lags one row apart it fits a month of hours
+GRID_DEPTHS, GRID_KS, GRID_PERIOD = KNN_DEPTHS, KNN_KS, 1
 _HS = O.with_ctes(O.HOURLY_SERIES)
 _LAGS7 = [f"lag{k}" for k in range(1, LAG_DEPTH + 1)]
 
@@ -460,7 +462,7 @@ def q_knn_forecast(spark, sf_dir):
 
 _GRID_MAX = max(GRID_DEPTHS)
 _SCORES_SQL = _HS + f""",
-  f AS (SELECT * FROM (SELECT *, {O.lag_cols(_GRID_MAX)} FROM hourly_series) WHERE {O.lags_not_null(_GRID_MAX)}),
+  f AS (SELECT * FROM (SELECT *, {O.lag_cols(_GRID_MAX, period=GRID_PERIOD)} FROM hourly_series) WHERE {O.lags_not_null(_GRID_MAX)}),
   s AS (SELECT *, row_number() OVER (ORDER BY time) AS rn, count(*) OVER () AS n FROM f),
   sp AS (SELECT *, {O.split_case()} AS split FROM s),
   q AS (SELECT * FROM sp WHERE split = 'validation'),
@@ -477,14 +479,16 @@ _SCORES_SQL = _HS + f""",
 
 @register("knn_grid_scores", O.rounded(_SCORES_SQL + " SELECT * FROM scores", ["mse"]))
 def q_knn_grid_scores(spark, sf_dir):
-    return rounded(KN.knn_grid_scores(FX.hourly_series(spark, sf_dir).select("time", "v"), GRID_DEPTHS, GRID_KS))
+    return rounded(KN.knn_grid_scores(FX.hourly_series(spark, sf_dir).select("time", "v"), GRID_DEPTHS, GRID_KS,
+                                       period=GRID_PERIOD))
 
 
 @register("knn_grid_search", O.rounded(_SCORES_SQL + """
   SELECT CAST(depth AS INTEGER) AS best_depth, CAST(k AS INTEGER) AS best_n_neighbors, mse
   FROM scores ORDER BY mse, k, depth LIMIT 1""", ["mse"]))
 def q_knn_grid_search(spark, sf_dir):
-    return rounded(KN.knn_grid_search(FX.hourly_series(spark, sf_dir).select("time", "v"), GRID_DEPTHS, GRID_KS))
+    return rounded(KN.knn_grid_search(FX.hourly_series(spark, sf_dir).select("time", "v"), GRID_DEPTHS, GRID_KS,
+                                       period=GRID_PERIOD))
 
 
 def _runs(spark, sf_dir):
@@ -596,6 +600,16 @@ def q_csv_roundtrip(spark, sf_dir):
     return rounded(TB.read_csv(spark, path, _SUBSET_SCHEMA))
 
 
+@register("clean_text_sessions", O.rounded(O.with_ctes(*O.BASE) + " SELECT * FROM sessions", O.SESSION_DOUBLES))
+def q_clean_text_sessions(spark, sf_dir):
+    """Sessions whose dates and ids arrive as JSON text, scanned, parsed and cleaned."""
+    r = raw(spark, sf_dir)
+    path = scratch_path(spark, "session-texts")
+    text = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in TB.DATE_COLUMNS}
+    r.withColumns(text | {c: F.col(c).cast("string") for c in TB.ID_COLUMNS}).write.json(path)
+    return rounded(C.clean_sessions(TB.scan_session_texts(spark, path, "json")))
+
+
 @register("flatten_records", """
   SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS "props.k" FROM events""")
 def q_flatten_records(spark, sf_dir):
@@ -722,7 +736,8 @@ def q_forecast_scores(spark, sf_dir):
   SELECT 'knn' AS model, 'hourly' AS series, q.quantity, best_depth, best_n_neighbors
   FROM best, (VALUES ('energy_demand_kWh'), ('avg_power_demand_kW')) q(quantity)""")
 def q_knn_params(spark, sf_dir):
-    best = KN.knn_grid_search(FX.hourly_series(spark, sf_dir).select("time", "v"), GRID_DEPTHS, GRID_KS)
+    best = KN.knn_grid_search(FX.hourly_series(spark, sf_dir).select("time", "v"), GRID_DEPTHS, GRID_KS,
+                                       period=GRID_PERIOD)
     params = KN.params_table(best, "knn", "hourly", "energy_demand_kWh",
                              same_as={"avg_power_demand_kW": "energy_demand_kWh"})
     root = scratch_path(spark, "params")

@@ -17,6 +17,11 @@ from pyspark.sql import types as T
 from loadcurve.schemas import KNN_PARAMS, SESSIONS_RAW
 
 
+DATE_COLUMNS = tuple(f.name for f in SESSIONS_RAW.fields if isinstance(f.dataType, T.TimestampNTZType))
+ID_COLUMNS = ("dcosId", "siteId", "stationId")
+DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "MM/dd/yyyy HH:mm:ss")
+
+
 def table_path(root: str, name: str) -> str:
     return os.path.join(root, name)
 
@@ -63,6 +68,34 @@ def scan_sessions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return reader.format(fmt).load(path)
 
 
+def scan_session_texts(spark: SparkSession, path: str, fmt: str = "json", formats=DATE_FORMATS) -> DataFrame:
+    """S1 over records whose dates and ids are text (P3, F4): read as strings, then parsed."""
+    text = T.StructType([T.StructField(f.name, T.StringType()) if f.name in DATE_COLUMNS + ID_COLUMNS else f
+                         for f in SESSIONS_RAW.fields])
+    reader = spark.read.schema(text)
+    if fmt == "csv":
+        reader = reader.option("header", True)
+    return parse_texts(reader.format(fmt).load(path), formats)
+
+
+def parse_texts(raw: DataFrame, formats=DATE_FORMATS) -> DataFrame:
+    """Text dates (first format that fits) and text ids with their declared types.
+
+    Text that fits no format, or is no number, becomes null and so leaves the
+    cleaned sessions; columns that are not text stay as they are.
+    """
+    parsed = {}
+    for f in raw.schema.fields:
+        col = F.col(f"`{f.name}`")
+        if not isinstance(f.dataType, T.StringType):
+            continue
+        if f.name in DATE_COLUMNS:
+            parsed[f.name] = F.coalesce(*[F.try_to_timestamp(col, F.lit(x)) for x in formats]).cast("timestamp_ntz")
+        elif f.name in ID_COLUMNS:
+            parsed[f.name] = col.try_cast(SESSIONS_RAW[f.name].dataType)
+    return raw.withColumns(parsed) if parsed else raw
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     """CSV export with a header line."""
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -38,6 +38,26 @@ def test_refresh_and_forecast_jobs(spark):
     assert df.count() == 7
 
 
+def test_forecast_jobs_keep_series_apart(spark):
+    root = scratch_path(spark, "jobs-keyed")
+    hs = FX.hourly_series(spark, SF_SMALL)
+    table = hs.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("stationId"), "time", "v").select(
+        "stationId", "time", *[(F.col("v") * F.col("stationId") * f).alias(q)
+                               for f, q in enumerate(jobs.QUANTITIES, start=1)])
+    TB.write_table(table, "demand_hourly", root)
+    TB.write_table(table.groupBy("stationId", F.date_trunc("day", "time").cast("timestamp_ntz").alias("time")).agg(
+        *[F.sum(q).alias(q) for q in jobs.QUANTITIES]), "demand_daily", root)
+    for run in range(2):  # the second run merges into the stored forecasts
+        hourly = jobs.forecast_hourly(spark, root, 2, 3, by=["stationId"])
+        assert hourly.count() == hourly.select("stationId", "time").distinct().count() == 48
+    sums = {r[0]: r[1] for r in hourly.groupBy("stationId").agg(F.sum("avg_power_demand_kW_predictions")).collect()}
+    assert sums[1] > 0 and sums[2] == pytest.approx(2 * sums[1])
+    daily = jobs.forecast_daily(spark, root, 1, 0, by=["stationId"])
+    assert daily.count() == 14
+    got = {r[0]: r[1] for r in daily.groupBy("stationId").agg(F.sum("energy_demand_kWh_predictions")).collect()}
+    assert got[2] == pytest.approx(2 * got[1], rel=1e-6)
+
+
 @pytest.fixture(scope="module")
 def two_series(spark):
     hs = FX.hourly_series(spark, SF_SMALL).select("time", "v")

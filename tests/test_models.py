@@ -95,3 +95,26 @@ def test_order_search_prefers_true_seasonal_model(spark):
     pdf = pd.DataFrame({"time": pd.date_range("2020-01-01", periods=n, freq="D"), "v": v})
     r = SE.seasonal_order_search(spark.createDataFrame(pdf), 2, 2).first()
     assert r.seasonal_ar_order >= 1
+
+
+def test_seasonal_fit_keeps_its_intercept_at_large_values(spark):
+    """Differences near 1e9: the same intercept and slope as a direct fit on centred values."""
+    import datetime as dt
+
+    import numpy as np
+    from loadcurve.operators import seasonal as SE
+    rng = np.random.default_rng(3)
+    w = [1e9]
+    for _ in range(299):
+        w.append(5e8 + 0.5 * w[-1] + float(rng.normal(0, 1e5)))
+    v = [0.0] * 7
+    for x in w:
+        v.append(v[-7] + x)
+    t0 = dt.datetime(2024, 1, 1)
+    s = spark.createDataFrame([(t0 + dt.timedelta(days=i), x) for i, x in enumerate(v)], "time timestamp_ntz, v double")
+    row = SE.normal_equations(SE.design(s, [1]), [1]).first()
+    beta, _ = SE._fit(row, [0, 1])
+    y, x = np.array(w[1:]), np.array(w[:-1])
+    slope = ((x - x.mean()) @ (y - y.mean())) / ((x - x.mean()) @ (x - x.mean()))
+    assert abs(beta[1] - slope) < 1e-6
+    assert abs(beta[0] - (y.mean() - slope * x.mean())) < 1e3

@@ -1,5 +1,6 @@
 """Sources: declared-schema scans in several formats, flattening, tables."""
 
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
@@ -64,3 +65,12 @@ def test_cluster_settings_fill_only_unset_keys(spark):
         for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.autoBroadcastJoinThreshold",
                   "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"):
             spark.conf.unset(k)
+
+
+def test_text_dates_and_ids(spark):
+    from loadcurve.sources import tables as TB
+    rows = [("1", "01/31/2024 00:16:06"), ("2", "2024-01-31 00:16:06"), ("3", "2024-01-31T00:16:06.250000"),
+            ("x", "31.01.2024"), (None, None)]
+    got = TB.parse_texts(spark.createDataFrame(rows, "dcosId string, lastUpdate string")).collect()
+    t = dt.datetime(2024, 1, 31, 0, 16, 6)
+    assert [tuple(r) for r in got] == [(1, t), (2, t), (3, t.replace(microsecond=250000)), (None, None), (None, None)]

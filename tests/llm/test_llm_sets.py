@@ -59,6 +59,23 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch, ngram, num, me
     assert got == brute_components(rows, ngram, num, 100)
 
 
+def test_long_texts_of_one_tile_meet_their_whole_signatures(spark, monkeypatch):
+    """Signatures folded far below the texts' sizes, and little held at once: the same components."""
+    monkeypatch.setattr(ngram_join, "TILE_BITS", 512)
+    monkeypatch.setattr(ngram_join, "HELD_BYTES", 4096)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(6000)]
+    rows = []
+    for d in range(12):  # one half in common; within each third, near copies of every degree
+        words = base[:3000] + [f"{d % 3}x{i}" for i in range(3000)]
+        for at in rng.choice(np.arange(3000, 6000), 25 * d, replace=False):
+            words[at] = f"{d}y{at}"
+        rows.append((d, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.jaccard_components(docs, 3, 80, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 3, 80, 100)
+
+
 def test_join_takes_odd_rows(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(odd_docs(spark)).collect()]
     assert len(got) == 9

@@ -21,6 +21,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+SPARK_BATCH_BYTES = "67108864b"  # the setting's default
 
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -107,6 +110,17 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Hand rows to Python tasks in Arrow batches of about ``most`` bytes, unless the session has set its own size.
+
+    Spark's default is 10,000 rows or 64 MB, and a task holds a batch several
+    times on both sides of the pipe.  With whole texts that is what a task's
+    memory outside the heap follows.
+    """
+    if spark.conf.get(BATCH_CONF, "") in ("", SPARK_BATCH_BYTES):
+        spark.conf.set(BATCH_CONF, f"{most}b")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder (one per call)."""
     return os.path.join(checkpoint_dir(spark), "loadcurve", f"{name}-{uuid.uuid4().hex[:12]}")

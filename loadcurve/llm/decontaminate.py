@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
 from . import textgrams as tg
 
 NGRAM, STRIDE, RADIUS = 5, 4, 3
@@ -180,6 +181,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, bl
     a text that is that sequence; repeated items are found each under their
     id; null ids stay.  Empty tables give no rows.
     """
+    bound_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
                              ).filter("text is not null")
     n = max(1, -(-items.count() // block_items))

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import bound_batches
+
 
 def id_remainder(mod: int, doc_id: str = "doc_id") -> Column:
     """crc32 of the id's decimal text modulo ``mod`` (null for a null id)."""
@@ -21,6 +23,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     ids are passed over.  The chosen ids are few by ``most``, so they are
     broadcast to the documents.
     """
+    bound_batches(docs.sparkSession)
     marks = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
              .filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & usable)
              .groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
@@ -37,6 +40,7 @@ def with_scores(docs: DataFrame, inputs: dict[str, Column], score, names: dict[s
     ``inputs`` are made as extra columns under reserved names and go again.  A
     column of ``docs`` that has the name of a result gives way to it.
     """
+    bound_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name not in names]
     frame = docs.select(*[docs[f"`{f.name}`"] for f in kept],
                         *[c.alias(f"__{k}__") for k, c in inputs.items()])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import bound_batches, materialize
 from . import textgrams as tg
 from .components import connected_components
 
@@ -77,6 +77,7 @@ def _blocks(batch, ngram, text="text"):
 
 
 def _sets(docs: DataFrame, ngram: int, bits: bool) -> DataFrame:
+    bound_batches(docs.sparkSession)
     names = ["doc_id", "n_shingles", "set_id"] + ["bits"] * bits
 
     def sets(batches):

@@ -117,7 +117,7 @@ def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     times on both sides of the pipe.  With whole texts that is what a task's
     memory outside the heap follows.
     """
-    if spark.conf.get(BATCH_CONF, "") in ("", SPARK_BATCH_BYTES):
+    if spark.conf.get(BATCH_CONF) == SPARK_BATCH_BYTES:
         spark.conf.set(BATCH_CONF, f"{most}b")
 
 

@@ -41,6 +41,7 @@ HELD_BYTES = 32 << 20  # and their weight at most
 TILE_BITS = 16_384    # longest signature that travels with a member of a tile
 LEVELS = 4            # times that a tile of more members is cut anew before it is gone through in blocks
 BROADCAST_IDS = 1_000_000
+BUCKET_SHINGLES = 500_000  # shingles of all texts for each bucket of tile entries
 
 
 def _bands(num: int, den: int, most: int = 1 << 40):
@@ -180,21 +181,28 @@ def _packed_tiles(docs: DataFrame, ngram, num, den, buckets) -> DataFrame:
     return docs.mapInArrow(tiles, "bucket int, sets binary, ids binary, sizes binary, counts binary, keys binary")
 
 
-def _tiles(packed: DataFrame, buckets: int) -> DataFrame:
-    """(tile, ids, sizes): tiles with two or more different texts, each set of members once."""
+def _tiles(packed: DataFrame, partitions: int) -> DataFrame:
+    """(tile, ids, sizes): tiles with two or more different texts, each set of members once.
+
+    A partition's rows come sorted by bucket, so a task holds one bucket at a time.
+    """
     def join(batches):
-        parts = {}
+        held, last = [], None
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
             for bucket, sets, ids, sizes, counts, keys in zip(*cols, strict=True):
+                if bucket != last and held:
+                    yield from _members(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held = []
+                last = bucket
                 n = np.frombuffer(counts, np.uint32)
-                parts.setdefault(bucket, []).append((
+                held.append((
                     np.frombuffer(keys, np.uint32), np.repeat(np.frombuffer(sets, np.int64), n),
                     np.repeat(np.frombuffer(ids, np.int64), n), np.repeat(np.frombuffer(sizes, np.uint32), n)))
-        for got in parts.values():
-            yield from _members(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        if held:
+            yield from _members(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    whole = packed.repartition(buckets, "bucket").mapInArrow(
+    whole = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(
         join, "tile long, ids array<long>, sizes array<long>")
     return whole.dropDuplicates(["tile"])
 
@@ -463,7 +471,9 @@ def _links(docs, sets, ngram, num, den, broadcast_ids):
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
                        ).filter("doc_id is not null and text is not null")
     sets = sets.filter("doc_id is not null and n_shingles > 0")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(partitions, -(-int(total) // BUCKET_SHINGLES))
 
     def verified(pairs):
         pairs = materialize(pairs)
@@ -474,7 +484,7 @@ def _links(docs, sets, ngram, num, den, broadcast_ids):
         texts = materialize(base.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
         return materialize(_verified(pairs, texts, ngram, num, den))
 
-    tiles = materialize(_tiles(_packed_tiles(base, ngram, num, den, buckets), buckets))
+    tiles = materialize(_tiles(_packed_tiles(base, ngram, num, den, buckets), partitions))
     links = verified(_bounded(_hub_pairs(tiles, num, den), sets, num, den))
     comps = connected_components(links)
     mixed = materialize(_mixed(tiles, comps))

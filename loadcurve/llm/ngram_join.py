@@ -234,12 +234,14 @@ def _members(key, sets, ids, sizes):
 
 
 def _bitmap(values: np.ndarray) -> np.ndarray:
-    """A signature of at least one bit a shingle; the lengths are powers of two.
+    """A signature of four to eight bits a shingle; the lengths are powers of two.
 
-    Sets that share a passage only differ in most shingles, which shows at that
-    length too, while a signature weighs an eighth of a byte to a quarter a shingle.
+    At one or two bits a shingle about half of two sets' differences fall on
+    bits that the other has too, so near copies below the share stay open, and
+    these grow with the square of their group; at four few of them do.  With
+    the members of tiles at most ``TILE_BITS`` travel.
     """
-    length = max(512, 1 << (len(values) - 1).bit_length()) if len(values) else 512
+    length = max(512, 4 << (len(values) - 1).bit_length()) if len(values) else 512
     bits = np.zeros(length, bool)
     bits[(values & _U(length - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(_U)

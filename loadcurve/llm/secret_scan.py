@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns, and a token-efficiency test for random strings.
 
-Ordinary words cost a tokenizer few tokens, random strings many.  A run of key
-characters that mixes letters and digits is a span of kind ``random`` if it has
-at most ``ratio`` characters a token under a tiktoken vocabulary and is neither
-part of a fixed pattern's span nor a known digest or identifier.  Spans count
-code points; ends are exclusive.
+Ordinary words cost a tokenizer few tokens, random strings many.  What is left
+of a run of key characters outside the fixed patterns' spans, known digests and
+identifiers, host names and e-mail local parts is a span of kind ``random`` if
+it has at most ``ratio`` characters a token under a tiktoken vocabulary; if not,
+each stretch of its pieces between plain words and numbers is tested on its own.
+Spans count code points; ends are exclusive.
 """
 
 from __future__ import annotations
@@ -31,16 +32,33 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
                     re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
+LEAST = 16  # characters of a random string
+PLAIN = 0.82  # of the ratio that letters without a capital inside may have
+VOWELS = 0.2  # of such letters that are vowels in a word at least
 #: A run of key characters long enough to test.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-# Identifiers and digests that look random but are no secrets.
+_EDGE = "=-_/+"
+_PIECE = re.compile(r"[A-Za-z0-9]+")
+_WORDS = re.compile(r"([A-Za-z]+(?:[-_/=+]+[A-Za-z]+)*)[-_/=+]?[0-9]{0,6}")  # letters, with a short number at most
+# Identifiers, digests and addresses that look random but are no secrets.
 KNOWN = re.compile(
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"          # UUID
-    r"|([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})"  # digests
-    r"|sha(1|256|384|512)-[A-Za-z0-9+/]+=*"                         # integrity attribute
-    r"|[0-9+/_=-]+"                                                # numbers, dates, phone and card numbers
-    r"|[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]?[0-9]{0,6}")             # words, with a short number at most
-_BLOCK = 16
+    r"(?<![A-Za-z0-9])(?:"
+    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"          # UUID
+    r"|(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})"  # digests
+    r"|(?:sha|SHA)(?:1|256|384|512)[-:][A-Za-z0-9+/]+=*"            # integrity attribute, named digest
+    r"|(?:md5|MD5):[A-Za-z0-9+/]+=*"
+    r")(?![A-Za-z0-9])")
+HOST = re.compile(
+    r"(?<![A-Za-z0-9._-])(?:(?<=//)|(?<=@))(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9_-])"
+    r"|(?<![A-Za-z0-9._-])(?:[a-z0-9-]{1,63}\.)+(?:com|org|net|edu|gov|int|info|biz|io|dev|app|cloud|eu|de|at|ch|fr|es|it|nl|be"
+    r"|pl|pt|uk|ie|us|ca|mx|br|jp|cn|in|au|example|test|invalid|local|localhost)(?![A-Za-z0-9_-])")
+MAIL = re.compile(r"[A-Za-z0-9._%+-]+(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
+#: Before a local part: a colon or slash makes it the password of a URL or a login, but not after these words.
+_MAIL_LABEL = re.compile(r"(?:mailto|e-?mail|mail|from|to|cc|bcc|reply-to|contact|kontakt|contacto|courriel|correo):\Z", re.IGNORECASE)
+_AROUND = 256  # characters before and after a run that can make it part of an address
+_BLOCK = 8
+_KEY = np.zeros(256, bool)
+_KEY[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
 
 
 class Tokens:
@@ -71,24 +89,95 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _known(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Places of identifiers, digests, host names and e-mail local parts in or around the run ``a`` to ``b``."""
+    first = max(0, a - _AROUND)
+    near = text[first: b + _AROUND]
+    out = [m.span() for m in KNOWN.finditer(near)]
+    if "." in near:
+        out += [m.span() for m in HOST.finditer(near)]
+    if "@" in near:
+        for m in MAIL.finditer(near):
+            before = re.split(r"[\s\"'<>(),;]", near[: m.start()])[-1]
+            if ":" not in before or _MAIL_LABEL.search(before):
+                out.append(m.span())
+    return [(first + x, first + y) for x, y in out]
+
+
+def _outside(a: int, b: int, taken) -> list[tuple[int, int]]:
+    """What is left of ``a`` to ``b`` outside the spans of ``taken``."""
+    out = []
+    for x, y in sorted(taken):
+        if x < b and y > a:
+            if x > a:
+                out.append((a, x))
+            a = max(a, y)
+    return out + [(a, b)] * (a < b)
+
+
+def _inefficient(run: str, tokens: Tokens, ratio: float) -> bool:
+    """Whether a run is long enough and has at most ``ratio`` characters a token.
+
+    Of letters with a short number at most, the letters are judged, also as a
+    word in lower case after a space, which is how the vocabulary knows words.
+    Compounds of the rarer languages come down to ``ratio`` too, so letters
+    without a capital inside need ``PLAIN`` of it, or hardly a vowel.
+    """
+    run = run.strip(_EDGE)
+    if len(run) < LEAST:
+        return False
+    words = _WORDS.fullmatch(run)
+    if not words:
+        return not run.strip("0123456789" + _EDGE) == "" and len(run) <= ratio * tokens.count(run)
+    parts = _PIECE.findall(words[1])
+    n = sum(map(len, parts))
+    if (all(p[1:].islower() or p.isupper() or len(p) < 2 for p in parts)
+            and sum(words[1].lower().count(v) for v in "aeiouy") >= VOWELS * n):
+        ratio *= PLAIN
+    return all(n <= ratio * sum(tokens.count(form(p)) for p in parts)
+               for form in (str, lambda p: " " + p, lambda p: " " + p.lower()))
+
+
+def _random_parts(text: str, a: int, b: int, tokens: Tokens, ratio: float):
+    """Inefficient parts of ``a`` to ``b``: all of it, or stretches of pieces between its words and numbers."""
+    if b - a < LEAST:
+        return
+    if _inefficient(text[a:b], tokens, ratio):
+        yield a, b
+        return
+    start = end = None
+    for m in _PIECE.finditer(text, a, b):
+        piece = m[0]
+        plain = (piece.isdigit() or piece.isalpha() and len(piece) < 4
+                 or len(piece) > ratio * max(tokens.count(piece), tokens.count(" " + piece.lower()) * piece.isalpha()))
+        if not plain:
+            start, end = m.start() if start is None else start, m.end()
+        elif start is not None:
+            if _inefficient(text[start:end], tokens, ratio):
+                yield start, end
+            start = None
+    if start is not None and _inefficient(text[start:end], tokens, ratio):
+        yield start, end
+
+
 def random_spans(text: str, taken: list[tuple[str, int, int]], tokens: Tokens, ratio: float):
-    """Spans of inefficient runs that touch no span of ``taken``, no address and no known form."""
+    """Spans of inefficient runs, or pieces of runs, outside the spans of ``taken``, addresses and known forms."""
     out = []
+    base = [s[1:] for s in taken]
     for m in RUN.finditer(text):
         a, b = m.span()
-        if (KNOWN.fullmatch(m[0]) or any(s < b and a < e for _, s, e in taken)
-                or text[b: b + 1] == "@" or text[a - 1: a] in ("@", ".", ":") and a):
-            continue
-        run = m[0].strip("=-_/+")
-        if len(run) >= 16 and len(run) <= ratio * tokens.count(run):
-            out.append(("random", a, b))
+        inner = [s for s in base if s[0] < b and a < s[1]]
+        found = [s for x, y in _outside(a, b, inner) for s in _random_parts(text, x, y, tokens, ratio)]
+        if found and (known := _known(text, a, b)):
+            found = [s for x, y in _outside(a, b, inner + known) for s in _random_parts(text, x, y, tokens, ratio)]
+        out += [("random", *s) for s in found]
     return out
 
 
 def _worth_reading(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows that can have a span at all: a key mark, ``AKIA``, a digit or a long run of hex letters.
+    """Rows that can have a span at all: a key mark, ``AKIA``, a digit or a long run of key characters.
 
-    A run of 32 hex characters has an aligned block of 16 in it.
+    A run of ``LEAST`` = 16 characters has an aligned block of 8 in it.
     """
     a, b = int(offsets[0]), int(offsets[-1])
     buf = data[a:b]
@@ -96,9 +185,9 @@ def _worth_reading(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     marks = np.isin(buf, np.frombuffer(b":=0123456789", np.uint8))
     odd = tg.segment_sums(marks.astype(np.int64), at) > 0
     n = len(buf) // _BLOCK * _BLOCK
-    hexa = ((buf[:n] >= 97) & (buf[:n] <= 102)).reshape(-1, _BLOCK).all(axis=1)
+    runs = _KEY[buf[:n]].reshape(-1, _BLOCK).all(axis=1)
     upper = (buf[:-3] == 65) & (buf[1:-2] == 75) & (buf[2:-1] == 73) & (buf[3:] == 65) if len(buf) > 3 else np.empty(0, bool)
-    hits = np.r_[np.flatnonzero(hexa) * _BLOCK, np.flatnonzero(upper)]
+    hits = np.r_[np.flatnonzero(runs) * _BLOCK, np.flatnonzero(upper)]
     odd[np.searchsorted(at, hits, side="right") - 1] = True
     return odd
 

@@ -3,11 +3,14 @@
 Markup is stripped into lines, one for each block of text.  Parts that are
 never main text (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments) and the edges of the page's sections leave
-blank lines behind.  The lengths of the lines are summed over sliding windows;
-a surge is a window that rises from nothing, a dive one that falls to nothing
-again, and the lines between the two are a block of text.  Blocks inside an
-article or main element are kept; on a page without one, those whose highest
-window reaches a share of the page's highest.
+blank lines behind; a line that is mostly link text weighs nothing.  The weights
+are summed over sliding windows of lines.  A surge is where a window rises from
+nothing, a dive where one falls to nothing again, and the lines between the two
+are a block of text.  The block of the most text is the main one.  Others are
+kept if their highest window reaches a share of the page's highest.  Article and
+main elements are a hint only: beside the main block in the same element the
+share is lower, and a block in an article of its own needs the share of the main
+block's text as well.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3          # lines that a window sums over
-SHARE = 0.25        # of the highest window that a block must reach where no article is marked
-LINKED = 0.5        # of a block's text that may be link text there
+SHARE = 0.25        # of the highest window that a block must reach
+BESIDE = 0.02       # the same in the article or main element that holds the main block
+LINKED = 0.5        # of a line's or block's text that may be link text
 
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
@@ -46,6 +50,13 @@ _NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner"
           "header", "masthead", "topbar", "toolbar", "comment", "comments", "disqus", "respond", "reply", "replies",
           "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "subscription", "signup",
           "login", "search", "pagination", "pager", "contentinfo", "complementary", "dialog", "form", "widget"}
+# The first words of an article's classes that say it is not main text.
+_NO_ARTICLE = {"comment", "reply", "ad", "advert", "advertisement", "sponsor", "sponsored", "promo", "related",
+               "recommended", "teaser", "sidebar", "widget", "popup", "modal", "newsletter"}
+# Parts that follow the main text, so an article in them is never what was meant.
+_AFTER = {"aside", "footer"}
+_AFTER_NAMES = {"aside", "footer", "contentinfo", "complementary", "comment", "comments", "disqus", "respond", "reply",
+                "replies", "related", "recommended"}
 _SPLIT = re.compile(r"[^a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
@@ -53,7 +64,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 def _unwanted(name: str, attributes: str) -> bool:
     if name in _DROPPED:
         return True
-    if not attributes or name in _MAIN or name in ("html", "body"):
+    if not attributes or name in ("main", "html", "body"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -61,6 +72,9 @@ def _unwanted(name: str, attributes: str) -> bool:
             found = bool(_HIDDEN.search(value))
         elif key == "hidden" or key == "aria-hidden":
             found = key == "hidden" and not value.lower() == "until-found" or value.lower() == "true"
+        elif name == "article":
+            words = [_SPLIT.split(w) for w in value.lower().split()]
+            found = any(w == ["comments"] or w[0] in _NO_ARTICLE for w in words)
         else:
             found = not _NAMES.isdisjoint(_SPLIT.split(value.lower()))
         if found:
@@ -68,8 +82,33 @@ def _unwanted(name: str, attributes: str) -> bool:
     return False
 
 
+def _follows(name: str, attributes: str) -> bool:
+    return name in _AFTER or any(
+        m[1].lower() in ("class", "id", "role") and not _AFTER_NAMES.isdisjoint(_SPLIT.split((m[2] or "").lower()))
+        for m in _ATTRIBUTE.finditer(attributes))
+
+
+def _never_closed(page: str) -> set[int]:
+    """Places after the start tags that no end tag belongs to."""
+    opened: dict[str, list[int]] = {}
+    at = 0
+    while m := _MARKUP.search(page, at):
+        at = m.end()
+        name = (m[2] or m[5] or "").lower()
+        closes = m[1] or m[4]
+        if name in _RAW and not closes:
+            end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
+            at = end.end() if end else len(page)
+        elif closes:
+            if opened.get(name):
+                opened[name].pop()
+        elif name and name not in _VOID:
+            opened.setdefault(name, []).append(at)
+    return {k for places in opened.values() for k in places}
+
+
 class _Lines:
-    """Lines of text with their lengths, link text and whether an article holds them."""
+    """Lines of text with their lengths, link text and the article that holds them (0: none)."""
 
     def __init__(self):
         self.texts, self.linked, self.main = [], [], []
@@ -88,11 +127,12 @@ class _Lines:
         for _ in range(WINDOW):
             self.texts.append("")
             self.linked.append(0)
-            self.main.append(False)
+            self.main.append(0)
 
 
 def _strip(page: str) -> _Lines:
-    lines, stack, at, dropped, main, links = _Lines(), [], 0, 0, 0, 0
+    lines, stack, at, dropped, links = _Lines(), [], 0, 0, 0
+    held, n_main, unclosed = [0], 0, None  # the article and main elements around, all that were seen
 
     def said(text):
         if text and not dropped:
@@ -102,13 +142,14 @@ def _strip(page: str) -> _Lines:
                 lines.link += len(text.strip())
 
     def pop():
-        nonlocal dropped, main, links
-        name, unwanted = stack.pop()
+        nonlocal dropped, links
+        name, unwanted, *_ = stack.pop()
         dropped -= unwanted
         links -= name == "a"
         if name in _SECTIONS or unwanted:
-            lines.blank(main > 0)
-        main -= name in _MAIN
+            lines.blank(held[-1])
+        if name in _MAIN:
+            held.pop()
 
     while True:
         m = _MARKUP.search(page, at)
@@ -128,7 +169,7 @@ def _strip(page: str) -> _Lines:
                 at = end.end() if end else len(page)
             continue
         if name not in _INLINE:
-            lines.end(main > 0)
+            lines.end(held[-1])
         if name in _VOID:
             continue
         if closes:
@@ -137,25 +178,30 @@ def _strip(page: str) -> _Lines:
                 while len(stack) > depth:
                     pop()
             continue
-        if name in _MAIN and not main:  # an advert or menu that was never closed ends where the article begins
-            while dropped:
-                pop()
+        unwanted = _unwanted(name, attributes)
+        if name in _MAIN and dropped and len(held) == 1 and not unwanted:
+            # an advert or menu that was never closed ends where the article begins
+            unclosed = _never_closed(page) if unclosed is None else unclosed
+            if all(place in unclosed and not follows for _, no, place, follows in stack if no):
+                while dropped:
+                    pop()
         if name == "p" or name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             inner = next((k for k in range(len(stack) - 1, max(len(stack) - 8, -1), -1)
                           if stack[k][0] == name or stack[k][0] not in _INLINE), None)
             if inner is not None and stack[inner][0] == name:
                 while len(stack) > inner:
                     pop()
-        unwanted = _unwanted(name, attributes)
         if attributes.endswith("/") and name not in _SECTIONS:
             continue
         if name in _SECTIONS or unwanted:
-            lines.blank(main > 0)
-        stack.append((name, unwanted))
+            lines.blank(held[-1])
+        stack.append((name, unwanted, at, unwanted and _follows(name, attributes)))
         dropped += unwanted
-        main += name in _MAIN
+        if name in _MAIN:
+            n_main += 1
+            held.append(n_main)
         links += name == "a"
-    lines.end(main > 0)
+    lines.end(held[-1])
     return lines
 
 
@@ -164,25 +210,31 @@ def main_text(page: str | None) -> str:
     lines = _strip(page or "")
     if not lines.texts:
         return ""
-    size = np.array([len(t) for t in lines.texts])
-    window = np.convolve(size, np.ones(WINDOW, int))[WINDOW - 1:]  # the sum of a line and the next WINDOW - 1
-    text = np.flatnonzero(size)
+    size, linked, held = (np.array(x) for x in ([len(t) for t in lines.texts], lines.linked, lines.main))
+    weight = np.where(linked <= LINKED * size, size, 0)
+    window = np.convolve(weight, np.ones(WINDOW, int))[WINDOW - 1:]  # the sum of a line and the next WINDOW - 1
+    text = np.flatnonzero(weight)
     if not len(text):
         return ""
     # a block ends where the window after its last line has dived to nothing
     dive = np.array([i + 1 >= len(size) or window[i + 1] == 0 for i in text])
-    blocks, start = [], 0
-    for k in np.flatnonzero(dive):
-        blocks.append(text[start: k + 1])
-        start = k + 1
-    if start < len(text):
-        blocks.append(text[start:])
-    kept = [b for b in blocks if any(lines.main[i] for i in b)]
-    if not kept:
-        plain = [b for b in blocks if sum(lines.linked[i] for i in b) <= LINKED * size[b].sum()]
-        surge = max((window[b].max() for b in plain), default=0)
-        kept = [b for b in plain if window[b].max() >= SHARE * surge]
-    return "\n".join(lines.texts[i] for b in kept for i in b)
+    ends = np.flatnonzero(dive)
+    if not len(ends) or ends[-1] < len(text) - 1:
+        ends = np.r_[ends, len(text) - 1]
+    blocks = [(int(text[a]), int(text[b]) + 1) for a, b in zip(np.r_[0, ends[:-1] + 1], ends, strict=True)]
+    mass = [int(weight[a:b].sum()) for a, b in blocks]
+    peak = [int(window[a:b].max()) for a, b in blocks]
+    best = int(np.argmax(mass))
+    home = int(held[blocks[best][0]])
+    kept = []
+    for k, (a, b) in enumerate(blocks):
+        beside = home and held[a] == home
+        if peak[k] < (BESIDE if beside else SHARE) * max(peak):
+            continue
+        if k != best and held[a] and not beside and mass[k] < SHARE * mass[best]:
+            continue
+        kept += [t for t in lines.texts[a:b] if t]
+    return "\n".join(kept)
 
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

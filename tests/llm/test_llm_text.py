@@ -161,6 +161,33 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+BODY = "<p>" + "</p><p>".join(f"Paragraph {i} " + "of the main text " * 20 for i in range(6)) + "</p>"
+TEASER = "<article><h3>Teaser</h3><p>Read this other story too, it is short.</p></article>"
+LINKS = "".join(f"<li><a href='/{i}'>Another page of this site {i}</a></li>" for i in range(9))
+
+
+@pytest.mark.parametrize("page, absent", [
+    (f"<body><div id=content>{BODY}</div>{TEASER * 3}</body>", "Teaser"),                       # cards beside plain text
+    (f"<body><div class=ad><article><p>Buy this</p></article></div><div>{BODY}</div></body>", "Buy"),   # closed parent
+    (f"<body><article>{BODY}</article><div class=comments><article><p>{'Nice one! ' * 90}</p></article></div></body>", "Nice"),
+    (f"<body><div>{BODY}</div><section class=comments><article><p>{'Nice one! ' * 90}</p></article></section></body>", "Nice"),
+    (f"<body><article>{BODY}</article><article class='comment depth-1'><p>{'Nice one! ' * 90}</p></article></body>", "Nice"),
+    (f"<body><aside><article><p>{'Side ' * 300}</p></article></aside><div>{BODY}</div></body>", "Side"),
+    (f"<body><article><ul>{LINKS}</ul>{BODY}</article></body>", "Another page"),                  # links in the article
+    (f"<body><ul>{LINKS}</ul><div>{BODY}</div></body>", "Another page"),
+    (f"<body><main><article class='post comments-open'>{BODY}</article>{TEASER}</main></body>", "Teaser"),
+])
+def test_line_blocks_choose_the_text_and_not_the_tags(page, absent):
+    text = html_extract.main_text(page)
+    assert text.count("of the main text") == 120 and absent not in text
+    assert [f"Paragraph {i}" in text for i in range(6)] == [True] * 6
+
+
+def test_several_whole_articles_stay():
+    page = "<body>" + "".join(f"<article><p>{f'Story {k} has a text. ' * 30}</p></article>" for k in range(3)) + "</body>"
+    assert [f"Story {k}" in html_extract.main_text(page) for k in range(3)] == [True] * 3
+
+
 def test_extraction_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>Hi there"), (1, "u", "<p>Hi there"), (None, None, None)],
                                   "page_id long, url string, html string")

@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loadcurve.llm import decontaminate, mixing, ngram_join, quality, secret_scan
 from loadcurve.session import checkpoint_dir
@@ -34,18 +33,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, Jaccard of 0.8 or more.
 
-    The one with the group's smallest id stays.  Rows without an id or words
-    stand alone and stay; of rows that repeat an id, one stays.
+    The one with the group's smallest id stays.  Rows are judged by their texts:
+    copies without an id go, different texts that repeat an id stay.  Rows
+    without words stay.
     """
-    groups = ngram_join.jaccard_components(docs, ngram=5, num=80, den=100)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone__")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone__"), "left_anti")
-    return ngram_join.first_of_id(kept)
+    return ngram_join.without_near_copies(docs, ngram=5, num=80, den=100)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item (similarity of 0.8 or more)."""
-    return decontaminate.without_leaks(docs, _table(spark, sf_dir, "benchmark"))
+    """Documents that hold no benchmark item (similarity of 0.8 or more); each row is judged by its own text."""
+    return decontaminate.without_leaks(docs, _table(spark, sf_dir, "benchmark"), by_id=False)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import bound_batches
 from . import textgrams as tg
+from .labelled import with_scores
 
 NGRAM, STRIDE, RADIUS = 5, 4, 3
 _SIZES = (64, 48, 32, 24, 16, 12, 8, 6, 4, 3, 2, 1)
@@ -171,6 +172,17 @@ class _Index:
         return [(r, k, s, place) for (r, k), (s, place) in sorted(best.items())]
 
 
+def _indexes(benchmark: DataFrame, threshold: float, block_items: int):
+    """Indexes of blocks of at most about ``block_items`` items, one after another (one of an empty table)."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
+                             ).filter("text is not null")
+    n = max(1, -(-items.count() // block_items))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    for b in range(n):
+        part = [(r["item_id"], r["text"]) for r in items.filter(block == b).orderBy("item_id", "text").collect()]
+        yield _Index(part, threshold)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, block_items: int = 20_000) -> DataFrame:
     """(doc_id, item_id, similarity, place): documents that hold a benchmark item, and where.
 
@@ -182,16 +194,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, bl
     id; null ids stay.  Empty tables give no rows.
     """
     bound_batches(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
-                             ).filter("text is not null")
-    n = max(1, -(-items.count() // block_items))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, similarity double, place long"
     found = None
-    for b in range(n):
-        part = [(r["item_id"], r["text"]) for r in items.filter(block == b).orderBy("item_id", "text").collect()]
-        one = rows.mapInArrow(_searcher(_Index(part, threshold)), schema)
+    for index in _indexes(benchmark, threshold, block_items):
+        one = rows.mapInArrow(_searcher(index), schema)
         found = one if found is None else found.unionByName(one)
     return found
 
@@ -211,12 +218,31 @@ def _searcher(index: _Index):
     return search
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; all columns stay, rows without an id too.
+def _marker(index: _Index):
+    def mark(text):
+        data, offsets = tg.text_buffer(text)
+        leaks = np.zeros(len(text), bool)
+        for i, j in tg.row_slices(offsets):
+            a, b = offsets[i], offsets[j]
+            got = index.search(*_shingles(_fold_latin(data[a:b]), offsets[i: j + 1] - a))
+            leaks[[i + r for r, *_ in got]] = True
+        return [pa.array(leaks)]
+    return mark
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, block_items: int = 20_000,
+                  by_id: bool = True) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item; all columns stay.
 
-    The text itself is searched, so a row's id only names it: rows that repeat
-    the id of a leaking row with another text go with it.
+    Each row is judged by its own text, with or without an id.  With ``by_id``,
+    rows that repeat the id of a leaking row with another text go with it;
+    without, they stay.
     """
-    leaks = find_leaks(docs, benchmark, threshold).select("doc_id").distinct()
-    return docs.join(leaks.withColumnRenamed("doc_id", "__leak__"),
-                     F.col("doc_id").cast("long") == F.col("__leak__"), "left_anti")
+    kept = docs
+    for index in _indexes(benchmark, threshold, block_items):
+        kept = with_scores(kept, {"text": F.col("text").cast("string")}, _marker(index), {"__leak__": "boolean"}
+                           ).filter("not __leak__").drop("__leak__")
+    if not by_id:
+        return kept
+    leaks = find_leaks(docs, benchmark, threshold, block_items).select(F.col("doc_id").alias("__leak__")).distinct()
+    return kept.join(leaks, F.col("doc_id").cast("long") == F.col("__leak__"), "left_anti")

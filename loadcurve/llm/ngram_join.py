@@ -523,6 +523,43 @@ def jaccard_components(docs: DataFrame, ngram: int = 3, num: int = 90, den: int
     return sets.join(grown, "set_id", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
 
 
+def without_near_copies(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one with the smallest id, rows without an id last.
+
+    Rows are judged by their texts.  Where no id is null or repeated the id
+    names the row; other rows go by the hash of their text, so copies without
+    an id go and different texts under one id stay.  Rows without words all stay.
+    """
+    odd = materialize(docs.groupBy(F.col("doc_id").cast("long").alias("__id__")).agg(F.count("*").alias("n"))
+                      .filter("n > 1 or __id__ is null").select("__id__"))
+    key = F.col("doc_id").cast("long")
+    if not odd.head(1):
+        groups = jaccard_components(docs, ngram, num, den)
+        gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone__")).distinct()
+        return docs.join(gone, key == F.col("__gone__"), "left_anti")
+    odd = F.broadcast(odd) if odd.count() <= BROADCAST_IDS else odd
+    by_text = F.xxhash64(F.col("text").cast("string")).bitwiseOR(F.lit(-(1 << 63)))
+    whole = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    rows = (docs.join(odd, key == F.col("__id__"), "left")
+            .withColumn("__key__", F.when(key.isNull() | F.col("__id__").isNotNull(), by_text).otherwise(key))
+            .withColumn("__row__", F.xxhash64(*whole)).drop("__id__"))
+    groups = jaccard_components(rows.select(F.col("__key__").alias("doc_id"), "text"), ngram, num, den)
+    groups = materialize(groups.filter("n_shingles > 0").select(
+        F.col("doc_id").alias("__key__"), "component_id").distinct())
+    cells = materialize(rows.groupBy("__key__", "__row__", key.alias("id")).agg(F.count("*").alias("n"))
+                        .join(groups, "__key__"))
+    first = cells.groupBy("component_id").agg(F.min(F.struct(
+        F.col("id").isNull().alias("none"), "id", "__key__", "__row__", "n")).alias("first"))
+    stays = (F.col("__key__") == F.col("first.__key__")) & (F.col("__row__") == F.col("first.__row__"))
+    gone = cells.join(first, "component_id").filter(~stays).select("__key__", "__row__")
+    kept = rows.join(gone, ["__key__", "__row__"], "left_anti")
+    equal = materialize(first.filter("first.n > 1").select("first.__key__", "first.__row__"))
+    if equal.head(1):  # rows that agree in all columns: any of them stays
+        one = kept.join(equal, ["__key__", "__row__"], "left_semi").dropDuplicates(["__key__", "__row__"])
+        kept = kept.join(equal, ["__key__", "__row__"], "left_anti").unionByName(one)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def first_of_id(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each repeated id (the first by text); rows without an id all stay.
 

@@ -136,6 +136,27 @@ def test_leaks_take_odd_rows(spark):
     assert decontaminate.find_leaks(odd_docs(spark).limit(0), items).count() == 0
 
 
+def test_stages_judge_rows_and_not_ids(spark):
+    """Leaks and copies without an id go; different texts under one id stay; one of wholly equal rows stays."""
+    import corpus_pipeline as cp
+    text = lambda k: " ".join(f"t{k}x{j}" for j in range(60))
+    item = " ".join(f"q{j}" for j in range(30))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = ([(None, f"{text(0)} {item}"), (None, text(1)), (3, f"{text(2)} {item}"), (3, text(3)), (3, text(4))]
+            + [(None, text(5))] * 3 + [(6, text(6)), (7, text(6)), (None, text(6)), (8, text(7)), (8, text(7))]
+            + [(None, text(9)), (8, text(9) + " more"), (None, ""), (None, None), (8, "")])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    clean = decontaminate.without_leaks(docs, items, by_id=False)
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert pairs(clean) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
+    assert (None, rows[0][1]) not in pairs(decontaminate.without_leaks(docs, items))
+    want = [r for k, r in enumerate(rows) if k not in (6, 7, 9, 10, 12, 13)]
+    assert pairs(cp.near_duplicate_stage(spark, docs, "")) == sorted(want, key=str)
+    plain = [(k, text(k // 2)) for k in range(8)]
+    got = cp.near_duplicate_stage(spark, spark.createDataFrame(plain, "doc_id long, text string"), "")
+    assert pairs(got) == plain[::2]
+
+
 def test_simhash_blocks_find_all_within_radius():
     rng = np.random.default_rng(0)
     index = decontaminate._Index([(0, " ".join(f"a{i}" for i in range(40)))], 0.8)

@@ -11,6 +11,7 @@ shingle; texts without words all have the fingerprint of the empty set.
 from __future__ import annotations
 
 import hashlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import ngram_join
 from . import textgrams as tg
 from .components import connected_components
 
@@ -71,7 +73,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, ngram: int = NGRAM,
     smallest id stands for them).  In a band bucket each member is paired with
     the bucket's smallest id, not with all others, so a hot bucket gives as
     many pairs as members; each pair's Jaccard is then computed from the whole
-    texts.  ``class_id`` is the smallest id reached; rows without an id are
+    texts.  In buckets that still hold more than one component, members of
+    different components are compared in salted blocks.  ``class_id`` is the smallest id reached; rows without an id are
     left out; texts without words stand alone.
     """
     width = PERMUTATIONS // bands * 4
@@ -88,9 +91,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, ngram: int = NGRAM,
     same = marks.join(heads, "fingerprint").filter("doc_id <> a").select(
         F.col("a").alias("hub"), F.col("doc_id").alias("other"))
     pairs = materialize(pairs.unionByName(same).distinct())
-    rows = (pairs.join(base.select(F.col("doc_id").alias("other"), F.col("text").alias("tb")), "other")
-            .join(base.select(F.col("doc_id").alias("hub"), F.col("text").alias("ta")), "hub")
-            .select("hub", "other", "ta", "tb"))
 
     def check(batches):
         for batch in batches:
@@ -98,11 +98,37 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, ngram: int = NGRAM,
             keep = [_jaccard(left, right, r, ngram) >= threshold for r in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns[:2], ["a", "b"])
 
-    comps = connected_components(rows.mapInArrow(check, "a long, b long"))
+    def verified(pairs):
+        rows = (pairs.join(base.select(F.col("doc_id").alias("other"), F.col("text").alias("tb")), "other")
+                .join(base.select(F.col("doc_id").alias("hub"), F.col("text").alias("ta")), "hub")
+                .select("hub", "other", "ta", "tb"))
+        return materialize(rows.mapInArrow(check, "a long, b long"))
+
+    links = verified(pairs)
+    comps = connected_components(links)
+    mixed = materialize(_mixed(keys.join(hubs.filter("n > 2"), "key"), comps))
+    if mixed.head(1):
+        share = Fraction(str(threshold))
+        sets = materialize(ngram_join.sets_with_bits(base.join(mixed.select(F.col("id").alias("doc_id")).distinct(),
+                                                               "doc_id", "left_semi"), ngram))
+        sized = mixed.join(sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size")), "id").select(
+            "tile", "id", "size", "comp", "g")
+        more = verified(materialize(ngram_join.cross_pairs(sized, sets, share.numerator, share.denominator).select(
+            F.col("a").alias("hub"), F.col("b").alias("other"))))
+        if more.head(1):
+            comps = connected_components(links.unionByName(more))
     return marks.join(comps, marks["doc_id"] == comps["node"], "left").select(
         "doc_id", F.coalesce("component", "doc_id").alias("class_id"))
 
 
+def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(tile, id, comp, g) of the members of buckets with more than one component; ``g`` counts a bucket's members."""
+    members = members.join(comps, members["a"] == comps["node"], "left").select(
+        F.col("key").alias("tile"), F.col("a").alias("id"), F.coalesce("component", "a").alias("comp"), "n")
+    mixed = members.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
+    return members.join(mixed.select("tile"), "tile").select("tile", "id", "comp", F.col("n").alias("g"))
+
+
 def _jaccard(left, right, r, ngram):
     sets = []
     for data, offsets in (left, right):

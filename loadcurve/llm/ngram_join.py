@@ -457,6 +457,16 @@ def _open_pairs(i, j, ids, sizes, bits, num, den, most: int = 1 << 21):
                     [pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], ["a", "b"])
 
 
+def sets_with_bits(docs: DataFrame, ngram: int) -> DataFrame:
+    """(doc_id, n_shingles, set_id, bits): ``shingle_sets`` with signatures, as ``cross_pairs`` takes them."""
+    return _sets(docs, ngram, True)
+
+
+def cross_pairs(mixed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of different components in one tile of ``mixed`` that whole signatures leave open."""
+    return _bounded(_cross_pairs(mixed, sets, num, den), sets, num, den)
+
+
 def similar_links(docs: DataFrame, ngram: int = 3, num: int = 90, den: int = 100,
                   broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(a, b): verified links that connect every component, between smallest ids of equal texts.

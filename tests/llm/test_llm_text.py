@@ -80,6 +80,20 @@ def test_fingerprint_likeness_follows_jaccard(spark):
     assert near == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
+def test_near_duplicates_whose_hub_shares_only_a_passage(spark):
+    """Lower ids share a passage of 300 shingles with two texts of Jaccard 0.83 to each other: the two are linked."""
+    rows = []
+    for f in range(6):
+        passage = [f"f{f}p{i}" for i in range(304)]
+        rows += [(100 * f + k, " ".join(passage + [f"f{f}o{k}x{i}" for i in range(100)])) for k in range(40)]
+        rows += [(100 * f + k, " ".join(passage + [f"f{f}n{k}x{i}" for i in range(30)])) for k in (50, 51)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in fingerprints.near_duplicates(docs).collect()}
+    sets = {d: grams(t, 5) for d, t in rows}
+    assert all((got[a] == got[b]) == (a == b or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+               for a in sets for b in sets if a // 100 == b // 100)
+
+
 def test_quality_learns_structure_and_takes_odd_rows(spark):
     rng = np.random.default_rng(3)
     vocabulary = np.array([f"word{i}" for i in range(300)])

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, searched by Hamming blocks.
+"""Benchmark decontamination: SimHash of windows inside items, searched by Hamming blocks.
 
 Words are lower-case runs of letters and digits, shingles five of them.  An item
 of ``n`` shingles is given a window size ``w`` that follows from ``n``: large

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontaminate, fingerprints, html_extract, mixing, ngram_join, quality, secret_scan,
-               toxicity, url_filter)
+from . import (chat_format, decontaminate, fingerprints, html_extract, lexical_search, mixing, ngram_join, quality,
+               secret_scan, source_divergence, substring_dedup, toxicity, url_filter)
 from .labelled import id_remainder
 
 
@@ -85,6 +85,21 @@ def op10_mixing(spark, sf_dir):
         "doc_id", "source", "mix_epoch", "mix_position", "mix_weight")
 
 
+def op11_source_divergence(spark, sf_dir):
+    """Divergence of each source from its language's others, and the terms it has above its language's share."""
+    return source_divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark, sf_dir):
+    """The 50 highest-scoring documents of every benchmark item."""
+    return lexical_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_substring_dedup(spark, sf_dir):
+    """Every document without the 50-word windows that also start under a smaller id."""
+    return substring_dedup.digest(substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_classifier": op2_quality_classifier,
@@ -96,6 +111,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_mixing": op10_mixing,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 #: All distinct 3-word shingles, their common counts by an equality join, then reachability.
@@ -117,6 +135,27 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
 """
 
+#: Every window of 50 words by its digest, and the smallest id that it starts under.
+_OP13 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i, ws FROM d WHERE len(ws) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM s),
+f AS (SELECT h, min(doc_id) AS lo FROM h GROUP BY h),
+b AS (SELECT doc_id, i FROM h JOIN f USING (h) WHERE lo < doc_id),
+w AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+c AS (SELECT w.doc_id, w.i, word, count(b.i) OVER (PARTITION BY w.doc_id ORDER BY w.i
+             ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone
+      FROM w LEFT JOIN b ON b.doc_id = w.doc_id AND b.i = w.i),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+        sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 ORACLE = {
     "op4_ngram_jaccard_join": _OP4,
+    "op11_source_divergence": source_divergence.ORACLE_SQL,
+    "op12_lexical_search": lexical_search.ORACLE_SQL,
+    "op13_substring_dedup": _OP13,
 }

@@ -36,6 +36,16 @@ def slot_power(sessions: DataFrame, by=(), power_col: str = "true_peakPower_W",
     return expand_slots(sessions, start_col, end_col, keep, STEP, closed)
 
 
+def fill_forward(points: DataFrame, end_idx, by=()) -> DataFrame:
+    """Gaps: each point also stands for the slots ``_s`` up to the next one (the last one up to ``end_idx``).
+
+    The window runs over one key's aggregated points, a series bounded by its time span.
+    """
+    wk = Window.partitionBy(*by).orderBy("slot")
+    return (points.withColumn("_next", F.coalesce(F.lead("slot").over(wk), end_idx + 1))
+            .select(*points.columns, F.explode(F.sequence(F.col("slot"), F.col("_next") - 1)).alias("_s")))
+
+
 def demand_watts(sessions: DataFrame, as_of, by=(), closed: str = "both",
                  power_col: str = "true_peakPower_W", method: str = "delta") -> DataFrame:
     """A1 + C3: summed power per slot, gap-free from the first slot to ``as_of``.
@@ -70,10 +80,7 @@ def demand_watts(sessions: DataFrame, as_of, by=(), closed: str = "both",
         level = None
     else:
         raise ValueError(f"unknown method {method!r}")
-    # gaps: each point fills up to the next one (the last one up to as_of); the window
-    # runs over one key's aggregated points, a series bounded by its time span
-    filled = (points.withColumn("_next", F.coalesce(F.lead("slot").over(wk), end_idx + 1))
-              .select(*by, "slot", "w", F.explode(F.sequence(F.col("slot"), F.col("_next") - 1)).alias("_s")))
+    filled = fill_forward(points, end_idx, by)
     if level is None:   # explode: only the point's own slot has power, the gap is 0
         level = F.when(F.col("_s") == F.col("slot"), F.coalesce(F.col("w"), F.lit(0.0))).otherwise(F.lit(0.0))
     return filled.select(*by, slot_time(F.col("_s"), STEP).alias("time"), level.alias("w"))

@@ -1,6 +1,11 @@
-"""T1 + T4: incremental 5-minute demand with a watermark.
+"""T1 + T4: 5-minute demand of a stream of sessions.
 
-Stateless part (per micro-batch): session mapping, cleaning, slot expansion.
+:func:`stream_demand` keeps the newest report of each session in state and is
+exact over any number of batches (``load_changes``).
+
+:func:`windowed_demand` is the plain windowed sum for a source that gives each
+session once and in order; a session's slots reach back a day, so load further
+back than the watermark is dropped when a source has many batches.  Stateless part (per micro-batch): session mapping, cleaning, slot expansion.
 Stateful part: ``withWatermark`` on the slot time (cast to TIMESTAMP -- a
 watermark cannot be on TIMESTAMP_NTZ) and ``groupBy(window(5 minutes))``.
 Append mode emits a window once the watermark (max slot time seen - 16
@@ -18,6 +23,7 @@ from loadcurve.functions.timecols import as_ntz, slot_index
 from loadcurve.operators.clean import clean_sessions
 from loadcurve.operators.timegrid import expand_slots
 from loadcurve.session import scratch_path
+from loadcurve.streaming.load_changes import closed_demand, run_demand_changes
 from loadcurve.streaming.sources import file_stream, start_with_state_partitions
 
 WATERMARK = "16 minutes"
@@ -60,8 +66,9 @@ def run_demand_stream(spark: SparkSession, sessions_raw_stream: DataFrame, as_of
 
 def stream_demand(spark: SparkSession, events_path: str, as_of, schema, size: str = "5 minutes",
                   state_partitions: int | None = None) -> DataFrame:
+    """Demand per window of ``size``, for windows that ended ``WATERMARK`` before the newest slot."""
     from loadcurve.sources.fixtures import sessions_from_events
     ev = file_stream(spark, events_path, schema)
-    out = run_demand_stream(spark, sessions_from_events(ev), as_of, size=size,
-                            state_partitions=state_partitions)
-    return spark.read.parquet(out)
+    changes = run_demand_changes(spark, sessions_from_events(ev), state_partitions=state_partitions)
+    seconds = {"5 minutes": 300, "1 hour": 3600}[size]
+    return closed_demand(spark.read.parquet(changes), as_of, seconds, WATERMARK)

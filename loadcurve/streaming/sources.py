@@ -20,20 +20,30 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files_
     return r.load(path)
 
 
-def start_with_state_partitions(spark: SparkSession, writer, state_partitions: int | None):
-    """Start a streaming query whose state store gets ``state_partitions`` partitions.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass":
+           "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
 
-    The number of state partitions is fixed when a query first starts (it comes
-    from ``spark.sql.shuffle.partitions`` and is kept in the checkpoint); the
-    query takes a copy of the session settings at ``start()``, so the setting is
-    changed only around that call.
+def start_with_settings(spark: SparkSession, writer, settings: dict[str, str], state_partitions: int | None = None):
+    """Start a streaming query under ``settings`` of its own.
+
+    A query takes a copy of the session settings at ``start()``, so they are
+    changed only around that call.  The number of state partitions is fixed
+    when a query first starts (it comes from ``spark.sql.shuffle.partitions``
+    and is kept in the checkpoint).
     """
-    if not state_partitions:
-        return writer.start()
-    key = "spark.sql.shuffle.partitions"
-    prev = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions))
+    if state_partitions:
+        settings = settings | {"spark.sql.shuffle.partitions": str(state_partitions)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         return writer.start()
     finally:
-        spark.conf.set(key, prev)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def start_with_state_partitions(spark: SparkSession, writer, state_partitions: int | None):
+    """Start a streaming query whose state store gets ``state_partitions`` partitions."""
+    return start_with_settings(spark, writer, {}, state_partitions)

@@ -1,7 +1,7 @@
 """Session analytics.
 
 No operator sorts the whole table in one task: running totals use the
-range-partitioned prefix sum of ``ordered.py``; profiles and counts are
+prefix sums by slice of ``ordered.py``; profiles and counts are
 partial-aggregated ``groupBy``s.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loadcurve.functions.scalars import part_of_day
 from loadcurve.functions.timecols import as_ntz, day_start
 from loadcurve.operators.explore import between_dates
-from loadcurve.operators.ordered import global_running_sum
+from loadcurve.operators.ordered import global_running_sum, time_slice
 
 
 def cumulative_energy(sessions: DataFrame, start=None, end=None, grain: str | None = None) -> DataFrame:
@@ -29,12 +29,12 @@ def cumulative_energy(sessions: DataFrame, start=None, end=None, grain: str | No
     if grain == "day":
         daily = s.groupBy(day_start("finishChargeTime").alias("day")).agg(
             F.coalesce(F.sum("cumEnergy_Wh"), F.lit(0.0)).alias("_wh"))
-        run = global_running_sum(daily, [F.col("day")], F.col("_wh"), "_run")
+        run = global_running_sum(daily, [F.col("day")], F.col("_wh"), "_run", time_slice("day", 86400 * 30))
         return run.select("day", (F.col("_run") / 1000).alias("cum_energy_kWh"))
     if grain is not None:
         raise ValueError(f"unknown grain {grain!r}")
     run = global_running_sum(s, [F.col("finishChargeTime"), F.col("dcosId")],
-                             F.coalesce(F.col("cumEnergy_Wh"), F.lit(0.0)), "_run")
+                             F.coalesce(F.col("cumEnergy_Wh"), F.lit(0.0)), "_run", time_slice("finishChargeTime"))
     return run.select("dcosId", "finishChargeTime",
                       F.when(F.col("cumEnergy_Wh").isNotNull(), F.col("_run") / 1000).alias("cum_energy_kWh"))
 
@@ -42,18 +42,21 @@ def cumulative_energy(sessions: DataFrame, start=None, end=None, grain: str | No
 def cumulative_users(sessions: DataFrame, start=None, end=None) -> DataFrame:
     """Running count of distinct users by start time; the date filter comes after.
 
-    Each user's first start is one extra "first" row (``groupBy.min``, no
+    Each user's first session is one extra "first" row (a grouped minimum, no
     per-user window, so a heavy user is combined map-side); the running sum of
     the first-flags over (time, user, first-before-others) gives every session
-    row the number of users seen so far.
+    row the number of users seen so far.  The rows are dealt once, and both
+    the firsts and the rows come from that exchange.
     """
-    rows = sessions.filter(F.col("userId").isNotNull()).select("dcosId", "startChargeTime", "userId")
-    firsts = (rows.groupBy("userId").agg(F.min("startChargeTime").alias("startChargeTime"))
-              .withColumn("dcosId", F.lit(None).cast("long")))
+    rows = (sessions.filter(F.col("userId").isNotNull()).select("dcosId", "startChargeTime", "userId")
+            .repartition(time_slice("startChargeTime")))
+    firsts = (rows.groupBy("userId").agg(F.min_by("dcosId", "startChargeTime").alias("dcosId"),
+                                         F.min("startChargeTime").alias("startChargeTime")))
     events = (rows.withColumn("_first", F.lit(0))
               .unionByName(firsts.withColumn("_first", F.lit(1))))
-    run = global_running_sum(events, [F.col("startChargeTime"), F.col("userId"), F.col("_first").desc()],
-                             F.col("_first").cast("long"), "cumulative_users")
+    order = [F.col("startChargeTime"), F.col("userId"), F.col("_first").desc(), F.col("dcosId")]
+    run = global_running_sum(events, order,
+                             F.col("_first").cast("long"), "cumulative_users", time_slice("startChargeTime"))
     out = run.filter(F.col("_first") == 0).drop("_first")
     return between_dates(out, "startChargeTime", start, end)
 

@@ -9,7 +9,7 @@ text without a day count is dropped instead of raising (N17).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadcurve.functions.timecols import as_ntz, day_start
@@ -60,6 +60,19 @@ def clean_sessions(raw: DataFrame, max_hours: float = 24.0, max_days: int = 2,
     return with_helpers(raw.filter(keep_condition(max_hours, max_days, day_rule)))
 
 
+def newest_reports(reports: DataFrame, *then) -> DataFrame:
+    """One row per session: of several reports the newest, then by ``then``, then by a hash of the row.
+
+    Rows without an id are sessions of their own and all stay: each gets a key
+    of its own, so ``row_number() = 1`` is a ``WindowGroupLimit`` and a task
+    hands on one row per session.
+    """
+    own = F.when(F.col("dcosId").isNull(), F.monotonically_increasing_id())
+    w = Window.partitionBy("dcosId", "_own").orderBy(F.col("lastUpdate").desc(), *then, F.xxhash64(*reports.columns))
+    return (reports.withColumn("_own", own).withColumn("_rk", F.row_number().over(w))
+            .filter(F.col("_rk") == 1).drop("_rk", "_own"))
+
+
 def today_condition(as_of, max_hours: float = 24.0, max_days: int = 1):
     """The "today" path: first-character day rule, finished since midnight of ``as_of``."""
     return (keep_condition(max_hours, max_days, "first_char")

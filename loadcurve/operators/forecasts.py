@@ -83,3 +83,30 @@ def peak_forecast_today(daily_forecasts: DataFrame, as_of, by=()) -> DataFrame:
     """today's row of the daily forecasts, peak power."""
     return (daily_forecasts.filter(F.col("time") == day_start(as_ntz(as_of)))
             .select(*by, "time", "peak_power_kW_predictions"))
+
+
+def rolling_origins(series: DataFrame, n: int, step_hours: int = 24, by=(), time_col: str = "time") -> DataFrame:
+    """Copies of a series, one for each of ``n`` origins: the rows up to ``origin``.
+
+    Origins lie ``step_hours`` apart and before the series' end, so each has
+    ``step_hours`` of later rows to be held against.  ``origin`` is a series key
+    like any other, so every operator that takes keys fits all of them in one job.
+    """
+    by = list(by)
+    if by:
+        series = series.join(series.groupBy(*by).agg(F.max(time_col).alias("_last")), by)
+    else:
+        series = series.withColumn("_last", series.agg(F.max(time_col)).scalar())
+    at = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.timestamp_add("HOUR", -i * step_hours, F.col("_last")))
+    copies = series.withColumn("origin", F.explode(F.filter(at, lambda o: F.col(time_col) <= o)))
+    return copies.drop("_last")
+
+
+def scores_by_horizon(forecasts: DataFrame, actual: DataFrame, value_col: str = "v", by=()) -> DataFrame:
+    """M9: (by..., horizon, n, rmse, mae) of forecasts with an ``origin``, ``horizon`` hours ahead of it."""
+    both = forecasts.join(actual.select(*by, "time", F.col(value_col).alias("_actual")), [*by, "time"])
+    error = F.col(value_col + "_predictions") - F.col("_actual")
+    ahead = F.timestamp_diff("HOUR", F.col("origin"), F.col("time")).cast("int")
+    return (both.select(*by, ahead.alias("horizon"), error.alias("_e")).filter("_e IS NOT NULL")
+            .groupBy(*by, "horizon").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
+                                         F.avg(F.abs("_e")).alias("mae")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loadcurve.functions.scalars import change_direction, pct_change
 from loadcurve.functions.timecols import as_ntz, day_start, floor_time, slot_index
-from loadcurve.operators.clean import keep_condition, today_condition, with_helpers
+from loadcurve.operators.clean import keep_condition, newest_reports, today_condition, with_helpers
 from loadcurve.operators.timegrid import slot_bounds
 
 # Fixed values of the reference's equivalence cards.
@@ -28,13 +28,6 @@ def _slots_between(lo, hi, a, b):
     return F.greatest(F.least(hi, b) - F.greatest(lo, a) + 1, F.lit(0))
 
 
-def newest_reports(raw: DataFrame) -> DataFrame:
-    """One row per session: of several reports the newest (then the larger energy); null ids all stay."""
-    w = Window.partitionBy("dcosId").orderBy(F.col("lastUpdate").desc(), F.col("cumEnergy_Wh").desc())
-    return (raw.withColumn("_rk", F.row_number().over(w))
-            .filter((F.col("_rk") == 1) | F.col("dcosId").isNull()).drop("_rk"))
-
-
 def kpi_today(raw: DataFrame, as_of, approx_users: bool = False) -> DataFrame:
     """C11: today's kWh, sessions and users, against yesterday.
 
@@ -56,7 +49,7 @@ def kpi_today(raw: DataFrame, as_of, approx_users: bool = False) -> DataFrame:
     # read for about two days, not for its whole history
     recent = ((F.col("lastUpdate") >= F.timestamp_add("MINUTE", F.lit(-5), yest_day))
               | ((F.col("connectTime") >= yest_day) & (F.col("connectTime") < day_start(now))))
-    rows = with_helpers(newest_reports(raw.filter(recent))
+    rows = with_helpers(newest_reports(raw.filter(recent), F.col("cumEnergy_Wh").desc())
                            .withColumn("_today", today_condition(as_of))
                            .withColumn("_full", keep_condition())
                            .filter(F.col("_today") | F.col("_full")))
@@ -137,3 +130,27 @@ def card_text(cum: DataFrame, as_of) -> DataFrame:
         F.format_string("%.1f", F.bround(F.col("sessions_per_week"), 1)).alias("sessions_per_week_text"),
         F.date_format(F.lit(d.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"),
                       "EEEE, MMMM dd, yyyy").alias("date_title"))
+
+
+USER_SKETCH_BITS = 12   # relative standard error of a count: about 1.04 / sqrt(2 ** bits) = 1.6 %
+
+
+def daily_user_sketches(sessions: DataFrame, by=(), bits: int = USER_SKETCH_BITS) -> DataFrame:
+    """A12 over any range: (by..., day, users, user_sketch), exact users of each day and a mergeable sketch of them.
+
+    Distinct counts of days do not add up; sketches do.  The table has one row
+    a day (and key), is kept by day, and a new day touches no other.  Users are
+    counted by the day they connected; rows without a user or a time do not count.
+    """
+    rows = sessions.filter("userId IS NOT NULL AND connectTime IS NOT NULL").select(
+        *by, F.to_date("connectTime").alias("day"), "userId").distinct()
+    return rows.groupBy(*by, "day").agg(F.count("*").alias("users"), F.hll_sketch_agg("userId", bits).alias("user_sketch"))
+
+
+def users_between(sketches: DataFrame, start=None, end=None, by=()) -> DataFrame:
+    """(by..., users): distinct users of the days from ``start`` to ``end``, both included, from stored sketches."""
+    if start is not None:
+        sketches = sketches.filter(F.col("day") >= F.lit(start).cast("date"))
+    if end is not None:
+        sketches = sketches.filter(F.col("day") <= F.lit(end).cast("date"))
+    return sketches.groupBy(*by).agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("user_sketch")), F.lit(0)).alias("users"))

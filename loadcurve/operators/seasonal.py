@@ -97,17 +97,38 @@ def _with_key(df: DataFrame, by) -> DataFrame:
 
 def seasonal_forecast(series: DataFrame, p: int = 1, P: int = 0, value_col: str = "v", by=(),
                       horizon: int = 7, period: int = PERIOD) -> DataFrame:
-    """M5: ``horizon`` days ahead per series with a fixed order (p, P).
+    """M5: ``horizon`` days ahead per series with a fixed order (p, P)."""
+    key = _key(by)
+    s = materialize(_with_key(series, by).select(*key, "time", value_col))   # read by two branches
+    orders = s.select(*key).distinct().withColumns({"ar_order": F.lit(p), "seasonal_ar_order": F.lit(P)})
+    out = _forecast_orders(s, orders, p, P, value_col, key, horizon, period)
+    return out if by else out.drop("_series")
+
+
+def seasonal_forecast_by_params(series: DataFrame, params: DataFrame, value_col: str = "v", by=("quantity",),
+                                horizon: int = 7, period: int = PERIOD) -> DataFrame:
+    """M5 with stored orders: each series with its own (``ar_order``, ``seasonal_ar_order``), all in one job.
+
+    All are fitted on the rows that have the largest order's lags, as the search
+    compares them.  Series without stored orders have no forecast.
+    """
+    params = params.select(*by, "ar_order", "seasonal_ar_order")
+    most = params.agg(F.max("ar_order"), F.max("seasonal_ar_order")).first()
+    s = materialize(series.select(*by, "time", value_col).join(params.select(*by), list(by), "left_semi"))
+    return _forecast_orders(s, params, most[0] or 0, most[1] or 0, value_col, list(by), horizon, period)
+
+
+def _forecast_orders(s: DataFrame, orders: DataFrame, p: int, P: int, value_col: str, key: list[str],
+                     horizon: int, period: int) -> DataFrame:
+    """Forecasts of each series with its row of ``orders``; ``p`` and ``P`` are the largest among them.
 
     The per-series statistics (one row) and the series' last days (a
     ``WindowGroupLimit``-bounded tail) meet in a ``cogroup`` -- a grouping,
     not a join -- and one small Python function solves and recurses.
     """
-    key = _key(by)
-    s = materialize(_with_key(series, by).select(*key, "time", value_col))   # read by two branches
     lags = regressor_lags(p, P, period)
-    stats = normal_equations(design(s, lags, value_col, key, period), lags, key)
-    need = max(lags) + period + horizon
+    stats = normal_equations(design(s, lags, value_col, key, period), lags, key).join(orders, key)
+    need = max(lags, default=0) + period + horizon
     # own column names on the second side (shared lineage would be pruned away)
     hist = tail_rows(s.select(*key, "time", value_col), need, key).select(
         *[F.col(c).alias("h__" + c) for c in key], F.col("time").alias("h_time"), F.col(value_col).alias("h_v"))
@@ -115,15 +136,15 @@ def seasonal_forecast(series: DataFrame, p: int = 1, P: int = 0, value_col: str
                                T.StructField("time", T.TimestampNTZType()),
                                T.StructField(value_col + "_predictions", T.DoubleType())])
     cols = out_schema.fieldNames()
-    idx = list(range(len(lags) + 1))
 
     def run(st: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
         if st.empty or h.empty:
             return pd.DataFrame({c: [] for c in cols})
         row = st.iloc[0]
-        beta, _ = _fit(row, idx)
+        own = regressor_lags(int(row["ar_order"]), int(row["seasonal_ar_order"]), period)
+        beta, _ = _fit(row, [0] + [1 + lags.index(L) for L in own])
         h = h.sort_values("h_time")
-        pred = _forecast(h["h_v"].to_numpy(float), beta, lags, horizon, period)
+        pred = _forecast(h["h_v"].to_numpy(float), beta, own, horizon, period)
         last = pd.Timestamp(h["h_time"].iloc[-1])
         out = pd.DataFrame({"time": [last + pd.Timedelta(days=i) for i in range(1, horizon + 1)],
                             value_col + "_predictions": pred})
@@ -131,8 +152,7 @@ def seasonal_forecast(series: DataFrame, p: int = 1, P: int = 0, value_col: str
             out[c] = row[c]
         return out[cols]
 
-    out = stats.groupBy(*key).cogroup(hist.groupBy(*["h__" + c for c in key])).applyInPandas(run, out_schema)
-    return out if by else out.drop("_series")
+    return stats.groupBy(*key).cogroup(hist.groupBy(*["h__" + c for c in key])).applyInPandas(run, out_schema)
 
 
 def seasonal_order_search(series: DataFrame, max_p: int = 2, max_P: int = 2, value_col: str = "v",

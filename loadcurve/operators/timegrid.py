@@ -32,9 +32,14 @@ def slot_bounds(start_col: str, end_col: str, step_seconds: int = 300, closed: s
 
 def expand_slots(df: DataFrame, start_col: str, end_col: str, keep: list[str],
                  step_seconds: int = 300, closed: str = "both",
-                 index_col: str = "slot", time_col: str | None = "time") -> DataFrame:
-    """One row per (session, slot) with the ``keep`` columns carried along."""
+                 index_col: str = "slot", time_col: str | None = "time", within=None) -> DataFrame:
+    """One row per (session, slot) with the ``keep`` columns carried along.
+
+    ``within`` (first and last slot) cuts the range before it is spread.
+    """
     lo, hi = slot_bounds(start_col, end_col, step_seconds, closed)
+    if within is not None:
+        lo, hi = F.greatest(lo, within[0]), F.least(hi, within[1])
     out = df.select(*keep, F.explode(_guarded_range(lo, hi)).alias(index_col))
     if time_col:
         out = out.withColumn(time_col, slot_time(F.col(index_col), step_seconds))
@@ -53,7 +58,3 @@ def regular_spine(bounds: DataFrame, lo_col: str, hi_col: str, step_seconds: int
     return (bounds.select(*by, F.explode(_guarded_range(lo, hi)).alias("_i"))
             .select(*by, slot_time(F.col("_i"), step_seconds).alias(time_col)))
 
-
-def index_spine(bounds: DataFrame, lo_col: str, hi_col: str, by=(), index_col: str = "slot") -> DataFrame:
-    """Integer variant of :func:`regular_spine` (``lo``/``hi`` are slot indices)."""
-    return bounds.select(*by, F.explode(_guarded_range(F.col(lo_col), F.col(hi_col))).alias(index_col))

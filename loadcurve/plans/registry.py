@@ -7,6 +7,8 @@ can express; the rest are checked by row count and unit tests.
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +27,12 @@ from loadcurve.operators import rollup as R
 from loadcurve.operators import seasonal as SE
 from loadcurve.operators import status as ST
 from loadcurve.operators import today as TD
+from loadcurve.operators.timegrid import regular_spine
+from loadcurve.functions.timecols import as_ntz
+from loadcurve.plans import incremental as INC
 from loadcurve.plans import oracle as O
 from loadcurve.plans.common import raw, rounded, sessions
+from loadcurve.plans import jobs as JOBS
 from loadcurve.plans.jobs import KNN_DEPTHS, KNN_KS
 from loadcurve.session import ensure_defaults, scratch_path
 from loadcurve.sources import fixtures as FX
@@ -34,6 +40,7 @@ from loadcurve.sources import tables as TB
 from loadcurve.sources.fixtures import AS_OF
 from loadcurve.streaming import charger_state as SCS
 from loadcurve.streaming import demand as SD
+from loadcurve.streaming import load_changes as LC
 from loadcurve.streaming import upsert as SU
 from loadcurve.streaming.sources import file_stream
 
@@ -190,7 +197,7 @@ def q_nested_series(spark, sf_dir):
          FROM ps GROUP BY vm)
   SELECT *, energy_kWh / nullif(sum(energy_kWh) OVER (), 0) AS share FROM bm""", ["energy_kWh", "share"]))
 def q_energy_by_session_today(spark, sf_dir):
-    return rounded(TD.energy_by_session_today(TD.todays_sessions(raw(spark, sf_dir), AS_OF)))
+    return rounded(TD.energy_by_session_today(TD.todays_reports(raw(spark, sf_dir), AS_OF)))
 
 
 # ---- step 4: analytics and cards ----------------------------------------------------------
@@ -413,6 +420,44 @@ register("grid_page", O.rounded(_GRID_BASE + """
   LIMIT 100 OFFSET 100""", _GRID_DOUBLES))(_grid_query("grid_page"))
 
 
+_PAGES_SQL = _GRID_BASE + """,
+  r AS (SELECT *, row_number() OVER (ORDER BY stationId ASC NULLS LAST, cumEnergy_Wh DESC NULLS LAST,
+          connectTime DESC NULLS LAST, dcosId DESC NULLS LAST) - 1 AS position, count(*) OVER () AS row_count
+        FROM g WHERE vehicle_model IS NOT NULL)
+  SELECT 'first' AS page, * FROM r WHERE position < 50
+  UNION ALL SELECT 'middle', * FROM r WHERE position >= row_count // 2 AND position < row_count // 2 + 70
+  UNION ALL SELECT 'rest', * FROM r WHERE position >= row_count * 3 // 4"""
+
+
+@register("grid_pages", O.rounded(_PAGES_SQL, _GRID_DOUBLES))
+def q_grid_pages(spark, sf_dir):
+    """Pages at the start, in the middle and without an end, and the row count, from one index."""
+    index = G.PageIndex.build(G.grid_table(sessions(spark, sf_dir)), GRID_REQUESTS["grid_page"], rows_per_range=1000)
+    n = index.row_count
+    pages = {"first": (0, 50), "middle": (n // 2, n // 2 + 70), "rest": (n * 3 // 4, None)}
+    made = [index.page(*bounds, position="position").select(F.lit(name).alias("page"), "*")
+            for name, bounds in pages.items()]
+    return rounded(functools.reduce(DataFrame.unionByName, made).withColumn("row_count", F.lit(n).cast("long")))
+
+
+@register("grid_literal", O.rounded(_GRID_BASE + """
+  SELECT * FROM g WHERE (contains(Duration, '1:0') OR contains(Duration, '.')) AND NOT contains(Duration, '3.')
+    AND choice = 'REGULAR' AND NOT starts_with(vehicle_model, 'model_1') AND ends_with(vehicle_model, '2')
+    AND (NOT regexp_matches(vehicle_model, '2[0-2]') OR vehicle_model IS NULL)""", _GRID_DOUBLES))
+def q_grid_literal(spark, sf_dir):
+    """Text conditions taken literally, equality, and the negated forms in several conditions on a column."""
+    text = lambda kind, value, **more: {"filterType": "text", "type": kind, "filter": value, **more}
+    grid = G.grid_table(sessions(spark, sf_dir))
+    first = G.grid_query(grid, {"filterModel": {
+        "Duration": {"filterType": "text", "operator": "OR", "condition1": text("contains", "1:0", literal=True),
+                     "condition2": text("contains", ".", literal=True)},
+        "choice": text("equals", "REGULAR"),
+        "vehicle_model": {"filterType": "text", "operator": "AND", "condition1": text("notStartsWith", "model_1"),
+                          "condition2": text("endsWith", "2")}}}).rows
+    return rounded(G.grid_query(first, {"filterModel": {
+        "Duration": text("notContains", "3.", literal=True), "vehicle_model": text("notContains", "2[0-2]")}}).rows)
+
+
 # ---- step 6: lags, splits, kNN, forecast tables -----------------------------------------
 
 
@@ -658,6 +703,43 @@ def q_stream_demand_hourly(spark, sf_dir):
                                     state_partitions=STATE_PARTITIONS))
 
 
+REPORT_SLICES = 20
+
+
+def _stage_ordered_reports(spark, sf_dir) -> str:
+    """Two reports of every session, staged in ``REPORT_SLICES`` ordered files by the time of the report.
+
+    The first comes half way, with half the energy; of every thirteenth session
+    it comes a slice late, after the final report.  A session that cleaning
+    drops in the end still had load by its first report.
+    """
+    stage = scratch_path(spark, "ordered-reports")
+    r = raw(spark, sf_dir)
+    half = F.timestamp_add("SECOND", F.floor(F.timestamp_diff("SECOND", F.col("startChargeTime"),
+                                                              F.col("lastUpdate")) / 2).cast("long"),
+                           F.col("startChargeTime"))
+    first = r.withColumns({"lastUpdate": half, "cumEnergy_Wh": F.floor(F.col("cumEnergy_Wh") / 2) + 1.0})
+    late = F.when(F.col("dcosId") % 13 == 0, 1).otherwise(0)
+    reports = first.withColumn("_late", late).unionByName(r.withColumn("_late", F.lit(0)))
+    span = r.agg(F.min("startChargeTime").alias("lo"), F.max("lastUpdate").alias("hi")).first()
+    width = ((span.hi - span.lo).total_seconds() if span.lo else 0) / REPORT_SLICES + 1
+    place = F.floor(F.timestamp_diff("SECOND", as_ntz(span.lo), F.col("lastUpdate")) / width) + F.col("_late")
+    reports = reports.withColumn("_slice", place.cast("int")).drop("_late")
+    for k in range(REPORT_SLICES + 1):
+        reports.filter(F.col("_slice") == k).drop("_slice").write.mode("append").parquet(stage)
+    return stage
+
+
+@register("stream_demand_incremental", O.rounded(O.with_ctes(*O.BASE, O.DEMAND_5MIN) + " SELECT * FROM demand_5min",
+                                                 O.DEMAND_DOUBLES))
+def q_stream_demand_incremental(spark, sf_dir):
+    """Many batches of reports, re-reports and late rows: the curve of the final sessions."""
+    from loadcurve.schemas import SESSIONS_RAW
+    reports = file_stream(spark, _stage_ordered_reports(spark, sf_dir), SESSIONS_RAW, max_files_per_trigger=1)
+    changes = LC.run_demand_changes(spark, reports, state_partitions=2)   # test-sized batches
+    return rounded(R.demand_features(LC.demand_curve(spark.read.parquet(changes), AS_OF)))
+
+
 def _stage_reports(spark, sf_dir) -> str:
     """Two reports of every session: a partial one (half way), then the final one."""
     stage = scratch_path(spark, "session-reports")
@@ -676,7 +758,46 @@ def q_stream_session_upsert(spark, sf_dir):
     from loadcurve.schemas import SESSIONS_RAW
     stage = _stage_reports(spark, sf_dir)
     target = SU.run_upsert_stream(spark, file_stream(spark, stage, SESSIONS_RAW, max_files_per_trigger=1))
-    return rounded(spark.read.parquet(target).drop("day").select(*SESSIONS_RAW.fieldNames()))
+    return rounded(spark.read.parquet(target).select(*SESSIONS_RAW.fieldNames()))
+
+
+def _stage_moving_reports(spark, sf_dir) -> str:
+    """Two ordered files of reports: first ones, half way and for every seventeenth session connected a day
+    earlier, of two sessions in three; then the final ones of all."""
+    stage = scratch_path(spark, "moving-reports")
+    r = raw(spark, sf_dir)
+    half = F.timestamp_add("SECOND", F.floor(F.timestamp_diff("SECOND", F.col("startChargeTime"),
+                                                              F.col("lastUpdate")) / 2).cast("long"),
+                           F.col("startChargeTime"))
+    moved = F.timestamp_add("DAY", F.when(F.col("dcosId") % 17 == 0, -1).otherwise(0), F.col("connectTime"))
+    (r.filter(F.col("dcosId") % 3 != 0).withColumns({"lastUpdate": half, "connectTime": moved})
+     .write.mode("append").parquet(stage))
+    r.write.mode("append").parquet(stage)
+    return stage
+
+
+@register("refresh_by_change", O.rounded(
+    O.with_ctes(*O.BASE, O.DEMAND_5MIN, O.DEMAND_HOURLY, O.DEMAND_DAILY, O.DEMAND_MONTHLY)
+    + " UNION ALL ".join(f" SELECT '{t}' AS name, * FROM {t}"
+                         for t in ("demand_5min", "demand_hourly", "demand_daily", "demand_monthly")),
+    O.DEMAND_DOUBLES))
+def q_refresh_by_change(spark, sf_dir):
+    """Demand tables kept up to date by the change sets of upserted batches, one of them replayed."""
+    from loadcurve.schemas import SESSIONS_RAW
+    root, target = scratch_path(spark, "kept-tables"), scratch_path(spark, "sessions-upsert")
+
+    def after(epoch):
+        as_of = AS_OF - dt.timedelta(days=max(0, 2 - epoch))
+        for _ in range(2):   # the second time is a replay
+            INC.refresh_changed(spark, root, SU.change_set(spark, target, epoch), epoch, as_of)
+
+    reports = file_stream(spark, _stage_moving_reports(spark, sf_dir), SESSIONS_RAW, max_files_per_trigger=1)
+    SU.run_upsert_stream(spark, reports, target, after=after)
+    last = max(int(f.split("=")[1]) for f in TB.subfolders(spark, f"{target}-changes"))
+    none = SU.change_set(spark, target, last).limit(0)
+    INC.refresh_changed(spark, root, none, last + 1, AS_OF)   # time goes on without reports
+    tables = [INC.read_demand(spark, root, name).select(F.lit(name).alias("name"), "*") for name in INC.GRAINS]
+    return rounded(functools.reduce(DataFrame.unionByName, tables))
 
 
 @register("stream_charger_state", O.rounded(O.with_ctes(*O.BASE) + """,
@@ -786,3 +907,132 @@ def q_demand_hourly_by_station(spark, sf_dir):
   FROM cagg a LEFT JOIN cur c ON c.site = a.siteId AND c.sid = a.stationId""", _CHARGER_DOUBLES))
 def q_charger_status_all_sites(spark, sf_dir):
     return rounded(ST.charger_status(sessions(spark, sf_dir), AS_OF, site=None, by=["siteId"]))
+
+
+# ---- forecasts by stored parameters, keyed search, backtest, users over a range -------------------
+
+JOB_PARAMS = {(25, "avg_power_demand_kW"): (3, 7), (25, "energy_demand_kWh"): (5, 4), (25, "peak_power_kW"): (2, 11),
+              (99, "avg_power_demand_kW"): (6, 3), (99, "energy_demand_kWh"): (1, 9), (99, "peak_power_kW"): (4, 5)}
+
+_SITE_HOURLY = f"""
+  kslots AS (SELECT siteId, slot, w FROM (
+               SELECT siteId, unnest(generate_series({O.LO}, {O.HI})) AS slot, true_peakPower_W AS w
+               FROM sessions WHERE {O.LO} <= {O.HI}) WHERE slot <= {O.END_IDX}),
+  ksums AS (SELECT siteId, slot, sum(w) AS w FROM kslots GROUP BY siteId, slot),
+  kspine AS (SELECT siteId, unnest(generate_series(lo, {O.END_IDX})) AS slot
+             FROM (SELECT siteId, min(slot) AS lo FROM ksums GROUP BY siteId)),
+  k5 AS (SELECT sp.siteId, {O.slot_ts('sp.slot')} AS time, coalesce(s.w, 0) AS w
+         FROM kspine sp LEFT JOIN ksums s ON s.siteId = sp.siteId AND s.slot = sp.slot),
+  kh AS (SELECT siteId, date_trunc('hour', time) AS time, avg(w / 1000) AS avg_power_demand_kW,
+                sum((w / 1000) / 12) AS energy_demand_kWh, max(w / 1000) AS peak_power_kW
+         FROM k5 GROUP BY siteId, date_trunc('hour', time))"""
+
+
+def _one_forecast_sql(name: str, site: int, quantity: str, depth: int, k: int) -> str:
+    return f"""
+  {name}_e AS (SELECT time, {quantity} AS v, false AS fut FROM kh WHERE siteId = {site}
+               UNION ALL SELECT (SELECT max(time) FROM kh WHERE siteId = {site}) + to_hours(h), 0.0, true
+               FROM range(1, 25) r(h)),
+  {name}_f AS (SELECT * FROM (SELECT *, {O.lag_cols(depth)} FROM {name}_e) WHERE {O.lags_not_null(depth)}),
+  {name}_p AS (SELECT q.time AS q_time, t.v AS t_y, row_number() OVER (PARTITION BY q.time ORDER BY {O.dist(depth)}, t.time)
+                 AS rk FROM {name}_f q, {name}_f t WHERE q.fut AND NOT t.fut),
+  {name} AS (SELECT {site} AS siteId, '{quantity}' AS quantity, q_time AS time, avg(t_y) AS v
+             FROM {name}_p WHERE rk <= {k} GROUP BY q_time)"""
+
+
+_JOB_SQL = O.with_ctes(*O.BASE, _SITE_HOURLY, *[
+    _one_forecast_sql(f"p{i}", site, q, d, k) for i, ((site, q), (d, k)) in enumerate(JOB_PARAMS.items())]) + """,
+  al AS (""" + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(len(JOB_PARAMS))) + """)
+  SELECT CAST(siteId AS INTEGER) AS siteId, time, """ + ", ".join(
+    f"CASE WHEN hour(time) <= 5 THEN 0.0 ELSE greatest(0.0, max(v) FILTER (WHERE quantity = '{q}')) END AS {q}_predictions"
+    for q in ("avg_power_demand_kW", "energy_demand_kWh", "peak_power_kW")) + " FROM al GROUP BY siteId, time"
+
+
+@register("forecast_job_hourly", O.rounded(_JOB_SQL, O.PRED_COLS))
+def q_forecast_job_hourly(spark, sf_dir):
+    """The hourly forecast job over two sites' stored demand, each quantity by its own stored depth and k."""
+    root, by = scratch_path(spark, "forecast-job"), ["siteId"]
+    TB.write_table(R.rollup(R.demand_5min(sessions(spark, sf_dir), AS_OF, by), "hour", by), "demand_hourly", root)
+    stored = [("knn", "hourly", site, q, d, k) for (site, q), (d, k) in JOB_PARAMS.items()]
+    TB.save_params(spark.createDataFrame(stored, "model string, series string, siteId int, quantity string, "
+                                                 "best_depth int, best_n_neighbors int"), root, by=by)
+    return rounded(JOBS.forecast_hourly(spark, root, by=by))
+
+
+def _keyed_daily(spark, sf_dir) -> DataFrame:
+    """Daily order totals of even and odd customers, from the first to the last day of all orders."""
+    o = FX.table(spark, sf_dir, "orders").filter("o_orderdate is not null").select(
+        (F.col("o_custkey") % 2).cast("int").alias("side"), F.col("o_orderdate").cast("timestamp_ntz").alias("time"),
+        F.col("o_totalprice").alias("value"))
+    ends = o.agg(F.min("time").alias("lo"), F.max("time").alias("hi"))
+    spine = regular_spine(ends, "lo", "hi", 86400).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "time",
+                                                          F.lit(0.0).alias("value"))
+    return spine.unionByName(o).groupBy("side", "time").agg(F.sum("value").alias("v"))
+
+
+KEYED_DEPTHS, KEYED_PERIOD = list(range(40, 61)), 24
+
+
+@register("knn_grid_keyed", O.rounded("""
+WITH ends AS (SELECT min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders),
+  sp AS (SELECT side, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS time FROM ends, (VALUES (0), (1)) s(side)),
+  ks AS (SELECT sp.side, sp.time, coalesce(sum(o_totalprice), 0) AS v FROM sp
+         LEFT JOIN orders o ON o.o_orderdate = sp.time AND o.o_custkey % 2 = sp.side GROUP BY ALL),
+  f AS (SELECT * FROM (SELECT *, """ + ", ".join(
+      f"lag(v, {KEYED_PERIOD * k}) OVER (PARTITION BY side ORDER BY time) AS lag{k}" for k in range(1, 61)) + f""" FROM ks)
+        WHERE {O.lags_not_null(60)}),
+  s AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY time) AS rn, count(*) OVER (PARTITION BY side) AS n FROM f),
+  sl AS (SELECT *, {O.split_case()} AS split FROM s),
+  q AS (SELECT * FROM sl WHERE split = 'validation'),
+  t AS (SELECT * FROM sl WHERE split = 'train'),
+  pd AS (""" + " UNION ALL ".join(
+      f"SELECT q.side, q.time AS q_time, q.v AS q_y, t.time AS t_time, t.v AS t_y, {d} AS depth, {O.dist(d)} AS d "
+      f"FROM q JOIN t ON t.side = q.side" for d in KEYED_DEPTHS) + """),
+  r AS (SELECT *, row_number() OVER (PARTITION BY side, q_time, depth ORDER BY d, t_time) AS k FROM pd
+        QUALIFY k <= 25),
+  r2 AS (SELECT *, avg(t_y) OVER (PARTITION BY side, q_time, depth ORDER BY k ROWS UNBOUNDED PRECEDING) AS pred FROM r)
+SELECT CAST(side AS INTEGER) AS side, CAST(depth AS INTEGER) AS depth, CAST(k AS INTEGER) AS k,
+       sqrt(avg((pred - q_y) * (pred - q_y))) AS rmse
+FROM r2 WHERE k >= 10 GROUP BY side, depth, k""", ["rmse"], 3))
+def q_knn_grid_keyed(spark, sf_dir):
+    """All 336 pairs over lags 24 rows apart on the whole span of daily orders, two series in one job."""
+    scores = KN.knn_grid_scores(_keyed_daily(spark, sf_dir), KEYED_DEPTHS, KNN_KS, by=["side"], period=KEYED_PERIOD)
+    return rounded(scores.select("side", "depth", "k", F.sqrt("mse").alias("rmse")), 3)
+
+
+BACKTEST_ORIGINS = 6
+
+
+@register("knn_backtest", O.rounded(_HS + f""",
+  o AS (SELECT max(time) - to_hours(24 * b) AS origin FROM hourly_series, range(1, {BACKTEST_ORIGINS + 1}) r(b) GROUP BY b),
+  e AS (SELECT origin, time, v, false AS fut FROM o, hourly_series WHERE time <= origin
+        UNION ALL SELECT origin, origin + to_hours(h), 0.0, true FROM o, range(1, 25) r(h)),
+  f AS (SELECT * FROM (SELECT *, {", ".join(f"lag(v, {24 * k}) OVER (PARTITION BY origin ORDER BY time) AS lag{k}"
+                                            for k in range(1, KNN_DEPTH + 1))} FROM e) WHERE {O.lags_not_null(KNN_DEPTH)}),
+  p AS (SELECT q.origin, q.time, t.v AS y, row_number() OVER (PARTITION BY q.origin, q.time ORDER BY {O.dist(KNN_DEPTH)}, t.time)
+          AS rk FROM f q JOIN f t ON t.origin = q.origin AND q.fut AND NOT t.fut),
+  m AS (SELECT origin, time, avg(y) AS pred FROM p WHERE rk <= {KNN_K} GROUP BY origin, time)
+  SELECT CAST(datediff('hour', origin, m.time) AS INTEGER) AS horizon, count(*) AS n,
+         sqrt(avg((pred - v) * (pred - v))) AS rmse, avg(abs(pred - v)) AS mae
+  FROM m JOIN hourly_series h ON h.time = m.time GROUP BY 1""", ["rmse", "mae"]))
+def q_knn_backtest(spark, sf_dir):
+    """Errors by horizon over rolling origins of the hourly series, all origins forecast in one job."""
+    series = FX.hourly_series(spark, sf_dir).select("time", "v")
+    preds = KN.knn_forecast(FC.rolling_origins(series, BACKTEST_ORIGINS), KNN_DEPTH, KNN_K, by=["origin"])
+    return rounded(FC.scores_by_horizon(preds, series))
+
+
+@register("users_in_range", O.with_ctes(*O.BASE) + """
+  SELECT siteId, count(DISTINCT userId) AS users, true AS sketch_within_5_percent FROM sessions
+  WHERE userId IS NOT NULL AND connectTime >= TIMESTAMP '2024-01-05' AND connectTime < TIMESTAMP '2024-01-20'
+  GROUP BY siteId""")
+def q_users_in_range(spark, sf_dir):
+    """Distinct users of two weeks per site: the exact count, and whether the merged day sketches come within 5 %."""
+    s, by = sessions(spark, sf_dir), ["siteId"]
+    root = scratch_path(spark, "user-sketches")
+    TB.write_table(K.daily_user_sketches(s, by), "user_sketches", root, ["day"])
+    guess = K.users_between(TB.read_table(spark, "user_sketches", root), "2024-01-05", "2024-01-19", by)
+    exact = (s.filter((F.col("connectTime") >= as_ntz("2024-01-05")) & (F.col("connectTime") < as_ntz("2024-01-20")))
+             .groupBy(*by).agg(F.countDistinct("userId").alias("users")).filter("users > 0"))
+    return exact.join(guess.withColumnRenamed("users", "_guess"), by, "left").select(
+        *by, "users", (F.abs(F.col("_guess") - F.col("users")) <= 0.05 * F.col("users")).alias("sketch_within_5_percent"))

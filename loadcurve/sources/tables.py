@@ -55,6 +55,41 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library has written (nothing happens if it is not there)."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder (none if it is not there)."""
+    fs, p = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+
+
+def replace_partitions(spark: SparkSession, df: DataFrame, path: str, partition_by: list[str], parts: list[str]) -> None:
+    """Make ``df`` the whole content of the partitions ``parts`` (``col=value/...``) of a table it may be read from.
+
+    The rows are written beside the table first, then over the partitions they
+    belong to (dynamic overwrite); a partition of ``parts`` that got no rows is
+    removed.  Other partitions keep their files.
+    """
+    staged = f"{path}-staging"
+    df.write.mode("overwrite").parquet(staged)
+    rows = spark.read.schema(df.schema).parquet(staged)
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*partition_by).parquet(path))
+    filled = {"/".join(f"{c}={r[c]}" for c in partition_by) for r in rows.select(*partition_by).distinct().collect()}
+    for part in set(parts) - filled:
+        remove_path(spark, f"{path}/{part}")
+    remove_path(spark, staged)
+
+
 def table_exists(spark: SparkSession, name: str, root: str) -> bool:
     """Does a named table exist?"""
     return path_exists(spark, table_path(root, name))
@@ -129,12 +164,14 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
     return df.select(*cols)
 
 
-def save_params(params: DataFrame, root: str, name: str = "knn_params") -> str:
-    """Store a parameter table (model, series, quantity, best_depth, best_n_neighbors)."""
-    return write_table(params.select(*KNN_PARAMS.fieldNames()), name, root)
+def save_params(params: DataFrame, root: str, name: str = "knn_params", by=()) -> str:
+    """Store a parameter table (model, series, by..., quantity, best_depth, best_n_neighbors)."""
+    first, rest = KNN_PARAMS.fieldNames()[:2], KNN_PARAMS.fieldNames()[2:]
+    return write_table(params.select(*first, *by, *rest), name, root)
 
 
 def load_params(spark: SparkSession, root: str, model: str, series: str | None = None,
                 name: str = "knn_params") -> DataFrame:
-    p = read_table(spark, name, root, KNN_PARAMS).filter(F.col("model") == model)
+    """The stored parameters of a model, with the series keys that they were stored with."""
+    p = read_table(spark, name, root).filter(F.col("model") == model)
     return p if series is None else p.filter(F.col("series") == series)

@@ -205,7 +205,9 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
     windows = _stored(rows.join(kept, ["id", "k1", "k2"]).select("id", "k1", "k2", "text", "kept")
                       .mapInArrow(_window_task(length, short, middle), _spark(_WINDOWS)), "windows")
     least = windows.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    found = windows.join(least.drop("hi"), ["a", "b"]).filter("lo < id").select("k1", "k2", "id", "pos")
+    # stored, so that both sides of the join are plain exchanges, whose hot partitions Spark splits
+    least = _stored(least.drop("hi"), "least")
+    found = windows.join(least, ["a", "b"]).filter("lo < id").select("k1", "k2", "id", "pos")
     return found.unionByName(anchors.filter("pos < 0 AND id < last").select("k1", "k2", "id", "pos"))
 
 

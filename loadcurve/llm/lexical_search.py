@@ -81,7 +81,7 @@ def _item_terms(items: DataFrame, item: str, text: str) -> DataFrame:
 
 
 class ItemTree:
-    """Items in leaves of ``ITEM_LEAF``, halved by their likeness to two far ones; nodes hold the union of terms."""
+    """Items in leaves of ``ITEM_LEAF``, halved by which half's terms they share; nodes hold the union of terms."""
 
     def __init__(self, of_item: list, weights: np.ndarray):
         self.weights = weights.astype(np.float64)
@@ -101,20 +101,30 @@ class ItemTree:
                 dense[r, at] = self.weights[of_item[k]]
             self.nodes.append((lo, len(self.order), union, dense, None))
         else:
-            near = self._likeness(of_item, members, members[0])
-            far = members[np.argmin(near)]
-            lean = self._likeness(of_item, members, far) - self._likeness(
-                of_item, members, members[np.argmin(self._likeness(of_item, members, far))])
-            members, half = members[np.argsort(lean, kind="stable")], len(members) // 2
+            members, half = self._halved(of_item, members), len(members) // 2
             lo = len(self.order)
             sides = (self._build(of_item, members[:half]), self._build(of_item, members[half:]))
             self.nodes.append((lo, len(self.order), union, None, sides))
         return len(self.nodes) - 1
 
-    def _likeness(self, of_item, members, one):
+    def _halved(self, of_item, members, rounds: int = 6):
+        """``members`` in an order whose halves share terms: each round deals them by the terms of both halves."""
+        far = members[np.argmin(self._shared(of_item, members, members[:1]))]
+        lean = self._shared(of_item, members, [far])
+        half = len(members) // 2
+        for _ in range(rounds):
+            members = members[np.argsort(lean, kind="stable")]
+            low, high = (self._shared(of_item, members, m) for m in (members[:half], members[half:]))
+            lean = high - low
+        return members[np.argsort(lean, kind="stable")]
+
+    def _shared(self, of_item, members, group):
+        """Each member's weight of terms, as often as the group's other items have them."""
         flag = np.zeros(len(self.weights))
-        flag[of_item[one]] = self.weights[of_item[one]]
-        return np.array([flag[of_item[k]].sum() for k in members])
+        for k in group:
+            flag[of_item[k]] += self.weights[of_item[k]]
+        own = set(np.asarray(group).tolist())
+        return np.array([flag[of_item[k]].sum() - (k in own) * self.weights[of_item[k]].sum() for k in members])
 
 
 class Best:

@@ -167,8 +167,9 @@ def _accumulate(key, index: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
             acc[g + 1:] += (int(groups["kept"].iloc[0]) - held[g] - held[g + 1:]) * np.abs(zero[g] - zero[g + 1:])
         elif not len(own):
             continue
-        made.append(pd.DataFrame({"lang": key[0], "g": g, "parts": [acc.tolist()]}))
-    return pd.concat(made) if made else pd.DataFrame({"lang": [], "g": [], "parts": []})
+        made.append((key[0], g, acc.tolist()))
+    return pd.DataFrame({c: pd.Series([m[i] for m in made], dtype=kind)
+                         for i, (c, kind) in enumerate((("lang", object), ("g", "int32"), ("parts", object)))})
 
 
 def pair_divergences(shares: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:

@@ -1,9 +1,10 @@
 """Mixing sources to target weights: temperature mixing, realised as budgeted block permutations.
 
 A source with token share ``s`` gets the weight ``s ** alpha`` over the sum of
-these.  ``alpha`` is bisected: the largest one from 0 (even weights) to 1 (the
-shares) at which the weights' entropy is at least a target and no source is
-repeated more than a limit, or as near to that as any.  Each source's rows are
+these.  ``alpha`` is bisected to where the weights' entropy meets a target: 1
+gives the shares, 0 even weights, and above 1 large sources gain.  If a source
+would then be repeated more than a limit, ``alpha`` goes towards 1 until none
+is, or as far as that helps.  Each source's rows are
 dealt by hash into blocks; in every epoch a source's blocks come in an order of
 their own, and the last epoch stops at the block that would pass its budget.
 """
@@ -37,21 +38,28 @@ def _entropy(weights) -> float:
     return -math.fsum(w * math.log(w) for w in weights.values() if w > 0)
 
 
-def temperature_weights(tokens: dict[str, int], entropy_share: float = 0.95, budget: int | None = None,
-                        repeats: float = 4.0, steps: int = 60) -> tuple[float, dict[str, float]]:
+MOST_ALPHA = 64.0  # past this nearly all weight lies on the largest source
+
+
+def temperature_weights(tokens: dict[str, int], entropy_share: float | None = None, even: float = 0.5,
+                        budget: int | None = None, repeats: float = 4.0,
+                        steps: int = 80) -> tuple[float, dict[str, float]]:
     """(alpha, weights) for token totals by source.
 
-    The target entropy is ``entropy_share`` of the largest possible one.  Lower
-    ``alpha`` raises entropy and repeats small sources more often: the entropy
-    target gives the first ``alpha``; if a source would then be seen more than
-    ``repeats`` times in ``budget`` tokens (all tokens if not given), ``alpha``
-    is bisected upwards to that limit.  Sources without tokens get no weight.
+    The target is ``entropy_share`` of the largest possible entropy, or, if that
+    is not given, ``even`` of the way from the shares' entropy to the largest
+    one.  Entropy falls as ``alpha`` grows; a target that no ``alpha`` from 0 to
+    ``MOST_ALPHA`` meets gives the nearer end.  If a source would be seen more
+    than ``repeats`` times in ``budget`` tokens (all tokens if not given),
+    ``alpha`` is bisected towards 1 to where the limit is met.  Sources without
+    tokens get no weight; equal shares have the same weights at any ``alpha``.
     """
     some = {k: v for k, v in tokens.items() if v > 0}
     if not some:
         return 1.0, {k: 0.0 for k in tokens}
     budget = sum(some.values()) if budget is None else budget
-    target = entropy_share * math.log(len(some))
+    largest, own = math.log(len(some)), _entropy(_weights(some, 1.0))
+    target = own + even * (largest - own) if entropy_share is None else entropy_share * largest
 
     def bisect(good, low, high):
         """The border of ``good`` between an end where it holds (low) and one where it does not."""
@@ -62,18 +70,23 @@ def temperature_weights(tokens: dict[str, int], entropy_share: float = 0.95, bud
 
     enough = lambda a: _entropy(_weights(some, a)) >= target
     within = lambda a: all(w * budget <= repeats * some[k] for k, w in _weights(some, a).items())
-    alpha = 1.0 if enough(1.0) else bisect(enough, 0.0, 1.0)
+    if len(set(some.values())) == 1:
+        alpha = 1.0
+    elif not enough(0.0):
+        alpha = 0.0
+    else:
+        alpha = MOST_ALPHA if enough(MOST_ALPHA) else bisect(enough, 0.0, MOST_ALPHA)
     if not within(alpha):
         alpha = 1.0 if not within(1.0) else bisect(within, 1.0, alpha)
     weights = _weights(some, alpha)
     return alpha, {k: weights.get(k, 0.0) for k in tokens}
 
 
-def mix(docs: DataFrame, entropy_share: float = 0.95, repeats: float = 4.0, budget: int | None = None,
-        seed: int = 0, source: str = "source", blocks: int = BLOCKS, most_sources: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, entropy_share: float | None = None, even: float = 0.5, repeats: float = 4.0,
+        budget: int | None = None, seed: int = 0, source: str = "source", blocks: int = BLOCKS, most_sources: int = 100_000) -> DataFrame:
     """``docs`` with ``mix_epoch``, ``mix_position`` and ``mix_weight``; a row for each time a document is used.
 
-    ``budget`` is in tokens (words), all tokens of ``docs`` if not given.  A
+    The weights are :func:`temperature_weights`.  ``budget`` is in tokens (words), all tokens of ``docs`` if not given.  A
     source's realised tokens miss its share of the budget by less than one
     block (1 / ``blocks`` of the source, or one document where that is longer).
     Ordering by ``mix_position`` (0 to 1) interleaves the sources.  A null
@@ -97,7 +110,7 @@ def mix(docs: DataFrame, entropy_share: float = 0.95, repeats: float = 4.0, budg
     if by_source.count() > most_sources:
         raise ValueError(f"more than {most_sources} sources: group them first or raise most_sources")
     tokens = {r["__source__"]: int(r["t"]) for r in by_source.orderBy("__source__").collect()}
-    _, weights = temperature_weights(tokens, entropy_share, budget, repeats)
+    _, weights = temperature_weights(tokens, entropy_share, even, budget, repeats)
     budget = sum(tokens.values()) if budget is None else budget
     plan = totals.sparkSession.createDataFrame(
         [(k, float(w), int(tokens[k]), float(w * budget)) for k, w in weights.items()],

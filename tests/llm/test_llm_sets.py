@@ -170,16 +170,63 @@ def test_simhash_blocks_find_all_within_radius():
 
 
 def test_temperature_weights():
-    tokens = {"a": 1_000, "b": 100, "c": 10, "d": 0}
-    alpha, w = mixing.temperature_weights(tokens, entropy_share=0.9, repeats=1e9)
-    assert sum(w.values()) == pytest.approx(1) and w["d"] == 0 and 0 < alpha < 1
-    assert -sum(x * math.log(x) for x in w.values() if x) == pytest.approx(0.9 * math.log(3), rel=1e-6)
+    tokens = {"a": 1000, "b": 100, "c": 10, "none": 0}
+    entropy = lambda w: -sum(x * math.log(x) for x in w.values() if x)
+    for share in (0.2, 0.3, 0.7, 0.9, 0.999):   # below the shares' entropy (0.33) and above
+        alpha, w = mixing.temperature_weights(tokens, entropy_share=share, repeats=1e9)
+        assert entropy(w) == pytest.approx(share * math.log(3)) and w["none"] == 0 and sum(w.values()) == pytest.approx(1)
+        assert (alpha > 1) == (share * math.log(3) < entropy({k: v / 1110 for k, v in tokens.items()}))
+        assert w["a"] / w["b"] == pytest.approx(10 ** alpha)
+    alpha, w = mixing.temperature_weights(tokens, even=0.5, repeats=1e9)
+    own = entropy({k: v / 1110 for k, v in tokens.items()})
+    assert entropy(w) == pytest.approx((own + math.log(3)) / 2) and 0 < alpha < 1
     alpha, w = mixing.temperature_weights(tokens, entropy_share=0.9, repeats=4.0)
-    assert w["c"] * 1_110 / 10 == pytest.approx(4.0, rel=1e-6)
+    assert max(w[k] * 1110 / tokens[k] for k in "abc") == pytest.approx(4.0) and 0 < alpha < 1
+    alpha, w = mixing.temperature_weights(tokens, entropy_share=0.05, repeats=1.05)
+    assert w["a"] * 1110 / 1000 == pytest.approx(1.05) and alpha > 1
     assert mixing.temperature_weights({"a": 5, "b": 5})[0] == 1.0
     assert mixing.temperature_weights({}) == (1.0, {})
 
 
+def plain_mix(docs, even, repeats, blocks):
+    """The mix by plain loops over rows; Spark gives only the hashes that deal and order the blocks."""
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text",
+                       F.pmod(F.xxhash64(F.lit(0), F.col("doc_id").cast("long")), F.lit(blocks)).alias("block")).collect()
+    tokens, held = Counter(), Counter()
+    for r in rows:
+        n = len((r.text or "").encode().split())
+        tokens[r.source] += n
+        held[r.source, r.block] += n
+    _, weights = mixing.temperature_weights(tokens, None, even, None, repeats)
+    total, used = sum(tokens.values()), set()
+    plans = [(s, b, e) for s, b in held for e in range(math.floor(weights[s] * total / tokens[s] + 1e-9) + 1 if tokens[s] else 1)]
+    spark = docs.sparkSession
+    marks = spark.createDataFrame(plans, "s string, b int, e int").withColumn(
+        "at", F.xxhash64(F.lit(0), "s", "e", "b")).collect()
+    at = {(r.s, r.b, r.e): (r["at"], r.b) for r in marks}
+    for s in tokens:
+        share = weights[s] * total
+        whole = math.floor(share / tokens[s] + 1e-9) if tokens[s] else 0
+        for e in range(whole + 1):
+            left = share - whole * tokens[s] + 1e-6
+            for _, b in sorted(at[s, b, e] for x, b in held if x == s):
+                left -= held[s, b]
+                if e < whole or left >= 0:
+                    used.add((s, b, e))
+    return Counter((r.doc_id, e) for r in rows for s, b, e in [(r.source, r.block, x) for x in range(50)] if (s, b, e) in used)
+
+
+@pytest.mark.parametrize("even, repeats", [(0.5, 4.0), (0.9, 1.5), (-2.0, 4.0)])
+def test_mix_equals_plain_loops(spark, even, repeats):
+    rows = [(i, "w " * (1 + i % 7), None if i % 31 == 0 else "big" if i % 10 else "small") for i in range(2_000)]
+    rows += [(i, None if i % 2 else "", "blank") for i in range(2_000, 2_020)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, even=even, repeats=repeats, blocks=64)
+    assert Counter((r.doc_id, r.mix_epoch) for r in got.collect()) == plain_mix(docs, even, repeats, 64)
+    some = Counter(r.doc_id for r in got.filter("source <> 'blank'").collect())
+    assert set(some.values()) != {1} or len(some) < 2_000        # the target binds
+
+
 def test_mix_realises_weights(spark):
     rows = [(i, "w " * (1 + i % 7), "big" if i % 10 else "small", "x") for i in range(3_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_epoch string")

@@ -19,7 +19,7 @@ from collections import Counter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -119,14 +119,15 @@ def _candidates(folded: str) -> set[str]:
 
 
 def fit_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 12_000, support: int = 5,
-                odds: float = 3.0, surety: float = 2.9, entries: int = 5_000) -> Lexicon:
+                odds: float = 3.0, surety: float = 2.9, entries: int = 5_000, phrases: int = 1_000) -> Lexicon:
     """A lexicon from at most ``sample`` labelled ids whose crc32 modulo 3 is not 1.
 
     Whole words and word beginnings are counted in Spark, once a text, after
-    near copies in the sample are thinned to one (three times: one row for each
-    least shingle hash).  An entry needs ``support`` toxic texts, log-odds of
+    near copies in the sample are thinned to one (of rows with the same label that
+    agree in three least shingle hashes, the one with the smallest id).  An entry needs ``support`` toxic texts, log-odds of
     ``odds`` and log-odds of ``surety`` standard errors; at most the ``entries``
-    surest go to the driver.  Without such entries every score is low.
+    surest go to the driver, and at most ``phrases`` exception phrases.  Without
+    such entries every score is low.  The order of the rows makes no difference.
     """
     rows = labelled_sample(docs, labels, "toxic", id_remainder(3) != 1, sample)
 
@@ -144,10 +145,13 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 12_000, suppor
                         least[k, row[first]] = np.minimum.reduceat(tg.mix(x + np.uint64(k)), first).view(np.int64)
                 marks.append(least)
             marks = np.concatenate(marks, axis=1) if marks else np.empty((3, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, marks)], ["text", "label", "x", "y", "z"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, marks)],
+                                             ["text", "label", "doc_id", "x", "y", "z"])
 
-    thin = rows.select("text", "label").mapInArrow(sketch, "text string, label int, x long, y long, z long")
-    thin = materialize(thin.dropDuplicates(["x"]).dropDuplicates(["y"]).dropDuplicates(["z"]).select("text", "label"))
+    thin = rows.select("text", "label", "doc_id").mapInArrow(
+        sketch, "text string, label int, doc_id long, x long, y long, z long")
+    alike = Window.partitionBy("x", "y", "z", "label").orderBy("doc_id", "text")  # within the bounded sample
+    thin = materialize(thin.withColumn("k", F.row_number().over(alike)).filter("k = 1").select("text", "label"))
 
     def count(batches):
         bad, good = Counter(), Counter()
@@ -175,7 +179,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 12_000, suppor
             .filter((F.col("w") >= odds) & (F.col("z") >= surety)).orderBy(F.desc("z"), "entry").limit(entries))
     weights = _prune({r["entry"]: (r["bad"], r["good"], r["w"]) for r in best.collect()})
     lexicon = Lexicon(weights)
-    lexicon.exceptions += _harmless(thin, lexicon)
+    lexicon.exceptions += _harmless(thin, lexicon, phrases)
     return Lexicon(weights, lexicon.exceptions, _fit_line(thin, lexicon))
 
 
@@ -192,7 +196,7 @@ def _prune(found: dict[str, tuple[int, int, float]]) -> dict[str, float]:
     return kept
 
 
-def _harmless(thin: DataFrame, lexicon: Lexicon, support: int = 3) -> tuple[str, ...]:
+def _harmless(thin: DataFrame, lexicon: Lexicon, most: int, support: int = 3) -> tuple[str, ...]:
     """Two-word phrases around an entry that several harmless texts have and no toxic one."""
     def around(batches):
         seen = Counter()
@@ -213,7 +217,7 @@ def _harmless(thin: DataFrame, lexicon: Lexicon, support: int = 3) -> tuple[str,
         return ()
     got = (thin.mapInArrow(around, "phrase string, bad long, good long").groupBy("phrase")
            .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-           .filter(f"bad = 0 and good >= {support}").orderBy(F.desc("good"), "phrase").limit(1_000))
+           .filter(f"bad = 0 and good >= {support}").orderBy(F.desc("good"), "phrase").limit(most))
     return tuple(r["phrase"] for r in got.collect())
 
 
@@ -225,7 +229,8 @@ def _fit_line(thin: DataFrame, lexicon: Lexicon, ridge: float = 0.02) -> tuple[f
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), *(pa.array(got[:, k], pa.float64()) for k in range(3))], ["label", "a", "b", "c"])
 
-    table = thin.mapInArrow(measure, "label int, a double, b double, c double").orderBy("label", "a", "b", "c").toArrow()
+    table = thin.mapInArrow(measure, "label int, a double, b double, c double").toArrow()  # of the bounded sample
+    table = table.sort_by([(c, "ascending") for c in ("label", "a", "b", "c")])  # sums do not depend on the rows' order
     y = np.asarray(table.column(0), dtype=float) if table.num_rows else np.empty(0)
     if not 0 < y.sum() < len(y) or not lexicon.weights:
         return (-4.0, 1.0, 8.0, 0.5)

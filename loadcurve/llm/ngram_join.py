@@ -24,6 +24,8 @@ exact for any texts:
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -45,15 +47,28 @@ BUCKET_SHINGLES = 500_000  # shingles of all texts for each bucket of tile entri
 
 
 def _bands(num: int, den: int, most: int = 1 << 40):
-    """Lower ends of the size bands, and for each band the parts that its tiles have."""
+    """Lower ends of the size bands; for each band the parts that its tiles have, and how many of these agree.
+
+    A linked pair differs in ``d`` shingles at most, so of ``d + r`` parts it
+    has ``r`` in common.  ``r`` is chosen so that a text seldom has that many
+    empty parts: one with fewer has a part in common that is not empty.
+    """
     lows = [1]
     while lows[-1] < most:
         lows.append(lows[-1] * den // num + 1)
-    parts = []
-    for low in lows[1:]:
-        a = low - 1
-        parts.append((a + a * den // num) * (den - num) // (den + num) + 1)
-    return np.array(lows[:-1], dtype=np.int64), np.array(parts, dtype=np.int64)
+    parts, agree = [], []
+    for low, after in zip(lows[:-1], lows[1:], strict=True):
+        a = after - 1
+        d = (a + a * den // num) * (den - num) // (den + num)
+        r, enough = 0, 1
+        while r < enough <= max(1, d // 3):  # few steps: what is enough for ``r`` parts grows slowly
+            r = enough
+            empty = (d + r) * math.exp(-low / (d + r))  # expected, in a text of the band's least size
+            enough = math.ceil(empty + 2 * math.sqrt(empty) + 0.5)
+        r = 1 if enough > r else r  # more parts than that would be too small to tell texts apart
+        parts.append(d + r)
+        agree.append(r)
+    return np.array(lows[:-1], dtype=np.int64), np.array(parts, dtype=np.int64), np.array(agree, dtype=np.int64)
 
 
 class Sets:
@@ -111,7 +126,7 @@ def _band_tags(s: Sets, rows: np.ndarray, num, den, lows):
     return np.concatenate([rows, rows[lower]]), np.concatenate([band, band[lower] - 1])
 
 
-def _tile_keys(s: Sets, rows: np.ndarray, tags: np.ndarray, n_parts, level: int = 0):
+def _tile_keys(s: Sets, rows: np.ndarray, tags: np.ndarray, n_parts, n_agree, level: int = 0):
     """(row, key) of the tiles of ``rows`` under their band tags; each level cuts the hash space anew."""
     m = n_parts[tags]
     sizes = s.sizes[rows]
@@ -132,10 +147,11 @@ def _tile_keys(s: Sets, rows: np.ndarray, tags: np.ndarray, n_parts, level: int
     sums, owner, part = tg.mix(sums), owner[first], part[first]
     # A text with as many empty parts as could hide every agreeing part shows its empty parts too.
     full = np.bincount(owner, minlength=len(rows))
-    unsure = np.flatnonzero(full < m)
-    if len(unsure):
+    unsure = m - full >= n_agree[tags]
+    if unsure.any():
         has = np.zeros(int(m.sum()), bool)
         has[slot[first]] = True
+        has |= np.repeat(~unsure, m)
         gap = np.flatnonzero(~has)
         gap_owner = np.searchsorted(np.cumsum(m), gap, side="right")
         owner = np.concatenate([owner, gap_owner])
@@ -147,7 +163,7 @@ def _tile_keys(s: Sets, rows: np.ndarray, tags: np.ndarray, n_parts, level: int
 
 def _packed_tiles(docs: DataFrame, ngram, num, den, buckets) -> DataFrame:
     """(bucket, set ids, doc ids, sizes, entries of each, low halves of their keys) as packed arrays."""
-    lows, n_parts = _bands(num, den)
+    lows, n_parts, n_agree = _bands(num, den)
 
     def tiles(batches):
         for batch in batches:
@@ -160,7 +176,7 @@ def _packed_tiles(docs: DataFrame, ngram, num, den, buckets) -> DataFrame:
                 rows = rows[s.sizes[rows] > 0]
                 if not len(rows):
                     continue
-                row, key = _tile_keys(s, *_band_tags(s, rows, num, den, lows), n_parts)
+                row, key = _tile_keys(s, *_band_tags(s, rows, num, den, lows), n_parts, n_agree)
                 bucket = ((key >> _U(32)) * _U(buckets)) >> _U(32)
                 order = np.lexsort((row, bucket))
                 row, key, bucket = row[order], key[order], bucket[order].astype(np.int64)
@@ -339,7 +355,7 @@ def _refined(mixed: DataFrame, base: DataFrame, ngram, num, den, level: int) ->
     Members that only share a common passage rarely meet again, so the pairs to
     go through fall with each level while none that links is lost.
     """
-    lows, n_parts = _bands(num, den)
+    lows, n_parts, n_agree = _bands(num, den)
     hot, rest = mixed.filter(F.col("g") > BLOCK_MEMBERS), mixed.filter(F.col("g") <= BLOCK_MEMBERS)
 
     def keys(batches):
@@ -347,7 +363,7 @@ def _refined(mixed: DataFrame, base: DataFrame, ngram, num, den, level: int) ->
             ids = batch.column(0)
             for i, j, s in _blocks(batch, ngram):
                 rows = np.flatnonzero(s.sizes > 0)
-                row, key = _tile_keys(s, *_band_tags(s, rows, num, den, lows), n_parts, level)
+                row, key = _tile_keys(s, *_band_tags(s, rows, num, den, lows), n_parts, n_agree, level)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, j - i).take(pa.array(row)), pa.array(key.view(np.int64))], ["id", "key"])
 

@@ -61,7 +61,7 @@ def _bands(num: int, den: int, most: int = 1 << 40):
         a = after - 1
         d = (a + a * den // num) * (den - num) // (den + num)
         r, enough = 0, 1
-        while r < enough <= max(1, d // 3):  # few steps: what is enough for ``r`` parts grows slowly
+        while r < enough <= max(1, d // 2):  # few steps: what is enough for ``r`` parts grows slowly
             r = enough
             empty = (d + r) * math.exp(-low / (d + r))  # expected, in a text of the band's least size
             enough = math.ceil(empty + 2 * math.sqrt(empty) + 0.5)

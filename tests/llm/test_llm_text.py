@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from conftest import SF_ORACLE
 from pyspark.sql import functions as F
 
 from loadcurve.llm import chat_format, fingerprints, html_extract, quality, secret_scan, textgrams, toxicity, url_filter
@@ -293,3 +294,40 @@ def test_conversations_read_back(spark):
     assert got[1].turns_sha256 == hashlib.sha256(b"user\nhi\nassistant\nyo </s>\nassistant\nyo </s>\n").hexdigest()
     assert got[1].loss_sha256 == hashlib.sha256(b"yo </s>yo </s>").hexdigest()
     assert got[2].turns_sha256 == hashlib.sha256(b"\n\n").hexdigest() and got[None].n_turns == 1
+
+
+LONG_P = "<p>" + "word of a long text here and there " * 8 + "</p>"
+
+
+@pytest.mark.parametrize("page, paragraphs, last", [
+    (f'<div class="layout no-sidebar"><article>{LONG_P * 2}</article></div>', 2, None),
+    (f'<div class="content with-sidebar">{LONG_P * 2}</div>', 2, None),
+    (f'<div class="site header-fixed"><article>{LONG_P * 2}</article></div>', 2, None),
+    (f'<div class="site header-fixed"><div id="c">{LONG_P * 2}</div></div>', 2, None),
+    (f'<article>{LONG_P}<p class="notice-period">The notice period is two months.</p></article>', 1,
+     "The notice period is two months."),
+    (f'<article>{LONG_P * 6}<section><p>The end.</p></section></article>', 6, "The end."),
+    (f'<body><div id=c><section>{LONG_P * 6}</section><section><p>The end.</p></section></div></body>', 6, "The end."),
+    ('<article><p><a href="x">All of this text is a link.</a></p></article>', 0, "All of this text is a link."),
+    (f'<div class="sidebar">{LONG_P}</div>', 1, None),
+    (f'<div class="main">{LONG_P * 4}</div><div class="sidebar-left">{LONG_P}</div><div class="site-footer">By us</div>', 4, None),
+    (f'<div id=c>{LONG_P}</div><div class="comment-list">{LONG_P * 5}</div>', 1, None),
+    (f'<div class="comments-open"><div class="entry">{LONG_P * 3}</div><div class="comments">{LONG_P * 2}</div></div>', 3, None),
+    (f'<div class="ad-slot">{LONG_P}<article>{LONG_P * 3}</article>', 3, None),
+    (f'<article>{LONG_P * 2}</article><div class="related"><article>{LONG_P}</article></div>', 2, None)])
+def test_names_are_no_proof_against_the_article(page, paragraphs, last):
+    text = " ".join(("word of a long text here and there " * 8).split())
+    assert html_extract.main_text(page).split("\n") == [text] * paragraphs + [last] * (last is not None)
+
+
+def test_extraction_of_no_pages_and_a_long_one(spark):
+    pages = spark.createDataFrame([(1, "u", f"<article>{LONG_P * 20_000}</article>")], "page_id long, url string, html string")
+    assert html_extract.extract_text(pages.limit(0)).collect() == []
+    assert html_extract.extract_text(pages).first().n_chars == 20_000 * 280 - 1
+
+
+def test_lexicon_does_not_follow_the_order_of_rows(spark):
+    docs, labels = (spark.read.parquet(f"{SF_ORACLE}/{t}.parquet") for t in ("documents", "labels"))
+    fitted = [toxicity.fit_lexicon(docs.repartition(n, "text") if n else docs, labels) for n in (0, 7)]
+    assert fitted[0].weights and fitted[0].weights == fitted[1].weights and fitted[0].line == fitted[1].line
+    assert fitted[0].exceptions == fitted[1].exceptions

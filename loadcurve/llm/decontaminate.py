@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of windows inside items, searched by Hamming blocks.
 
-Words are lower-case runs of letters and digits, shingles five of them.  An item
+Words are lower-case runs of letters and digits of texts in one form (:func:`fold_texts`),
+shingles five of them.  An item
 of ``n`` shingles is given a window size ``w`` that follows from ``n``: large
 enough to be told apart, small enough that any passage of similarity
 ``threshold`` still holds an unbroken run of ``w + STRIDE - 1`` shingles.  All
@@ -15,8 +16,12 @@ shingles of the document's item-sized window there (weights are their counts).
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +34,26 @@ _SIZES = (64, 48, 32, 24, 16, 12, 8, 6, 4, 3, 2, 1)
 _U = np.uint64
 
 
-def _fold_latin(data: np.ndarray) -> np.ndarray:
-    """Lower case of Latin-1 letters in UTF-8 (C3 80-9E but 97), so that capitals compare equal."""
-    out = data.copy()
-    at = np.flatnonzero(out[:-1] == 0xC3) + 1 if len(out) > 1 else np.empty(0, np.int64)
-    at = at[(out[at] >= 0x80) & (out[at] <= 0x9E) & (out[at] != 0x97)]
-    out[at] += 0x20
-    return out
+_MARKS = re.compile(r"[^\x00-\x7f\w]+")
+
+
+def fold_texts(column: pa.Array) -> pa.Array:
+    """Texts in one form: compatibility-normalised, case-folded, other than letters and digits beyond ASCII as spaces.
+
+    So typographic apostrophes, no-break spaces, ligatures and capitals of any
+    script compare equal to their plain forms.  ASCII texts stay as they are:
+    what splits them into words lowers their letters.  A null is empty.
+    """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    other = np.flatnonzero(np.asarray(pc.binary_length(column)) != np.asarray(pc.utf8_length(column)))
+    if not len(other):
+        return column
+    texts = column.to_pylist()
+    for i in other:
+        texts[i] = _MARKS.sub(" ", unicodedata.normalize("NFKC", texts[i]).casefold())
+    return pa.array(texts, pa.large_string())
 
 
 def _shingles(data, offsets):
@@ -76,9 +94,9 @@ class _Index:
 
     def __init__(self, items: list[tuple[int, str]], threshold: float):
         self.threshold, self.items, self.tables, self.whole = threshold, [], {}, {}
-        data, offsets = tg.text_buffer(pa.array([t for _, t in items], pa.large_string()))
-        x, row = _shingles(_fold_latin(data), offsets)
-        h, word_row, _, _ = tg.words(_fold_latin(data), offsets, tg.LETTERS)
+        data, offsets = tg.text_buffer(fold_texts(pa.array([t for _, t in items], pa.large_string())))
+        x, row = _shingles(data, offsets)
+        h, word_row, _, _ = tg.words(data, offsets, tg.LETTERS)
         words = np.bincount(word_row, minlength=len(items))
         found: dict[int, list] = {}
         for k, (item, _) in enumerate(items):
@@ -206,10 +224,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, bl
 def _searcher(index: _Index):
     def search(batches):
         for batch in batches:
-            data, offsets = tg.text_buffer(batch.column(1))
+            data, offsets = tg.text_buffer(fold_texts(batch.column(1)))
             for i, j in tg.row_slices(offsets):
-                a, b = offsets[i], offsets[j]
-                got = index.search(*_shingles(_fold_latin(data[a:b]), offsets[i: j + 1] - a))
+                got = index.search(*_shingles(data, offsets[i: j + 1]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array([i + r for r, *_ in got], pa.int64())),
                      pa.array([index.items[k][0] for _, k, *_ in got], pa.int64()),
@@ -220,11 +237,10 @@ def _searcher(index: _Index):
 
 def _marker(index: _Index):
     def mark(text):
-        data, offsets = tg.text_buffer(text)
+        data, offsets = tg.text_buffer(fold_texts(text))
         leaks = np.zeros(len(text), bool)
         for i, j in tg.row_slices(offsets):
-            a, b = offsets[i], offsets[j]
-            got = index.search(*_shingles(_fold_latin(data[a:b]), offsets[i: j + 1] - a))
+            got = index.search(*_shingles(data, offsets[i: j + 1]))
             leaks[[i + r for r, *_ in got]] = True
         return [pa.array(leaks)]
     return mark

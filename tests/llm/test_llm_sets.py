@@ -266,3 +266,15 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
         elif name != "mixing":
             assert 0.5 * before < docs.count() <= before
     assert docs.count() > 0 and {"mix_epoch", "mix_position", "mix_weight"} < set(docs.columns)
+
+
+def test_leaks_in_other_letter_forms(spark):
+    plain = "l'eau de la ville n'est pas propre et c'est dommage pour l'avenir de nos enfants et qu'on le dise aujourd'hui"
+    cyrillic = "все счастливые семьи похожи друг на друга каждая несчастливая семья несчастлива по своему и никто не спорит"
+    items = spark.createDataFrame([(1, plain), (2, cyrillic), (3, "office fittings ﬁt the ﬂoor of this one house as they do elsewhere in town")],
+                                  "item_id long, text string")
+    rows = [(10, "x y z " + plain.replace("'", "’") + " and more"), (11, "a b " + plain.replace(" ", " ")),
+            (12, cyrillic.upper() + "!"), (13, "so, office fittings fit the floor of this one house as they do elsewhere in town"),
+            (14, plain.upper()), (15, "quite another text about the same town and its houses"), (16, None)]
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(10, 1), (11, 1), (12, 2), (13, 3), (14, 1)}

@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadcurve.session import scratch_path
 
@@ -135,11 +136,11 @@ MOST_RANGES = 10_000         # ranges of an index, whose counts the driver holds
 
 
 class PageIndex:
-    """Ranges of a request's sort order, written under ``path``, and their counts."""
+    """Ranges of a request's sort order, written under ``path``, and their counts; ``schema`` is the table's."""
 
-    def __init__(self, spark: SparkSession, path: str, request: dict):
+    def __init__(self, spark: SparkSession, path: str, request: dict, schema: T.StructType):
         self.path, self.sort_model = path, request.get("sortModel")
-        self.table = spark.read.parquet(path)
+        self.table = spark.read.schema(T.StructType([*schema.fields, T.StructField("_range", T.IntegerType())])).parquet(path)
         counts = self.table.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect()
         self.starts, self.row_count = [], 0      # (range, rows before it), at most MOST_RANGES
         for r in counts:
@@ -156,13 +157,13 @@ class PageIndex:
         n = min(max(1, -(-filtered.count() // rows_per_range)), MOST_RANGES)
         ranged = filtered.repartitionByRange(n, *sort_columns(filtered, request.get("sortModel")))
         ranged.withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(path)
-        return cls(spark, path, request)
+        return cls(spark, path, request, df.schema)
 
     def page(self, start: int = 0, end: int | None = None, position: str = "_position") -> DataFrame:
         """Rows ``start`` to ``end`` (to the last one: None) of the order, with their ``position`` from 0."""
         end = self.row_count if end is None else min(end, self.row_count)
         after = [b for _, b in self.starts[1:]] + [self.row_count]
-        touched = [(r, b) for (r, b), a in zip(self.starts, after, strict=True) if b < end and a > start]
+        touched = [(r, b) for (r, b), a in zip(self.starts, after if self.starts else [], strict=True) if b < end and a > start]
         rows = self.table.filter(F.col("_range").isin([r for r, _ in touched])) if len(touched) <= 100 else (
             self.table.filter(F.col("_range").between(touched[0][0], touched[-1][0])))
         order = sort_columns(rows.drop("_range"), self.sort_model)

@@ -603,7 +603,35 @@ def q_daily_forecast(spark, sf_dir):
     return rounded(SE.seasonal_forecast(FX.daily_series(spark, sf_dir), p=1, P=0), 1)
 
 
-@register("daily_order_search")
+def _order_search_sql(max_p: int, max_P: int) -> str:
+    """Every order's AIC by taking the regressors out one after another (centred Gram-Schmidt steps)."""
+    lags = [*range(1, max_p + 1), *(7 * i for i in range(1, max_P + 1))]
+    ctes, found = [], []
+    for p in range(max_p + 1):
+        for P in range(max_P + 1):
+            own = [*range(1, p + 1), *(7 * i for i in range(1, P + 1))]
+            last = "centred"
+            for step, lag in enumerate(own):
+                name = f"c{p}_{P}_{step}"
+                rest = ["y", *(f"x{x}" for x in own[step + 1:])]
+                ctes.append(f"{name} AS (SELECT " + ", ".join(
+                    f"{v} - x{lag} * (sum({v} * x{lag}) OVER () / sum(x{lag} * x{lag}) OVER ()) AS {v}" for v in rest)
+                    + f" FROM {last})")
+                last = name
+            found.append(f"SELECT {p} AS p, {P} AS sp, count(*) * ln(sum(y * y) / count(*)) + {2 * (len(own) + 2)} AS aic, "
+                         f"count(*) AS n FROM {last}")
+    return O.with_ctes(O.DAILY_SERIES, f"""
+  r AS (SELECT time, v, v - lag(v, 7) OVER (ORDER BY time) AS w FROM daily_series
+        QUALIFY row_number() OVER (ORDER BY time) <= count(*) OVER () - ceil(count(*) OVER () * CAST({1 - 0.8!r} AS DOUBLE))),
+  l AS (SELECT w AS y, {", ".join(f"lag(w, {x}) OVER (ORDER BY time) AS x{x}" for x in lags)} FROM r),
+  d AS (SELECT * FROM l WHERE y IS NOT NULL AND {" AND ".join(f"x{x} IS NOT NULL" for x in lags)}),
+  centred AS (SELECT {", ".join(f"{v} - avg({v}) OVER () AS {v}" for v in ["y", *(f"x{x}" for x in lags)])} FROM d)""",
+        *ctes) + f"""
+  SELECT CAST(p AS INTEGER) AS ar_order, CAST(sp AS INTEGER) AS seasonal_ar_order, aic, n
+  FROM ({" UNION ALL ".join(found)}) q ORDER BY aic, p + sp, p LIMIT 1"""
+
+
+@register("daily_order_search", O.rounded(_order_search_sql(2, 2), ["aic"], 4))
 def q_daily_order_search(spark, sf_dir):
     return rounded(SE.seasonal_order_search(FX.daily_series(spark, sf_dir), max_p=2, max_P=2), 4)
 

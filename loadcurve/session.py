@@ -67,6 +67,7 @@ def build_session(master: str = "local[8]", app: str = "loadcurve",
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", "16g")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for k, v in {**SESSION_DEFAULTS, **(extra or {})}.items():
         b = b.config(k, v)
@@ -104,7 +105,8 @@ def materialize(df):
 
     A reliable ``checkpoint()`` in the shared folder: the upstream plan (say, a
     scan of the raw sessions feeding an hourly series) runs once instead of once
-    per branch, and a lost executor re-reads the copy.
+    per branch, and a lost executor re-reads the copy.  The copy goes with its
+    last reader where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -121,6 +123,16 @@ def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
         spark.conf.set(BATCH_CONF, f"{most}b")
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return os.path.join(checkpoint_dir(spark), "loadcurve", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the checkpoint folder (one per call)."""
-    return os.path.join(checkpoint_dir(spark), "loadcurve", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh sub-folder of the application's folder in the checkpoint folder (one per call)."""
+    return os.path.join(_scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has written by :func:`scratch_path`; frames that read from it are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

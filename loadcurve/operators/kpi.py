@@ -132,6 +132,28 @@ def card_text(cum: DataFrame, as_of) -> DataFrame:
                       "EEEE, MMMM dd, yyyy").alias("date_title"))
 
 
+def _change_text(change: str, number: str, digits: int, since: str):
+    """'+12% since ...!', or that nothing changed (null counts as that); rounded half-to-even before it is printed."""
+    value = F.bround(F.col(change).cast("double"), digits)
+    return F.when(F.coalesce(F.col(change).cast("double"), F.lit(0.0)) == 0, f"No change since {since}!").otherwise(
+        F.concat(F.format_string(number, value), F.lit(f" since {since}!")))
+
+
+def today_card_text(today: DataFrame, peak: DataFrame, quantity: str = "peak_power_kW") -> DataFrame:
+    """display text of today's cards (:func:`kpi_today`) and of the month's peak (:func:`kpi_month_peak`)."""
+    number = lambda c: F.format_number(F.bround(F.coalesce(c, F.lit(0.0)), 1), 1)
+    left = today.select(
+        F.lit(1).alias("_one"),
+        F.concat(number("kwh_today"), F.lit(" kWh")).alias("kwh_today_text"),
+        F.format_number(F.col("sessions_today"), 0).alias("users_today_text"),
+        _change_text("kwh_change_pct", "%+.0f%%", 0, "yesterday").alias("kwh_change_text"),
+        _change_text("users_change", "%+.0f users", 0, "yesterday").alias("users_change_text"))
+    right = peak.select(
+        F.lit(1).alias("_one"), F.concat(number(quantity), F.lit(" kW")).alias("peak_text"),
+        _change_text("change_pct", "%+.1f%%", 1, "last month").alias("peak_change_text"))
+    return left.join(right, "_one", "left").drop("_one")   # one row each
+
+
 USER_SKETCH_BITS = 12   # relative standard error of a count: about 1.04 / sqrt(2 ** bits) = 1.6 %
 
 

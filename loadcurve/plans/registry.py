@@ -322,6 +322,33 @@ def q_kpi_today(spark, sf_dir):
     return rounded(K.kpi_today(raw(spark, sf_dir), AS_OF))
 
 
+_TODAY_CARD = O.with_ctes(*O.BASE, O.TODAY_SESSIONS, O.TODAY_SLOTS, O.DEMAND_5MIN, O.DEMAND_DAILY, O.DEMAND_MONTHLY) + f""",
+  k AS (SELECT
+    (SELECT coalesce(sum(e), 0) / 1000 FROM (SELECT dcosId, max(cumEnergy_Wh) AS e FROM today_rows GROUP BY dcosId)) AS kwh,
+    (SELECT count(DISTINCT dcosId) FROM today_rows) AS n,
+    (SELECT coalesce(max(energy_demand_kWh), 0) FROM demand_daily WHERE time = {O.YESTERDAY}) AS kwh0,
+    (SELECT count(DISTINCT userId) FROM sessions WHERE date_trunc('day', connectTime) = {O.YESTERDAY}) AS n0,
+    (SELECT arg_max(peak_power_kW, time) FROM demand_monthly) AS peak,
+    (SELECT lag(peak_power_kW) OVER (ORDER BY time) AS p FROM demand_monthly QUALIFY row_number() OVER (ORDER BY time DESC) = 1)
+      AS peak0),
+  c AS (SELECT *, {O.pct_change('kwh', 'kwh0')} AS kc, n - n0 AS nc, {O.pct_change('peak', 'peak0')} AS pc FROM k)
+  SELECT format('{{:,.1f}}', round_even(kwh, 1)) || ' kWh' AS kwh_today_text, format('{{:,}}', n) AS users_today_text,
+         CASE WHEN kc = 0 THEN 'No change since yesterday!' ELSE printf('%+.0f%% since yesterday!', round_even(kc, 0)) END
+           AS kwh_change_text,
+         CASE WHEN nc = 0 THEN 'No change since yesterday!' ELSE printf('%+d users since yesterday!', nc) END
+           AS users_change_text,
+         format('{{:,.1f}}', round_even(peak, 1)) || ' kW' AS peak_text,
+         CASE WHEN pc = 0 THEN 'No change since last month!' ELSE printf('%+.1f%% since last month!', round_even(pc, 1)) END
+           AS peak_change_text
+  FROM c"""
+
+
+@register("kpi_today_text", _TODAY_CARD)
+def q_kpi_today_text(spark, sf_dir):
+    monthly = R.rollup(_d5(spark, sf_dir), "month")
+    return K.today_card_text(K.kpi_today(raw(spark, sf_dir), AS_OF), K.kpi_month_peak(monthly))
+
+
 @register("kpi_month_peak", O.rounded(O.with_ctes(O.DAILY_SERIES) + f""",
   m AS (SELECT CAST(last_day(time) AS TIMESTAMP) AS time, max(v) AS peak_power_kW FROM daily_series GROUP BY 1),
   l AS (SELECT *, lag(peak_power_kW) OVER (ORDER BY time) AS previous_peak_power_kW FROM m

@@ -147,3 +147,14 @@ def test_scratch_folders_go_together(spark):
     other = scratch_path(spark, "gone")
     assert path.rsplit("/", 1)[0] == other.rsplit("/", 1)[0] and path != other
     assert clear_scratch.__doc__ and spark.read.parquet(path).count() == 3
+
+
+def test_change_texts(spark):
+    today = spark.createDataFrame([(1234.56, 3, 0.0, -2), (0.0, 0, -12.5, 0), (1.0, 1200, 100.4, 7)],
+                                  "kwh_today double, sessions_today long, kwh_change_pct double, users_change long")
+    peak = spark.createDataFrame([(25.25, None)], "peak_power_kW double, change_pct double")
+    got = [tuple(r) for r in K.today_card_text(today, peak).collect()]
+    assert sorted(got) == sorted([
+        ("1,234.6 kWh", "3", "No change since yesterday!", "-2 users since yesterday!", "25.2 kW", "No change since last month!"),
+        ("0.0 kWh", "0", "-12% since yesterday!", "No change since yesterday!", "25.2 kW", "No change since last month!"),
+        ("1.0 kWh", "1,200", "+100% since yesterday!", "+7 users since yesterday!", "25.2 kW", "No change since last month!")])

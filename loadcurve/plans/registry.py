@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadcurve.operators import analytics as A
+from loadcurve.operators import arma as ARMA
 from loadcurve.operators import clean as C
 from loadcurve.operators import explore as X
 from loadcurve.operators import features as FE
@@ -663,6 +664,47 @@ def q_daily_order_search(spark, sf_dir):
     return rounded(SE.seasonal_order_search(FX.daily_series(spark, sf_dir), max_p=2, max_P=2), 4)
 
 
+ARMA_LONG = 7
+
+
+def _arma_scores_sql(long: int) -> str:
+    """Residuals of the long regression by Gram-Schmidt steps, then every candidate's in the same way."""
+    def out_of(last, name, step, keep, rest):
+        return f"{name} AS (SELECT {keep}" + ", ".join(
+            f"{v} - {step} * (sum({v} * {step}) OVER () / sum({step} * {step}) OVER ()) AS {v}" for v in rest) + f" FROM {last})"
+
+    ctes, last = [], "lc"
+    for x in range(1, long + 1):
+        ctes.append(out_of(last, f"l{x}", f"x{x}", "time, w, ", ["y", *(f"x{i}" for i in range(x + 1, long + 1))]))
+        last = f"l{x}"
+    cols = ["w1", "w7", "e1", "e7"]
+    ctes.append(f"""
+  st AS (SELECT w AS y, lag(w, 1) OVER (ORDER BY time) AS w1, lag(w, 7) OVER (ORDER BY time) AS w7,
+                lag(y, 1) OVER (ORDER BY time) AS e1, lag(y, 7) OVER (ORDER BY time) AS e7 FROM {last}),
+  sc AS (SELECT {", ".join(f"{v} - avg({v}) OVER () AS {v}" for v in ["y", *cols])} FROM st
+         WHERE {" AND ".join(f"{v} IS NOT NULL" for v in cols)})""")
+    found = []
+    for k in range(16):
+        own, last = [c for i, c in enumerate(cols) if k >> i & 1], "sc"
+        for i, c in enumerate(own):
+            ctes.append(out_of(last, f"m{k}_{i}", c, "", ["y", *own[i + 1:]]))
+            last = f"m{k}_{i}"
+        found.append(f"SELECT {k & 1} AS p, {k >> 2 & 1} AS q, {k >> 1 & 1} AS seasonal_p, {k >> 3 & 1} AS seasonal_q, "
+                     f"count(*) * ln(sum(y * y) / count(*)) + {2 * (len(own) + 2)} AS aic, count(*) AS n FROM {last}")
+    xs = [f"x{x}" for x in range(1, long + 1)]
+    return O.with_ctes(O.DAILY_SERIES, f"""
+  wd AS (SELECT time, v - lag(v, 7) OVER (ORDER BY time) AS w FROM daily_series),
+  wl AS (SELECT time, w, {", ".join(f"lag(w, {x}) OVER (ORDER BY time) AS x{x}" for x in range(1, long + 1))} FROM wd),
+  lc AS (SELECT time, w, w - avg(w) OVER () AS y, {", ".join(f"{x} - avg({x}) OVER () AS {x}" for x in xs)} FROM wl
+         WHERE w IS NOT NULL AND {" AND ".join(f"{x} IS NOT NULL" for x in xs)})""", *ctes) + " " + " UNION ALL ".join(found)
+
+
+@register("arma_order_scores", O.rounded(_arma_scores_sql(ARMA_LONG), ["aic"], 3))
+def q_arma_order_scores(spark, sf_dir):
+    """AIC of the 16 daily models with up to one term of each kind, moving-average terms included."""
+    return rounded(ARMA.arma_scores(FX.daily_series(spark, sf_dir), 1, 1, 1, 1, ARMA_LONG), 3)
+
+
 @register("peak_forecast_today", O.rounded(
     _daily_forecast_sql("peak_power_kW_predictions", "WHERE time = TIMESTAMP '2001-08-02'"),
     ["peak_power_kW_predictions"], 1))

@@ -118,3 +118,47 @@ def test_seasonal_fit_keeps_its_intercept_at_large_values(spark):
     slope = ((x - x.mean()) @ (y - y.mean())) / ((x - x.mean()) @ (x - x.mean()))
     assert abs(beta[1] - slope) < 1e-6
     assert abs(beta[0] - (y.mean() - slope * x.mean())) < 1e3
+
+
+def _daily(spark, v, sid=None):
+    import datetime as dt
+    rows = [(dt.datetime(2020, 1, 1) + dt.timedelta(days=i), float(x)) + ((sid,) if sid is not None else ()) for i, x in enumerate(v)]
+    return spark.createDataFrame(rows, "time timestamp_ntz, v double" + (", sid int" if sid is not None else ""))
+
+
+def _weekly(shocks, theta, phi):
+    """A series whose weekly difference is an ARMA(1, 1) of the shocks."""
+    w = np.zeros(len(shocks))
+    for t in range(1, len(shocks)):
+        w[t] = phi * w[t - 1] + shocks[t] + theta * shocks[t - 1]
+    v = list(range(100, 107))
+    for t in range(len(w)):
+        v.append(v[-7] + w[t])
+    return np.array(v)
+
+
+def test_arma_forecast_equals_numpy(spark):
+    from loadcurve.operators import arma
+    v, long = _weekly(np.random.default_rng(3).normal(size=300), 0.6, 0.3), 7
+    w = v[7:] - v[:-7]
+    x = np.column_stack([np.ones(len(w) - long), *[w[long - k: -k] for k in range(1, long + 1)]])
+    e = w[long:] - x @ np.linalg.lstsq(x, w[long:], rcond=None)[0]
+    y = w[long:]
+    x = np.column_stack([np.ones(len(y) - 1), y[:-1], e[:-1]])
+    beta = np.linalg.lstsq(x, y[1:], rcond=None)[0]
+    want, shock, last = list(v), e[-1], w[-1]
+    for _ in range(7):
+        last, shock = beta @ [1, last, shock], 0.0
+        want.append(want[-7] + last)
+    got = [r.v_predictions for r in arma.arma_forecast(_daily(spark, v), 1, 0, 1, 0, long).orderBy("time").collect()]
+    assert np.allclose(got, want[-7:], rtol=1e-6)
+
+
+def test_arma_search_finds_the_moving_average_by_series(spark):
+    from loadcurve.operators import arma
+    shocks = np.random.default_rng(5).normal(size=900)
+    two = _daily(spark, _weekly(shocks, 0.9, 0.0), 1).unionByName(_daily(spark, _weekly(shocks, 0.0, 0.8), 2))
+    best = {r.sid: r for r in arma.arma_search(two, 1, 0, 1, 0, by=["sid"]).collect()}
+    assert best[1].q == 1 and best[2].p == 1
+    alone = {r.p: r.aic for r in arma.arma_scores(two.filter("sid = 1").drop("sid"), 1, 0, 0, 0).collect()}
+    assert min(alone.values()) > best[1].aic      # without the term it is worse

@@ -376,13 +376,15 @@ def _refined(mixed: DataFrame, base: DataFrame, ngram, num, den, level: int) ->
         parts.join(counts.filter("x <> y").select("tile", "g"), "tile").select(*rest.columns)))
 
 
-def _short_bits(sets: DataFrame, num, den) -> DataFrame:
-    """(id, bits): signatures folded to ``TILE_BITS`` at most, and to a quarter at shares of 80 % or less."""
-    fold_by = 4 if (den - num) * 5 >= den else 1
+def _short_bits(sets: DataFrame) -> DataFrame:
+    """(id, bits): signatures folded to ``TILE_BITS`` at most.
 
+    Shorter ones would save bytes here and leave pairs of near copies below the
+    share open, which many tiles hold and which grow with the square of a group.
+    """
     def fold(batches):
         for batch in batches:
-            short = [_folded(x, max(8, min(len(x) // fold_by, TILE_BITS // 64))).tobytes()
+            short = [_folded(x, min(len(x), TILE_BITS // 64)).tobytes()
                      for x in (np.frombuffer(b, _U) for b in batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], ["id", "bits"])
 
@@ -396,7 +398,7 @@ def _cross_pairs(mixed: DataFrame, sets: DataFrame, num, den) -> DataFrame:
     ``TILE_BITS``; the few pairs that this leaves open meet their whole
     signatures once each, in ``_bounded``.
     """
-    bits = _short_bits(sets, num, den)
+    bits = _short_bits(sets)
     n = F.ceil(F.col("g") / BLOCK_MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("id"), n).cast("int")
     dealt = (mixed.join(bits, "id").withColumn("blocks", n).withColumn("own", own)

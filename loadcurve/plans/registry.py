@@ -68,7 +68,10 @@ def register(name: str, sql: str | None = None):
 @register("scan_sessions", O.rounded(O.with_ctes(O.SESSIONS_RAW) + " SELECT * FROM sessions_raw",
                                      ["DurationHrs", "cumEnergy_Wh", "peakPower_W"]))
 def q_scan_sessions(spark, sf_dir):
-    return rounded(raw(spark, sf_dir))
+    """Every raw session, written as a table and scanned with the declared schema."""
+    path = scratch_path(spark, "raw-sessions")
+    raw(spark, sf_dir).write.parquet(path)
+    return rounded(TB.scan_sessions(spark, path))
 
 
 @register("clean_sessions", O.rounded(O.with_ctes(*O.BASE) + " SELECT * FROM sessions", O.SESSION_DOUBLES))
@@ -914,6 +917,22 @@ def q_stream_charger_state(spark, sf_dir):
     return rounded(state.withColumn("lastUpdate", F.col("lastUpdate").cast("timestamp_ntz")))
 
 
+@register("stream_charger_newest", O.rounded(O.with_ctes(*O.BASE) + """,
+  l AS (SELECT stationId, dcosId, lastUpdate, true_peakPower_W AS currentChargingRate, choice, vehicle_model,
+               row_number() OVER (PARTITION BY stationId ORDER BY lastUpdate DESC, dcosId) AS rn
+        FROM sessions WHERE stationId IS NOT NULL),
+  m AS (SELECT max(lastUpdate) AS mx FROM sessions)
+  SELECT stationId, dcosId, lastUpdate, currentChargingRate, choice, vehicle_model,
+         CASE WHEN lastUpdate + INTERVAL 16 MINUTE < mx THEN 'IDLE' ELSE 'IN USE' END AS state
+  FROM l, m WHERE rn = 1""", ["currentChargingRate"]))
+def q_stream_charger_newest(spark, sf_dir):
+    """The stations' newest reports over many batches, by grouped maxima of the micro-batches alone."""
+    from loadcurve.schemas import SESSIONS_RAW
+    reports = file_stream(spark, _stage_reports(spark, sf_dir), SESSIONS_RAW, max_files_per_trigger=1)
+    path = SCS.run_newest_reports(spark, C.clean_sessions(reports))
+    return rounded(SCS.newest_state(spark, path))
+
+
 # ---- coverage additions: card text (F25), forecast scores (M9), parameter table (S6, M4) --------
 
 @register("kpi_card_text", O.with_ctes(*O.BASE) + f""",

@@ -19,7 +19,9 @@ from loadcurve.schemas import KNN_PARAMS, SESSIONS_RAW
 
 DATE_COLUMNS = tuple(f.name for f in SESSIONS_RAW.fields if isinstance(f.dataType, T.TimestampNTZType))
 ID_COLUMNS = ("dcosId", "siteId", "stationId")
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "MM/dd/yyyy HH:mm:ss")
+# without an offset, with one (``Z`` too; wall clock of UTC), and the American form
+DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX",
+                "yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX", "yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX", "MM/dd/yyyy HH:mm:ss")
 
 
 def table_path(root: str, name: str) -> str:
@@ -131,6 +133,16 @@ def parse_texts(raw: DataFrame, formats=DATE_FORMATS) -> DataFrame:
     return raw.withColumns(parsed) if parsed else raw
 
 
+def text_rejects(raw: DataFrame, formats=DATE_FORMATS) -> DataFrame:
+    """One row: for each text date and id, how many values :func:`parse_texts` cannot read (blank ones are none)."""
+    parsed = parse_texts(raw.select([F.col(f"`{c}`") for c in raw.columns] + [
+        F.col(f"`{f.name}`").alias(f"_text_{f.name}") for f in raw.schema.fields
+        if isinstance(f.dataType, T.StringType) and f.name in DATE_COLUMNS + ID_COLUMNS]), formats)
+    texts = [c for c in parsed.columns if c.startswith("_text_")]
+    return parsed.agg(*[F.count_if((F.trim(F.col(f"`{c}`")) != "") & F.col(f"`{c[6:]}`").isNull()).alias(c[6:])
+                        for c in texts])
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     """CSV export with a header line."""
     df.write.mode("overwrite").option("header", True).csv(path)

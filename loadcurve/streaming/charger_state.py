@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from loadcurve.session import scratch_path
+from loadcurve.sources.tables import remove_path, subfolders
 from loadcurve.streaming.sources import start_with_state_partitions
 
 FRESH = "16 minutes"
@@ -86,3 +87,50 @@ def current_state(changes: DataFrame) -> DataFrame:
     w = Window.partitionBy("stationId").orderBy(F.col("lastUpdate").desc(),
                                                 (F.col("state") == "IDLE").cast("int").desc())
     return changes.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).drop("_rk")
+
+
+_REPORT = ("lastUpdate", "dcosId", "true_peakPower_W", "choice", "vehicle_model")
+FOLDED = 20   # batches before the newest reports are written as one folder
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """The newest report of each station (then the smaller id): a window group limit, so a task hands on one a station."""
+    w = Window.partitionBy("stationId").orderBy(F.col("lastUpdate").desc(), F.col("dcosId"))
+    return rows.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk")
+
+
+def run_newest_reports(spark: SparkSession, sessions: DataFrame, path: str | None = None,
+                       checkpoint: str | None = None) -> str:
+    """T2 without state in Python: each batch leaves one row per station and batch, so any order of reports will do.
+
+    A batch writes its stations' newest reports under its number (a replay
+    overwrites them); every ``FOLDED`` batches all are folded into one folder, a
+    row per station.  Gives the folder.
+    """
+    path = path or scratch_path(spark, "station-reports")
+    checkpoint = checkpoint or scratch_path(spark, "station-reports-ckpt")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows = _newest(batch.filter("stationId IS NOT NULL").select("stationId", *_REPORT))
+        rows.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        older = [f for f in subfolders(spark, path) if int(f.split("=")[1]) < epoch]
+        if len(older) >= FOLDED:   # the newest of newest ones: folding again says the same
+            staged = f"{path}-staging"
+            _newest(spark.read.parquet(path).drop("batch")).write.mode("overwrite").parquet(staged)
+            spark.read.parquet(staged).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+            for f in older:
+                remove_path(spark, f"{path}/{f}")
+
+    q = (sessions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return path
+
+
+def newest_state(spark: SparkSession, path: str, fresh: str = FRESH) -> DataFrame:
+    """Each station's newest report, in use unless it lies ``fresh`` behind the newest report of all."""
+    rows = _newest(spark.read.parquet(path).drop("batch"))
+    last = rows.agg(F.max("lastUpdate")).scalar()
+    idle = F.col("lastUpdate") + F.expr(f"INTERVAL {fresh}") < last
+    return rows.select("stationId", "dcosId", "lastUpdate", F.col("true_peakPower_W").alias("currentChargingRate"),
+                       "choice", "vehicle_model", F.when(idle, "IDLE").otherwise("IN USE").alias("state"))

@@ -158,3 +158,47 @@ def test_change_texts(spark):
         ("1,234.6 kWh", "3", "No change since yesterday!", "-2 users since yesterday!", "25.2 kW", "No change since last month!"),
         ("0.0 kWh", "0", "-12% since yesterday!", "No change since yesterday!", "25.2 kW", "No change since last month!"),
         ("1.0 kWh", "1,200", "+100% since yesterday!", "+7 users since yesterday!", "25.2 kW", "No change since last month!")])
+
+
+def test_text_dates_with_offsets_and_rejects(spark):
+    from loadcurve.sources import tables as TB
+    texts = ["2024-01-10T08:00:00Z", "2024-01-10T10:00:00+02:00", "2024-01-10T08:00:00.000Z", "2024-01-10 08:00:00",
+             "01/10/2024 08:00:00", "no date", "", None]
+    rows = [(str(k) if k != 1 else "x1", t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "dcosId string, connectTime string")
+    got = [r.connectTime for r in TB.parse_texts(df).orderBy(F.col("connectTime").asc_nulls_last()).collect()]
+    assert got == [dt.datetime(2024, 1, 10, 8, 0)] * 5 + [None] * 3
+    assert TB.text_rejects(df).first().asDict() == {"connectTime": 1, "dcosId": 1}
+
+
+def test_months_of_a_longer_span(spark):
+    from loadcurve.operators import clean as C
+    from loadcurve.operators import rollup as R
+    as_of = dt.datetime(2024, 4, 2, 0, 0)
+    s = C.clean_sessions(frame(spark, [report(1, 0, 1), report(2, 24 * 30, 2), report(3, 24 * 55, 3), report(4, 24 * 55, 1)]))
+    d5 = R.demand_5min(s, as_of)
+    months = {r.time: r for r in R.rollup(d5, "month").collect()}
+    assert sorted(months) == [dt.datetime(2024, 1, 31), dt.datetime(2024, 2, 29), dt.datetime(2024, 3, 31), dt.datetime(2024, 4, 30)]
+    assert [months[t].month for t in sorted(months)] == ["January", "February", "March", "April"]
+    rows = d5.collect()
+    for t, m in months.items():
+        own = [r for r in rows if (r.time.year, r.time.month) == (t.year, t.month)]
+        assert m.energy_demand_kWh == pytest.approx(sum(r.energy_demand_kWh for r in own))
+        assert m.avg_power_demand_kW == pytest.approx(sum(r.avg_power_demand_kW for r in own) / len(own))
+        assert m.peak_power_kW == max(r.peak_power_kW for r in own)
+    peak = K.kpi_month_peak(R.rollup(d5, "month")).first()
+    assert peak.time == dt.datetime(2024, 4, 30) and peak.previous_peak_power_kW == months[dt.datetime(2024, 3, 31)].peak_power_kW
+
+
+def test_newest_reports_of_stations_over_batches(spark, monkeypatch):
+    from loadcurve.schemas import SESSIONS_RAW
+    from loadcurve.operators import clean as C
+    from loadcurve.streaming import charger_state as SCS
+    from test_incremental import stage
+    monkeypatch.setattr(SCS, "FOLDED", 2)
+    batches = [[report(1, 5, 1), report(2, 5, 1)], [report(3, 1, 1)], [report(4, 6, 1)], [report(5, 2, 2)], [report(6, 3, 1)]]
+    for k, rows in enumerate(batches):
+        rows[0]["stationId"] = 1 + k % 2
+    path = SCS.run_newest_reports(spark, C.clean_sessions(stage(spark, batches).select(*SESSIONS_RAW.fieldNames())))
+    got = {r.stationId: (r.dcosId, r.state) for r in SCS.newest_state(spark, path).collect()}
+    assert got == {1: (4, "IN USE"), 2: (5, "IDLE")}

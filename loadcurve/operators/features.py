@@ -7,8 +7,6 @@ lags share one window spec, so Spark sorts each series once.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,10 +68,3 @@ def future_rows(series: DataFrame, horizon: int = 24, step_hours: int = 1, value
     return last.select(*by, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_k"), "_last").select(
         *by, F.timestamp_add("HOUR", F.col("_k") * step_hours, F.col("_last")).alias(time_col),
         F.lit(0.0).alias(value_col))
-
-
-def split_sizes(n: int, test_size: float = 0.2, validation_size: float = 0.2) -> tuple[int, int, int]:
-    """(train, validation, test) row counts of :func:`chrono_split` for a series of n rows."""
-    test = math.ceil(n * test_size)
-    val = math.ceil((n - test) * validation_size)
-    return n - test - val, val, test

@@ -12,7 +12,6 @@ from loadcurve.operators import grid as G
 from loadcurve.operators import kpi as K
 from loadcurve.operators import status as ST
 from loadcurve.plans.common import raw, sessions
-from loadcurve.sources.fixtures import AS_OF
 
 
 @pytest.fixture(scope="module")

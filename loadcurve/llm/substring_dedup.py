@@ -133,9 +133,13 @@ def _anchor_task(length: int, short: int, middle: int):
 
 
 def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    """The keys that are found under two ids or more."""
-    return (rows.groupBy(*keys).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-            .filter("lo < hi").select(*keys))
+    """The keys that are found under two ids or more.
+
+    Stored, so that both sides of a join with them are plain exchanges, whose
+    hot partitions Spark splits.
+    """
+    return _stored(rows.groupBy(*keys).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+                   .filter("lo < hi").drop("hi"), "repeated")
 
 
 _WINDOWS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("k1", pa.int64()),
@@ -195,19 +199,16 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
                .agg(F.min("id").alias("id"), F.max("id").alias("last")))
     anchors = _stored(anchors, "anchors")
     places = anchors.filter("pos >= 0").drop("last")
-    doubled = places.join(_repeated(places, "h"), "h", "left_semi").select(
+    doubled = places.join(_repeated(places, "h").drop("lo"), "h", "left_semi").select(
         "id", "k1", "k2", "pos",
         F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("right").alias("m")),
                           F.struct(F.lit(1).alias("side"), F.col("left").alias("m")))).alias("x"))
     doubled = _stored(doubled.select("id", "k1", "k2", "pos", "x.side", "x.m").filter("m IS NOT NULL"), "doubled")
-    kept = (doubled.join(_repeated(doubled, "side", "m"), ["side", "m"], "left_semi")
+    kept = (doubled.join(_repeated(doubled, "side", "m").drop("lo"), ["side", "m"], "left_semi")
             .groupBy("id", "k1", "k2").agg(F.collect_list((F.col("pos") * 2 + F.col("side")).cast("int")).alias("kept")))
     windows = _stored(rows.join(kept, ["id", "k1", "k2"]).select("id", "k1", "k2", "text", "kept")
                       .mapInArrow(_window_task(length, short, middle), _spark(_WINDOWS)), "windows")
-    least = windows.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    # stored, so that both sides of the join are plain exchanges, whose hot partitions Spark splits
-    least = _stored(least.drop("hi"), "least")
-    found = windows.join(least, ["a", "b"]).filter("lo < id").select("k1", "k2", "id", "pos")
+    found = windows.join(_repeated(windows, "a", "b"), ["a", "b"]).filter("lo < id").select("k1", "k2", "id", "pos")
     return found.unionByName(anchors.filter("pos < 0 AND id < last").select("k1", "k2", "id", "pos"))
 
 

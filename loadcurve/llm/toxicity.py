@@ -118,8 +118,8 @@ def _candidates(folded: str) -> set[str]:
     return out
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 12_000, support: int = 5,
-                odds: float = 3.0, surety: float = 2.9, entries: int = 5_000, phrases: int = 1_000) -> Lexicon:
+def fit_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 12_000, support: int = 4,
+                odds: float = 3.0, surety: float = 2.5, entries: int = 5_000, phrases: int = 1_000) -> Lexicon:
     """A lexicon from at most ``sample`` labelled ids whose crc32 modulo 3 is not 1.
 
     Whole words and word beginnings are counted in Spark, once a text, after

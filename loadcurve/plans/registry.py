@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import functools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -765,7 +766,7 @@ def q_flatten_records(spark, sf_dir):
 # ---- step 9: streaming ----------------------------------------------------------------------
 
 
-STATE_PARTITIONS = 8          # state-store partitions of the registered streams (test-sized input)
+STATE_PARTITIONS = 8          # state-store partitions of stream_charger_state (eight stations)
 
 _EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -784,8 +785,7 @@ _EVENTS_SCHEMA = T.StructType([
   SELECT * FROM agg
   WHERE time + INTERVAL 5 MINUTE <= (SELECT max(time) FROM agg) - INTERVAL 16 MINUTE""", ["power_W", "energy_kWh"]))
 def q_stream_demand_5min(spark, sf_dir):
-    return rounded(SD.stream_demand(spark, f"{sf_dir}/events.parquet", AS_OF, _EVENTS_SCHEMA,
-                                    state_partitions=STATE_PARTITIONS))
+    return rounded(SD.stream_demand(spark, f"{sf_dir}/events.parquet", AS_OF, _EVENTS_SCHEMA))
 
 
 @register("stream_demand_hourly", O.rounded(O.with_ctes(*O.BASE) + f""",
@@ -799,21 +799,23 @@ def q_stream_demand_5min(spark, sf_dir):
   mx AS (SELECT max({O.slot_ts('slot')}) AS m FROM slots)
   SELECT agg.* FROM agg, mx WHERE time + INTERVAL 1 HOUR <= m - INTERVAL 16 MINUTE""", ["power_W", "energy_kWh"]))
 def q_stream_demand_hourly(spark, sf_dir):
-    return rounded(SD.stream_demand(spark, f"{sf_dir}/events.parquet", AS_OF, _EVENTS_SCHEMA, size="1 hour",
-                                    state_partitions=STATE_PARTITIONS))
+    return rounded(SD.stream_demand(spark, f"{sf_dir}/events.parquet", AS_OF, _EVENTS_SCHEMA, size="1 hour"))
 
 
 REPORT_SLICES = 20
+REPORT_FILE_ROWS = 200_000
 
 
-def _stage_ordered_reports(spark, sf_dir) -> str:
-    """Two reports of every session, staged in ``REPORT_SLICES`` ordered files by the time of the report.
+def _stage_ordered_reports(spark, sf_dir) -> tuple[str, int]:
+    """Two reports of every session, staged in ``REPORT_SLICES`` ordered slices by the time of the report.
 
     The first comes half way, with half the energy; of every thirteenth session
     it comes a slice late, after the final report.  A session that cleaning
-    drops in the end still had load by its first report.
+    drops in the end still had load by its first report.  The reports are dealt
+    out once, and the slices are then written in their order.  Gives the folder
+    and the number of files of a slice, which grows with the input.
     """
-    stage = scratch_path(spark, "ordered-reports")
+    stage, dealt = scratch_path(spark, "ordered-reports"), scratch_path(spark, "dealt-reports")
     r = raw(spark, sf_dir)
     half = F.timestamp_add("SECOND", F.floor(F.timestamp_diff("SECOND", F.col("startChargeTime"),
                                                               F.col("lastUpdate")) / 2).cast("long"),
@@ -821,13 +823,19 @@ def _stage_ordered_reports(spark, sf_dir) -> str:
     first = r.withColumns({"lastUpdate": half, "cumEnergy_Wh": F.floor(F.col("cumEnergy_Wh") / 2) + 1.0})
     late = F.when(F.col("dcosId") % 13 == 0, 1).otherwise(0)
     reports = first.withColumn("_late", late).unionByName(r.withColumn("_late", F.lit(0)))
-    span = r.agg(F.min("startChargeTime").alias("lo"), F.max("lastUpdate").alias("hi")).first()
+    span = r.agg(F.min("startChargeTime").alias("lo"), F.max("lastUpdate").alias("hi"), F.count("*").alias("n")).first()
     width = ((span.hi - span.lo).total_seconds() if span.lo else 0) / REPORT_SLICES + 1
     place = F.floor(F.timestamp_diff("SECOND", as_ntz(span.lo), F.col("lastUpdate")) / width) + F.col("_late")
-    reports = reports.withColumn("_slice", place.cast("int")).drop("_late")
+    (reports.withColumn("slice", place.cast("int")).drop("_late").filter(F.col("slice").between(0, REPORT_SLICES))
+     .write.partitionBy("slice").parquet(dealt))
+    files = math.ceil(max(1, 2 * span.n) / REPORT_SLICES / REPORT_FILE_ROWS)
+    there = TB.subfolders(spark, dealt)
     for k in range(REPORT_SLICES + 1):
-        reports.filter(F.col("_slice") == k).drop("_slice").write.mode("append").parquet(stage)
-    return stage
+        part = [f"{dealt}/slice={k}"] if f"slice={k}" in there else []
+        rows = spark.read.schema(r.schema).parquet(*part) if part else r.limit(0)
+        rows.coalesce(files).write.mode("append").parquet(stage)
+    TB.remove_path(spark, dealt)
+    return stage, files
 
 
 @register("stream_demand_incremental", O.rounded(O.with_ctes(*O.BASE, O.DEMAND_5MIN) + " SELECT * FROM demand_5min",
@@ -835,35 +843,39 @@ def _stage_ordered_reports(spark, sf_dir) -> str:
 def q_stream_demand_incremental(spark, sf_dir):
     """Many batches of reports, re-reports and late rows: the curve of the final sessions."""
     from loadcurve.schemas import SESSIONS_RAW
-    reports = file_stream(spark, _stage_ordered_reports(spark, sf_dir), SESSIONS_RAW, max_files_per_trigger=1)
-    changes = LC.run_demand_changes(spark, reports, state_partitions=2)   # test-sized batches
+    stage, files = _stage_ordered_reports(spark, sf_dir)   # a slice is a batch, however many files it has
+    changes = LC.run_demand_changes(spark, file_stream(spark, stage, SESSIONS_RAW, max_files_per_trigger=files))
     return rounded(R.demand_features(LC.demand_curve(spark.read.parquet(changes), AS_OF)))
 
 
-def _stage_reports(spark, sf_dir) -> str:
-    """Two reports of every session: a partial one (half way), then the final one."""
+def _stage_reports(spark, sf_dir) -> tuple[str, int]:
+    """Two reports of every session: a partial one (half way), then the final one.
+
+    Gives the folder and the number of files of the first round.
+    """
     stage = scratch_path(spark, "session-reports")
     r = raw(spark, sf_dir)
     half = F.timestamp_add("SECOND", F.floor(F.timestamp_diff("SECOND", F.col("startChargeTime"),
                                                               F.col("lastUpdate")) / 2).cast("long"),
                            F.col("startChargeTime"))
     r.withColumn("lastUpdate", half).write.mode("append").parquet(stage)
+    files = TB.data_files(spark, stage)
     r.write.mode("append").parquet(stage)
-    return stage
+    return stage, files
 
 
 @register("stream_session_upsert", O.rounded(O.with_ctes(O.SESSIONS_RAW) + " SELECT * FROM sessions_raw",
                                              ["DurationHrs", "cumEnergy_Wh", "peakPower_W"]))
 def q_stream_session_upsert(spark, sf_dir):
     from loadcurve.schemas import SESSIONS_RAW
-    stage = _stage_reports(spark, sf_dir)
-    target = SU.run_upsert_stream(spark, file_stream(spark, stage, SESSIONS_RAW, max_files_per_trigger=1))
-    return rounded(spark.read.parquet(target).select(*SESSIONS_RAW.fieldNames()))
+    stage, files = _stage_reports(spark, sf_dir)   # a round is a batch, however many files it has
+    target = SU.run_upsert_stream(spark, file_stream(spark, stage, SESSIONS_RAW, max_files_per_trigger=files))
+    return rounded(spark.read.schema(SESSIONS_RAW).parquet(target).select(*SESSIONS_RAW.fieldNames()))
 
 
-def _stage_moving_reports(spark, sf_dir) -> str:
-    """Two ordered files of reports: first ones, half way and for every seventeenth session connected a day
-    earlier, of two sessions in three; then the final ones of all."""
+def _stage_moving_reports(spark, sf_dir) -> tuple[str, int]:
+    """Two ordered rounds of reports: first ones, half way and for every seventeenth session connected a day
+    earlier, of two sessions in three; then the final ones of all.  Gives the folder and the first round's files."""
     stage = scratch_path(spark, "moving-reports")
     r = raw(spark, sf_dir)
     half = F.timestamp_add("SECOND", F.floor(F.timestamp_diff("SECOND", F.col("startChargeTime"),
@@ -872,8 +884,9 @@ def _stage_moving_reports(spark, sf_dir) -> str:
     moved = F.timestamp_add("DAY", F.when(F.col("dcosId") % 17 == 0, -1).otherwise(0), F.col("connectTime"))
     (r.filter(F.col("dcosId") % 3 != 0).withColumns({"lastUpdate": half, "connectTime": moved})
      .write.mode("append").parquet(stage))
+    files = TB.data_files(spark, stage)
     r.write.mode("append").parquet(stage)
-    return stage
+    return stage, files
 
 
 @register("refresh_by_change", O.rounded(
@@ -891,7 +904,8 @@ def q_refresh_by_change(spark, sf_dir):
         for _ in range(2):   # the second time is a replay
             INC.refresh_changed(spark, root, SU.change_set(spark, target, epoch), epoch, as_of)
 
-    reports = file_stream(spark, _stage_moving_reports(spark, sf_dir), SESSIONS_RAW, max_files_per_trigger=1)
+    stage, files = _stage_moving_reports(spark, sf_dir)   # a round is a batch, however many files it has
+    reports = file_stream(spark, stage, SESSIONS_RAW, max_files_per_trigger=files)
     SU.run_upsert_stream(spark, reports, target, after=after)
     last = max(int(f.split("=")[1]) for f in TB.subfolders(spark, f"{target}-changes"))
     none = SU.change_set(spark, target, last).limit(0)
@@ -928,7 +942,8 @@ def q_stream_charger_state(spark, sf_dir):
 def q_stream_charger_newest(spark, sf_dir):
     """The stations' newest reports over many batches, by grouped maxima of the micro-batches alone."""
     from loadcurve.schemas import SESSIONS_RAW
-    reports = file_stream(spark, _stage_reports(spark, sf_dir), SESSIONS_RAW, max_files_per_trigger=1)
+    stage, _ = _stage_reports(spark, sf_dir)
+    reports = file_stream(spark, stage, SESSIONS_RAW, max_files_per_trigger=1)
     path = SCS.run_newest_reports(spark, C.clean_sessions(reports))
     return rounded(SCS.newest_state(spark, path))
 

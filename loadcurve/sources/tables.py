@@ -74,6 +74,13 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
 
 
+def data_files(spark: SparkSession, path: str) -> int:
+    """How many data files a folder holds (markers and hidden files are none)."""
+    fs, p = _file_system(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isFile()]
+    return sum(not n.startswith(("_", ".")) for n in names)
+
+
 def replace_partitions(spark: SparkSession, df: DataFrame, path: str, partition_by: list[str], parts: list[str]) -> None:
     """Make ``df`` the whole content of the partitions ``parts`` (``col=value/...``) of a table it may be read from.
 

@@ -52,6 +52,17 @@ def _days(df: DataFrame) -> list:
     return [r.day for r in df.select("day").distinct().collect()]
 
 
+def _stored(spark: SparkSession, target: str, days: list, like: DataFrame) -> DataFrame:
+    """The stored sessions of ``days``, with the columns of ``like``.
+
+    The table may have none of them, or no day at all yet: a batch without rows
+    leaves a folder that no schema can be read from.
+    """
+    there = set(subfolders(spark, target))
+    paths = [f"{target}/day={d.isoformat()}" for d in days if f"day={d.isoformat()}" in there]
+    return spark.read.schema(like.schema).option("basePath", target).parquet(*paths) if paths else like.limit(0)
+
+
 def change_set(spark: SparkSession, target: str, epoch: int) -> DataFrame:
     """The change set of a batch: the session's columns, ``session_key``, ``day`` and ``change``."""
     return spark.read.parquet(f"{target}-changes/batch={epoch}")
@@ -68,8 +79,7 @@ def log_changes(spark: SparkSession, batch: DataFrame, target: str, epoch: int,
     if path_exists(spark, f"{target}-index"):
         at = spark.read.parquet(f"{target}-index").filter(F.col("batch") < epoch).join(
             new.select(SESSION), SESSION, "left_semi").groupBy(SESSION).agg(F.max_by("day", "batch").alias("day"))
-        stored = spark.read.parquet(target).filter(F.col("day").isin(_days(at))).join(
-            new.select(SESSION), SESSION, "left_semi")
+        stored = _stored(spark, target, _days(at), new).join(new.select(SESSION), SESSION, "left_semi")
         both = stored.withColumn("_stored", F.lit(1)).unionByName(new.withColumn("_stored", F.lit(0)))
         after = latest_reports(both, F.col("_stored").desc()).filter("_stored = 0").drop("_stored")
         before = stored.join(after.select(SESSION), SESSION, "left_semi")
@@ -84,12 +94,8 @@ def apply_changes(spark: SparkSession, target: str, epoch: int) -> None:
     """Rewrite the touched days of the session table from the change set, then note where its sessions are."""
     log = change_set(spark, target, epoch)
     after, days = log.filter("change = 'after'").drop("change"), _days(log)
-    merged = after
-    if path_exists(spark, target):
-        kept = spark.read.parquet(target).filter(F.col("day").isin(days)).join(
-            log.select(SESSION).distinct(), SESSION, "left_anti")
-        merged = kept.unionByName(after)
-    replace_partitions(spark, merged, target, ["day"], [f"day={d.isoformat()}" for d in days])
+    kept = _stored(spark, target, days, after).join(log.select(SESSION).distinct(), SESSION, "left_anti")
+    replace_partitions(spark, kept.unionByName(after), target, ["day"], [f"day={d.isoformat()}" for d in days])
     index = f"{target}-index"
     after.select(SESSION, "day").write.mode("overwrite").parquet(f"{index}/batch={epoch}")
     older = [f for f in subfolders(spark, index) if int(f.split("=")[1]) < epoch]

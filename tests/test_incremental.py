@@ -12,6 +12,7 @@ from loadcurve.operators import clean as C
 from loadcurve.operators import rollup as R
 from loadcurve.plans import incremental as INC
 from loadcurve.plans import jobs
+from loadcurve.plans import registry as REG
 from loadcurve.schemas import SESSIONS_RAW
 from loadcurve.session import scratch_path
 from loadcurve.sources import fixtures as FX
@@ -69,6 +70,42 @@ def test_incremental_demand_equals_the_batch_curve(spark, by):
     assert curve(got, by) == curve(R.demand_5min(C.clean_sessions(frame(spark, FINAL)), AS_OF, by), by)
 
 
+def test_session_state_is_merged_in_one_shuffle_without_python(spark):
+    """Epoch by epoch, with a replay and a report without a time: what is held and what goes out."""
+    state = scratch_path(spark, "test-session-state")
+    no_time = report(8, 0, 1) | {"lastUpdate": None}
+    held = []
+    for epoch, rows in ((0, [*BATCHES[0], no_time]), (1, BATCHES[1]), (1, BATCHES[1]), (2, BATCHES[2])):
+        ranges = LC.report_ranges(frame(spark, rows))
+        merged = LC.merge_batch(spark, ranges, state, epoch)
+        points = LC.change_points(merged).agg(F.sum("sessions"), F.sum(F.abs("sessions"))).first()
+        held.append((merged.filter("held_on").count(), *points))
+    # two points a range that goes on, two a range taken back
+    assert held == [(3, 0, 10), (4, 0, 6), (4, 0, 6), (4, 0, 2)]
+    plan = LC.merge_reports(ranges, spark.read.parquet(f"{state}/sessions/batch=1").filter("sid IS NOT NULL")
+                            )._jdf.queryExecution().sparkPlan().toString()
+    assert "Python" not in plan and "Join" not in plan
+
+
+def test_a_report_without_a_time_does_not_end_the_stream(spark):
+    path = LC.run_demand_changes(spark, stage(spark, [[report(1, 0, 1), report(8, 0, 1) | {"lastUpdate": None}]]))
+    got = R.demand_features(LC.demand_curve(spark.read.parquet(path), AS_OF))
+    assert curve(got) == curve(R.demand_5min(C.clean_sessions(frame(spark, [report(1, 0, 1)])), AS_OF))
+
+
+def test_staged_rounds_and_slices_do_not_follow_the_input_splits(spark):
+    """A round or a slice is one batch; before, each file was, and a batch rewrites what it touches."""
+    sf = scratch_path(spark, "test-events")
+    rows = [(i, T0 + dt.timedelta(minutes=7 * i), i % 9, "click", float(i % 50 + 1), None) for i in range(400)]
+    spark.createDataFrame(rows, REG._EVENTS_SCHEMA).repartition(6).write.parquet(f"{sf}/events.parquet")
+    path, files = REG._stage_ordered_reports(spark, sf)
+    assert files == 1 and TB.data_files(spark, path) <= REG.REPORT_SLICES + 1
+    assert spark.read.parquet(path).count() == 2 * len(rows)
+    for staged, first in ((REG._stage_reports, 400), (REG._stage_moving_reports, 266)):
+        path, files = staged(spark, sf)
+        assert TB.data_files(spark, path) <= 2 * files and spark.read.parquet(path).count() == 400 + first
+
+
 def test_state_goes_after_its_time_and_later_reports_are_late(spark):
     days = [[report(9, 0, 1)], [report(10, 24 * 6, 1)], [report(11, 24 * 7, 1)], [report(12, 1, 1)], [report(13, 24 * 8, 1)]]
     path = LC.run_demand_changes(spark, stage(spark, days), keep="4 days", state_partitions=1)
@@ -107,6 +144,29 @@ def test_index_is_written_as_one_after_many_batches(spark, monkeypatch):
     assert stored.count() == 6 and stored.filter("dcosId = 1").first().connectTime == T0 + dt.timedelta(days=4)
 
 
+def test_upsert_and_refresh_begin_with_a_batch_without_rows(spark):
+    root, target = scratch_path(spark, "test-empty-kept"), scratch_path(spark, "test-empty")
+
+    def after(epoch):
+        INC.refresh_changed(spark, root, SU.change_set(spark, target, epoch), epoch, AS_OF)
+
+    SU.run_upsert_stream(spark, stage(spark, [[], BATCHES[0], BATCHES[1]]), target, after=after)
+    final = [report(1, 0, 2, energy=14000.0), report(2, 1, 2), report(None, 0, 1), report(None, 0, 1), report(3, 0, 3),
+             report(4, -20, 4)]
+    stored = spark.read.parquet(target).select(*SESSIONS_RAW.fieldNames())
+    assert sorted(map(str, stored.collect())) == sorted(map(str, frame(spark, final).collect()))
+    assert kept(spark, root) == full(spark, final, AS_OF)
+
+
+def test_refresh_before_the_first_session_has_no_row_yet(spark):
+    root, target = scratch_path(spark, "test-early-kept"), scratch_path(spark, "test-early")
+    SU.merge_batch(spark, frame(spark, BATCHES[0]), target, 0)
+    changes = SU.change_set(spark, target, 0)
+    INC.refresh_changed(spark, root, changes, 0, T0 - dt.timedelta(days=2))
+    INC.refresh_changed(spark, root, changes.limit(0), 1, AS_OF)
+    assert kept(spark, root) == full(spark, BATCHES[0], AS_OF)
+
+
 def listed(df):
     """Rows as text, sums rounded: engines add in different orders."""
     return sorted(str((r.time, round(r.avg_power_demand_kW, 9), round(r.energy_demand_kWh, 9), r.peak_power_kW, r.day, r.month))

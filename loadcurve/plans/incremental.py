@@ -29,6 +29,7 @@ from loadcurve.functions.timecols import as_ntz, slot_index, slot_time
 from loadcurve.operators import rollup as R
 from loadcurve.operators.clean import clean_sessions
 from loadcurve.operators.timegrid import expand_slots
+from loadcurve.session import materialize
 from loadcurve.sources import tables as TB
 
 SLOTS_A_DAY = 86400 // R.STEP
@@ -109,7 +110,7 @@ def refresh_changed(spark: SparkSession, root: str, changes: DataFrame, epoch: i
     batches come in the order of ``epoch``, and one may be replayed.
     """
     by = list(by)
-    days = _apply_load(spark, root, load_changes(changes, by), epoch, by)
+    days = _apply_load(spark, root, materialize(load_changes(changes, by)), epoch, by)
     if not TB.path_exists(spark, TB.table_path(root, "load")):
         return []
     now, before = _spans(spark, root, epoch, as_of, by)
@@ -128,7 +129,7 @@ def refresh_changed(spark: SparkSession, root: str, changes: DataFrame, epoch: i
         {"ym": F.date_format("time", "yyyy-MM"), "on_day": F.date_format("time", "yyyy-MM-dd")})
     TB.replace_partitions(spark, d5, TB.table_path(root, "demand_5min"), ["ym", "on_day"],
                           [f"ym={d[:7]}/on_day={d}" for d in dates])
-    stored = spark.read.parquet(TB.table_path(root, "demand_5min"))
+    stored = spark.read.schema(d5.schema).parquet(TB.table_path(root, "demand_5min"))   # it may have no row yet
     in_days = stored.filter(F.col("on_day").cast("string").isin(dates)).drop("ym", "on_day")
     in_months = stored.filter(F.col("ym").cast("string").isin(months)).drop("ym", "on_day")
     hourly = R.rollup(in_days, "hour", by).withColumn("on_day", F.date_format("time", "yyyy-MM-dd"))

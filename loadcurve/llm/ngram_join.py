@@ -15,8 +15,11 @@ exact for any texts:
 3. In each tile every member is checked against the tile's smallest id
    (as many pairs as members), and links give components.  Only tiles
    that still hold more than one component are gone through pair by pair, in
-   blocks, between members of different components; tiles of many such members
-   are first cut anew by other cuts of the hash space.
+   blocks, between members of different components.  A text and its near
+   copies meet in a tile for each part that they left alone, so tiles of one
+   smallest id are first put together where that makes fewer pairs; groups
+   that still have many members are cut anew by other cuts of the hash space,
+   where that makes fewer pairs in turn.
 4. Each check counts the bits of hashed bitmap signatures first: every bit that
    one side alone has stands for a shingle that the other lacks, which bounds
    the overlap from above.  What passes is intersected as sorted arrays.
@@ -41,9 +44,12 @@ SMALL_TILE = 64       # members of a tile up to which its pairs are looked at to
 HELD_ROWS = 20_000    # members that a task holds to look at them together
 HELD_BYTES = 32 << 20  # and their weight at most
 TILE_BITS = 16_384    # longest signature that travels with a member of a tile
-LEVELS = 4            # times that a tile of more members is cut anew before it is gone through in blocks
+HOT_BLOCKS = 4        # blocks of a group beyond which it is cut anew
+LEVELS = 4            # times at most that a group is cut anew before it is gone through in blocks
 BROADCAST_IDS = 1_000_000
 BUCKET_SHINGLES = 500_000  # shingles of all texts for each bucket of tile entries
+BUCKET_ENTRIES = 160  # tile entries that a packed row should have, as buckets grow with the input
+LEAST_ENTRIES, MOST_ENTRIES = 250_000, 1_000_000  # tile entries that a task holds to pack them
 
 
 def _bands(num: int, den: int, most: int = 1 << 40):
@@ -162,13 +168,19 @@ def _tile_keys(s: Sets, rows: np.ndarray, tags: np.ndarray, n_parts, n_agree, le
 
 
 def _packed_tiles(docs: DataFrame, ngram, num, den, buckets) -> DataFrame:
-    """(bucket, set ids, doc ids, sizes, entries of each, low halves of their keys) as packed arrays."""
+    """(bucket, set ids, doc ids, sizes, entries of each, low halves of their keys) as packed arrays.
+
+    A task packs the entries of several blocks of texts together: buckets grow
+    with the input, so a row for each bucket and block would make their number
+    grow with its square.
+    """
     lows, n_parts, n_agree = _bands(num, den)
+    most = min(max(LEAST_ENTRIES, BUCKET_ENTRIES * buckets), MOST_ENTRIES)
 
     def tiles(batches):
+        held, entries = [], 0
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            seen: set = set()
             for i, j, s in _blocks(batch, ngram):
                 order = np.argsort(ids[i:j], kind="stable")
                 _, first = np.unique(s.ids[order], return_index=True)
@@ -177,26 +189,51 @@ def _packed_tiles(docs: DataFrame, ngram, num, den, buckets) -> DataFrame:
                 if not len(rows):
                     continue
                 row, key = _tile_keys(s, *_band_tags(s, rows, num, den, lows), n_parts, n_agree)
-                bucket = ((key >> _U(32)) * _U(buckets)) >> _U(32)
-                order = np.lexsort((row, bucket))
-                row, key, bucket = row[order], key[order], bucket[order].astype(np.int64)
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                out = {k: [] for k in ("bucket", "sets", "ids", "sizes", "counts", "keys")}
-                for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(row)], strict=True):
-                    own, counts = np.unique(row[a:b], return_counts=True)
-                    out["bucket"].append(int(bucket[a]))
-                    out["sets"].append(s.ids[own].tobytes())
-                    out["ids"].append(ids[i:j][own].astype(np.int64).tobytes())
-                    out["sizes"].append(s.sizes[own].astype(np.uint32).tobytes())
-                    out["counts"].append(counts.astype(np.uint32).tobytes())
-                    out["keys"].append(key[a:b].astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["bucket"], pa.int32())] + [pa.array(v, pa.binary()) for v in list(out.values())[1:]],
-                    list(out))
+                held.append((s.ids, ids[i:j].astype(np.int64), s.sizes.astype(np.uint32), row.astype(np.uint32), key))
+                entries += len(key)
+                if entries >= most:
+                    yield _packed(held, buckets)
+                    held, entries = [], 0
+        if held:
+            yield _packed(held, buckets)
 
     return docs.mapInArrow(tiles, "bucket int, sets binary, ids binary, sizes binary, counts binary, keys binary")
 
 
+def _packed(held, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket of the blocks' tile entries."""
+    before = np.cumsum([0] + [len(x[0]) for x in held])
+    sets, ids, sizes = (np.concatenate([x[k] for x in held]) for k in range(3))
+    row = np.concatenate([x[3] + np.uint32(n) for x, n in zip(held, before, strict=False)])
+    key = np.concatenate([x[4] for x in held])
+    at = (((key >> _U(32)) * _U(buckets)) & _U(0xFFFFFFFF00000000)) | row  # the bucket above, the row below
+    order = np.argsort(at, kind="stable")
+    key, at = key.astype(np.uint32)[order], at[order]
+    row, bucket = at.astype(np.uint32), (at >> _U(32)).astype(np.int32)
+    new = np.r_[True, bucket[1:] != bucket[:-1]]
+    first = np.flatnonzero(new)
+    own = np.flatnonzero(new | np.r_[True, row[1:] != row[:-1]])  # where a text's entries in a bucket begin
+    counts = np.diff(np.r_[own, len(row)]).astype(np.uint32)
+    texts = np.r_[np.searchsorted(own, first), len(own)]
+
+    def column(values, at):
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(
+            (at * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+    row = row[own]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[first]), *(column(x, texts) for x in (sets[row], ids[row], sizes[row], counts)),
+         column(key, np.r_[first, len(key)])], ["bucket", "sets", "ids", "sizes", "counts", "keys"])
+
+
+def _unpacked(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a packed column, and where each row's begin."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
+    values = np.frombuffer(column.buffers()[2], np.uint8)[at[0]: at[-1]].view(kind)
+    return values, (at - at[0]) // values.itemsize
+
+
 def _tiles(packed: DataFrame, partitions: int) -> DataFrame:
     """(tile, ids, sizes): tiles with two or more different texts, each set of members once.
 
@@ -205,16 +242,21 @@ def _tiles(packed: DataFrame, partitions: int) -> DataFrame:
     def join(batches):
         held, last = [], None
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for bucket, sets, ids, sizes, counts, keys in zip(*cols, strict=True):
-                if bucket != last and held:
+            if not batch.num_rows:
+                continue
+            bucket = np.asarray(batch.column(0))
+            (sets, texts), (ids, _), (sizes, _), (n, _), (keys, entries) = (
+                _unpacked(c, kind) for c, kind in zip(
+                    batch.columns[1:], (np.int64, np.int64, np.uint32, np.uint32, np.uint32), strict=True))
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            for a, b in zip(first, np.r_[first[1:], len(bucket)], strict=True):
+                if bucket[a] != last and held:
                     yield from _members(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held = []
-                last = bucket
-                n = np.frombuffer(counts, np.uint32)
-                held.append((
-                    np.frombuffer(keys, np.uint32), np.repeat(np.frombuffer(sets, np.int64), n),
-                    np.repeat(np.frombuffer(ids, np.int64), n), np.repeat(np.frombuffer(sizes, np.uint32), n)))
+                last = bucket[a]
+                own = slice(texts[a], texts[b])
+                held.append((keys[entries[a]: entries[b]].copy(),
+                             *(np.repeat(x[own], n[own]) for x in (sets, ids, sizes))))
         if held:
             yield from _members(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -270,10 +312,17 @@ def _folded(bits: np.ndarray, length: int) -> np.ndarray:
 
 def _may_link(bits, size, others, sizes, num, den):
     """Whether the bit counts leave room for a link between one set and others."""
-    alone = np.bitwise_count(bits & ~others).sum(axis=-1, dtype=np.int64)
-    theirs = np.bitwise_count(others & ~bits).sum(axis=-1, dtype=np.int64)
-    overlap = np.minimum(size - alone, sizes - theirs)
-    return den * overlap >= num * (size + sizes - overlap)
+    return _room(_ones(bits & others), size - _ones(bits), sizes - _ones(others), size + sizes, num, den)
+
+
+def _ones(bits):
+    return np.bitwise_count(bits).sum(axis=-1, dtype=np.int64)
+
+
+def _room(both, folded, others, total, num, den):
+    """The same from the bits in common, and what each side's shingles are more than its bits."""
+    overlap = both + np.minimum(folded, others)
+    return den * overlap >= num * (total - overlap)
 
 
 def _overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -338,25 +387,70 @@ def _bounded(pairs: DataFrame, sets: DataFrame, num, den) -> DataFrame:
     return rows.mapInArrow(bound, "a long, b long").distinct()
 
 
-def _mixed(tiles: DataFrame, comps: DataFrame) -> DataFrame:
-    """(tile, id, size, comp) of the members of tiles with more than one component."""
+def _tile_members(tiles: DataFrame, comps: DataFrame) -> DataFrame:
+    """(tile, id, size, comp) of the members of tiles."""
     members = tiles.select("tile", F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select(
         "tile", F.col("m.ids").alias("id"), F.col("m.sizes").alias("size"))
-    members = members.join(comps, members["id"] == comps["node"], "left").select(
+    return members.join(comps, members["id"] == comps["node"], "left").select(
         "tile", "id", "size", F.coalesce("component", "id").alias("comp"))
-    mixed = members.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y"),
-                                        F.count("*").alias("g")).filter("x <> y and g > 2").select("tile", "g")
-    return members.join(mixed, "tile")
 
 
-def _refined(mixed: DataFrame, base: DataFrame, ngram, num, den, level: int) -> DataFrame:
-    """Tiles of too many members cut again: a linked pair also agrees in a part of another cut of the hash space.
+def _mixed(tiles: DataFrame, comps: DataFrame) -> DataFrame:
+    """(tile, id, size, comp, g) of the members of tiles with more than one component, put together in groups."""
+    each = materialize(_mixed_tiles(_tile_members(tiles, comps)).filter("g > 2"))  # the hub's pairs are known
+    return _grouped(each, lambda some: _tile_members(tiles.join(some, "tile", "left_semi"), comps))
+
+
+def _mixed_tiles(members: DataFrame, *more: str) -> DataFrame:
+    """Tiles with more than one component: their smallest ids, numbers of members, and these on a coarse scale."""
+    return (members.groupBy("tile", *more).agg(F.min("comp").alias("x"), F.max("comp").alias("y"),
+                                               F.min("id").alias("hub"), F.count("*").alias("g"))
+            .filter("x <> y").select("tile", *more, "hub", "g", F.floor(F.log2("g") / 2).alias("scale")))
+
+
+def _grouped(each: DataFrame, members, *more: str) -> DataFrame:
+    """(tile, id, size, comp, g and ``more``): tiles of one smallest id and like size put together where
+    that makes fewer pairs, others as they are.
+
+    Parts that near copies left alone make tiles of nearly the same members:
+    together they give each pair once.  Where one text shares different
+    passages with different others, its tiles stay apart.  ``members`` gives
+    the rows of the tiles that it is given.
+    """
+    by = [*more, "hub", "scale"]
+    rows = members(each.select("tile")).join(each.select("tile", *by), "tile")
+    together = materialize(rows.select(*by, "id", "size", "comp").distinct())
+    pairs = lambda c: F.sum(c.cast("double") * c)
+    fewer = materialize(
+        together.groupBy(*by).agg(F.count("*").alias("u"))
+        .join(each.groupBy(*by).agg(pairs(F.col("g")).alias("pairs")), by)
+        .select(*by, "u", (F.col("u").cast("double") * F.col("u") <= F.col("pairs")).alias("fewer")))
+    names = ["tile", *more, "id", "size", "comp", "g"]
+    groups = together.join(fewer.filter("fewer"), by).withColumns(
+        {"tile": F.xxhash64(*by), "g": F.col("u")}).select(*names)
+    apart = materialize(each.join(fewer.filter("not fewer"), by, "left_semi").select("tile", *more, "g"))
+    if apart.head(1):
+        groups = groups.unionByName(members(apart.select("tile")).join(apart, "tile").select(*names))
+    return _needed(materialize(groups))
+
+
+def _needed(groups: DataFrame) -> DataFrame:
+    """The groups but those whose members all have the same other group as their largest: it gives their pairs."""
+    largest = groups.groupBy("id", "size").agg(F.max(F.struct("g", "tile")).alias("largest"))
+    within = (groups.join(largest, ["id", "size"]).groupBy("tile")
+              .agg(F.min("largest.tile").alias("x"), F.max("largest.tile").alias("y")).filter("x = y and x <> tile"))
+    return materialize(groups.join(within.select("tile"), "tile", "left_anti"))
+
+
+def _refined(mixed: DataFrame, base: DataFrame, ngram, num, den, level: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of too many members cut again: a linked pair also agrees in a part of another cut of the hash space.
 
     Members that only share a common passage rarely meet again, so the pairs to
-    go through fall with each level while none that links is lost.
+    go through fall with each level while none that links is lost.  Near copies
+    meet again in most parts; a group that would not have at most half its
+    pairs left stays whole.  Gives the groups that are cut, and those that stay.
     """
     lows, n_parts, n_agree = _bands(num, den)
-    hot, rest = mixed.filter(F.col("g") > BLOCK_MEMBERS), mixed.filter(F.col("g") <= BLOCK_MEMBERS)
 
     def keys(batches):
         for batch in batches:
@@ -367,13 +461,35 @@ def _refined(mixed: DataFrame, base: DataFrame, ngram, num, den, level: int) ->
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, j - i).take(pa.array(row)), pa.array(key.view(np.int64))], ["id", "key"])
 
-    ids = hot.select(F.col("id").alias("doc_id")).distinct()
-    again = base.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(keys, "id long, key long")
-    parts = hot.drop("g").join(again, "id").withColumn("tile", F.xxhash64("tile", "key")).select(
-        "tile", "id", "size", "comp").distinct()
-    counts = parts.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("g"))
-    return materialize(rest.unionByName(
-        parts.join(counts.filter("x <> y").select("tile", "g"), "tile").select(*rest.columns)))
+    ids = mixed.select(F.col("id").alias("doc_id")).distinct()
+    again = materialize(base.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
+        keys, "id long, key long").distinct())
+    parts = mixed.withColumnRenamed("tile", "whole").drop("g").join(again, "id").select(
+        F.xxhash64("whole", "key").alias("tile"), "whole", "id", "size", "comp")
+    each = materialize(_mixed_tiles(parts, "whole"))
+    cut = _grouped(each, lambda some: parts.drop("whole").join(some, "tile", "left_semi"), "whole")
+    left = cut.select("tile", "whole", "g").distinct().groupBy("whole").agg(
+        F.sum(F.col("g").cast("double") * F.col("g")).alias("left"))
+    stay = materialize(mixed.select("tile", "g").distinct().join(left, F.col("tile") == F.col("whole")).filter(
+        F.col("left") * 2 > F.col("g").cast("double") * F.col("g")).select("tile"))
+    return (cut.join(stay.select(F.col("tile").alias("whole")), "whole", "left_anti").select(*mixed.columns),
+            mixed.join(stay, "tile", "left_semi"))
+
+
+def _cut_anew(mixed: DataFrame, base: DataFrame, ngram, num, den) -> DataFrame:
+    """``mixed`` with its largest groups cut, level by level, as long as that makes fewer pairs."""
+    most = BLOCK_MEMBERS * HOT_BLOCKS
+    rest = None
+    for level in range(1, LEVELS + 1):
+        hot = mixed.filter(F.col("g") > most)
+        if not hot.head(1):
+            break
+        cool = mixed.filter(F.col("g") <= most)
+        cut, whole = _refined(hot, base, ngram, num, den, level)
+        cool = cool.unionByName(whole)
+        rest = cool if rest is None else rest.unionByName(cool)
+        mixed = materialize(cut)
+    return mixed if rest is None else rest.unionByName(mixed)
 
 
 def _short_bits(sets: DataFrame) -> DataFrame:
@@ -445,16 +561,22 @@ def _compare(table: pa.Table, num, den):
     _, once = np.unique(pair, return_index=True)  # many tiles hold the same pair
     yield from _open_pairs(i[keep][once], j[keep][once], ids, sizes, bits, num, den)
     for a, b in zip(first[~small], (first + n)[~small], strict=True):
-        length = min(len(bits[r]) for r in range(a, b))
-        marks = np.stack([_folded(bits[r], length) for r in range(a, b)])
+        length = np.array([len(bits[r]) for r in range(a, b)])
         x, y = a + np.flatnonzero(own[a:b] == p[a]), a + np.flatnonzero(own[a:b] == q[a])
-        for i in x:
-            z = y[fits(i, y)]
-            z = z[z > i] if p[a] == q[a] else z
-            z = z[_may_link(marks[i - a], sizes[i], marks[z - a], sizes[z], num, den)] if len(z) else z
-            if len(z):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(ids[i], ids[z])), pa.array(np.maximum(ids[i], ids[z]))], ["a", "b"])
+        for m in np.unique(length):  # pairs whose shorter signature has this length
+            rows = np.flatnonzero(length >= m)
+            at = np.cumsum(length >= m) - 1
+            marks = np.stack([_folded(bits[a + r], m) for r in rows])
+            folded = sizes[a + rows] - _ones(marks)
+            for i in x[length[x - a] >= m]:
+                z = y[(length[y - a] == m) if length[i - a] > m else (length[y - a] >= m)]
+                z = z[z > i] if p[a] == q[a] else z
+                z = z[fits(i, z)]
+                j, k = at[i - a], at[z - a]
+                z = z[_room(_ones(marks[j] & marks[k]), folded[j], folded[k], sizes[i] + sizes[z], num, den)]
+                if len(z):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(ids[i], ids[z])), pa.array(np.maximum(ids[i], ids[z]))], ["a", "b"])
 
 
 def _open_pairs(i, j, ids, sizes, bits, num, den, most: int = 1 << 21):
@@ -519,13 +641,10 @@ def _links(docs, sets, ngram, num, den, broadcast_ids):
     tiles = materialize(_tiles(_packed_tiles(base, ngram, num, den, buckets), partitions))
     links = verified(_bounded(_hub_pairs(tiles, num, den), sets, num, den))
     comps = connected_components(links)
-    mixed = materialize(_mixed(tiles, comps))
+    mixed = _mixed(tiles, comps)
     if not mixed.head(1):
         return links, comps
-    for level in range(1, LEVELS + 1):
-        if not mixed.filter(F.col("g") > BLOCK_MEMBERS).head(1):
-            break
-        mixed = _refined(mixed, base, ngram, num, den, level)
+    mixed = _cut_anew(mixed, base, ngram, num, den)
     more = verified(_bounded(_cross_pairs(mixed, sets, num, den), sets, num, den))
     if more.head(1):
         links = links.unionByName(more)

@@ -76,6 +76,56 @@ def test_long_texts_of_one_tile_meet_their_whole_signatures(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 3, 80, 100)
 
 
+@pytest.mark.parametrize("members", [8, 2048])
+def test_near_copies_are_gone_through_in_few_groups(spark, monkeypatch, members):
+    """Texts lie in few groups of the second search, though near copies share most of their tiles; links stay whole."""
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", members)
+    rng = np.random.default_rng(6)
+    base, rows = [f"b{i}" for i in range(160)], []
+    for d in range(70):  # copies with more and more changes, so that many stay below the share
+        words = list(base)
+        for at in rng.choice(160, d // 5, replace=False):
+            words[at] = f"{d}y{at}"
+        rows.append((d, " ".join(words)))
+    for d in range(70, 130):  # no copies: one passage in common
+        rows.append((d, " ".join([f"p{i}" for i in range(60)] + [f"{d}z{i}" for i in range(100)])))
+    seen, search = [], ngram_join._cross_pairs
+
+    def spy(mixed, *rest):
+        n = mixed.groupBy("id").count().collect()
+        seen.append((sum(r["count"] for r in n), len(n)))
+        return search(mixed, *rest)
+
+    monkeypatch.setattr(ngram_join, "_cross_pairs", spy)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.jaccard_components(docs, 5, 80, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 5, 80, 100)
+    (members_of_groups, texts), = seen
+    assert texts >= 40 and members_of_groups <= 6 * texts
+
+
+def test_a_task_packs_the_tiles_of_its_blocks_together(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(d, " ".join(map(str, rng.integers(0, 1 << 40, 6000)))) for d in range(30)]  # over two blocks of texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    together = ngram_join._packed_tiles(docs, 5, 80, 100, 300).collect()
+    assert len(together) == len({r.bucket for r in together}) == 300
+    monkeypatch.setattr(ngram_join, "MOST_ENTRIES", 1)
+    apart = ngram_join._packed_tiles(docs, 5, 80, 100, 300).collect()
+    assert len(apart) > 300
+
+    def entries(packed):
+        out = []
+        for r in packed:
+            n = np.frombuffer(r.counts, np.uint32)
+            values = [np.repeat(np.frombuffer(x, k), n).tolist()
+                      for x, k in ((r.sets, np.int64), (r.ids, np.int64), (r.sizes, np.uint32))]
+            out += zip([r.bucket] * int(n.sum()), *values, np.frombuffer(r["keys"], np.uint32).tolist(), strict=True)
+        return sorted(out)
+
+    assert entries(together) == entries(apart)
+
+
 def test_join_takes_odd_rows(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(odd_docs(spark)).collect()]
     assert len(got) == 9
